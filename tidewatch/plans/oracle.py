@@ -147,3 +147,203 @@ select 'endpoint_probe', source_ip, window_start, window_end,
        greatest(least(1.0{D}, paths / 30.0{D}), least(1.0{D}, hits / 15.0{D})), rows from ep_hit"""
 
 FAILURE_PATTERN_SQL = FAILURE_PATTERN
+
+
+# ------------------------------------------------------------------ anomaly / risk / explain
+from ..operators.anomaly import FEATURE_NAMES, UNKNOWN_NOTE  # noqa: E402
+from ..operators.explain import (BASELINE_LINE, MULTIPLE_PREFIX, NO_RULE_THREAT, REASON_BEHAVIOUR,  # noqa: E402
+                                 REASON_LOW, REASON_PREFIX, REASON_RULE, REASON_VOLUME, RECOMMENDATIONS,
+                                 THREAT_LABELS)
+from ..operators.geo import geo_values_sql  # noqa: E402
+from ..functions.ipv4 import IPV4_STRICT  # noqa: E402
+
+_ = UNKNOWN_NOTE
+
+
+def rnd(x: str, d: int) -> str:
+    return f"(round(({x}) * 1e{d}) / 1e{d})"
+
+
+FEAT = f"""feat as (select source_ip,
+  count(*){D} as event_count,
+  avg(least(coalesce(failed_attempts, 0{D}), 1.0{D})) as failed_ratio,
+  count(distinct port){D} as distinct_ports,
+  count(distinct destination_ip){D} as distinct_destinations,
+  count(distinct request_path){D} as distinct_paths,
+  count(distinct username){D} as distinct_usernames,
+  avg(coalesce(payload_size, 0{D})) as avg_payload_size,
+  avg(case when hour(timestamp) < 6 or hour(timestamp) >= 22 then 1.0{D} else 0.0{D} end) as off_hours_ratio
+from sec where source_ip is not null group by source_ip)"""
+MOM = "mom as (select " + ", ".join(
+    f"avg({f}) as mu_{f}, case when stddev_pop({f}) = 0 or stddev_pop({f}) is null then 1.0{D} "
+    f"else stddev_pop({f}) end as sd_{f}" for f in FEATURE_NAMES) + " from feat)"
+ZRAW = "zr as (select feat.*, " + ", ".join(
+    f"(coalesce({f}, 0{D}) - mu_{f}) / sd_{f} as z_{f}" for f in FEATURE_NAMES) + " from feat, mom)"
+ZCOL = ", ".join(f"{rnd('z_' + f, 6)} as z_{f}" for f in FEATURE_NAMES)
+SCORE = ("zs as (select source_ip, (" + " + ".join(f"abs({rnd('z_' + f, 6)})" for f in FEATURE_NAMES)
+         + f") / {float(len(FEATURE_NAMES))}{D} as raw from zr)",
+         "zmm as (select min(raw) as lo, max(raw) as hi, count(*) as n from zs)",
+         f"""score as (select source_ip, case when n < 8 or not (hi > lo) then 0.0{D}
+  else {rnd('(raw - lo) / (hi - lo)', 4)} end as anomaly_score from zs, zmm)""")
+TOPF = ("tf_long as (" + " union all ".join(
+    f"select source_ip, {i} as idx, '{f}' as feature, {rnd(f, 2)} as value, {rnd(f'-abs(z_{f})', 6)} as k from zr"
+    for i, f in enumerate(FEATURE_NAMES)) + ")",
+        "tf as (select *, row_number() over (partition by source_ip order by k, idx) as rn from tf_long)",
+        """tf_names as (select source_ip, string_agg(replace(feature, '_', ' '), ', ' order by rn) as names
+  from tf where rn <= 3 group by source_ip)""")
+
+
+def _lines_sql() -> list[str]:
+    """Detections of every rule plus unknown anomalies, with their evidence line."""
+    it = lambda x: f"cast(round_even({x}, 0) as bigint)::varchar"
+    return [
+        f"""det as (
+  select 'brute_force' as detection_type, 0 as detector_order, source_ip, coalesce(username, '') as k,
+         window_start, window_end, least(1.0{D}, n / 24.0{D}) as severity, n as event_count,
+         'IP ' || source_ip || ': ' || n::varchar || ' failed authentication attempts against user ''' ||
+         coalesce(username, 'unattributed') || ''' within 10 minutes' as line
+  from bf
+  union all
+  select 'credential_spray', 1, source_ip, '', window_start, window_end, least(1.0{D}, users / 24.0{D}), attempts,
+         'IP ' || source_ip || ': Contacted ' || users::varchar || ' distinct user accounts with ' ||
+         attempts::varchar || ' failed attempts (' || round(attempts / users{D}, 2)::varchar ||
+         ' attempts/user on average) within 10 minutes'
+  from cs_hit
+  union all
+  select 'port_scan', 2, source_ip, '', window_start, window_end, least(1.0{D}, n_ports / 45.0{D}), rows,
+         'IP ' || source_ip || ': Contacted ' || n_ports::varchar || ' distinct ports on ' ||
+         (case when coalesce(ps_tg_list, '') = '' then 0 else len(string_split(ps_tg_list, ',')) end)::varchar || ' host(s) within 5 minutes' ||
+         case when seq >= 0.6 then ' (sequential scan pattern detected)' else '' end
+  from ps_st join ps_seq using (source_ip) left join ps_tg using (source_ip)
+  union all
+  select 'endpoint_probe', 3, source_ip, '', window_start, window_end,
+         greatest(least(1.0{D}, paths / 30.0{D}), least(1.0{D}, hits / 15.0{D})), rows,
+         'IP ' || source_ip || ': Requested ' || paths::varchar || ' distinct paths with a ' ||
+         {it(f"round(err, 2) * 100.0{D}")} || '% error-response rate' ||
+         case when hits > 0 then ', including ' || hits::varchar || ' hits on known-sensitive paths' else '' end
+  from ep_hit
+  union all
+  select 'unknown_anomaly', 4, s.source_ip, '', sp.ws, sp.we, s.anomaly_score, sp.n,
+         'IP ' || s.source_ip || ': Behaviour differs from the normal baseline for this dataset (anomaly score ' ||
+         {it(f"s.anomaly_score * 100.0{D}")} || '%), notably in: ' || tn.names
+  from score s
+  join (select source_ip, min(timestamp) as ws, max(timestamp) as we, count(*) as n from sec
+        where source_ip is not null group by source_ip) sp using (source_ip)
+  join tf_names tn using (source_ip)
+  where s.anomaly_score >= 0.7 and s.source_ip not in (
+    select source_ip from bf union select source_ip from cs_hit union select source_ip from ps_st
+    union select source_ip from ep_hit))"""]
+
+
+def risk_ctes(mapping_confidence: float = 1.0) -> list[str]:
+    mc = repr(0.4 * mapping_confidence)
+    return [
+        "cnt as (select source_ip, count(*) as event_count from sec where source_ip is not null group by source_ip)",
+        "mx as (select max(event_count) as m from cnt)",
+        "dsev as (select source_ip, max(severity) as sev from det group by source_ip)",
+        "cand as (select source_ip from dsev union select source_ip from score where anomaly_score >= 0.4)",
+        f"""prof as (select c.source_ip, coalesce(cnt.event_count, 0) as event_count,
+   {rnd(f'coalesce(sev, 0{D})', 4)} as threat_severity,
+   {rnd(f'coalesce(anomaly_score, 0{D})', 4)} as behavior_anomaly,
+   {rnd(f'case when m > 0 then ln(1 + coalesce(cnt.event_count, 0)) / ln(1 + m) else 0{D} end', 4)} as frequency,
+   {rnd(f'0.6{D} * least(1.0{D}, coalesce(cnt.event_count, 0) / 20.0{D}) + {mc}{D}', 4)} as confidence
+ from cand c left join dsev using (source_ip) left join score using (source_ip) left join cnt using (source_ip), mx)""",
+        f"""risk as (select *, 100.0{D} * (0.4{D} * threat_severity + 0.3{D} * behavior_anomaly
+   + 0.15{D} * frequency + 0.15{D} * confidence) as raw from prof)""",
+        f"""scored as (select source_ip, event_count, threat_severity, behavior_anomaly, frequency, confidence,
+   {rnd('raw', 1)} as risk_score,
+   case when raw >= 80 then 'Critical' when raw >= 60 then 'High' when raw >= 40 then 'Medium' else 'Low' end
+     as classification from risk)"""]
+
+
+def lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _case_map(expr: str, mapping: dict) -> str:
+    body = " ".join(f"when {lit(k)} then {lit(v)}" for k, v in mapping.items())
+    return f"case {expr} {body} end"
+
+
+def explain_ctes() -> list[str]:
+    recs = {k: " | ".join(v) for k, v in RECOMMENDATIONS.items()}
+    return [
+        "dt as (select distinct source_ip, detection_type from det)",
+        f"""lab as (select source_ip, count(*) as ntypes,
+   string_agg({_case_map('detection_type', THREAT_LABELS)}, ', ' order by detection_type) as labels from dt
+   group by source_ip)""",
+        """dom as (select source_ip, detection_type as dominant from (select *, row_number() over (
+   partition by source_ip order by severity desc, detector_order, k) as rn from det) where rn = 1)""",
+        """dl as (select source_ip, string_agg(line, ' | ' order by detector_order, k, window_start, line) as lines,
+   bool_or(detection_type = 'unknown_anomaly') as has_unknown from det group by source_ip)""",
+        f"""expl as (select s.*,
+   case when dom.dominant is null then '{NO_RULE_THREAT}'
+        when ntypes > 1 then '{MULTIPLE_PREFIX}' || labels
+        else {_case_map('dom.dominant', THREAT_LABELS)} end as threat,
+   case when dom.dominant is null then {lit(recs["unknown_anomaly"])} else {_case_map('dom.dominant', recs)} end
+     as recommendation,
+   concat_ws(' | ', nullif(coalesce(dl.lines, ''), ''),
+     case when behavior_anomaly >= 0.4 and not coalesce(dl.has_unknown, false) and tn.names is not null
+          then {lit(BASELINE_LINE)} || tn.names end) as evidence,
+   {rnd(f'confidence * 100.0{D}', 1)} as confidence_pct,
+   case when threat_severity > 0 or behavior_anomaly >= 0.4 or frequency >= 0.6 then
+     '{REASON_PREFIX}' || concat_ws(' and ',
+        case when threat_severity > 0 then '{REASON_RULE}' end,
+        case when behavior_anomaly >= 0.4 then '{REASON_BEHAVIOUR}' end,
+        case when frequency >= 0.6 then '{REASON_VOLUME}' end) || '.'
+   else '{REASON_LOW}' end as reason
+ from scored s left join lab using (source_ip) left join dom using (source_ip) left join dl using (source_ip)
+ left join tf_names tn using (source_ip))"""]
+
+
+IPLONG = (f"case when regexp_full_match(ip, '{IPV4_STRICT}') then "
+          "split_part(ip, '.', 1)::bigint * 16777216 + split_part(ip, '.', 2)::bigint * 65536 + "
+          "split_part(ip, '.', 3)::bigint * 256 + split_part(ip, '.', 4)::bigint end")
+
+
+def geo_ctes(src: str) -> list[str]:
+    """``geo_out``: every row of ``src`` (column ip) with its longest-prefix location."""
+    return [
+        f"geo_ip as (select *, {IPLONG} as ip_long from {src})",
+        f"""geo_m as (select gi.ip, g.country, g.country_code, g.city, g.lat::double as lat, g.lon::double as lon,
+   row_number() over (partition by gi.ip order by g.prefix_len desc) as rn
+   from (select distinct ip, ip_long from geo_ip) gi join {geo_values_sql()}
+   on (gi.ip_long >> (32 - g.prefix_len)) = (g.network >> (32 - g.prefix_len)))""",
+        """geo_out as (select geo_ip.*, coalesce(m.country, 'Unknown') as country,
+   coalesce(m.country_code, 'XX') as country_code, coalesce(m.city, 'Unknown') as city, m.lat, m.lon
+   from geo_ip left join (select * from geo_m where rn = 1) m on geo_ip.ip is not distinct from m.ip)"""]
+
+
+def analysis_ctes(mapping_confidence: float = 1.0) -> list[str]:
+    return [BF_SRC, densest("bf", "bf_src", "source_ip, username", 10, 8), *CS_BODY, *PS_BODY, *EP_BODY,
+            FEAT, MOM, ZRAW, *SCORE, *TOPF, *_lines_sql(), *risk_ctes(mapping_confidence), *explain_ctes()]
+
+
+def analysis_sql(select: str, *extra: str) -> str:
+    return ctes(*analysis_ctes(), *extra) + select
+
+
+IP_FEATURES = ctes(FEAT) + "select * from feat"
+IP_ZSCORES = ctes(FEAT, MOM, ZRAW) + f"select source_ip, {ZCOL} from zr"
+TOP_FEATURES = ctes(FEAT, MOM, ZRAW, *TOPF) + """
+select source_ip,
+  max(case when rn = 1 then feature end) as feature_1, max(case when rn = 1 then value end) as value_1,
+  max(case when rn = 2 then feature end) as feature_2, max(case when rn = 2 then value end) as value_2,
+  max(case when rn = 3 then feature end) as feature_3, max(case when rn = 3 then value end) as value_3
+from tf where rn <= 3 group by source_ip"""
+ZSCORE_ANOMALY = ctes(FEAT, MOM, ZRAW, *SCORE) + "select source_ip, anomaly_score from score"
+IP_EVENT_COUNTS = ctes() + """select source_ip, count(*) as event_count from sec where source_ip is not null
+group by source_ip"""
+RISK_SCORES = analysis_sql("""select source_ip, event_count, threat_severity, behavior_anomaly, frequency,
+  confidence, risk_score, classification from scored""")
+CANDIDATE_IPS = analysis_sql("select source_ip from cand")
+RISK_BANDS = analysis_sql("select classification, count(*) as alerts from scored group by classification")
+EXPLAIN_THREAT = analysis_sql("select source_ip, threat from expl")
+EXPLAIN_RECOMMEND = analysis_sql("select source_ip, recommendation from expl")
+EXPLAIN_EVIDENCE = analysis_sql("select source_ip, evidence from expl")
+EXPLAIN_REASON = analysis_sql("select source_ip, reason, confidence_pct from expl")
+GEO_JOIN = ctes("ips as (select distinct source_ip as ip from sec where source_ip is not null)",
+                *geo_ctes("ips")) + """
+select ip as source_ip, country, country_code, city, lat, lon from geo_out"""
+LOCATION_FILL = ctes("ev as (select event_id, source_ip as ip from sec)", *geo_ctes("ev")) + """
+select event_id, ip as source_ip, case when ip is not null then country end as source_location from geo_out"""

@@ -112,3 +112,119 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "suspicious_paths": (q_suspicious_paths, O.SUSPICIOUS_PATHS),
     "all_detections": (q_all_detections, O.ALL_DETECTIONS),
 }
+
+
+# ------------------------------------------------------------------ anomaly / risk / explain / geo
+from ..operators import anomaly as A  # noqa: E402
+from ..operators.geo import fill_location, geo_lookup  # noqa: E402
+from ..operators.risk import ip_event_counts  # noqa: E402
+from .analysis import analyse, flat_alerts  # noqa: E402
+
+FIXTURE_MAPPING_CONFIDENCE = 1.0   # the fixture is already canonical: every field pinned
+
+
+def q_ip_features(spark, sf):
+    return A.ip_features(_sec(spark, sf))
+
+
+def q_ip_zscores(spark, sf):
+    z = A.standardize(A.ip_features(_sec(spark, sf)), digits=6)
+    return z.select("source_ip", *[f"z_{f}" for f in A.FEATURE_NAMES])
+
+
+def q_top_features(spark, sf):
+    t = A.top_features(A.standardize(A.ip_features(_sec(spark, sf))))
+    cols = []
+    for i in range(3):
+        cols += [F.col("top_features")[i]["feature"].alias(f"feature_{i + 1}"),
+                 F.col("top_features")[i]["value"].alias(f"value_{i + 1}")]
+    return t.select("source_ip", *cols)
+
+
+def q_zscore_anomaly(spark, sf):
+    return A.zscore_scores(A.standardize(A.ip_features(_sec(spark, sf))))
+
+
+def q_anomaly_scores(spark, sf):
+    return A.anomaly_scores(_sec(spark, sf), "forest").select("source_ip", "anomaly_score")
+
+
+def q_unknown_anomaly(spark, sf):
+    d = analyse(_sec(spark, sf), ORDER, FIXTURE_MAPPING_CONFIDENCE, "forest").detections
+    return d.where(F.col("detection_type") == "unknown_anomaly").select(*_common(d))
+
+
+def q_ip_event_counts(spark, sf):
+    return ip_event_counts(_sec(spark, sf))
+
+
+def _checked(spark, sf):
+    return analyse(_sec(spark, sf), ORDER, FIXTURE_MAPPING_CONFIDENCE, "zscore")
+
+
+RISK_COLS = ["source_ip", "event_count", "threat_severity", "behavior_anomaly", "frequency", "confidence",
+             "risk_score", "classification"]
+
+
+def q_risk_scores(spark, sf):
+    return _checked(spark, sf).alerts.select(*RISK_COLS)
+
+
+def q_candidate_ips(spark, sf):
+    return _checked(spark, sf).alerts.select("source_ip")
+
+
+def q_risk_bands(spark, sf):
+    return _checked(spark, sf).alerts.groupBy("classification").agg(F.count(F.lit(1)).alias("alerts"))
+
+
+def q_explain_threat(spark, sf):
+    return _checked(spark, sf).alerts.select("source_ip", "threat")
+
+
+def q_explain_recommend(spark, sf):
+    return _checked(spark, sf).alerts.select("source_ip", F.array_join("recommendation", " | ")
+                                             .alias("recommendation"))
+
+
+def q_explain_evidence(spark, sf):
+    return _checked(spark, sf).alerts.select("source_ip", F.array_join("evidence", " | ").alias("evidence"))
+
+
+def q_explain_reason(spark, sf):
+    return _checked(spark, sf).alerts.select("source_ip", "reason", "confidence_pct")
+
+
+def q_geo_join(spark, sf):
+    ips = _sec(spark, sf).where(F.col("source_ip").isNotNull()).select("source_ip").distinct()
+    return geo_lookup(ips, "source_ip")
+
+
+def q_location_fill(spark, sf):
+    ev = fill_location(_sec(spark, sf).select("event_id", "source_ip"))
+    return ev.select("event_id", "source_ip", "source_location")
+
+
+def q_alerts(spark, sf):
+    return flat_alerts(analyse(_sec(spark, sf), ORDER, FIXTURE_MAPPING_CONFIDENCE, "forest").alerts)
+
+
+REGISTRY.update({
+    "ip_features": (q_ip_features, O.IP_FEATURES),
+    "ip_zscores": (q_ip_zscores, O.IP_ZSCORES),
+    "top_features": (q_top_features, O.TOP_FEATURES),
+    "zscore_anomaly": (q_zscore_anomaly, O.ZSCORE_ANOMALY),
+    "anomaly_scores": (q_anomaly_scores, None),
+    "unknown_anomaly": (q_unknown_anomaly, None),
+    "ip_event_counts": (q_ip_event_counts, O.IP_EVENT_COUNTS),
+    "candidate_ips": (q_candidate_ips, O.CANDIDATE_IPS),
+    "risk_scores": (q_risk_scores, O.RISK_SCORES),
+    "risk_bands": (q_risk_bands, O.RISK_BANDS),
+    "explain_threat": (q_explain_threat, O.EXPLAIN_THREAT),
+    "explain_recommend": (q_explain_recommend, O.EXPLAIN_RECOMMEND),
+    "explain_evidence": (q_explain_evidence, O.EXPLAIN_EVIDENCE),
+    "explain_reason": (q_explain_reason, O.EXPLAIN_REASON),
+    "geo_join": (q_geo_join, O.GEO_JOIN),
+    "location_fill": (q_location_fill, O.LOCATION_FILL),
+    "alerts": (q_alerts, None),
+})
