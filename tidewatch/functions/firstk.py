@@ -30,3 +30,20 @@ def first_k_distinct(df: DataFrame, keys: Sequence[str], value_col: str, order_c
     merged = cand.groupBy(*keys).agg(
         F.slice(F.array_sort(F.collect_list(F.struct(F.col("_o"), F.col(value_col).alias("v")))), 1, k).alias("_l"))
     return merged.select(*keys, F.transform("_l", lambda x: x["v"]).alias(out_col))
+
+
+def first_k_rows(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, salt: int = DEFAULT_SALT,
+                 rank_col: str = "rank") -> DataFrame:
+    """The first ``k`` rows of every group by ``order`` (Column expressions, ties
+    must be broken by the caller), numbered 1..k in ``rank_col``.
+
+    Two-phase: rows are ranked inside ``(group, salt)`` slices (salt = hash of the
+    whole row), at most ``k`` survive per slice, and the final rank is taken over
+    at most ``k * salt`` survivors per group.
+    """
+    keys = list(keys)
+    salted = df.withColumn("_s", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt)))
+    w1 = Window.partitionBy(*keys, "_s").orderBy(*order)
+    cand = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_s")
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    return cand.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k)

@@ -347,3 +347,63 @@ GEO_JOIN = ctes("ips as (select distinct source_ip as ip from sec where source_i
 select ip as source_ip, country, country_code, city, lat, lon from geo_out"""
 LOCATION_FILL = ctes("ev as (select event_id, source_ip as ip from sec)", *geo_ctes("ev")) + """
 select event_id, ip as source_ip, case when ip is not null then country end as source_location from geo_out"""
+
+
+# ------------------------------------------------------------------ serving views
+def bucket_sql(ts: str, minutes: int = 30) -> str:
+    b = minutes * 60_000_000
+    return f"make_timestamp(epoch_us({ts}) - (((epoch_us({ts}) % {b}) + {b}) % {b}))"
+
+
+_TYPES = ["brute_force", "credential_spray", "port_scan", "endpoint_probe", "unknown_anomaly"]
+_ALERT_COLS = ("source_ip, risk_score, classification, threat_severity, behavior_anomaly, frequency, confidence, "
+               "event_count, threat")
+_VOL = f"vol as (select {bucket_sql('timestamp')} as bucket, count(*) as total_events from sec " \
+       "where timestamp is not null group by 1)"
+_DETB = "detb as (select " + bucket_sql("window_start") + " as bucket, " + ", ".join(
+    f"count(*) filter (where detection_type = '{t}') as {t}" for t in _TYPES) + \
+    " from det where window_start is not null group by 1)"
+_TL = "tl as (select vol.bucket, total_events, " + ", ".join(f"coalesce({t}, 0) as {t}" for t in _TYPES) + \
+      " from vol left join detb using (bucket))"
+
+OVERVIEW_KPIS = analysis_sql("""select (select count(*) from sec) as total_events,
+  (select count(distinct source_ip) from sec) as unique_source_ips,
+  (select count(*) from det) as threats_detected,
+  (select count(*) from expl where classification = 'Critical') as critical_alerts""")
+RISK_DISTRIBUTION = analysis_sql("""select b.classification, b.band_order, coalesce(c.n, 0) as alerts
+from (values ('Critical', 0), ('High', 1), ('Medium', 2), ('Low', 3)) as b(classification, band_order)
+left join (select classification, count(*) as n from expl group by 1) c using (classification)""")
+ATTACK_CATEGORIES = analysis_sql("select detection_type, count(*) as detections from det group by 1")
+TIMELINE_VOLUME = ctes(_VOL) + "select bucket, total_events from vol"
+TIMELINE = analysis_sql("select * from tl", _VOL, _DETB, _TL)
+TIMELINE_PIVOT = analysis_sql("select * from tl where " + " or ".join(f"{t} > 0" for t in _TYPES),
+                              _VOL, _DETB, _TL)
+ALERTS_TOPK = analysis_sql(f"select {_ALERT_COLS} from expl order by risk_score desc, source_ip limit 100")
+TOP_OFFENDERS = analysis_sql(f"select {_ALERT_COLS} from expl order by risk_score desc, source_ip limit 10")
+BEHAVIOUR_ANOMALIES = analysis_sql(f"""select {_ALERT_COLS} from expl where behavior_anomaly >= 0.5
+order by risk_score desc, source_ip limit 10""")
+IP_TOTAL = analysis_sql("""select i.source_ip, coalesce(e.n, 0) as total_events, coalesce(d.n, 0) as detections
+from (select source_ip from expl union select source_ip from det) i
+left join (select source_ip, count(*) as n from sec group by 1) e using (source_ip)
+left join (select source_ip, count(*) as n from det group by 1) d using (source_ip)""")
+IP_EVENTS = analysis_sql("""select source_ip, event_rank, event_id, timestamp, event_type, username, port,
+  request_path, status_code from (
+  select s.*, row_number() over (partition by s.source_ip order by s.timestamp asc nulls last, s.event_id)
+    as event_rank
+  from sec s where s.source_ip in (select source_ip from expl))
+where event_rank <= 200""")
+ATTACK_PROGRESSION = analysis_sql("""select source_ip,
+  row_number() over (partition by source_ip order by window_start asc nulls first, detector_order, k) as step,
+  detection_type, window_start, window_end, severity, event_count from det""")
+GEO_DISTRIBUTION = analysis_sql("""select country, country_code, count(*) as alert_count,
+  round(avg(risk_score) * 1e1) / 1e1 as avg_risk_score,
+  first(lat order by risk_score desc, source_ip) filter (where lat is not null) as lat,
+  first(lon order by risk_score desc, source_ip) filter (where lat is not null) as lon
+from (select g.ip as source_ip, g.country, g.country_code, g.lat, g.lon, e.risk_score
+      from geo_out g join expl e on g.ip = e.source_ip) x
+group by country, country_code""", "aips as (select source_ip as ip from expl)", *geo_ctes("aips"))
+PEAK_RISK = analysis_sql("""select max(risk_score) as peak_risk_score,
+  first(source_ip order by risk_score desc, source_ip) as peak_source_ip,
+  count(*) filter (where classification in ('Critical', 'High')) as elevated_alerts,
+  (select count(distinct detection_type) from det) as types_fired
+from expl""")

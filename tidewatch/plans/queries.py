@@ -228,3 +228,90 @@ REGISTRY.update({
     "location_fill": (q_location_fill, O.LOCATION_FILL),
     "alerts": (q_alerts, None),
 })
+
+
+# ------------------------------------------------------------------ serving views
+from . import views as V  # noqa: E402
+
+ALERT_COLS = ["source_ip", "risk_score", "classification", "threat_severity", "behavior_anomaly", "frequency",
+              "confidence", "event_count", "threat"]
+
+
+def q_overview_kpis(spark, sf):
+    a = _checked(spark, sf)
+    return V.overview(_sec(spark, sf), a.detections, a.alerts)
+
+
+def q_risk_distribution(spark, sf):
+    return V.risk_distribution(_checked(spark, sf).alerts)
+
+
+def q_attack_categories(spark, sf):
+    return V.attack_categories(_checked(spark, sf).detections)
+
+
+def q_timeline_volume(spark, sf):
+    return V.timeline_volume(_sec(spark, sf))
+
+
+def q_timeline(spark, sf):
+    return V.timeline(_sec(spark, sf), _checked(spark, sf).detections)
+
+
+def q_timeline_pivot(spark, sf):
+    return V.timeline_pivot(_sec(spark, sf), _checked(spark, sf).detections)
+
+
+def q_alerts_topk(spark, sf):
+    return V.alerts_topk(_checked(spark, sf).alerts).select(*ALERT_COLS)
+
+
+def q_top_offenders(spark, sf):
+    return V.top_offenders(_checked(spark, sf).alerts).select(*ALERT_COLS)
+
+
+def q_behaviour_anomalies(spark, sf):
+    return V.behaviour_anomalies(_checked(spark, sf).alerts).select(*ALERT_COLS)
+
+
+def q_ip_total(spark, sf):
+    a = _checked(spark, sf)
+    return V.ip_totals(_sec(spark, sf), a.detections, a.alerts)
+
+
+def q_ip_events(spark, sf):
+    a = _checked(spark, sf)
+    e = V.ip_events(_sec(spark, sf), a.alerts, ORDER)
+    return e.select("source_ip", "event_rank", "event_id", "timestamp", "event_type", "username", "port",
+                    "request_path", "status_code")
+
+
+def q_attack_progression(spark, sf):
+    return V.attack_progression(_checked(spark, sf).detections)
+
+
+def q_geo_distribution(spark, sf):
+    return V.geo_distribution(_checked(spark, sf).alerts)
+
+
+def q_peak_risk(spark, sf):
+    a = _checked(spark, sf)
+    return V.peak_risk(a.alerts, a.detections)
+
+
+REGISTRY.update({
+    "overview_kpis": (q_overview_kpis, O.OVERVIEW_KPIS),
+    "risk_distribution": (q_risk_distribution, O.RISK_DISTRIBUTION),
+    "attack_categories": (q_attack_categories, O.ATTACK_CATEGORIES),
+    "timeline_volume": (q_timeline_volume, O.TIMELINE_VOLUME),
+    "timeline": (q_timeline, O.TIMELINE),
+    "timeline_pivot": (q_timeline_pivot, O.TIMELINE_PIVOT),
+    "alerts_topk": (q_alerts_topk, O.ALERTS_TOPK),
+    "top_offenders": (q_top_offenders, O.TOP_OFFENDERS),
+    "behaviour_anomalies": (q_behaviour_anomalies, O.BEHAVIOUR_ANOMALIES),
+    "ip_total": (q_ip_total, O.IP_TOTAL),
+    "ip_events": (q_ip_events, O.IP_EVENTS),
+    "attack_progression": (q_attack_progression, O.ATTACK_PROGRESSION),
+    "geo_distribution": (q_geo_distribution, O.GEO_DISTRIBUTION),
+    "peak_risk": (q_peak_risk, O.PEAK_RISK),
+})
