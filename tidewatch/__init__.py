@@ -14,3 +14,14 @@ streaming/  file-arrival driven analysis with Structured Streaming.
 """
 
 __version__ = "0.1.0"
+
+# Functions shipped to Python workers (applyInPandas / mapInPandas) are pickled
+# by value, so executors need not have this package installed.
+try:  # pragma: no cover - depends on the pyspark build
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass

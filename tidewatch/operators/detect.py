@@ -128,13 +128,12 @@ def credential_spray(df: DataFrame, order_col: str = "row_id", bucket_minutes: i
     # a spray needs at least as many rows as distinct users: exact pre-filter
     win = win.where(F.col("window_count") >= SPRAY_USER_THRESHOLD)
     inside = rows_in_window(failed.select("source_ip", "timestamp", "username", order_col), win,
-                            ["source_ip"], "timestamp", SPRAY_WINDOW_MIN, bucket_minutes)
+                            ["source_ip"], "timestamp", SPRAY_WINDOW_MIN, bucket_minutes).persist()
     stats = inside.groupBy("source_ip", "window_start", "window_end").agg(
         F.countDistinct("username").alias("users"), F.count(F.lit(1)).alias("attempts"))
     stats = stats.withColumn("avg", F.col("attempts") / F.col("users"))
     hit = stats.where((F.col("users") >= SPRAY_USER_THRESHOLD) & (F.col("avg") <= F.lit(max_avg_attempts)))
-    sample = first_k_distinct(inside.join(hit.select("source_ip"), "source_ip", "left_semi"),
-                              ["source_ip"], "username", order_col, SAMPLE_LIST_SIZE, "targets")
+    sample = first_k_distinct(inside, ["source_ip"], "username", order_col, SAMPLE_LIST_SIZE, "targets")
     hit = hit.join(sample, "source_ip", "left")
     users = F.col("users")
     return hit.select(*_detection(
@@ -174,14 +173,13 @@ def port_scan(df: DataFrame, order_col: str = "row_id", bucket_minutes: int | No
                         "destination_ip", order_col))
     win = densest_window(scoped, ["source_ip"], "timestamp", PORT_SCAN_WINDOW_MIN, bucket_minutes)
     win = win.where(F.col("window_count") >= PORT_SCAN_THRESHOLD)   # distinct ports <= rows
-    inside = rows_in_window(scoped, win, ["source_ip"], "timestamp", PORT_SCAN_WINDOW_MIN, bucket_minutes)
+    inside = rows_in_window(scoped, win, ["source_ip"], "timestamp", PORT_SCAN_WINDOW_MIN, bucket_minutes).persist()
     # the distinct ports of a window are bounded by the port space (65 536)
     stats = inside.groupBy("source_ip", "window_start", "window_end").agg(
         F.array_sort(F.collect_set("port_i")).alias("ports"), F.count(F.lit(1)).alias("rows"))
     stats = stats.withColumn("n_ports", F.size("ports")).where(F.col("n_ports") >= PORT_SCAN_THRESHOLD)
     stats = stats.withColumn("seq", sequential_ratio(F.col("ports")))
-    hosts = first_k_distinct(inside.join(stats.select("source_ip"), "source_ip", "left_semi"),
-                             ["source_ip"], "destination_ip", order_col, SAMPLE_LIST_SIZE, "hosts")
+    hosts = first_k_distinct(inside, ["source_ip"], "destination_ip", order_col, SAMPLE_LIST_SIZE, "hosts")
     hit = stats.join(hosts, "source_ip", "left")
     n = F.col("n_ports")
     return hit.select(*_detection(
@@ -204,7 +202,7 @@ def endpoint_probe(df: DataFrame, order_col: str = "row_id", bucket_minutes: int
     win = densest_window(scoped, ["source_ip"], "timestamp", PROBE_WINDOW_MIN, bucket_minutes)
     min_rows = min(PROBE_PATH_THRESHOLD, PROBE_SUSPICIOUS_THRESHOLD)
     win = win.where(F.col("window_count") >= min_rows)   # either trigger needs this many rows
-    inside = rows_in_window(scoped, win, ["source_ip"], "timestamp", PROBE_WINDOW_MIN, bucket_minutes)
+    inside = rows_in_window(scoped, win, ["source_ip"], "timestamp", PROBE_WINDOW_MIN, bucket_minutes).persist()
     stats = inside.groupBy("source_ip", "window_start", "window_end").agg(
         F.countDistinct("request_path").alias("paths"),
         F.avg(F.when(is_error_status(F.col("status_code")), 1.0).otherwise(0.0)).alias("err"),
@@ -213,8 +211,7 @@ def endpoint_probe(df: DataFrame, order_col: str = "row_id", bucket_minutes: int
     trig = (((F.col("paths") >= PROBE_PATH_THRESHOLD) & (F.col("err") >= PROBE_ERROR_RATIO))
             | (F.col("hits") >= PROBE_SUSPICIOUS_THRESHOLD))
     stats = stats.where(trig)
-    sample = first_k_distinct(inside.join(stats.select("source_ip"), "source_ip", "left_semi"),
-                              ["source_ip"], "request_path", order_col, SAMPLE_LIST_SIZE, "sample")
+    sample = first_k_distinct(inside, ["source_ip"], "request_path", order_col, SAMPLE_LIST_SIZE, "sample")
     hit = stats.join(sample, "source_ip", "left")
     sev = F.greatest(F.least(F.lit(1.0), F.col("paths") / F.lit(3.0 * PROBE_PATH_THRESHOLD)),
                      F.least(F.lit(1.0), F.col("hits") / F.lit(3.0 * PROBE_SUSPICIOUS_THRESHOLD)))

@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timecols import epoch_us, from_epoch_us
@@ -43,13 +43,9 @@ def _bucket_us(width_us: int, bucket_minutes: int | None) -> int:
     return max(b, width_us)
 
 
-def with_time_bucket(df: DataFrame, ts_col: str, width_minutes: float,
-                     bucket_minutes: int | None = None) -> DataFrame:
-    """Add ``_ts_us`` (epoch micros) and ``_bucket`` used by the windowed joins."""
-    width_us = int(width_minutes * MINUTE_US)
-    b_us = _bucket_us(width_us, bucket_minutes)
-    return (df.withColumn("_ts_us", epoch_us(ts_col))
-              .withColumn("_bucket", F.floor(F.col("_ts_us") / F.lit(b_us)).cast("long")))
+def bucket_of(us: Column, b_us: int) -> Column:
+    """Exact integer floor(us / b_us), also for negative values."""
+    return ((us - F.pmod(us, F.lit(b_us))) / F.lit(b_us)).cast("long")
 
 
 def densest_window(df: DataFrame, keys: Sequence[str], ts_col: str, width_minutes: float,
@@ -64,7 +60,7 @@ def densest_window(df: DataFrame, keys: Sequence[str], ts_col: str, width_minute
 
     base = (df.where(F.col(ts_col).isNotNull())
               .select(*keys, epoch_us(ts_col).alias("t")))
-    bucket = F.floor(F.col("t") / F.lit(b_us)).cast("long")
+    bucket = bucket_of(F.col("t"), b_us)
     next_start = (bucket + 1) * F.lit(b_us)
     # own row, its probe, and (near the end of a bucket) a context copy for the next bucket
     copies = F.array(
@@ -120,12 +116,11 @@ def rows_in_window(df: DataFrame, windows: DataFrame, keys: Sequence[str], ts_co
     b_us = _bucket_us(width_us, bucket_minutes)
     ev = (df.where(F.col(ts_col).isNotNull())
             .withColumn("_ts_us", epoch_us(ts_col))
-            .withColumn("_bucket", F.floor(F.col("_ts_us") / F.lit(b_us)).cast("long")))
+            .withColumn("_bucket", bucket_of(F.col("_ts_us"), b_us)))
     win = (windows.select(*keys, "window_start", "window_end",
                           epoch_us("window_start").alias("_ws"), epoch_us("window_end").alias("_we"))
-                  .withColumn("_bucket", F.explode(F.sequence(
-                      F.floor(F.col("_ws") / F.lit(b_us)).cast("long"),
-                      F.floor(F.col("_we") / F.lit(b_us)).cast("long")))))
+                  .withColumn("_bucket", F.explode(F.sequence(bucket_of(F.col("_ws"), b_us),
+                                                              bucket_of(F.col("_we"), b_us)))))
     cond = [ev[k].eqNullSafe(win[k]) for k in keys] + [ev["_bucket"] == win["_bucket"],
                                                        ev["_ts_us"] >= win["_ws"],
                                                        ev["_ts_us"] <= win["_we"]]
