@@ -407,3 +407,67 @@ PEAK_RISK = analysis_sql("""select max(risk_score) as peak_risk_score,
   count(*) filter (where classification in ('Critical', 'High')) as elevated_alerts,
   (select count(distinct detection_type) from det) as types_fired
 from expl""")
+
+
+# ------------------------------------------------------------------ ingestion / text
+from ..functions.stopwords import ENGLISH  # noqa: E402
+from ..operators.matching import TOKEN  # noqa: E402
+from ..operators.normalize import NUMBER_TEXT  # noqa: E402
+
+_STOP = "[" + ", ".join(lit(w) for w in ENGLISH) + "]"
+
+
+def tfidf_sql(src: str, doc: str, text: str) -> list[str]:
+    return [
+        f"""tk as (select {doc} as doc, list_filter(regexp_extract_all(lower({text}), '({TOKEN})', 1),
+   lambda t: not list_contains({_STOP}, t)) as tok from {src})""",
+        """gr as (select doc, unnest(tok) as term from tk
+   union all
+   select doc, tok[i] || ' ' || tok[i + 1] from (select doc, tok, unnest(range(1, len(tok))) as i from tk))""",
+        "tf as (select doc, term, count(*)::double as tf from gr group by all)",
+        f"nd as (select count(*) as n from {src})",
+        "idf as (select term, ln((n + 1) / (count(*) + 1)) + 1 as idf from tf, nd group by term, n)",
+        "wt as (select doc, term, tf * idf as w from tf join idf using (term))",
+        "nm as (select doc, sqrt(sum(w * w)) as norm from wt group by doc)",
+        "vec as (select doc, term, w / norm as w from wt join nm using (doc))"]
+
+
+TFIDF_DOCUMENTS = ctes(*tfidf_sql("documents", "doc_id", "text")) + f"""
+select doc as doc_id, count(*) as n_terms,
+  first(term order by {rnd('w', 9)} desc, term) as top_term, max({rnd('w', 6)}) as top_weight
+from vec group by doc"""
+
+EMBEDDING_MATCH = ctes(
+    """cells as (select vec_id, label, i, embedding[i]::double as x from
+   (select vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings))""",
+    "cent as (select label as concept, i, avg(x) as c from cells group by label, i)",
+    "cn as (select concept, sqrt(sum(c * c)) as cn from cent group by concept)",
+    "vn as (select vec_id, sqrt(sum(x * x)) as vn from cells group by vec_id)",
+    "dots as (select vec_id, concept, sum(x * c) as dot from cells join cent using (i) group by vec_id, concept)",
+    f"cs as (select vec_id, concept, {rnd('dot / (vn * cn)', 9)} as cos from dots join vn using (vec_id) join cn using (concept))",
+    "sm as (select *, exp((cos - max(cos) over (partition by vec_id)) / 0.1) as e from cs)",
+    "sp as (select *, e / sum(e) over (partition by vec_id) as p from sm)") + f"""
+select vec_id, first(concept order by cos desc, concept) as best_label, max({rnd('cos', 6)}) as cosine,
+  max({rnd('p', 4)}) as confidence from sp group by vec_id"""
+
+
+def _num(x: str) -> str:
+    return (f"case when regexp_full_match({x}, '{NUMBER_TEXT.lstrip('^').rstrip('$')}') "
+            f"then try_cast(trim({x}) as double) end")
+
+
+NORMALIZE_NUMERIC = ctes() + f"""
+select event_id, {_num('cast(port as varchar)')} as port_n, {_num('source_ip')} as ip_n,
+  {_num("regexp_replace(props, '[^0-9]', '', 'g')")} as props_n, {_num('props')} as props_raw_n
+from sec"""
+
+FAILURE_INDICATOR = ctes() + f"""
+select event_id,
+  case when regexp_matches(event_type, '(?i)({FAILURE_PATTERN})') then 1 else 0 end as event_type_failed,
+  case when regexp_matches(props, '(?i)({FAILURE_PATTERN})') then 1 else 0 end as props_failed
+from sec"""
+
+NORMALIZE_TIMESTAMP = ctes() + """
+select event_id, try_cast(cast(timestamp as varchar) as timestamp) as ts_iso,
+  try_strptime(strftime(timestamp, '%m/%d/%Y %I:%M:%S %p'), '%m/%d/%Y %I:%M:%S %p') as ts_us
+from sec"""

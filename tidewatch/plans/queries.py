@@ -315,3 +315,107 @@ REGISTRY.update({
     "geo_distribution": (q_geo_distribution, O.GEO_DISTRIBUTION),
     "peak_risk": (q_peak_risk, O.PEAK_RISK),
 })
+
+
+# ------------------------------------------------------------------ ingestion / text
+from ..functions.rules import failure_indicator  # noqa: E402
+from ..functions.timeparse import parse_ts  # noqa: E402
+from ..operators import matching as M  # noqa: E402
+from ..operators.normalize import mapping_summary, to_number  # noqa: E402
+from ..operators.profile import profile  # noqa: E402
+from ..operators.textsim import document_tfidf_summary, embedding_concept_match  # noqa: E402
+from ..sources.tables import TABLES, read_table  # noqa: E402
+
+
+def _datasets(spark, sf):
+    """The 14 test-data tables plus the security log, as datasets of one catalog."""
+    out = [(t, read_table(spark, sf, t)) for t in TABLES]
+    out.append(("sec", _sec(spark, sf).withColumnRenamed("event_id", "row_id")))
+    return out
+
+
+def _profiles(spark, sf):
+    apply_engine_conf(spark)
+    return profile(_datasets(spark, sf))
+
+
+def q_profile_dtype(spark, sf):
+    return _profiles(spark, sf).select("dataset_id", "column_name", "inferred_dtype")
+
+
+def q_profile_descriptor(spark, sf):
+    return _profiles(spark, sf).select("dataset_id", "column_name", "descriptor")
+
+
+def q_match_assign(spark, sf):
+    return M.map_columns(_profiles(spark, sf))
+
+
+def q_match_scores(spark, sf):
+    return M.match_scores(_profiles(spark, sf)).select("dataset_id", "column_name", "concept", "confidence")
+
+
+def q_mapping_confidence(spark, sf):
+    return M.mapping_confidence(M.map_columns(_profiles(spark, sf)))
+
+
+def q_mapping_review(spark, sf):
+    return M.review_list(M.map_columns(_profiles(spark, sf)))
+
+
+def q_mapping_summary(spark, sf):
+    p = _profiles(spark, sf).persist()
+    return mapping_summary(M.map_columns(p), p).withColumn("sample_values",
+                                                           F.array_join("sample_values", " | "))
+
+
+def q_ontology(spark, sf):
+    from ..operators.ontology import ontology
+    return ontology(spark).select("key", "concept_index", "expected_dtype")
+
+
+def q_tfidf_documents(spark, sf):
+    apply_engine_conf(spark)
+    return document_tfidf_summary(read_table(spark, sf, "documents"))
+
+
+def q_embedding_match(spark, sf):
+    apply_engine_conf(spark)
+    return embedding_concept_match(read_table(spark, sf, "embeddings"))
+
+
+def q_normalize_numeric(spark, sf):
+    s = _sec(spark, sf)
+    return s.select("event_id", to_number(F.col("port").cast("string")).alias("port_n"),
+                    to_number(F.col("source_ip")).alias("ip_n"),
+                    to_number(F.regexp_replace("props", "[^0-9]", "")).alias("props_n"),
+                    to_number(F.col("props")).alias("props_raw_n"))
+
+
+def q_failure_indicator(spark, sf):
+    s = _sec(spark, sf)
+    return s.select("event_id", failure_indicator(F.col("event_type")).alias("event_type_failed"),
+                    failure_indicator(F.col("props")).alias("props_failed"))
+
+
+def q_normalize_timestamp(spark, sf):
+    s = _sec(spark, sf)
+    return s.select("event_id", parse_ts(F.col("timestamp").cast("string")).alias("ts_iso"),
+                    parse_ts(F.date_format("timestamp", "MM/dd/yyyy hh:mm:ss a")).alias("ts_us"))
+
+
+REGISTRY.update({
+    "profile_dtype": (q_profile_dtype, None),
+    "profile_descriptor": (q_profile_descriptor, None),
+    "match_scores": (q_match_scores, None),
+    "match_assign": (q_match_assign, None),
+    "mapping_confidence": (q_mapping_confidence, None),
+    "mapping_review": (q_mapping_review, None),
+    "mapping_summary": (q_mapping_summary, None),
+    "ontology": (q_ontology, None),
+    "tfidf_documents": (q_tfidf_documents, O.TFIDF_DOCUMENTS),
+    "embedding_match": (q_embedding_match, O.EMBEDDING_MATCH),
+    "normalize_numeric": (q_normalize_numeric, O.NORMALIZE_NUMERIC),
+    "failure_indicator": (q_failure_indicator, O.FAILURE_INDICATOR),
+    "normalize_timestamp": (q_normalize_timestamp, O.NORMALIZE_TIMESTAMP),
+})
