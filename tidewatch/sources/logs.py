@@ -145,11 +145,14 @@ def read_json_log(spark: SparkSession, path: str) -> DataFrame:
     else:
         doc = spark.read.option("multiLine", True).option("mode", "PERMISSIVE") \
                    .option("columnNameOfCorruptRecord", CORRUPT).json(path)
-        if doc.columns and CORRUPT not in doc.columns:
+        good = lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        n_good = good.count() if good.columns else 0
+        # a multi-line document parses as a whole; NDJSON with junk lines parses only
+        # its first object that way, so the document must explain at least as many records
+        if doc.columns and CORRUPT not in doc.columns and doc.count() >= max(n_good, 1):
             records = doc
         else:
-            good = lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-            if not good.columns or good.limit(1).count() == 0:
+            if n_good == 0:
                 raise ValueError(f"{os.path.basename(path)} is not valid JSON or newline-delimited JSON")
             records = good
     if records.limit(2).count() == 1:
