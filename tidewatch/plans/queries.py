@@ -419,3 +419,10 @@ REGISTRY.update({
     "failure_indicator": (q_failure_indicator, O.FAILURE_INDICATOR),
     "normalize_timestamp": (q_normalize_timestamp, O.NORMALIZE_TIMESTAMP),
 })
+
+
+def q_spray_targets(spark, sf):
+    return det.spray_targets(_sec(spark, sf), ORDER)
+
+
+REGISTRY["spray_targets"] = (q_spray_targets, None)
