@@ -197,30 +197,28 @@ def isolation_forest_scores(z: DataFrame) -> DataFrame:
             s = np.power(2.0, -(total / N_TREES) / c_psi)
             yield pd.DataFrame({"source_ip": pdf["source_ip"], "raw": s})
 
-    raw = zc.mapInPandas(score, "source_ip string, raw double")
+    raw = zc.mapInPandas(score, "source_ip string, raw double").persist()   # scored once, read twice
     return minmax(raw, "raw", "anomaly_score")
 
 
-def minmax(df: DataFrame, col: str, out: str, digits: int = 4) -> DataFrame:
-    """(x - min) / (max - min) over the whole column; all equal -> 0; rounded."""
-    r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).collect()[0]
+def minmax(df: DataFrame, col: str, out: str, digits: int = 4, min_rows: int = 0) -> DataFrame:
+    """(x - min) / (max - min) over the whole column; all equal (or fewer than
+    ``min_rows`` rows) -> 0; rounded. One small aggregate read on the driver."""
+    r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(F.lit(1)).alias("n")).collect()[0]
     lo, hi = r["lo"], r["hi"]
-    if lo is None or hi is None or not hi > lo:
+    if r["n"] < min_rows or lo is None or hi is None or not hi > lo:
         return df.select("source_ip", F.lit(0.0).alias(out))
     return df.select("source_ip", rnd((F.col(col) - F.lit(lo)) / F.lit(hi - lo), digits).alias(out))
 
 
 def zscore_scores(z: DataFrame) -> DataFrame:
     """Deterministic score: mean |z| (z rounded to 6 digits), min-max normalised."""
-    n = z.count()
-    if n < MIN_IPS:
-        return z.select("source_ip", F.lit(0.0).alias("anomaly_score"))
     s = None
     for f in FEATURE_NAMES:
         a = F.abs(rnd(F.col(f"z_{f}"), 6))
         s = a if s is None else s + a
     return minmax(z.select("source_ip", (s / F.lit(float(len(FEATURE_NAMES)))).alias("raw")), "raw",
-                  "anomaly_score")
+                  "anomaly_score", min_rows=MIN_IPS)
 
 
 def anomaly_scores(df: DataFrame, method: str = "forest") -> DataFrame:

@@ -71,9 +71,14 @@ def geo_lookup(df: DataFrame, ip_col: str, ranges: DataFrame | None = None, pref
     """Add ``country, country_code, city, lat, lon`` for ``ip_col`` (longest prefix wins;
     invalid / IPv6 / unmatched -> Unknown, XX, Unknown, null, null)."""
     spark = df.sparkSession
-    ranges = ranges if ranges is not None else geo_ranges(spark)
-    lengths = sorted({r[0] for r in ranges.select("prefix_len").distinct().collect()}, reverse=True)
-    small = ranges.count() <= BROADCAST_MAX_ROWS
+    if ranges is None:          # the bundled table: its prefix lengths and size are known here
+        ranges = geo_ranges(spark)
+        lengths = sorted({int(c.split("/")[1]) for c in pd.read_csv(io.StringIO(GEO_RANGES_CSV))["cidr"]},
+                         reverse=True)
+        small = True
+    else:
+        lengths = sorted({r[0] for r in ranges.select("prefix_len").distinct().collect()}, reverse=True)
+        small = ranges.count() <= BROADCAST_MAX_ROWS
     ipl = "_ip_long"
     out = df.withColumn(ipl, ipv4_to_long(F.col(ip_col)))
     hits = []

@@ -471,3 +471,60 @@ NORMALIZE_TIMESTAMP = ctes() + """
 select event_id, try_cast(cast(timestamp as varchar) as timestamp) as ts_iso,
   try_strptime(strftime(timestamp, '%m/%d/%Y %I:%M:%S %p'), '%m/%d/%Y %I:%M:%S %p') as ts_us
 from sec"""
+
+
+# ------------------------------------------------------------------ ontology / profiling / normalisation
+from ..functions.timeparse import DATE_SHAPE  # noqa: E402
+from ..operators.ontology import CONCEPTS  # noqa: E402
+from ..operators.profile import INTEGER_TEXT, NUMBER_TEXT as PROFILE_NUMBER  # noqa: E402
+
+ONTOLOGY = "select * from (values " + ", ".join(
+    f"({lit(k)}, {i}, {lit(d)})" for i, (k, d, _, _) in enumerate(CONCEPTS)) + \
+    ") as t(key, concept_index, expected_dtype)"
+
+SEC_COLUMNS = ["source_ip", "destination_ip", "timestamp", "username", "event_type", "failed_attempts", "port",
+               "protocol", "request_path", "status_code", "payload_size", "device_id", "props"]
+
+
+def _profile_sec_sql() -> str:
+    long = " union all ".join(
+        f"select '{c}' as column_name, {i} as col_index, event_id as row_id, cast({c} as varchar) as value from head"
+        for i, c in enumerate(SEC_COLUMNS))
+    num = f"case when regexp_full_match(value, '{PROFILE_NUMBER.lstrip('^').rstrip('$')}') " \
+          "then try_cast(trim(value) as double) end"
+    return ctes("head as (select * from sec order by event_id limit 1000)", f"lv as ({long})",
+                """nn as (select *, row_number() over (partition by column_name order by row_id) as rn
+   from lv where value is not null)""",
+                f"""st as (select column_name, count(*) as n, count(distinct value) as nd,
+   avg(case when rn <= 200 then (regexp_full_match(value, '{IPV4_SHAPE_SQL}'))::int::double end) as ip_share,
+   bool_and(({num}) is not null) as all_num,
+   avg(regexp_full_match(value, '{INTEGER_TEXT.lstrip('^').rstrip('$')}')::int::double) as int_share,
+   bool_and(case when rn <= 50 then regexp_matches(value, '{DATE_SHAPE}')
+                                   and try_cast(value as timestamp) is not null end) as all_ts
+   from nn group by column_name)""",
+                "cols as (select distinct column_name, col_index from lv)") + """
+select c.column_name, c.col_index, coalesce(n, 0) as n_nonnull, coalesce(nd, 0) as n_distinct,
+  case when coalesce(n, 0) = 0 then 'unknown'
+       when ip_share > 0.8 then 'ip'
+       when all_num then case when int_share > 0.8 then 'integer' else 'float' end
+       when all_ts then 'datetime'
+       when nd / n < 0.05 and nd <= 20 then 'categorical'
+       else 'string' end as inferred_dtype
+from cols c left join st using (column_name)"""
+
+
+IPV4_SHAPE_SQL = r"\d{1,3}(\.\d{1,3}){3}"
+PROFILE_SEC = _profile_sec_sql()
+
+_TXT = ", ".join(f"cast({c} as varchar) as {c}" for c in ["event_id"] + SEC_COLUMNS)
+NORMALIZE_PROJECT = ctes(f"raw as (select {_TXT} from sec)") + f"""
+select source_ip, destination_ip, try_cast(timestamp as timestamp) as timestamp, username, event_type,
+  {_num('failed_attempts')} as failed_attempts, {_num('port')} as port, protocol, request_path,
+  {_num('status_code')} as status_code, {_num('payload_size')} as payload_size, device_id,
+  cast(null as varchar) as source_location,
+  to_json(struct_pack(event_id := event_id, props := props)) as extra_fields
+from raw"""
+
+FAILURE_FROM_EVENT_TYPE = ctes() + f"""
+select event_id, (case when regexp_matches(event_type, '(?i)({FAILURE_PATTERN})') then 1 else 0 end)::double
+  as failed_attempts from sec"""

@@ -15,7 +15,7 @@ from ..functions.rules import is_suspicious_path
 from ..operators import detect as det
 from ..operators.windows import densest_window, rows_in_window
 from ..session import apply_engine_conf
-from ..sources.fixture import sec_view
+from ..sources.fixture import sec_table
 from . import oracle as O
 
 ORDER = "event_id"   # row order of the fixture
@@ -23,7 +23,7 @@ ORDER = "event_id"   # row order of the fixture
 
 def _sec(spark: SparkSession, sf: str) -> DataFrame:
     apply_engine_conf(spark)
-    return sec_view(spark, sf)
+    return sec_table(spark, sf)
 
 
 def _common(df: DataFrame) -> list:
@@ -426,3 +426,47 @@ def q_spray_targets(spark, sf):
 
 
 REGISTRY["spray_targets"] = (q_spray_targets, None)
+
+
+# ------------------------------------------------------------------ ontology / profiling / normalisation (sql)
+from ..operators.normalize import to_canonical  # noqa: E402
+from ..operators.profile import long_values  # noqa: E402
+from .oracle import SEC_COLUMNS  # noqa: E402
+
+
+def q_profile_sec(spark, sf):
+    """P-1 .. P-9 on the security log: head sample, non-null / distinct counts, inferred dtype."""
+    sec = _sec(spark, sf).withColumnRenamed("event_id", "row_id")
+    p = profile([("sec", sec)])
+    lv = long_values([("sec", sec)]).where(F.col("value").isNotNull())
+    counts = lv.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_nonnull"),
+                                           F.countDistinct("value").alias("n_distinct"))
+    return (p.join(counts, "column_name", "left")
+             .select("column_name", "col_index", F.coalesce("n_nonnull", F.lit(0)).alias("n_nonnull"),
+                     F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "inferred_dtype"))
+
+
+def _sec_as_raw(spark, sf):
+    s = _sec(spark, sf)
+    return s.select(*[F.col(c).cast("string").alias(c) for c in ["event_id"] + SEC_COLUMNS])
+
+
+def q_normalize_project(spark, sf):
+    raw = _sec_as_raw(spark, sf)
+    pairs = [("event_id", None)] + [(c, None if c == "props" else c) for c in SEC_COLUMNS]
+    return to_canonical(raw, pairs)
+
+
+def q_failure_from_event_type(spark, sf):
+    raw = _sec_as_raw(spark, sf)
+    pairs = [("event_id", None)] + [(c, None if c in ("props", "failed_attempts") else c) for c in SEC_COLUMNS]
+    return to_canonical(raw, pairs, keep=["event_id"]).select(F.col("event_id").cast("long").alias("event_id"),
+                                                               "failed_attempts")
+
+
+REGISTRY["ontology"] = (q_ontology, O.ONTOLOGY)
+REGISTRY.update({
+    "profile_sec": (q_profile_sec, O.PROFILE_SEC),
+    "normalize_project": (q_normalize_project, O.NORMALIZE_PROJECT),
+    "failure_from_event_type": (q_failure_from_event_type, O.FAILURE_FROM_EVENT_TYPE),
+})
