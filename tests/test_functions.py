@@ -57,3 +57,14 @@ def test_rnd_agrees_with_duckdb(spark):
         con.executemany("insert into t values (?, ?)", list(enumerate(vals)))
         want = [r[0] for r in con.execute(f"select round(x * 1e{d}) / 1e{d} from t order by i").fetchall()]
         assert got == want
+
+
+def test_fixed_text_matches_python(spark):
+    from tidewatch.functions.numfmt import fixed_text
+    rng = random.Random(13)
+    vals = [2.675, 0.125, 1.005, -0.125, 2.5, 0.5, -2.675, 1e-9, 123456.785, 0.0]
+    vals += [rng.uniform(-1000, 1000) for _ in range(300)] + [round(rng.uniform(0, 10), 3) for _ in range(300)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, x double")
+    for d in (0, 1, 2):
+        got = [r[0] for r in df.orderBy("i").select(fixed_text(F.col("x"), d)).collect()]
+        assert got == [f"{v:.{d}f}" for v in vals]

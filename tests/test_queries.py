@@ -13,7 +13,8 @@ from tidewatch.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
 CHECKED = ["brute_force", "credential_spray", "port_scan", "endpoint_probe", "densest_window",
-           "ip_features", "risk_scores", "explain_evidence", "timeline", "geo_join", "failure_indicator"]
+           "ip_features", "risk_scores", "explain_evidence", "timeline", "geo_join", "failure_indicator",
+           "profile_sec_descriptor", "match_scores_sec", "normalize_project", "tfidf_documents"]
 
 
 def _norm(v):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ipv4 import IPV4_SHAPE
+from ..functions.numfmt import fixed_text
 from ..functions.timeparse import parse_ts
 
 # ---- fixed values ---------------------------------------------------------------
@@ -137,7 +138,7 @@ def profile(datasets: Iterable[tuple[str, DataFrame]], sample_rows: int | None =
     shape = (F.when(F.col("inferred_dtype") == "unknown", F.lit("column is entirely empty"))
               .when(F.col("inferred_dtype").isin("integer", "float"),
                     F.concat(F.lit("numeric values ranging from "), fmt_g(F.col("vmin")), F.lit(" to "),
-                             fmt_g(F.col("vmax")), F.lit(", mean "), F.format_string("%.2f", F.col("vmean"))))
+                             fmt_g(F.col("vmax")), F.lit(", mean "), fixed_text(F.col("vmean"), 2)))
               .when(F.col("inferred_dtype") == "categorical",
                     F.concat(F.lit("categorical values, most common: "), F.array_join("top_values", ", ")))
               .when(F.col("inferred_dtype") == "ip", F.lit("values formatted as dotted-decimal IPv4 addresses"))

@@ -528,3 +528,89 @@ from raw"""
 FAILURE_FROM_EVENT_TYPE = ctes() + f"""
 select event_id, (case when regexp_matches(event_type, '(?i)({FAILURE_PATTERN})') then 1 else 0 end)::double
   as failed_attempts from sec"""
+
+
+# ------------------------------------------------------------------ descriptors and match scores of `sec`
+from ..operators.ontology import DTYPE_COMPATIBILITY  # noqa: E402
+
+
+def _sec_profile_ctes() -> list[str]:
+    long = " union all ".join(
+        f"select '{c}' as column_name, {i} as col_index, event_id as row_id, cast({c} as varchar) as value from head"
+        for i, c in enumerate(SEC_COLUMNS))
+    num = f"case when regexp_full_match(value, '{PROFILE_NUMBER.lstrip('^').rstrip('$')}') " \
+          "then try_cast(trim(value) as double) end"
+    return [
+        "head as (select * from sec order by event_id limit 1000)", f"lv as ({long})",
+        """nn as (select *, row_number() over (partition by column_name order by row_id) as rn
+   from lv where value is not null)""",
+        f"""st as (select column_name, count(*) as n, count(distinct value) as nd,
+   avg(case when rn <= 200 then (regexp_full_match(value, '{IPV4_SHAPE_SQL}'))::int::double end) as ip_share,
+   bool_and(({num}) is not null) as all_num,
+   avg(regexp_full_match(value, '{INTEGER_TEXT.lstrip('^').rstrip('$')}')::int::double) as int_share,
+   bool_and(case when rn <= 50 then regexp_matches(value, '{DATE_SHAPE}')
+                                   and try_cast(value as timestamp) is not null end) as all_ts,
+   min({num}) as vmin, max({num}) as vmax, avg({num}) as vmean
+   from nn group by column_name)""",
+        "cols as (select distinct column_name, col_index from lv)",
+        """fr as (select column_name, value, min(row_id) as first_row, count(*) as freq from nn group by all)""",
+        """rk as (select *, row_number() over (partition by column_name order by first_row) as r_first,
+   row_number() over (partition by column_name order by freq desc, first_row) as r_freq from fr)""",
+        """samp as (select column_name,
+   string_agg(value, ', ' order by r_first) filter (where r_first <= 5) as samples,
+   string_agg(value, ', ' order by r_freq) filter (where r_freq <= 5) as tops from rk group by column_name)""",
+        """dt as (select c.column_name, c.col_index, st.*, samp.samples, samp.tops,
+   case when coalesce(n, 0) = 0 then 'unknown'
+        when ip_share > 0.8 then 'ip'
+        when all_num then case when int_share > 0.8 then 'integer' else 'float' end
+        when all_ts then 'datetime'
+        when nd / n < 0.05 and nd <= 20 then 'categorical'
+        else 'string' end as inferred_dtype
+   from cols c left join st using (column_name) left join samp using (column_name))""",
+        """descr as (select column_name, col_index, inferred_dtype,
+   'Column named ''' || column_name || ''' (read as ''' || trim(regexp_replace(column_name, '[_\\-.]+', ' ', 'g'))
+   || '''). Inferred type: ' || inferred_dtype || '. ' ||
+   case inferred_dtype when 'unknown' then 'column is entirely empty'
+     when 'integer' then 'numeric values ranging from ' || printf('%g', vmin) || ' to ' || printf('%g', vmax)
+                         || ', mean ' || printf('%.2f', vmean)
+     when 'float' then 'numeric values ranging from ' || printf('%g', vmin) || ' to ' || printf('%g', vmax)
+                         || ', mean ' || printf('%.2f', vmean)
+     when 'categorical' then 'categorical values, most common: ' || tops
+     when 'ip' then 'values formatted as dotted-decimal IPv4 addresses'
+     when 'datetime' then 'values formatted as timestamps or dates'
+     else 'text values, examples: ' || samples end || '.' as descriptor
+   from dt)"""]
+
+
+PROFILE_SEC_DESCRIPTOR = ctes(*_sec_profile_ctes()) + "select column_name, inferred_dtype, descriptor from descr"
+
+_ONTO_VALUES = "(values " + ", ".join(
+    f"({lit(k)}, {i}, {lit(d)}, [{', '.join(lit(h) for h in hints)}], {lit(t)})"
+    for i, (k, d, hints, t) in enumerate(CONCEPTS)) + \
+    ") as onto(concept, concept_index, expected_dtype, hints, description)"
+_COMPAT = " ".join(f"when {lit(k)} then [{', '.join(lit(v) for v in vs)}]" for k, vs in DTYPE_COMPATIBILITY.items())
+
+
+def _match_sec_ctes() -> list[str]:
+    return [*_sec_profile_ctes(),
+            f"onto as (select * from {_ONTO_VALUES})",
+            """docs as (select 'concept:' || concept as doc, description as text from onto
+   union all select column_name, descriptor from descr)""",
+            *tfidf_sql("docs", "doc", "text"),
+            """sim as (select d.doc as column_name, substr(c.doc, 9) as concept, sum(d.w * c.w) as sim
+   from vec d join vec c on d.term = c.term
+   where d.doc not like 'concept:%' and c.doc like 'concept:%' group by all)""",
+            f"""grid as (select d.column_name, d.col_index, d.inferred_dtype, o.concept, o.concept_index,
+   coalesce(s.sim, 0.0) as sim,
+   coalesce(s.sim, 0.0)
+   + case when len(list_filter(o.hints, lambda h: contains(lower(d.column_name), h))) > 0 then 0.08 else 0.0 end
+   + case when (case d.inferred_dtype {_COMPAT} end) is null then 0.0
+          when list_contains(case d.inferred_dtype {_COMPAT} end, o.expected_dtype) then 0.05 else -0.10 end
+     as raw
+   from descr d, onto o left join sim s on s.column_name = d.column_name and s.concept = o.concept)""",
+            """soft as (select *, exp((raw - max(raw) over (partition by column_name)) / 0.05) as e from grid)""",
+            "conf as (select *, e / sum(e) over (partition by column_name) as confidence from soft)"]
+
+
+MATCH_SCORES_SEC = ctes(*_match_sec_ctes()) + f"""
+select column_name, concept, {rnd('sim', 9)} as sim, {rnd('confidence', 6)} as confidence from conf"""

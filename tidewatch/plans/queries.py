@@ -470,3 +470,29 @@ REGISTRY.update({
     "normalize_project": (q_normalize_project, O.NORMALIZE_PROJECT),
     "failure_from_event_type": (q_failure_from_event_type, O.FAILURE_FROM_EVENT_TYPE),
 })
+
+
+def _sec_profile(spark, sf):
+    return profile([("sec", _sec(spark, sf).withColumnRenamed("event_id", "row_id"))])
+
+
+def q_profile_sec_descriptor(spark, sf):
+    return _sec_profile(spark, sf).select("column_name", "inferred_dtype", "descriptor")
+
+
+def q_match_scores_sec(spark, sf):
+    from ..functions.numfmt import rnd
+    s = M.match_scores(_sec_profile(spark, sf))
+    return s.select("column_name", "concept", rnd(F.col("sim"), 9).alias("sim"),
+                    rnd(F.col("confidence"), 6).alias("confidence"))
+
+
+def q_match_assign_sec(spark, sf):
+    return M.map_columns(_sec_profile(spark, sf))
+
+
+REGISTRY.update({
+    "profile_sec_descriptor": (q_profile_sec_descriptor, O.PROFILE_SEC_DESCRIPTOR),
+    "match_scores_sec": (q_match_scores_sec, O.MATCH_SCORES_SEC),
+    "match_assign_sec": (q_match_assign_sec, None),
+})
