@@ -27,17 +27,32 @@ def document_tfidf_summary(docs: DataFrame, doc_col: str = "doc_id", text_col: s
         F.max(rnd(F.col("w"), 6)).alias("top_weight"))
 
 
+BROADCAST_MAX_ROWS = 2_000_000     # concept cells (labels x dim) broadcast below this
+
+
 def embedding_concept_match(emb: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                            label_col: str = "label", temperature: float = EMBEDDING_TEMPERATURE) -> DataFrame:
+                            label_col: str = "label", temperature: float = EMBEDDING_TEMPERATURE,
+                            salt: int = 64) -> DataFrame:
     """``id, best_label, cosine, confidence`` of every vector against the label centroids."""
     cells = emb.select(id_col, label_col, F.posexplode(vec_col).alias("i", "x")) \
                .withColumn("x", F.col("x").cast("double"))
     cent = cells.groupBy(label_col, "i").agg(F.avg("x").alias("c"))
     cnorm = cent.groupBy(label_col).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("cn"))
     vnorm = cells.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("vn"))
-    dots = (cells.select(id_col, "i", "x")
-                 .join(cent.withColumnRenamed(label_col, "concept"), "i")
-                 .groupBy(id_col, "concept").agg(F.sum(F.col("x") * F.col("c")).alias("dot")))
+    # The join key is the dimension index, which has only ``dim`` distinct values, so a
+    # shuffled join would put every vector of one dimension into one task. The concept
+    # side (labels x dim rows) is broadcast after a size check; past the bound, both
+    # sides are salted so each dimension is spread over ``salt`` tasks.
+    cent = cent.withColumnRenamed(label_col, "concept").persist()
+    n_cent = cent.count()
+    cells_i = cells.select(id_col, "i", "x")
+    if n_cent <= BROADCAST_MAX_ROWS:
+        joined = cells_i.join(F.broadcast(cent), "i")
+    else:
+        salted_cent = cent.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        joined = (cells_i.withColumn("_s", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salt)))
+                  .join(salted_cent, ["i", "_s"]))
+    dots = joined.groupBy(id_col, "concept").agg(F.sum(F.col("x") * F.col("c")).alias("dot"))
     cos = (dots.join(vnorm, id_col).join(cnorm.withColumnRenamed(label_col, "concept"), "concept")
                .withColumn("cos", rnd(F.col("dot") / (F.col("vn") * F.col("cn")), 9)))
     w = Window.partitionBy(id_col)
