@@ -23,6 +23,12 @@ class Analysis:
     detections: DataFrame     # DETECTION_COLUMNS
     scores: DataFrame         # source_ip, top_features, anomaly_score
     alerts: DataFrame         # risk profile + explanation + geo
+    cached: tuple = ()        # intermediates persisted while the analysis is in use
+
+    def release(self) -> None:
+        """Unpersist the cached intermediates (after the outputs have been written)."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def analyse(events: DataFrame, order_col: str = "row_id", mapping_confidence: float = 1.0,
@@ -34,7 +40,7 @@ def analyse(events: DataFrame, order_col: str = "row_id", mapping_confidence: fl
     detections = rules.unionByName(unknown).persist()
     profiles = risk_profiles(events, detections, scores, mapping_confidence)
     alerts = geo_lookup(explain(profiles, detections), "source_ip")
-    return Analysis(detections, scores, alerts)
+    return Analysis(detections, scores, alerts, (rules, scores, detections))
 
 
 def flat_alerts(alerts: DataFrame) -> DataFrame:

@@ -66,6 +66,7 @@ def analyse_file(spark: SparkSession, path: str, root: str, dataset_id: str,
     _write(result.detections.select("*", F.to_json("evidence").alias("evidence_json"), tag).drop("evidence"),
            det_path)
     _write(result.alerts.select("*", tag), al_path)
+    result.release()
     summary = {r["column_name"]: {"mapped_field": r["mapped_field"], "confidence": r["confidence"],
                                   "source": r["source"], "inferred_dtype": r["inferred_dtype"],
                                   "sample_values": list(r["sample_values"])}
