@@ -370,8 +370,17 @@ def q_mapping_summary(spark, sf):
 
 
 def q_ontology(spark, sf):
-    from ..operators.ontology import ontology
-    return ontology(spark).select("key", "concept_index", "expected_dtype")
+    """M-15: the ontology listing with its coverage in the security log - for every
+    concept, how many events carry a value for that canonical field (whole table)."""
+    from ..operators.ontology import KEYS, ontology
+    s = _sec(spark, sf)
+    present = [k for k in KEYS if k in s.columns]
+    counts = s.agg(*[F.count(k).alias(k) for k in present])
+    long = counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("events_with_value"))
+                                            for k in present])))
+    return (ontology(spark).join(long, "key", "left")
+            .select("key", "concept_index", "expected_dtype",
+                    F.coalesce("events_with_value", F.lit(0)).alias("events_with_value")))
 
 
 def q_tfidf_documents(spark, sf):
