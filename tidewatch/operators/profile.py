@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..functions.ipv4 import IPV4_SHAPE
 from ..functions.numfmt import fixed_text
 from ..functions.timeparse import parse_ts
+from ..session import cut_lineage
 
 # ---- fixed values ---------------------------------------------------------------
 SAMPLE_ROWS = 1000
@@ -96,7 +97,9 @@ def fmt_g(x: Column) -> Column:
 
 def profile(datasets: Iterable[tuple[str, DataFrame]], sample_rows: int | None = SAMPLE_ROWS) -> DataFrame:
     """One row per (dataset, column): inferred dtype, first 5 distinct samples, descriptor."""
-    lv = long_values(datasets, sample_rows)
+    # the long sample is small (<= sample_rows x columns per dataset) and read by three
+    # branches below: checkpoint it so they plan against a leaf
+    lv = cut_lineage(long_values(datasets, sample_rows))
     key = ["dataset_id", "column_name"]
     nn = lv.where(F.col("value").isNotNull())
     w = Window.partitionBy(*key).orderBy("row_id")

@@ -336,7 +336,7 @@ def _datasets(spark, sf):
 
 def _profiles(spark, sf):
     apply_engine_conf(spark)
-    return profile(_datasets(spark, sf))
+    return profile(_datasets(spark, sf)).persist()     # read by several branches of matching
 
 
 def q_profile_dtype(spark, sf):
@@ -364,7 +364,7 @@ def q_mapping_review(spark, sf):
 
 
 def q_mapping_summary(spark, sf):
-    p = _profiles(spark, sf).persist()
+    p = _profiles(spark, sf)
     return mapping_summary(M.map_columns(p), p).withColumn("sample_values",
                                                            F.array_join("sample_values", " | "))
 
@@ -482,7 +482,7 @@ REGISTRY.update({
 
 
 def _sec_profile(spark, sf):
-    return profile([("sec", _sec(spark, sf).withColumnRenamed("event_id", "row_id"))])
+    return profile([("sec", _sec(spark, sf).withColumnRenamed("event_id", "row_id"))]).persist()
 
 
 def q_profile_sec_descriptor(spark, sf):

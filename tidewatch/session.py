@@ -66,3 +66,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="tidewatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the session's checkpoint folder (survives executor loss)
+    for a small intermediate that several branches read: later plans start from a
+    leaf instead of re-planning (and re-running) its whole lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
