@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, secrets
+from . import bpe, packing, quality, secrets, topk
 from .common import read_table
 
 #: The tokenizer file of the token operators.
@@ -18,6 +18,10 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents")
 
 
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf))
+
+
 def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_digests(_documents(spark, sf), public_tokenizers.path(TOKENIZER))
 
@@ -26,13 +30,19 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_documents(spark, sf), public_tokenizers.path(TOKENIZER))
 
 
+def op7_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf, "embeddings"), "vec_id % 50 = 0")
+
+
 def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf))
 
 
 #: name -> (query, SQL or None)
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_quality": (op1_quality, quality.SQL),
     "op2_bpe": (op2_bpe, None),
     "op6_packing": (op6_packing, None),
+    "op7_topk": (op7_topk, topk.SQL),
     "op8_secrets": (op8_secrets, None),
 }
