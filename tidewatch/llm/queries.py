@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, secrets, topk
+from . import bpe, coder, langid, licenses, packing, quality, secrets, topk
 from .common import read_table
 
 #: The tokenizer file of the token operators.
@@ -26,6 +26,14 @@ def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_digests(_documents(spark, sf), public_tokenizers.path(TOKENIZER))
 
 
+def op3_coder(spark: SparkSession, sf: str) -> DataFrame:
+    return coder.read(coder.write(_documents(spark, sf), public_tokenizers.path(TOKENIZER)))
+
+
+def op4_langid(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf))
+
+
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_documents(spark, sf), public_tokenizers.path(TOKENIZER))
 
@@ -38,11 +46,18 @@ def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf))
 
 
+def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf))
+
+
 #: name -> (query, SQL or None)
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_quality": (op1_quality, quality.SQL),
     "op2_bpe": (op2_bpe, None),
+    "op3_coder": (op3_coder, None),
+    "op4_langid": (op4_langid, None),
     "op6_packing": (op6_packing, None),
     "op7_topk": (op7_topk, topk.SQL),
     "op8_secrets": (op8_secrets, None),
+    "op9_licenses": (op9_licenses, None),
 }
