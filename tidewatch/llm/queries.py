@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, coder, langid, licenses, packing, quality, secrets, topk
+from . import bpe, coder, langid, licenses, minhash, packing, quality, secrets, topk
 from .common import read_table
 
 #: The tokenizer file of the token operators.
@@ -34,6 +34,10 @@ def op4_langid(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(_documents(spark, sf))
 
 
+def op5_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.classes(_documents(spark, sf))
+
+
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_documents(spark, sf), public_tokenizers.path(TOKENIZER))
 
@@ -56,6 +60,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_bpe": (op2_bpe, None),
     "op3_coder": (op3_coder, None),
     "op4_langid": (op4_langid, None),
+    "op5_minhash": (op5_minhash, None),
     "op6_packing": (op6_packing, None),
     "op7_topk": (op7_topk, topk.SQL),
     "op8_secrets": (op8_secrets, None),
