@@ -111,6 +111,14 @@ def judge(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     )
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with its columns; rows are judged by doc_id and host."""
+    gone = judge(docs).where(~F.col("kept")).select("doc_id", "source").distinct()
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("source").alias("_host"))
+    same = docs["doc_id"].eqNullSafe(gone["_id"]) & docs["source"].eqNullSafe(gone["_host"])
+    return docs.join(gone, same, "left_anti")
+
+
 def _sql() -> str:
     rules = ", ".join(f"({c}) as r_{r}" for r, c in RULES.items())
     fails = ", ".join(f"count(*) filter (r_{r}) as f_{r}" for r in RULES)

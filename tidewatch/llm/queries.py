@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, coder, langid, licenses, minhash, packing, quality, secrets, topk
+from . import bpe, coder, langid, licenses, minhash, packing, quality, secrets, substrings, topk
 from .common import read_table
 
 #: The tokenizer file of the token operators.
@@ -54,6 +54,10 @@ def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf))
 
 
+def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.passages(_documents(spark, sf))
+
+
 #: name -> (query, SQL or None)
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_quality": (op1_quality, quality.SQL),
@@ -65,4 +69,5 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op7_topk": (op7_topk, topk.SQL),
     "op8_secrets": (op8_secrets, None),
     "op9_licenses": (op9_licenses, None),
+    "op10_substrings": (op10_substrings, None),
 }
