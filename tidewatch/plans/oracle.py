@@ -475,16 +475,16 @@ from sec"""
 
 # ------------------------------------------------------------------ ontology / profiling / normalisation
 from ..functions.timeparse import DATE_SHAPE  # noqa: E402
-from ..operators.ontology import CONCEPTS  # noqa: E402
+from ..operators.ontology import CONCEPTS, DISPLAY_NAMES  # noqa: E402
 from ..operators.profile import INTEGER_TEXT, NUMBER_TEXT as PROFILE_NUMBER  # noqa: E402
 
 _SEC_FIELDS = ["source_ip", "destination_ip", "timestamp", "username", "event_type", "failed_attempts", "port",
                "protocol", "request_path", "status_code", "payload_size", "device_id"]
 ONTOLOGY = ctes("cov as (" + " union all ".join(
     f"select '{k}' as key, count({k}) as n from sec" for k in _SEC_FIELDS) + ")") + \
-    "select t.key, concept_index, expected_dtype, coalesce(cov.n, 0) as events_with_value from (values " + \
-    ", ".join(f"({lit(k)}, {i}, {lit(d)})" for i, (k, d, _, _) in enumerate(CONCEPTS)) + \
-    ") as t(key, concept_index, expected_dtype) left join cov using (key)"
+    "select t.key, concept_index, expected_dtype, display_name, description, coalesce(cov.n, 0) as events_with_value from (values " + \
+    ", ".join(f"({lit(k)}, {i}, {lit(d)}, {lit(DISPLAY_NAMES[k])}, {lit(t)})" for i, (k, d, _, t) in enumerate(CONCEPTS)) + \
+    ") as t(key, concept_index, expected_dtype, display_name, description) left join cov using (key)"
 
 SEC_COLUMNS = ["source_ip", "destination_ip", "timestamp", "username", "event_type", "failed_attempts", "port",
                "protocol", "request_path", "status_code", "payload_size", "device_id", "props"]

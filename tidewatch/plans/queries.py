@@ -379,7 +379,7 @@ def q_ontology(spark, sf):
     long = counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("events_with_value"))
                                             for k in present])))
     return (ontology(spark).join(long, "key", "left")
-            .select("key", "concept_index", "expected_dtype",
+            .select("key", "concept_index", "expected_dtype", "display_name", "description",
                     F.coalesce("events_with_value", F.lit(0)).alias("events_with_value")))
 
 
