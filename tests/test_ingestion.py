@@ -125,3 +125,70 @@ def test_json_shapes(spark, scratch):
         read_log(spark, f"{scratch}/e.json")
     with pytest.raises(UnsupportedFileTypeError):
         read_log(spark, f"{scratch}/x.xml")
+
+
+def text(path, body, mode="w"):
+    with open(path, mode) as f:
+        f.write(body)
+    return path
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_csv_quotes_newlines_and_widths(spark, scratch):
+    p = text(f"{scratch}/q.csv", 'a,b\n1,"he said ""hi"", ok"\n2,"x\ny"\n3,z,,w\n4,z,\n5\n')
+    assert rows(read_log(spark, p)) == [("1", 'he said "hi", ok'), ("2", "x\ny"), ("5", None)]
+
+
+def test_encoding_is_decided_per_file(spark, scratch):
+    import os
+    os.makedirs(f"{scratch}/d")
+    text(f"{scratch}/d/u.csv", "a\n\u00e9\ufffd\n".encode(), "wb")
+    text(f"{scratch}/d/l.csv", "a\n\u00e8\n".encode("latin-1"), "wb")
+    assert sorted(rows(read_log(spark, f"{scratch}/d", "csv"))) == [("\u00e8",), ("\u00e9\ufffd",)]
+
+
+def test_wrapped_document_with_an_object_per_line(spark, scratch):
+    p = text(f"{scratch}/w.json", '{"meta":[\n{"k":1},\n{"k":2}\n],"records":[\n{"ip":"a","s":1},\n{"ip":"b","s":2},\n{"ip":"c","s":3}\n]}')
+    df = read_log(spark, p)
+    assert df.columns == ["ip", "s"] and rows(df) == [("a", 1), ("b", 2), ("c", 3)]
+    p = text(f"{scratch}/j.json", '# note {\n{"a":1}\n{"a":2}\n')
+    assert rows(read_log(spark, p)) == [(1,), (2,)]
+
+
+def test_row_order_follows_files(spark, scratch):
+    import os
+    os.makedirs(f"{scratch}/two")
+    text(f"{scratch}/two/a.csv", "a\n1\n")
+    text(f"{scratch}/two/b.csv", "a\n" + "".join(f"{i}\n" for i in range(2, 200)))
+    got = with_row_id(read_log(spark, f"{scratch}/two", "csv")).orderBy("row_id").collect()
+    assert [int(r["a"]) for r in got] == list(range(1, 200))
+
+
+def test_boolean_failures_count(spark, scratch):
+    p = text(f"{scratch}/b.json", '{"failed":true,"ip":"1.2.3.4"}\n{"failed":false,"ip":"1.2.3.5"}\n{"failed":true,"ip":"1.2.3.6"}\n')
+    raw = with_row_id(read_log(spark, p))
+    ev = to_canonical(raw, [("failed", "failed_attempts"), ("ip", "source_ip")], keep=["row_id"])
+    assert [r["failed_attempts"] for r in ev.orderBy("row_id").collect()] == [1.0, 0.0, 1.0]
+    assert {r["column_name"]: r["inferred_dtype"] for r in profile([("b", raw)]).collect()}["failed"] == "float"
+    with pytest.raises(ValueError):
+        to_canonical(raw, [("failed", "failed_attempts"), ("ip", "failed_attempts")])
+
+
+def test_timestamp_layouts(spark):
+    from tidewatch.functions.timeparse import parse_ts
+    want = {"1 Jan 2024 10:00:00": "2024-01-01 10:00:00", "01-02-2024 10:00": "2024-01-02 10:00:00",
+            "Mon, 01 Jan 2024 10:00:00 GMT": "2024-01-01 10:00:00", "20240101T101010": "2024-01-01 10:10:10",
+            "2024-01-01 10:00 PM": "2024-01-01 22:00:00", "Jan 5, 2024": "2024-01-05 00:00:00",
+            "2024-01-01T10:00:00Z": "2024-01-01 10:00:00", "garbage": None, "12:30": None}
+    df = spark.createDataFrame([(k,) for k in want], "x string").select("x", parse_ts(F.col("x")).cast("string").alias("t"))
+    assert {r["x"]: r["t"] for r in df.collect()} == want
+
+
+def test_head_sample_and_whole_table_differ(spark, scratch):
+    p = write_csv(f"{scratch}/h.csv", ["v"], [("red",)] * 1000 + [(f"x{i}",) for i in range(200)])
+    df = with_row_id(read_log(spark, p))
+    assert profile([("h", df)], 1000).first()["inferred_dtype"] == "categorical"
+    assert profile([("h", df)]).first()["inferred_dtype"] == "string"

@@ -10,7 +10,7 @@ drops them at the sink).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.firstk import first_k_distinct
@@ -128,7 +128,7 @@ def credential_spray(df: DataFrame, order_col: str = "row_id", bucket_minutes: i
     # a spray needs at least as many rows as distinct users: exact pre-filter
     win = win.where(F.col("window_count") >= SPRAY_USER_THRESHOLD)
     inside = rows_in_window(failed.select("source_ip", "timestamp", "username", order_col), win,
-                            ["source_ip"], "timestamp", SPRAY_WINDOW_MIN, bucket_minutes).persist()
+                            ["source_ip"], "timestamp", SPRAY_WINDOW_MIN, bucket_minutes)
     stats = inside.groupBy("source_ip", "window_start", "window_end").agg(
         F.countDistinct("username").alias("users"), F.count(F.lit(1)).alias("attempts"))
     stats = stats.withColumn("avg", F.col("attempts") / F.col("users"))
@@ -156,14 +156,16 @@ def spray_targets(df: DataFrame, order_col: str = "row_id", bucket_minutes: int
 
 
 # ---------------------------------------------------------------- D-3 / D-4
-def sequential_ratio(sorted_ports: Column) -> Column:
-    """Share of neighbour gaps <= 3 in a sorted distinct port array; < 2 ports -> 0."""
-    n = F.size(sorted_ports)
-    close = F.aggregate(
-        F.sequence(F.lit(2), F.greatest(n, F.lit(2))), F.lit(0),
-        lambda acc, i: acc + F.when((n >= 2) & (F.element_at(sorted_ports, i) - F.element_at(sorted_ports, i - 1)
-                                                <= SEQUENTIAL_GAP), 1).otherwise(0))
-    return F.when(n < 2, F.lit(0.0)).otherwise(close / (n - 1).cast("double"))
+def port_gaps(ports: DataFrame, group: list[str], port: str) -> DataFrame:
+    """Per group of distinct ports (rows): ``n_ports`` and the share of neighbour gaps <= 3 (< 2 ports: 0).
+
+    The ports of a group stream through a lag; no list of them is built.
+    """
+    before = F.lag(port).over(Window.partitionBy(*group).orderBy(port))
+    g = ports.withColumn("_close", (F.col(port) - before) <= SEQUENTIAL_GAP).groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_ports"), F.count_if("_close").alias("_c"))
+    ratio = F.when(F.col("n_ports") < 2, F.lit(0.0)).otherwise(F.col("_c") / (F.col("n_ports") - 1).cast("double"))
+    return g.select(*group, "n_ports", ratio.alias("sequential_ratio"))
 
 
 def port_scan(df: DataFrame, order_col: str = "row_id", bucket_minutes: int | None = None) -> DataFrame:
@@ -173,12 +175,11 @@ def port_scan(df: DataFrame, order_col: str = "row_id", bucket_minutes: int | No
                         "destination_ip", order_col))
     win = densest_window(scoped, ["source_ip"], "timestamp", PORT_SCAN_WINDOW_MIN, bucket_minutes)
     win = win.where(F.col("window_count") >= PORT_SCAN_THRESHOLD)   # distinct ports <= rows
-    inside = rows_in_window(scoped, win, ["source_ip"], "timestamp", PORT_SCAN_WINDOW_MIN, bucket_minutes).persist()
-    # the distinct ports of a window are bounded by the port space (65 536)
-    stats = inside.groupBy("source_ip", "window_start", "window_end").agg(
-        F.array_sort(F.collect_set("port_i")).alias("ports"), F.count(F.lit(1)).alias("rows"))
-    stats = stats.withColumn("n_ports", F.size("ports")).where(F.col("n_ports") >= PORT_SCAN_THRESHOLD)
-    stats = stats.withColumn("seq", sequential_ratio(F.col("ports")))
+    inside = rows_in_window(scoped, win, ["source_ip"], "timestamp", PORT_SCAN_WINDOW_MIN, bucket_minutes)
+    group = ["source_ip", "window_start", "window_end"]
+    ports = inside.groupBy(*group, "port_i").agg(F.count(F.lit(1)).alias("n"))
+    stats = port_gaps(ports, group, "port_i").join(ports.groupBy(*group).agg(F.sum("n").alias("rows")), group)
+    stats = stats.where(F.col("n_ports") >= PORT_SCAN_THRESHOLD).withColumnRenamed("sequential_ratio", "seq")
     hosts = first_k_distinct(inside, ["source_ip"], "destination_ip", order_col, SAMPLE_LIST_SIZE, "hosts")
     hit = stats.join(hosts, "source_ip", "left")
     n = F.col("n_ports")
@@ -202,7 +203,7 @@ def endpoint_probe(df: DataFrame, order_col: str = "row_id", bucket_minutes: int
     win = densest_window(scoped, ["source_ip"], "timestamp", PROBE_WINDOW_MIN, bucket_minutes)
     min_rows = min(PROBE_PATH_THRESHOLD, PROBE_SUSPICIOUS_THRESHOLD)
     win = win.where(F.col("window_count") >= min_rows)   # either trigger needs this many rows
-    inside = rows_in_window(scoped, win, ["source_ip"], "timestamp", PROBE_WINDOW_MIN, bucket_minutes).persist()
+    inside = rows_in_window(scoped, win, ["source_ip"], "timestamp", PROBE_WINDOW_MIN, bucket_minutes)
     stats = inside.groupBy("source_ip", "window_start", "window_end").agg(
         F.countDistinct("request_path").alias("paths"),
         F.avg(F.when(is_error_status(F.col("status_code")), 1.0).otherwise(0.0)).alias("err"),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numfmt import int_text, rnd
-from .detect import DETECTOR_ORDER
 
 # ---- fixed values: labels, recommendations and texts -----------------------------
 THREAT_LABELS = {
@@ -133,5 +132,3 @@ def explain(profiles: DataFrame, detections: DataFrame) -> DataFrame:
                     rnd(F.col("confidence") * F.lit(100.0), 1).alias("confidence_pct"),
                     reason.alias("reason"), rec.alias("recommendation"))
 
-
-_ = DETECTOR_ORDER

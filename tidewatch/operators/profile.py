@@ -1,29 +1,30 @@
 """Column profiling (P-1 .. P-12): dtype, value shape, samples and a descriptor per column.
 
-Many datasets are profiled at once: each input frame is reduced to its sample
-(the first ``sample_rows`` rows by input order - a bounded take-ordered), cast
-to text and unpivoted to ``(dataset_id, column_name, row_id, value)``; one
-grouped aggregate per (dataset, column) then decides everything. Ranks such as
-"first 200 non-null values" are taken inside a (dataset, column) group of at
-most ``sample_rows`` rows. With ``sample_rows=None`` the whole table is
-profiled and the first-N choices use the salted first-k helper instead.
+Many datasets are profiled at once, over all their rows: every cell is text in
+``(dataset_id, column_name, row_id, value)``, counted per distinct value before
+anything else (map-side), and one grouped aggregate per (dataset, column) then
+decides the dtype. The first-N choices (first 200 and 50 non-null values, first
+5 distinct, 5 most frequent) use the salted first-k helpers, so no task sorts a
+whole column. ``sample_rows`` profiles the first rows only (query
+``profile_head``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.firstk import first_k_rows
 from ..functions.ipv4 import IPV4_SHAPE
 from ..functions.numfmt import fixed_text
 from ..functions.timeparse import parse_ts
 from ..session import cut_lineage
 
 # ---- fixed values ---------------------------------------------------------------
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 1000          # of profile_head
 IP_SAMPLE = 200
 DATETIME_SAMPLE = 50
 SHAPE_SHARE = 0.8
@@ -37,44 +38,34 @@ PROFILE_SCHEMA = "dataset_id string, column_name string, inferred_dtype string,
                  "descriptor string, col_index int"
 
 
-def _as_text(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Every column as text; list/dict cells as JSON. Returns names of nested columns."""
-    nested, cols = [], []
-    for f in df.schema.fields:
-        if f.name == "row_id":
-            continue
-        c = F.col(f"`{f.name}`")
+def _cells(df: DataFrame) -> list[Column]:
+    """(name, index, text, kind) per column; list/dict cells as JSON."""
+    out = []
+    for i, f in enumerate(f for f in df.schema.fields if f.name != "row_id"):
+        c, kind = F.col(f"`{f.name}`"), "plain"
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            nested.append(f.name)
-            cols.append(F.to_json(c).alias(f.name))
+            c, kind = F.to_json(c), "nested"
         elif isinstance(f.dataType, T.BooleanType):
-            cols.append(F.when(c, "True").when(~c, "False").alias(f.name))
-        else:
-            cols.append(c.cast("string").alias(f.name))
-    return df.select("row_id", *cols), nested
+            c, kind = F.when(c, "True").when(~c, "False"), "boolean"
+        out.append(F.struct(F.lit(f.name).alias("column_name"), F.lit(i).alias("col_index"),
+                            c.cast("string").alias("value"), F.lit(kind).alias("kind")))
+    return out
+
 
+def long_values(datasets: Iterable[tuple[str, DataFrame]], sample_rows: int | None = None) -> DataFrame:
+    """P-1 / P-2: ``dataset_id, row_id, column_name, col_index, value, kind``, a row per cell.
 
-def long_values(datasets: Iterable[tuple[str, DataFrame]], sample_rows: int | None = SAMPLE_ROWS) -> DataFrame:
-    """P-1 / P-2: ``dataset_id, column_name, col_index, row_id, value, nested`` for the sample of every dataset."""
+    ``row_id`` is turned into text-free order keys of one type per call: datasets numbered by a long
+    keep it, others (see ``with_row_id``) keep their struct; both kinds can't be mixed in one call.
+    """
     parts = []
     for name, df in datasets:
         if "row_id" not in df.columns:
             df = df.withColumn("row_id", F.monotonically_increasing_id())
         if sample_rows:
             df = df.orderBy("row_id").limit(sample_rows)
-        text, nested = _as_text(df)
-        cols = [c for c in text.columns if c != "row_id"]
-        if not cols:
-            continue
-        idx = {c: i for i, c in enumerate(cols)}
-        renamed = text.select("row_id", *[F.col(f"`{c}`").alias(f"c{idx[c]}") for c in cols])
-        lv = renamed.unpivot(["row_id"], [f"c{i}" for i in range(len(cols))], "_c", "value")
-        names = F.create_map(*[x for c in cols for x in (F.lit(f"c{idx[c]}"), F.lit(c))])
-        lv = lv.select(F.lit(name).alias("dataset_id"), names[F.col("_c")].alias("column_name"),
-                       F.substring("_c", 2, 10).cast("int").alias("col_index"), "row_id", "value",
-                       F.lit(False).alias("nested") if not nested else
-                       F.array_contains(F.array(*[F.lit(n) for n in nested]), names[F.col("_c")]).alias("nested"))
-        parts.append(lv)
+        if cells := _cells(df):
+            parts.append(df.select(F.lit(name).alias("dataset_id"), "row_id", F.inline(F.array(*cells))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -95,28 +86,32 @@ def fmt_g(x: Column) -> Column:
              .otherwise(sci))
 
 
-def profile(datasets: Iterable[tuple[str, DataFrame]], sample_rows: int | None = SAMPLE_ROWS) -> DataFrame:
+def profile(datasets: Iterable[tuple[str, DataFrame]], sample_rows: int | None = None) -> DataFrame:
     """One row per (dataset, column): inferred dtype, first 5 distinct samples, descriptor."""
-    # the long sample is small (<= sample_rows x columns per dataset) and read by three
-    # branches below: checkpoint it so they plan against a leaf
-    lv = cut_lineage(long_values(datasets, sample_rows))
+    lv = long_values(datasets, sample_rows)
     key = ["dataset_id", "column_name"]
-    nn = lv.where(F.col("value").isNotNull())
-    w = Window.partitionBy(*key).orderBy("row_id")
-    nn = nn.withColumn("rn", F.row_number().over(w))
+    # one row per distinct value, with how often and where first; all else is taken from these
+    values = cut_lineage(lv.groupBy(*key, "col_index", "kind", "value").agg(
+        F.count(F.lit(1)).alias("freq"), F.min("row_id").alias("first_row")))
+    nn = values.where(F.col("value").isNotNull())
     trimmed = F.trim("value")
-    num = F.when(trimmed.rlike(NUMBER_TEXT), trimmed.try_cast("double"))
+    num = F.when(F.col("kind") == "boolean", (F.col("value") == "True").cast("double")) \
+           .when(trimmed.rlike(NUMBER_TEXT), trimmed.try_cast("double"))
+    weigh = lambda c: F.sum(F.col("freq") * c) / F.sum("freq")
     stats = nn.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.countDistinct("value").alias("nd"),
-        F.max("nested").alias("nested"),
-        F.avg(F.when(F.col("rn") <= IP_SAMPLE, F.col("value").rlike(IPV4_SHAPE).cast("double"))).alias("ip_share"),
+        F.sum("freq").alias("n"),
+        F.count(F.lit(1)).alias("nd"),
+        F.max(F.col("kind") == "nested").alias("nested"),
         F.bool_and(num.isNotNull()).alias("all_num"),
-        F.avg(F.col("value").rlike(INTEGER_TEXT).cast("double")).alias("int_share"),
-        F.bool_and(F.when(F.col("rn") <= DATETIME_SAMPLE, parse_ts(F.col("value")).isNotNull())).alias("all_ts"),
-        F.min(num).alias("vmin"), F.max(num).alias("vmax"), F.avg(num).alias("vmean"))
-    cols = lv.select(*key, "col_index").distinct()
-    st = cols.join(stats, key, "left")
+        weigh(F.col("value").rlike(INTEGER_TEXT).cast("double")).alias("int_share"),
+        F.min(num).alias("vmin"), F.max(num).alias("vmax"), weigh(num).alias("vmean"))
+    # the first non-null values in input order: among the rows of the values that come first
+    head = first_k_rows(lv.where(F.col("value").isNotNull()).select(*key, "row_id", "value"), key, [F.col("row_id")], IP_SAMPLE)
+    heads = head.groupBy(*key).agg(
+        F.avg(F.col("value").rlike(IPV4_SHAPE).cast("double")).alias("ip_share"),
+        F.bool_and(F.when(F.col("rank") <= DATETIME_SAMPLE, parse_ts(F.col("value")).isNotNull())).alias("all_ts"))
+    cols = values.select(*key, "col_index").distinct()
+    st = cols.join(stats, key, "left").join(heads, key, "left")
     dtype = (F.when(F.coalesce(F.col("n"), F.lit(0)) == 0, "unknown")
               .when(F.col("nested"), "string")
               .when(F.col("ip_share") > SHAPE_SHARE, "ip")
@@ -126,17 +121,12 @@ def profile(datasets: Iterable[tuple[str, DataFrame]], sample_rows: int | None =
               .otherwise("string"))
     st = st.withColumn("inferred_dtype", dtype)
 
-    # first 5 distinct values in input order, and top 5 by frequency (ties: first seen)
-    firsts = nn.groupBy(*key, "value").agg(F.min("row_id").alias("first_row"), F.count(F.lit(1)).alias("freq"))
-    w_first = Window.partitionBy(*key).orderBy("first_row")
-    w_freq = Window.partitionBy(*key).orderBy(F.col("freq").desc(), "first_row")
-    ranked = firsts.withColumn("r_first", F.row_number().over(w_first)).withColumn("r_freq", F.row_number().over(w_freq))
-    tops = ranked.where((F.col("r_first") <= 5) | (F.col("r_freq") <= 5)).groupBy(*key).agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("r_first") <= 5, F.struct("r_first", "value")))),
-                    lambda s: s["value"]).alias("sample_values"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("r_freq") <= 5, F.struct("r_freq", "value")))),
-                    lambda s: s["value"]).alias("top_values"))
-    st = st.join(tops, key, "left")
+    # first 5 distinct values in input order, and the 5 most frequent (ties: first seen)
+    ranked = nn.select(*key, "value", "freq", "first_row")
+    listed = lambda order, name: first_k_rows(ranked, key, order, 5).groupBy(*key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias(name))
+    st = st.join(listed([F.col("first_row"), F.col("value")], "sample_values"), key, "left") \
+           .join(listed([F.col("freq").desc(), F.col("first_row"), F.col("value")], "top_values"), key, "left")
 
     shape = (F.when(F.col("inferred_dtype") == "unknown", F.lit("column is entirely empty"))
               .when(F.col("inferred_dtype").isin("integer", "float"),

@@ -7,6 +7,8 @@ score. Candidates are IPs with a detection or an anomaly score >= 0.4.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def risk_profiles(events: DataFrame, detections: DataFrame, scores: DataFrame,
                   mapping_confidence: float) -> DataFrame:
     """One row per candidate IP: components, risk_score, classification, event_count,
     top_features. ``scores`` has ``source_ip, anomaly_score, top_features``."""
-    counts = ip_event_counts(events).persist()
+    counts = ip_event_counts(events)
     max_n = counts.agg(F.max("event_count")).collect()[0][0] or 0
     det = detections.groupBy("source_ip").agg(F.max("severity").alias("sev"))
     cand = (det.select("source_ip")
@@ -46,7 +48,7 @@ def risk_profiles(events: DataFrame, detections: DataFrame, scores: DataFrame,
     j = (cand.join(det, "source_ip", "left").join(scores, "source_ip", "left")
              .join(counts, "source_ip", "left"))
     n = F.coalesce(F.col("event_count"), F.lit(0)).cast("double")
-    freq = (F.log1p(n) / F.lit(float(__import__("math").log1p(max_n)))) if max_n > 0 else F.lit(0.0)
+    freq = (F.log1p(n) / F.lit(float(math.log1p(max_n)))) if max_n > 0 else F.lit(0.0)
     conf = F.lit(0.6) * F.least(F.lit(1.0), n / F.lit(float(VOLUME_SATURATION))) + F.lit(0.4 * mapping_confidence)
     comp = {
         "threat_severity": rnd(F.coalesce(F.col("sev"), F.lit(0.0)), 4),

@@ -5,12 +5,11 @@
 * :func:`embedding_concept_match` - the embedding form of matching: every vector
   against a small set of concept vectors (here the per-label centroids derived
   from the table itself), cosine, softmax at temperature 0.1, best concept.
-  The concept side is ``labels x dim`` and is joined on the dimension index.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numfmt import rnd
@@ -19,7 +18,7 @@ from .matching import EMBEDDING_TEMPERATURE, tfidf_vectors
 
 def document_tfidf_summary(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: number of distinct terms and the heaviest term (ties: smaller term)."""
-    vec = tfidf_vectors(docs.select(F.lit("all").alias("corpus"), doc_col, text_col), "corpus", doc_col, text_col)
+    vec = tfidf_vectors(docs.select(doc_col, text_col), None, doc_col, text_col)
     wr = rnd(F.col("w"), 9)
     return vec.groupBy(doc_col).agg(
         F.count(F.lit(1)).alias("n_terms"),
@@ -27,38 +26,31 @@ def document_tfidf_summary(docs: DataFrame, doc_col: str = "doc_id", text_col: s
         F.max(rnd(F.col("w"), 6)).alias("top_weight"))
 
 
-BROADCAST_MAX_ROWS = 2_000_000     # concept cells (labels x dim) broadcast below this
+MOST_CONCEPTS = 10_000     # concepts are a small fixed set; their vectors travel with every task
 
 
 def embedding_concept_match(emb: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                            label_col: str = "label", temperature: float = EMBEDDING_TEMPERATURE,
-                            salt: int = 64) -> DataFrame:
-    """``id, best_label, cosine, confidence`` of every vector against the label centroids."""
-    cells = emb.select(id_col, label_col, F.posexplode(vec_col).alias("i", "x")) \
-               .withColumn("x", F.col("x").cast("double"))
-    cent = cells.groupBy(label_col, "i").agg(F.avg("x").alias("c"))
-    cnorm = cent.groupBy(label_col).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("cn"))
-    vnorm = cells.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("vn"))
-    # The join key is the dimension index, which has only ``dim`` distinct values, so a
-    # shuffled join would put every vector of one dimension into one task. The concept
-    # side (labels x dim rows) is broadcast after a size check; past the bound, both
-    # sides are salted so each dimension is spread over ``salt`` tasks.
-    cent = cent.withColumnRenamed(label_col, "concept").persist()
-    n_cent = cent.count()
-    cells_i = cells.select(id_col, "i", "x")
-    if n_cent <= BROADCAST_MAX_ROWS:
-        joined = cells_i.join(F.broadcast(cent), "i")
-    else:
-        salted_cent = cent.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        joined = (cells_i.withColumn("_s", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salt)))
-                  .join(salted_cent, ["i", "_s"]))
-    dots = joined.groupBy(id_col, "concept").agg(F.sum(F.col("x") * F.col("c")).alias("dot"))
-    cos = (dots.join(vnorm, id_col).join(cnorm.withColumnRenamed(label_col, "concept"), "concept")
-               .withColumn("cos", rnd(F.col("dot") / (F.col("vn") * F.col("cn")), 9)))
-    w = Window.partitionBy(id_col)
-    sm = cos.withColumn("e", F.exp((F.col("cos") - F.max("cos").over(w)) / F.lit(temperature)))
-    sm = sm.withColumn("p", F.col("e") / F.sum("e").over(w))
-    return sm.groupBy(id_col).agg(
-        F.min_by("concept", F.struct(-F.col("cos"), F.col("concept"))).alias("best_label"),
-        F.max(rnd(F.col("cos"), 6)).alias("cosine"),
-        F.max(rnd(F.col("p"), 4)).alias("confidence"))
+                            label_col: str = "label", temperature: float = EMBEDDING_TEMPERATURE) -> DataFrame:
+    """``id, best_label, cosine, confidence`` of every vector against the label centroids.
+
+    The centroids (at most ``MOST_CONCEPTS``, else an error) are one broadcast row; a vector's dot
+    products, softmax and best label are computed in its row, so only the centroids are shuffled.
+    """
+    cells = emb.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("label"), F.posexplode(vec_col).alias("i", "x"))
+    cent = cells.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    one = cent.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("c"))
+    one = one.agg(F.array_sort(F.collect_list(F.struct("label", "c", length(F.col("c")).alias("norm")))).alias("concepts"))
+    concepts = one.withColumn("concepts", F.when(F.size("concepts") <= MOST_CONCEPTS, F.col("concepts"))
+                              .otherwise(F.raise_error(F.lit(f"more than {MOST_CONCEPTS} labels"))))
+    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    rows = emb.select(id_col, v.alias("v")).withColumn("vn", length(F.col("v"))).join(F.broadcast(concepts))
+    dot = lambda k: F.aggregate(F.zip_with("v", k["c"], lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    rows = rows.withColumn("cos", F.transform("concepts", lambda k: F.struct(
+        rnd(dot(k) / (F.col("vn") * k["norm"]), 9).alias("cos"), k["label"].alias("label"))))
+    top = F.array_max(F.transform("cos", lambda c: c["cos"]))
+    rows = rows.select(id_col, "cos", top.alias("top"))
+    total = F.aggregate("cos", F.lit(0.0), lambda a, c: a + F.exp((c["cos"] - F.col("top")) / F.lit(temperature)))
+    best = F.array_min(F.transform(F.filter("cos", lambda c: c["cos"] == F.col("top")), lambda c: c["label"]))
+    return rows.select(id_col, best.alias("best_label"), rnd(F.col("top"), 6).alias("cosine"),
+                       rnd(F.lit(1.0) / total, 4).alias("confidence"))

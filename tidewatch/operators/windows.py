@@ -58,8 +58,9 @@ def densest_window(df: DataFrame, keys: Sequence[str], ts_col: str, width_minute
     width_us = int(width_minutes * MINUTE_US)
     b_us = _bucket_us(width_us, bucket_minutes)
 
+    # events of one instant are counted first (map-side), so a flood is as many rows as it has instants
     base = (df.where(F.col(ts_col).isNotNull())
-              .select(*keys, epoch_us(ts_col).alias("t")))
+              .groupBy(*keys, epoch_us(ts_col).alias("t")).agg(F.count(F.lit(1)).alias("n")))
     bucket = bucket_of(F.col("t"), b_us)
     next_start = (bucket + 1) * F.lit(b_us)
     # own row, its probe, and (near the end of a bucket) a context copy for the next bucket
@@ -72,17 +73,17 @@ def densest_window(df: DataFrame, keys: Sequence[str], ts_col: str, width_minute
                     F.array_append(copies, F.struct((bucket + 1).alias("b"), F.col("t").alias("pos"),
                                                     F.lit(1).alias("kind"), F.col("t").alias("t_end"))))\
               .otherwise(copies)
-    rows = (base.select(*keys, F.inline(copies))
-                .withColumn("real", F.when(F.col("kind") >= 0, F.lit(1)).otherwise(F.lit(0))))
+    rows = (base.select(*keys, "n", F.inline(copies))
+                .withColumn("real", F.when(F.col("kind") >= 0, F.col("n")).otherwise(F.lit(0))))
 
     part = [*keys, "b"]
     # probes sort before real rows at the same position: (pos, real)
-    w_cum = (Window.partitionBy(*part).orderBy("pos", "real")
+    w_cum = (Window.partitionBy(*part).orderBy("pos", F.col("kind") >= 0)
              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    w_next = (Window.partitionBy(*part).orderBy(F.col("pos").desc(), F.col("real").desc())
+    w_next = (Window.partitionBy(*part).orderBy(F.col("pos").desc(), (F.col("kind") >= 0).desc())
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = (rows.withColumn("cum", F.sum("real").over(w_cum))
-                  .withColumn("nxt", F.min(F.when(F.col("real") == 1, F.col("pos"))).over(w_next)))
+                  .withColumn("nxt", F.min(F.when(F.col("kind") >= 0, F.col("pos"))).over(w_next)))
 
     paired = (ranked.where(F.col("kind") <= 0)
               .groupBy(*part, "t_end")

@@ -490,13 +490,13 @@ SEC_COLUMNS = ["source_ip", "destination_ip", "timestamp", "username", "event_ty
                "protocol", "request_path", "status_code", "payload_size", "device_id", "props"]
 
 
-def _profile_sec_sql() -> str:
+def _profile_sec_sql() -> str:  # whole table
     long = " union all ".join(
         f"select '{c}' as column_name, {i} as col_index, event_id as row_id, cast({c} as varchar) as value from head"
         for i, c in enumerate(SEC_COLUMNS))
     num = f"case when regexp_full_match(value, '{PROFILE_NUMBER.lstrip('^').rstrip('$')}') " \
           "then try_cast(trim(value) as double) end"
-    return ctes("head as (select * from sec order by event_id limit 1000)", f"lv as ({long})",
+    return ctes("head as (select * from sec)", f"lv as ({long})",
                 """nn as (select *, row_number() over (partition by column_name order by row_id) as rn
    from lv where value is not null)""",
                 f"""st as (select column_name, count(*) as n, count(distinct value) as nd,
@@ -538,14 +538,14 @@ select event_id, (case when regexp_matches(event_type, '(?i)({FAILURE_PATTERN})'
 from ..operators.ontology import DTYPE_COMPATIBILITY  # noqa: E402
 
 
-def _sec_profile_ctes() -> list[str]:
+def _sec_profile_ctes(limit: str = "") -> list[str]:
     long = " union all ".join(
         f"select '{c}' as column_name, {i} as col_index, event_id as row_id, cast({c} as varchar) as value from head"
         for i, c in enumerate(SEC_COLUMNS))
     num = f"case when regexp_full_match(value, '{PROFILE_NUMBER.lstrip('^').rstrip('$')}') " \
           "then try_cast(trim(value) as double) end"
     return [
-        "head as (select * from sec order by event_id limit 1000)", f"lv as ({long})",
+        f"head as (select * from sec order by event_id{limit})", f"lv as ({long})",
         """nn as (select *, row_number() over (partition by column_name order by row_id) as rn
    from lv where value is not null)""",
         f"""st as (select column_name, count(*) as n, count(distinct value) as nd,
@@ -586,6 +586,7 @@ def _sec_profile_ctes() -> list[str]:
    from dt)"""]
 
 
+PROFILE_HEAD = ctes(*_sec_profile_ctes(" limit 1000")) + "select column_name, inferred_dtype, descriptor from descr"
 PROFILE_SEC_DESCRIPTOR = ctes(*_sec_profile_ctes()) + "select column_name, inferred_dtype, descriptor from descr"
 
 _ONTO_VALUES = "(values " + ", ".join(

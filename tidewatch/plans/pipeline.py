@@ -1,9 +1,11 @@
 """Upload -> analyse -> persist (E1), and re-analysis with overrides (E2, K-1 .. K-4).
 
-Tables under ``root`` (a shared folder on a cluster), partitioned by dataset:
-``events/``, ``detections/``, ``alerts/`` (parquet, ``dataset_id=<id>``) and
-``catalog/`` (one row per dataset). Re-analysis overwrites only that dataset's
-partitions (dynamic partition overwrite), so results never mix two mappings.
+Under ``root`` (a shared folder on a cluster) every run of a dataset writes a
+version of its own: ``<table>/<dataset>/<version>`` for events, detections,
+spray targets and alerts. Only then is a row appended to ``catalog/``, and the
+newest row of a dataset says which version its tables are: a run that fails
+leaves the old results in force, and two mappings never mix. Ids are folder
+names as they are (quoted), so ``00123`` and ``123`` are different datasets.
 """
 
 from __future__ import annotations
@@ -11,14 +13,18 @@ from __future__ import annotations
 import datetime as _dt
 import json
 import os
+import uuid
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.detect import spray_targets
 from ..operators.geo import fill_location
 from ..operators.matching import map_columns, validate_overrides
 from ..operators.normalize import mapping_summary, to_canonical
 from ..operators.profile import profile
+from ..session import cut_lineage
 from ..sources.logs import read_log, with_row_id
 from .analysis import analyse
 
@@ -27,19 +33,22 @@ class SourceFileMissingError(FileNotFoundError):
     pass
 
 
-def _write(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("dataset_id").parquet(path))
+TABLES = ("events", "detections", "spray_targets", "alerts")
+CATALOG = ("dataset_id string, version string, filename string, source_path string, uploaded_at string, row_count long, "
+           "mapping_summary string, unmapped_columns string, overrides string, tables map<string,string>")
 
 
-def _clear_partition(spark: SparkSession, path: str, dataset_id: str) -> None:
-    """Dynamic overwrite leaves a partition untouched when no rows arrive: drop it explicitly."""
-    jvm = spark.sparkContext._jvm
-    hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/dataset_id={dataset_id}")
-    fs = p.getFileSystem(hconf)
-    if fs.exists(p):
-        fs.delete(p, True)
+class OverrideError(ValueError):
+    """Overrides that name unknown columns, or one field twice."""
+
+
+def _path(root: str, name: str, dataset_id: str, version: str) -> str:
+    return f"{root}/{name}/{quote(dataset_id, safe='')}/{version}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def analyse_file(spark: SparkSession, path: str, root: str, dataset_id: str,
@@ -48,66 +57,81 @@ def analyse_file(spark: SparkSession, path: str, root: str, dataset_id: str,
     overrides = dict(overrides or {})
     validate_overrides(overrides)
     raw = with_row_id(read_log(spark, path, fmt))
-    prof = profile([(dataset_id, raw)]).persist()
+    prof = cut_lineage(profile([(dataset_id, raw)]))
     known = {r[0] for r in prof.select("column_name").collect()}
     overrides = {k: v for k, v in overrides.items() if k in known}
-    mappings = map_columns(prof, {dataset_id: overrides}).persist()
+    mappings = cut_lineage(map_columns(prof, {dataset_id: overrides}))
     pairs = [(r["column_name"], r["mapped_field"])
              for r in mappings.orderBy("col_index").select("column_name", "mapped_field").collect()]
-    events = fill_location(to_canonical(raw, pairs, keep=["row_id"]))
-    tag = F.lit(dataset_id).alias("dataset_id")
-    ev_path, det_path, al_path = (f"{root}/events", f"{root}/detections", f"{root}/alerts")
-    for p in (ev_path, det_path, al_path):
-        _clear_partition(spark, p, dataset_id)
-    _write(events.select("*", tag), ev_path)
-    stored = spark.read.parquet(ev_path).where(F.col("dataset_id") == dataset_id).drop("dataset_id")
+    version = uuid.uuid4().hex
+    at = {t: _path(root, t, dataset_id, version) for t in TABLES}
+    fill_location(to_canonical(raw, pairs, keep=["row_id"])).write.parquet(at["events"])
+    stored = spark.read.parquet(at["events"])
     avg_conf = mappings.agg(F.avg("confidence")).collect()[0][0] or 0.0
     result = analyse(stored, "row_id", float(avg_conf))
-    _write(result.detections.select("*", F.to_json("evidence").alias("evidence_json"), tag).drop("evidence"),
-           det_path)
-    _write(result.alerts.select("*", tag), al_path)
+    result.detections.select("*", F.to_json("evidence").alias("evidence_json")).drop("evidence").write.parquet(at["detections"])
+    result.alerts.write.parquet(at["alerts"])
     result.release()
+    # every account of a spray, where a detection only names the first ten
+    spray_targets(stored, "row_id").write.parquet(at["spray_targets"])
     summary = {r["column_name"]: {"mapped_field": r["mapped_field"], "confidence": r["confidence"],
                                   "source": r["source"], "inferred_dtype": r["inferred_dtype"],
                                   "sample_values": list(r["sample_values"])}
                for r in mapping_summary(mappings, prof).collect()}
-    entry = {"dataset_id": dataset_id, "filename": os.path.basename(path), "source_path": path,
-             "uploaded_at": _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None).isoformat(),
+    entry = {"dataset_id": dataset_id, "version": version, "filename": os.path.basename(path), "source_path": path,
+             "uploaded_at": _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None).isoformat(timespec="microseconds"),
              "row_count": stored.count(),
              "mapping_summary": json.dumps(summary),
              "unmapped_columns": json.dumps([c for c, f in pairs if not f]),
-             "overrides": json.dumps(overrides)}
-    cat = spark.createDataFrame([entry])
-    _write(cat, f"{root}/catalog")
-    prof.unpersist(); mappings.unpersist()
+             "overrides": json.dumps(overrides),
+             "tables": at}
+    spark.createDataFrame([entry], CATALOG).coalesce(1).write.mode("append").parquet(f"{root}/catalog")
     return entry
 
 
 def reanalyse(spark: SparkSession, root: str, dataset_id: str, overrides: dict[str, str | None]) -> dict:
-    """K-3: replace everything derived from the old mapping; overrides are replaced, not merged."""
+    """K-3: a new version from the retained file; overrides are replaced, not merged, and checked first (M-13)."""
     validate_overrides(overrides)
-    cat = catalog(spark, root).where(F.col("dataset_id") == dataset_id).collect()
-    if not cat:
-        raise KeyError(f"Dataset {dataset_id} not found")
-    src = cat[0]["source_path"]
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(src)
+    old = dataset(spark, root, dataset_id)
+    known = set(json.loads(old["mapping_summary"]))
+    fields = [f for f in overrides.values() if f is not None]
+    if bad := sorted(set(overrides) - known):
+        raise OverrideError(f"Unknown column(s): {', '.join(bad)}")
+    if twice := sorted({f for f in fields if fields.count(f) > 1}):
+        raise OverrideError(f"Field(s) given to more than one column: {', '.join(twice)}")
+    src = old["source_path"]
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(src)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        raise SourceFileMissingError(f"The retained copy of '{cat[0]['filename']}' is no longer available")
-    return analyse_file(spark, src, root, dataset_id, overrides)
+        raise SourceFileMissingError(f"The retained copy of '{old['filename']}' is no longer available")
+    entry = analyse_file(spark, src, root, dataset_id, overrides)
+    for path in old["tables"].values():      # in force no longer
+        _delete(spark, path)
+    return entry
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:
-    """Q-13: datasets, newest first (K-4: columns added later are merged on read)."""
-    return spark.read.option("mergeSchema", True).parquet(f"{root}/catalog").orderBy(F.col("uploaded_at").desc())
-
-
-def table(spark: SparkSession, root: str, name: str, dataset_id: str) -> DataFrame | None:
-    """A stored table of one dataset; None when nothing was ever written (zero rows)."""
-    try:
-        df = spark.read.option("mergeSchema", True).parquet(f"{root}/{name}")
-    except Exception as e:  # noqa: BLE001 - Spark raises AnalysisException for an empty folder
-        if "UNABLE_TO_INFER_SCHEMA" in str(e) or "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return df.where(F.col("dataset_id") == dataset_id)
+    """Q-13: the newest version of each dataset, newest first (K-4: columns added later are merged on read)."""
+    rows = spark.read.option("mergeSchema", True).parquet(f"{root}/catalog")
+    newest = rows.groupBy("dataset_id").agg(F.max_by(F.struct(*rows.columns), F.struct("uploaded_at", "version")).alias("r"))
+    return newest.select("r.*").orderBy(F.col("uploaded_at").desc())
+
+
+def dataset(spark: SparkSession, root: str, dataset_id: str) -> Row:
+    """Q-13: one dataset's catalog row."""
+    found = catalog(spark, root).where(F.col("dataset_id") == dataset_id).collect()
+    if not found:
+        raise KeyError(f"Dataset {dataset_id} not found")
+    return found[0]
+
+
+def schema_view(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
+    """Q-13: a dataset's columns with the field, confidence, source, dtype and samples of each."""
+    summary = json.loads(dataset(spark, root, dataset_id)["mapping_summary"])
+    rows = [(c, m["mapped_field"], m["confidence"], m["source"], m["inferred_dtype"], m["sample_values"]) for c, m in summary.items()]
+    return spark.createDataFrame(rows, "column_name string, mapped_field string, confidence double, source string, "
+                                       "inferred_dtype string, sample_values array<string>")
+
+
+def table(spark: SparkSession, root: str, name: str, dataset_id: str) -> DataFrame:
+    """A stored table of one dataset, in the version that the catalog names."""
+    return spark.read.parquet(dataset(spark, root, dataset_id)["tables"][name])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import is_suspicious_path
 from ..operators import detect as det
 from ..operators.windows import densest_window, rows_in_window
-from ..session import apply_engine_conf
+from ..session import apply_engine_conf, cut_lineage
 from ..sources.fixture import sec_table
 from . import oracle as O
 
@@ -85,9 +85,8 @@ def q_rows_in_window(spark, sf):
 
 def q_sequential_ratio(spark, sf):
     s = _sec(spark, sf).where(F.col("source_ip").isNotNull() & F.col("port").isNotNull())
-    g = s.groupBy("source_ip").agg(F.array_sort(F.collect_set(F.col("port").cast("long"))).alias("ports"))
-    return g.select("source_ip", F.size("ports").cast("long").alias("n_ports"),
-                    det.sequential_ratio(F.col("ports")).alias("sequential_ratio"))
+    ports = s.select("source_ip", F.col("port").cast("long").alias("port")).distinct()
+    return det.port_gaps(ports, ["source_ip"], "port")
 
 
 def q_suspicious_paths(spark, sf):
@@ -322,7 +321,7 @@ from ..functions.rules import failure_indicator  # noqa: E402
 from ..functions.timeparse import parse_ts  # noqa: E402
 from ..operators import matching as M  # noqa: E402
 from ..operators.normalize import mapping_summary, to_number  # noqa: E402
-from ..operators.profile import profile  # noqa: E402
+from ..operators.profile import SAMPLE_ROWS, profile  # noqa: E402
 from ..operators.textsim import document_tfidf_summary, embedding_concept_match  # noqa: E402
 from ..sources.tables import TABLES, read_table  # noqa: E402
 
@@ -336,7 +335,13 @@ def _datasets(spark, sf):
 
 def _profiles(spark, sf):
     apply_engine_conf(spark)
-    return profile(_datasets(spark, sf)).persist()     # read by several branches of matching
+    return cut_lineage(profile(_datasets(spark, sf)))     # read by several branches of matching
+
+
+def q_profile_head(spark, sf):
+    """P-1 with its head sample: the first 1 000 rows of the security log."""
+    sec = _sec(spark, sf).withColumnRenamed("event_id", "row_id")
+    return profile([("sec", sec)], SAMPLE_ROWS).select("column_name", "inferred_dtype", "descriptor")
 
 
 def q_profile_dtype(spark, sf):
@@ -414,6 +419,7 @@ def q_normalize_timestamp(spark, sf):
 
 
 REGISTRY.update({
+    "profile_head": (q_profile_head, O.PROFILE_HEAD),
     "profile_dtype": (q_profile_dtype, None),
     "profile_descriptor": (q_profile_descriptor, None),
     "match_scores": (q_match_scores, None),
@@ -482,7 +488,7 @@ REGISTRY.update({
 
 
 def _sec_profile(spark, sf):
-    return profile([("sec", _sec(spark, sf).withColumnRenamed("event_id", "row_id"))]).persist()
+    return cut_lineage(profile([("sec", _sec(spark, sf).withColumnRenamed("event_id", "row_id"))]))
 
 
 def q_profile_sec_descriptor(spark, sf):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,10 +51,11 @@ def apply_engine_conf(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (local runs and tests) is a scratch folder created and registered.
+    Only a session on one machine (tests) may go without: it gets a temporary
+    folder. On a cluster that names none this raises, as a local folder would
+    not be seen by the other executors.
     """
     sc = spark.sparkContext
     d = sc._jsc.sc().getCheckpointDir()
@@ -63,7 +63,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d.get()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="tidewatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="tidewatch-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
 

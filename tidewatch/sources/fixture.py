@@ -9,12 +9,8 @@ time zone. ``event_id`` doubles as the row order (``row_id``).
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpoint_dir
 from .tables import read_table
 
 # Fixed values of the fixture: first octets (30 geo /8 ranges + 10 for
@@ -90,30 +86,12 @@ from events
 def sec_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical security-event view over ``events`` (whole table), as a plan."""
     events = read_table(spark, sf_dir, "events")
-    name = "tw_events_src"
-    events.createOrReplaceTempView(name)
-    return spark.sql(SEC_SPARK_SQL.format(events=name))
-
-
-_MATERIALISED: dict[tuple[str, str], str] = {}
+    return spark.sql(SEC_SPARK_SQL, events=events)
 
 
 def sec_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``sec`` log written once as parquet in the session's checkpoint folder and read back.
-
-    Downstream plans then start from a stored table (as the pipeline's events
-    table does): scans prune columns and push filters, and the fixture's CASE
-    expressions are not re-inlined into every operator of every query. The
-    input files are read-only, so one copy per application and input is reused.
-    """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    path = _MATERIALISED.get(key)
-    if path is None:
-        tag = hashlib.sha1(f"{key[0]}|{key[1]}".encode()).hexdigest()[:16]
-        path = f"{checkpoint_dir(spark).rstrip('/')}/tidewatch-sec-{tag}"
-        sec_view(spark, sf_dir).write.mode("overwrite").parquet(path)
-        _MATERIALISED[key] = path
-    return spark.read.parquet(path)
+    """The ``sec`` log as a plan over ``events``: a narrow projection, nothing is stored."""
+    return sec_view(spark, sf_dir)
 
 
 def with_sec(sql: str) -> str:

@@ -12,6 +12,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 CORRUPT = "_corrupt_record"
 # ---- fixed values: text tokens read as missing (pandas' default NA list) ------
@@ -40,35 +41,52 @@ def _null_tokens(c: Column) -> Column:
     return F.when(c.isin(*NA_TOKENS), F.lit(None)).otherwise(c)
 
 
-def read_csv_log(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
+def _csv_reader(spark: SparkSession, encoding: str, multi_line: bool):
+    """RFC-4180 quoting: a quote inside a quoted field is doubled, and a field may hold line breaks."""
+    return (spark.read.option("header", True).option("encoding", encoding).option("escape", '"')
+            .option("multiLine", multi_line).option("columnPruning", False))
+
+
+def _not_utf8(spark: SparkSession, path: str) -> list[str]:
+    """The files that hold bytes which are no UTF-8 (one column-free pass; decided per file)."""
+    lines = spark.read.text(path).where(~F.expr("is_valid_utf8(value)"))
+    return [r[0] for r in lines.select(F.input_file_name()).distinct().collect()]
+
+
+def _csv_files(spark: SparkSession, paths, names: list[str], encoding: str, multi_line: bool) -> DataFrame:
+    fields = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
+                          + [T.StructField(CORRUPT, T.StringType())])
+    raw = (_csv_reader(spark, encoding, multi_line).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).schema(fields).csv(paths))
+    # a record of another width is reported whole: count its fields outside quotes
+    outside = F.regexp_replace(F.col(CORRUPT), r'"(?:[^"]|"")*"', "")
+    too_long = F.length(outside) - F.length(F.replace(outside, F.lit(","))) + 1 > len(names)
+    # (a filter on the corrupt column alone is not allowed once all others are pruned)
+    other = F.length(F.coalesce("_c0", F.lit(""))) >= 0
+    kept = raw.where((F.col(CORRUPT).isNull() | ~too_long) & other)
+    return kept.select(*[_null_tokens(F.col(f"_c{i}")).alias(n) for i, n in enumerate(names)])
+
+
+def read_csv_log(spark: SparkSession, path: str, encoding: str = "auto", multi_line: bool = True) -> DataFrame:
     """S-2 / S-3: header CSV, all columns strings, NA tokens -> null.
 
     Rows with *more* fields than the header are skipped; shorter rows are kept
-    with the missing trailing fields null. ``encoding='auto'`` reads UTF-8 and
-    falls back to Latin-1 when undecodable bytes are present; a UTF-8 byte-order
-    mark is removed from the first column name.
+    with the missing trailing fields null. ``encoding='auto'`` reads each file as
+    UTF-8 unless it holds other bytes, then as Latin-1; a byte-order mark is
+    removed from the first column name. ``multi_line=False`` lets a file without
+    line breaks in its fields be split over tasks.
     """
+    latin = _not_utf8(spark, path) if encoding == "auto" else []
     enc = "UTF-8" if encoding == "auto" else encoding
-    header = spark.read.option("header", True).option("encoding", enc).csv(path).columns
-    if not header:
+    header = _csv_reader(spark, enc, multi_line).csv(path)
+    if not header.columns:
         raise ValueError(f"{os.path.basename(path)} is empty")
-    names = [header[0].lstrip("\ufeff")] + header[1:]
-    wide = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names) + 1)]
-                        + [T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.option("header", True).option("encoding", enc).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True)
-           .schema(wide).csv(path))
-    # the extra (n+1)-th field is filled only by an over-long row
-    ok = raw.where(F.col(f"_c{len(names)}").isNull())
-    df = ok.select(*[_null_tokens(F.col(f"_c{i}")).alias(n) for i, n in enumerate(names)])
-    if encoding == "auto":
-        bad = None
-        for n in names:
-            c = F.col(f"`{n}`").contains("\ufffd")
-            bad = c if bad is None else (bad | c)
-        if bad is not None and df.where(bad).limit(1).count() > 0:
-            return read_csv_log(spark, path, "ISO-8859-1")
-    return df
+    names = [header.columns[0].lstrip("\ufeff")] + header.columns[1:]
+    if not latin:
+        return _csv_files(spark, path, names, enc, multi_line)
+    utf8 = [f for f in header.inputFiles() if f not in set(latin)]
+    rest = _csv_files(spark, latin, names, "ISO-8859-1", multi_line)
+    return rest if not utf8 else _csv_files(spark, utf8, names, "UTF-8", multi_line).unionByName(rest)
 
 
 def _record_lists(dt: T.DataType, path: list[str], depth: int, out: list[list[str]]) -> None:
@@ -130,39 +148,50 @@ def flatten(df: DataFrame, max_level: int = MAX_FLATTEN_LEVEL) -> DataFrame:
     return df.select(*cols)
 
 
+def _is_document(spark: SparkSession, path: str) -> bool:
+    """Whether the text is one JSON value over several lines: its first line leaves a bracket open.
+
+    (A first line that closes all it opens is a record of its own: newline-delimited JSON.)
+    """
+    line = spark.read.text(path).where(F.trim("value") != "").select(
+        F.regexp_replace("value", r'"(?:[^"\\\\]|\\\\.)*"', "").alias("v")).limit(1)
+    depth = line.select((F.regexp_count("v", F.lit(r"[\[{]")) - F.regexp_count("v", F.lit(r"[\]}]"))).alias("d")).first()
+    return depth is not None and depth["d"] > 0
+
+
 def read_json_log(spark: SparkSession, path: str) -> DataFrame:
     """S-4 .. S-8: JSON array / object / wrapped document, or NDJSON with bad lines skipped."""
-    lines = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    if not lines.columns:
-        raise ValueError(f"{os.path.basename(path)} is empty")
-    if CORRUPT in lines.columns:
-        lines = lines.cache()
-        bad = lines.where(F.col(CORRUPT).isNotNull()).limit(1).count() > 0
-    else:
-        bad = False
-    if not bad:
-        records = lines
-    else:
-        doc = spark.read.option("multiLine", True).option("mode", "PERMISSIVE") \
-                   .option("columnNameOfCorruptRecord", CORRUPT).json(path)
-        good = lines.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-        n_good = good.count() if good.columns else 0
-        # a multi-line document parses as a whole; NDJSON with junk lines parses only
-        # its first object that way, so the document must explain at least as many records
-        if doc.columns and CORRUPT not in doc.columns and doc.count() >= max(n_good, 1):
-            records = doc
+    reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    records = reader.option("multiLine", True).json(path) if _is_document(spark, path) else None
+    if records is None or not records.columns or CORRUPT in records.columns:
+        found = reader.option("multiLine", False).json(path).schema     # of the lines; the record of a line that doesn't parse is CORRUPT
+        if not found.fields:
+            raise ValueError(f"{os.path.basename(path)} is empty")
+        if found.names == [CORRUPT]:
+            raise ValueError(f"{os.path.basename(path)} is not valid JSON or newline-delimited JSON")
+        if CORRUPT in found.names:
+            line = F.from_json("value", found, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+            good = spark.read.text(path).where(F.trim("value") != "").select(line.alias("r")).where(F.col(f"r.{CORRUPT}").isNull())
+            records = good.select("r.*").drop(CORRUPT)
         else:
-            if n_good == 0:
-                raise ValueError(f"{os.path.basename(path)} is not valid JSON or newline-delimited JSON")
-            records = good
-    if records.limit(2).count() == 1:
+            records = reader.option("multiLine", False).json(path)
+    if len(records.take(2)) == 1:
         records = unwrap_records(records)
     out = flatten(records)
-    if not out.columns or out.limit(1).count() == 0:
+    if not out.columns or not out.take(1):
         raise ValueError(f"{os.path.basename(path)} contains no records")
     return out
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Input order as a column, taken straight after the scan (increasing with file order)."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Input order as a column that sorts by file, place of the split in it, and place in the split.
+
+    Spark packs splits by size, so a running number alone doesn't follow the files' order. A frame
+    that isn't read from files is numbered alone.
+    """
+    n = F.monotonically_increasing_id()
+    try:
+        return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"),
+                                            F.col("_metadata.file_block_start").alias("block"), n.alias("n")))
+    except AnalysisException:
+        return df.withColumn(name, n)
