@@ -19,13 +19,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numfmt import rnd
+from ..session import cut_lineage
 from .detect import DETECTOR_ORDER, evidence
 
 # ---- fixed values ----------------------------------------------------------
@@ -43,7 +45,7 @@ UNKNOWN_NOTE = "Behaviour differs from baseline but did not match a known attack
 _EULER = 0.5772156649015329
 
 
-def ip_features(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
+def ip_features(df: DataFrame, approx_distinct: bool = False, extra: Sequence[Column] = ()) -> DataFrame:
     """A-1: one aggregate per IP. Exact distinct counts make Spark expand each row once
     per distinct column; ``approx_distinct=True`` uses HyperLogLog++ sketches instead,
     which merge map-side (relative error about 5%)."""
@@ -60,9 +62,15 @@ def ip_features(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
         nd("username").cast("double").alias("distinct_usernames"),
         F.avg(F.coalesce("payload_size", F.lit(0.0))).alias("avg_payload_size"),
         F.avg(off).alias("off_hours_ratio"),
+        *extra,
     )
 
 
+def ip_profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
+    """The features and, from the same aggregate, each IP's first and last timestamp."""
+    return ip_features(df, approx_distinct, [F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")])
+
+
 def _moments(feats: DataFrame) -> dict[str, tuple[float, float]]:
     aggs = []
     for f in FEATURE_NAMES:
@@ -160,12 +168,13 @@ def isolation_forest_scores(z: DataFrame) -> DataFrame:
         return zc.select("source_ip", F.lit(0.0).alias("anomaly_score"))
     psi = min(MAX_SAMPLES, n)
     height = int(math.ceil(math.log2(max(psi, 2))))
-    # about 4*psi hash-selected candidates per tree; the psi lowest hashes are kept.
-    # Fewer than psi candidates is astronomically unlikely; if it happens, widen.
-    sample = _sample(zc, n, psi, 4.0).persist()
-    if sample.groupBy("tree").count().where(F.col("count") >= psi).count() < N_TREES:
-        sample.unpersist()
-        sample = _sample(zc, n, psi, 16.0).persist()
+    # hash-selected candidates per tree, widened until every tree has psi of them (at the widest, all rows)
+    spread = 4.0
+    while True:
+        sample = cut_lineage(_sample(zc, n, psi, spread))
+        if spread * psi >= n or sample.groupBy("tree").count().where(F.col("count") >= psi).count() == N_TREES:
+            break
+        spread *= 4
     schema = "tree int, node long, feat long, thr double, left long, right long, size long"
     nodes = sample.groupBy("tree").applyInPandas(lambda pdf: _fit_tree(pdf, psi, height), schema)
     rows = nodes.orderBy("tree", "node").collect()     # bounded: 200 * (2 * psi - 1) nodes
@@ -201,7 +210,7 @@ def isolation_forest_scores(z: DataFrame) -> DataFrame:
             s = np.power(2.0, -(total / N_TREES) / c_psi)
             yield pd.DataFrame({"source_ip": pdf["source_ip"], "raw": s})
 
-    raw = zc.mapInPandas(score, "source_ip string, raw double").persist()   # scored once, read twice
+    raw = cut_lineage(zc.mapInPandas(score, "source_ip string, raw double"))   # scored once, read twice
     return minmax(raw, "raw", "anomaly_score")
 
 
@@ -225,22 +234,27 @@ def zscore_scores(z: DataFrame) -> DataFrame:
                   "anomaly_score", min_rows=MIN_IPS)
 
 
+def score_ips(profile: DataFrame, method: str = "forest") -> DataFrame:
+    """``anomaly_score, top_features`` beside the per-IP profile. Fewer than 8 IPs: score 0, no top features."""
+    z = standardize(profile)
+    scores = isolation_forest_scores(z) if method == "forest" else zscore_scores(z)
+    few = F.lit(profile.count() < MIN_IPS)
+    none = F.array().cast("array<struct<feature:string,value:double>>")
+    top = top_features(z).withColumn("top_features", F.when(few, none).otherwise(F.col("top_features")))
+    return top.select(*profile.columns, "top_features").join(scores, "source_ip")
+
+
 def anomaly_scores(df: DataFrame, method: str = "forest", approx_distinct: bool = False) -> DataFrame:
     """``source_ip, anomaly_score, top_features`` for every IP of the event table."""
-    feats = ip_features(df, approx_distinct).persist()     # reused by the scaler, the forest and the top features
-    z = standardize(feats)
-    scores = isolation_forest_scores(z) if method == "forest" else zscore_scores(z)
-    return top_features(z).select("source_ip", "top_features").join(scores, "source_ip")
+    scored = score_ips(cut_lineage(ip_features(df, approx_distinct)), method)
+    return scored.select("source_ip", "anomaly_score", "top_features")
 
 
-def unknown_anomalies(df: DataFrame, scores: DataFrame, rule_hits: DataFrame) -> DataFrame:
-    """Detections for IPs scoring >= 0.7 that no rule flagged."""
-    cand = (scores.where(F.col("anomaly_score") >= UNKNOWN_ANOMALY_THRESHOLD)
-                  .join(rule_hits.select("source_ip").distinct(), "source_ip", "left_anti"))
-    span = (df.where(F.col("source_ip").isNotNull()).groupBy("source_ip")
-              .agg(F.min("timestamp").alias("ws"), F.max("timestamp").alias("we"),
-                   F.count(F.lit(1)).alias("n")))
-    j = cand.join(span, "source_ip")
+def unknown_anomalies(scores: DataFrame, rule_hits: DataFrame) -> DataFrame:
+    """Detections for IPs scoring >= 0.7 that no rule flagged. ``scores`` is a scored :func:`ip_profile`."""
+    j = (scores.where(F.col("anomaly_score") >= UNKNOWN_ANOMALY_THRESHOLD)
+               .join(rule_hits.select("source_ip").distinct(), "source_ip", "left_anti")
+               .withColumn("ws", F.col("first_ts")).withColumn("we", F.col("last_ts")).withColumn("n", F.col("event_count")))
     return j.select(
         F.lit("unknown_anomaly").alias("detection_type"),
         F.lit(DETECTOR_ORDER["unknown_anomaly"]).alias("detector_order"),

@@ -52,6 +52,7 @@ REASON_VOLUME = "high event volume"
 REASON_PREFIX = "Elevated risk driven by "
 REASON_LOW = "Low overall risk indicators."
 BEHAVIOUR_MIN = 0.4
+BASELINE_ORDER = 9          # after every detector
 VOLUME_MIN = 0.6
 # ------------------------------------------------------------------------------------
 
@@ -92,22 +93,33 @@ def evidence_line(d: DataFrame) -> Column:
     return F.concat(F.lit("IP "), F.col("source_ip"), F.lit(": "), body)
 
 
+def _target() -> Column:
+    return F.coalesce(F.col("evidence.target_username"), F.lit(""))
+
+
+def evidence_rows(profiles: DataFrame, detections: DataFrame) -> DataFrame:
+    """The evidence of each IP as rows (X-4), a line per detection, in the order of
+    ``detector_order, target, window_start, line``; an IP may have any number of them."""
+    of_rules = detections.select("source_ip", "detector_order", _target().alias("target"), "window_start",
+                                 evidence_line(detections).alias("line"))
+    unknown = detections.where(F.col("detection_type") == "unknown_anomaly").select("source_ip").distinct()
+    quiet = profiles.where((F.col("behavior_anomaly") >= BEHAVIOUR_MIN) & (F.size("top_features") > 0))
+    baseline = quiet.join(unknown, "source_ip", "left_anti").select(
+        "source_ip", F.lit(BASELINE_ORDER).alias("detector_order"), F.lit("").alias("target"),
+        F.lit(None).cast(detections.schema["window_start"].dataType).alias("window_start"),
+        F.concat(F.lit(BASELINE_LINE), _feature_names(F.col("top_features"))).alias("line"))
+    return of_rules.join(profiles.select("source_ip"), "source_ip", "left_semi").unionByName(baseline)
+
+
 def detection_summary(detections: DataFrame) -> DataFrame:
-    """Per IP: sorted distinct types, dominant type, ordered evidence lines, has_unknown."""
-    d = detections.withColumn("_line", evidence_line(detections))
-    key = F.coalesce(F.col("evidence.target_username"), F.lit(""))
-    return d.groupBy("source_ip").agg(
+    """Per IP: sorted distinct types (at most five) and the dominant type."""
+    return detections.groupBy("source_ip").agg(
         F.array_sort(F.collect_set("detection_type")).alias("types"),
-        F.min_by("detection_type", F.struct(-F.col("severity"), F.col("detector_order"), key)).alias("dominant"),
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col("detector_order"), key.alias("k"),
-                                                         F.col("window_start").alias("ws"),
-                                                         F.col("_line").alias("line")))),
-                    lambda x: x["line"]).alias("lines"),
-        F.max(F.col("detection_type") == "unknown_anomaly").alias("has_unknown"))
+        F.min_by("detection_type", F.struct(-F.col("severity"), F.col("detector_order"), _target())).alias("dominant"))
 
 
 def explain(profiles: DataFrame, detections: DataFrame) -> DataFrame:
-    """Add threat, evidence, confidence_pct, reason, recommendation to risk profiles."""
+    """Add threat, confidence_pct, reason, recommendation to risk profiles."""
     s = detection_summary(detections)
     j = profiles.join(s, "source_ip", "left")
     labels, recs = _map(THREAT_LABELS), _map(RECOMMENDATIONS)
@@ -117,18 +129,13 @@ def explain(profiles: DataFrame, detections: DataFrame) -> DataFrame:
                                                    F.array_join(F.transform("types", lambda t: labels[t]), ", ")))
                .otherwise(labels[F.col("dominant")]))
     rec = F.when(has_det, recs[F.col("dominant")]).otherwise(recs[F.lit("unknown_anomaly")])
-    baseline = F.when((F.col("behavior_anomaly") >= BEHAVIOUR_MIN) & ~F.coalesce(F.col("has_unknown"), F.lit(False))
-                      & (F.size("top_features") > 0),
-                      F.array(F.concat(F.lit(BASELINE_LINE), _feature_names(F.col("top_features")))))\
-             .otherwise(F.array().cast("array<string>"))
-    lines = F.concat(F.coalesce(F.col("lines"), F.array().cast("array<string>")), baseline)
     parts = F.filter(F.array(F.when(F.col("threat_severity") > 0, F.lit(REASON_RULE)),
                              F.when(F.col("behavior_anomaly") >= BEHAVIOUR_MIN, F.lit(REASON_BEHAVIOUR)),
                              F.when(F.col("frequency") >= VOLUME_MIN, F.lit(REASON_VOLUME))),
                      lambda x: x.isNotNull())
     reason = F.when(F.size(parts) > 0, F.concat(F.lit(REASON_PREFIX), F.array_join(parts, " and "), F.lit(".")))\
               .otherwise(F.lit(REASON_LOW))
-    return j.select(*profiles.columns, threat.alias("threat"), lines.alias("evidence"),
+    return j.select(*profiles.columns, threat.alias("threat"),
                     rnd(F.col("confidence") * F.lit(100.0), 1).alias("confidence_pct"),
                     reason.alias("reason"), rec.alias("recommendation"))
 

@@ -35,18 +35,15 @@ def ip_event_counts(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("event_count"))
 
 
-def risk_profiles(events: DataFrame, detections: DataFrame, scores: DataFrame,
-                  mapping_confidence: float) -> DataFrame:
+def risk_profiles(detections: DataFrame, scores: DataFrame, mapping_confidence: float) -> DataFrame:
     """One row per candidate IP: components, risk_score, classification, event_count,
-    top_features. ``scores`` has ``source_ip, anomaly_score, top_features``."""
-    counts = ip_event_counts(events)
-    max_n = counts.agg(F.max("event_count")).collect()[0][0] or 0
+    top_features. ``scores`` has ``source_ip, event_count, anomaly_score, top_features``."""
+    max_n = scores.agg(F.max("event_count")).collect()[0][0] or 0
     det = detections.groupBy("source_ip").agg(F.max("severity").alias("sev"))
     cand = (det.select("source_ip")
                .unionByName(scores.where(F.col("anomaly_score") >= CANDIDATE_ANOMALY).select("source_ip"))
                .distinct())
-    j = (cand.join(det, "source_ip", "left").join(scores, "source_ip", "left")
-             .join(counts, "source_ip", "left"))
+    j = cand.join(det, "source_ip", "left").join(scores, "source_ip", "left")
     n = F.coalesce(F.col("event_count"), F.lit(0)).cast("double")
     freq = (F.log1p(n) / F.lit(float(math.log1p(max_n)))) if max_n > 0 else F.lit(0.0)
     conf = F.lit(0.6) * F.least(F.lit(1.0), n / F.lit(float(VOLUME_SATURATION))) + F.lit(0.4 * mapping_confidence)

@@ -274,17 +274,13 @@ def explain_ctes() -> list[str]:
    group by source_ip)""",
         """dom as (select source_ip, detection_type as dominant from (select *, row_number() over (
    partition by source_ip order by severity desc, detector_order, k) as rn from det) where rn = 1)""",
-        """dl as (select source_ip, string_agg(line, ' | ' order by detector_order, k, window_start, line) as lines,
-   bool_or(detection_type = 'unknown_anomaly') as has_unknown from det group by source_ip)""",
+        """dl as (select source_ip, bool_or(detection_type = 'unknown_anomaly') as has_unknown from det group by source_ip)""",
         f"""expl as (select s.*,
    case when dom.dominant is null then '{NO_RULE_THREAT}'
         when ntypes > 1 then '{MULTIPLE_PREFIX}' || labels
         else {_case_map('dom.dominant', THREAT_LABELS)} end as threat,
    case when dom.dominant is null then {lit(recs["unknown_anomaly"])} else {_case_map('dom.dominant', recs)} end
      as recommendation,
-   concat_ws(' | ', nullif(coalesce(dl.lines, ''), ''),
-     case when behavior_anomaly >= 0.4 and not coalesce(dl.has_unknown, false) and tn.names is not null
-          then {lit(BASELINE_LINE)} || tn.names end) as evidence,
    {rnd(f'confidence * 100.0{D}', 1)} as confidence_pct,
    case when threat_severity > 0 or behavior_anomaly >= 0.4 or frequency >= 0.6 then
      '{REASON_PREFIX}' || concat_ws(' and ',
@@ -340,7 +336,10 @@ CANDIDATE_IPS = analysis_sql("select source_ip from cand")
 RISK_BANDS = analysis_sql("select classification, count(*) as alerts from scored group by classification")
 EXPLAIN_THREAT = analysis_sql("select source_ip, threat from expl")
 EXPLAIN_RECOMMEND = analysis_sql("select source_ip, recommendation from expl")
-EXPLAIN_EVIDENCE = analysis_sql("select source_ip, evidence from expl")
+EXPLAIN_EVIDENCE = analysis_sql(f"""select source_ip, detector_order, k as target, line from det semi join scored using (source_ip)
+union all select source_ip, 9, '', {lit(BASELINE_LINE)} || tn.names from scored s left join dl using (source_ip)
+ join tf_names tn using (source_ip)
+ where behavior_anomaly >= 0.4 and not coalesce(dl.has_unknown, false) and tn.names is not null""")
 EXPLAIN_REASON = analysis_sql("select source_ip, reason, confidence_pct from expl")
 GEO_JOIN = ctes("ips as (select distinct source_ip as ip from sec where source_ip is not null)",
                 *geo_ctes("ips")) + """

@@ -33,7 +33,7 @@ class SourceFileMissingError(FileNotFoundError):
     pass
 
 
-TABLES = ("events", "detections", "spray_targets", "alerts")
+TABLES = ("events", "detections", "spray_targets", "alerts", "alert_evidence")
 CATALOG = ("dataset_id string, version string, filename string, source_path string, uploaded_at string, row_count long, "
            "mapping_summary string, unmapped_columns string, overrides string, tables map<string,string>")
 
@@ -71,7 +71,7 @@ def analyse_file(spark: SparkSession, path: str, root: str, dataset_id: str,
     result = analyse(stored, "row_id", float(avg_conf))
     result.detections.select("*", F.to_json("evidence").alias("evidence_json")).drop("evidence").write.parquet(at["detections"])
     result.alerts.write.parquet(at["alerts"])
-    result.release()
+    result.evidence.write.parquet(at["alert_evidence"])
     # every account of a spray, where a detection only names the first ten
     spray_targets(stored, "row_id").write.parquet(at["spray_targets"])
     summary = {r["column_name"]: {"mapped_field": r["mapped_field"], "confidence": r["confidence"],

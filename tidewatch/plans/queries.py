@@ -187,7 +187,7 @@ def q_explain_recommend(spark, sf):
 
 
 def q_explain_evidence(spark, sf):
-    return _checked(spark, sf).alerts.select("source_ip", F.array_join("evidence", " | ").alias("evidence"))
+    return _checked(spark, sf).evidence.select("source_ip", "detector_order", "target", "line")
 
 
 def q_explain_reason(spark, sf):
