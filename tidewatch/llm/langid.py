@@ -30,7 +30,10 @@ from .common import slices, to_arrow
 DIM = 1 << 14
 ORDERS = (2, 3, 4)
 #: Added to every count.
-SMOOTH = 0.5
+SMOOTH = 0.5 * 256
+#: N-grams of a document that count in full; a longer one's are scaled down to as many in all, so
+#: that no single document decides a language. Counts are whole numbers of 1 / UNIT.
+EQUAL, UNIT = 20_000, 256
 #: Margins in nats per n-gram are sharpened by this before the logistic loss.
 SHARP = 4.0
 #: A score under this is ambiguous.
@@ -66,10 +69,14 @@ def counts(labelled: DataFrame) -> DataFrame:
         for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 table = held.setdefault(lang, np.zeros(DIM, np.int64))
-                for g in grams(text):
-                    table += np.bincount(g, minlength=DIM) if len(g) > DIM // 8 else 0
-                    if len(g) <= DIM // 8:
-                        np.add.at(table, g, 1)
+                pieces = list(grams(text))
+                n = sum(map(len, pieces))
+                if n <= EQUAL:
+                    for g in pieces:
+                        np.add.at(table, g, UNIT)
+                else:
+                    own = sum(np.bincount(g, minlength=DIM) for g in pieces)
+                    table += np.rint(own * (UNIT * EQUAL / n)).astype(np.int64)
         for lang, table in held.items():
             at = np.flatnonzero(table)
             yield to_arrow(schema, lang=[lang] * len(at), gram=at, n=table[at])
@@ -79,6 +86,8 @@ def counts(labelled: DataFrame) -> DataFrame:
 
 def codewords(k: int) -> np.ndarray:
     """k rows of +-1: all distinct splits for few languages, else a fixed dense random code."""
+    if not k:
+        return np.zeros((0, 0))
     if k <= 6:
         columns = range(1, 2 ** (k - 1))
         return np.array([[1 if c >> r & 1 else -1 for c in columns] for r in range(k)], float).reshape(k, -1)
