@@ -618,3 +618,9 @@ def _match_sec_ctes() -> list[str]:
 
 MATCH_SCORES_SEC = ctes(*_match_sec_ctes()) + f"""
 select column_name, concept, {rnd('sim', 9)} as sim, {rnd('confidence', 6)} as confidence from conf"""
+
+
+# ------------------------------------------------------------------ readers
+READ_CSV = ctes() + """
+select event_id, 'he said "' || event_type || '", ok' as note, username from sec where event_id % 50 <> 0"""
+READ_NDJSON = ctes() + "select event_id, source_ip, port, username from sec"

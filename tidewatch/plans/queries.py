@@ -511,3 +511,54 @@ REGISTRY.update({
     "match_scores_sec": (q_match_scores_sec, O.MATCH_SCORES_SEC),
     "match_assign_sec": (q_match_assign_sec, None),
 })
+
+
+# ------------------------------------------------------------------ readers over a written log
+import uuid  # noqa: E402
+
+from ..session import checkpoint_dir  # noqa: E402
+from ..sources.logs import read_log  # noqa: E402
+
+
+def _folder(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_read_csv(spark, sf):
+    """S-2: the log as CSV files with doubled quotes and commas in a text field; every 50th row has a field too many."""
+    s = _sec(spark, sf)
+    line = F.concat_ws(",", F.col("event_id").cast("string"), F.concat(F.lit('"he said ""'), "event_type", F.lit('"", ok"')),
+                       F.coalesce("username", F.lit("")), F.when(F.col("event_id") % 50 == 0, F.lit("one more")))
+    at = _folder(spark, "read-csv")
+    s.select(line.alias("event_id,note,username")).write.option("header", True).option("sep", "\u0001").option("quote", "").csv(at)
+    return read_log(spark, at, "csv").select(F.col("event_id").cast("long").alias("event_id"), "note", "username")
+
+
+def q_read_ndjson(spark, sf):
+    """S-5: the log as newline-delimited JSON with a line of junk after every 100th record."""
+    s = _sec(spark, sf)
+    record = F.to_json(F.struct("event_id", "source_ip", "port", "username"))
+    lines = F.array_compact(F.array(record, F.when(F.col("event_id") % 100 == 0, F.lit("not json"))))
+    at = _folder(spark, "read-ndjson")
+    s.select(F.explode(lines).alias("value")).write.text(at)
+    return read_log(spark, at, "ndjson").select("event_id", "source_ip", F.col("port").cast("double").alias("port"), "username")
+
+
+def q_match_override(spark, sf):
+    """M-8: the security log's columns with two analyst decisions."""
+    return M.map_columns(_sec_profile(spark, sf), {"sec": {"port": None, "props": "source_location"}})
+
+
+def q_match_single_ip(spark, sf):
+    """M-9: a log whose only address column has no telling name."""
+    s = _sec(spark, sf).select(F.col("event_id").alias("row_id"), F.col("source_ip").alias("rhost"), F.col("username").alias("user"),
+                               F.col("event_type").alias("result"))
+    return M.map_columns(cut_lineage(profile([("lone", s)])))
+
+
+REGISTRY.update({
+    "read_csv": (q_read_csv, O.READ_CSV),
+    "read_ndjson": (q_read_ndjson, O.READ_NDJSON),
+    "match_override": (q_match_override, None),
+    "match_single_ip": (q_match_single_ip, None),
+})
