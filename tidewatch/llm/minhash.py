@@ -10,9 +10,10 @@ documents agree with their probability Jaccard similarity.
 Equal word sequences are one node, found by a digest that is counted per task
 first. Of the others, signatures are cut into bands; a bucket links its
 members to a centre that is drawn anew per band, so a group of n near copies
-asks for about n comparisons per band, not n squared. Members of a bucket that
-are still in different components are then compared with each other, so a
-link that no centre showed isn't lost. Every pair is verified by the exact
+asks for about n comparisons per band, not n squared. For members of a bucket
+that are still in different components, a prefix join over their shingles
+finds every pair that can be similar enough, so a link that no centre showed
+isn't lost and dissimilar members make no pairs. Every pair is verified by the exact
 Jaccard similarity of its shingle sets (at least ``SIMILAR``); classes are the
 connected components.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
@@ -122,6 +123,32 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Dat
     return both.where(common * 10000 >= either * round(similar * 10000)).select("a", "b")
 
 
+def across(apart: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b) of nodes with different labels that can be similar enough, by prefixes.
+
+    A node's shingles are ordered by how many nodes have them; those that only one label has come
+    first and can't be shared. Two sets that are similar enough share one of the first n - t n + 1 of
+    the larger and of the first n - 2 t n / (1 + t) + 1 of the smaller, and what is left of both from
+    there on must still reach the overlap. Near copies that differ from each other in words of their
+    own use up their prefix with these, so a group of them makes few pairs.
+    """
+    t = similar
+    tokens = apart.join(sets, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    seen = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("x"), F.max("label").alias("y"))
+    shared = tokens.join(seen.where("x <> y").select("s", "df"), "s")
+    own = Window.partitionBy("node")  # the shingles of one document
+    at = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "s"))
+    longest = F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1
+    p = cut(shared.withColumn("at", at).where(F.col("at") <= longest).select("s", "node", "label", "n", "at"))
+    large, small = (p.select("s", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "n", "at")]) for x in ("a", "b"))
+    small = small.where(F.col("b_at") <= F.col("b_n") - F.ceil(2 * t / (1 + t) * F.col("b_n") - 1e-9) + 1)
+    smaller = (F.col("b_n") < F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.col("b_node") < F.col("a_node")))
+    left = 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    enough = left >= F.ceil(t / (1 + t) * (F.col("a_n") + F.col("b_n")) - 1e-9)
+    both = large.join(small, "s").where((F.col("a_label") != F.col("b_label")) & smaller & (F.col("b_n") >= F.col("a_n") * t - 1e-9) & enough)
+    return both.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id: the least doc_id of its class. One row per row of ``docs``."""
     known = cut(sketch(docs))
@@ -132,19 +159,16 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     centre = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node", "bucket").alias("r"), "node", "n")).alias("c"))
     shared = cut(member.join(centre.where("size > 1").select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("c_n")), "bucket"))
     alike = lambda x, y: F.least(x, y) * 10000 >= F.greatest(x, y) * round(similar * 10000)
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     starred = shared.where(alike(F.col("n"), F.col("c_n")) & (F.col("node") != F.col("centre")))
-    pairs = cut(starred.select(*ordered(F.col("node"), F.col("centre"))).distinct())
+    pairs = cut(starred.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
     asked = shared.select("node").distinct()
     sets = cut(shingle_sets(docs.join(asked.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")))
     labels = components(verified(pairs, sets, similar))
-    # Members of one bucket in different components: each such pair is compared, unless it was.
-    m = shared.select("bucket", "node", "n").join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+    # Members of one bucket in different components: links that no centre showed.
+    m = shared.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     open_ = m.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    m = cut(m.join(open_, "bucket"))
-    other = m.select("bucket", F.col("node").alias("o_node"), F.col("n").alias("o_n"), F.col("label").alias("o_label"))
-    late = m.join(other, "bucket").where((F.col("label") < F.col("o_label")) & alike(F.col("n"), F.col("o_n")))
-    late = cut(late.select(*ordered(F.col("node"), F.col("o_node"))).distinct().join(pairs, ["a", "b"], "left_anti"))
+    apart = cut(m.join(open_, "bucket").select("node", "label").distinct())
+    late = cut(across(apart, sets, similar).join(pairs, ["a", "b"], "left_anti"))
     if late.limit(1).count():
         found = cut(verified(late, sets, similar))
         if found.limit(1).count():
