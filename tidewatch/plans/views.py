@@ -6,7 +6,7 @@ only the (small) answer reaches the caller.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.firstk import first_k_rows
@@ -120,12 +120,22 @@ def ip_events(events: DataFrame, ips: DataFrame, order_col: str = "row_id",
 
 
 def attack_progression(detections: DataFrame) -> DataFrame:
-    """Q-7: each IP's detections in time order, five fields and a step number."""
-    from pyspark.sql import Window
+    """Q-7: each IP's detections in time order, five fields and a step number.
+
+    A step is the place within the IP's hour plus the detections of its earlier hours, so an IP with
+    any number of detections is ranked hour by hour in many tasks.
+    """
     key = F.coalesce(F.col("evidence.target_username"), F.lit(""))
-    w = Window.partitionBy("source_ip").orderBy(F.col("window_start").asc_nulls_first(), "detector_order", key)
-    return detections.select("source_ip", F.row_number().over(w).alias("step"), "detection_type",
-                             "window_start", "window_end", "severity", "event_count")
+    d = detections.withColumn("_h", F.date_trunc("hour", "window_start"))
+    order = [F.col("window_start").asc_nulls_first(), F.col("detector_order"), key]
+    place = F.row_number().over(Window.partitionBy("source_ip", "_h").orderBy(*order))
+    hours = d.groupBy("source_ip", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("source_ip").orderBy(F.col("_h").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select(F.col("source_ip").alias("_ip"), F.col("_h").alias("_at"),
+                         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    j = d.withColumn("_place", place).join(hours, (F.col("source_ip") == F.col("_ip")) & F.col("_h").eqNullSafe(F.col("_at")))
+    return j.select("source_ip", (F.col("_place") + F.col("_before")).cast("int").alias("step"), "detection_type",
+                    "window_start", "window_end", "severity", "event_count")
 
 
 def top_offenders(alerts: DataFrame, top_n: int = DEFAULT_TOP_N) -> DataFrame:
