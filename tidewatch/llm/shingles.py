@@ -44,6 +44,14 @@ def spans(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     return mix(np.add.reduceat(value, firsts) + size.astype(np.uint64)), starts, ends, raw
 
 
+def together(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of several texts after each other, and the number of each word's text."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    begin = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
+    hashes, starts, _, _ = spans("\n".join(texts))
+    return hashes, np.searchsorted(begin, starts, "right") - 1
+
+
 def of_words(w: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """A hash per run of ``width`` words, in order; of 1 to width-1 words, one over all."""
     n = len(w)

@@ -18,12 +18,13 @@ document among those that also agree on a shingle 15 or 30 to either side.
 
 A row is a passage of ``doc_id`` that an earlier document (``first_id``) holds:
 word offsets, ends exclusive. Null texts and texts under 50 words have none.
-Rows of one doc_id count as one document and rows without doc_id are not
-searched.
+Rows of one doc_id count as one document (their texts should be equal) and rows
+without doc_id are not searched.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +37,12 @@ from .common import cut, slices, to_arrow
 
 WORDS = 50
 LEAST = WORDS - S.WIDTH + 1
-HASHES, ENOUGH = 4, 2
+HASHES, ENOUGH = 3, 2
 SIMILAR = 0.8
 #: Shingles to either side of a window's node that tell its surroundings.
 ANCHORS = (-30, -15, 15, 30)
+#: Characters of the documents that are hashed together.
+PORTION = 1 << 20
 #: Shingles that may differ between two runs of one passage.
 GAP = 12
 
@@ -55,63 +58,80 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:n], m[width - w : width - w + n])
 
 
-def compact_windows(h: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes of the Cartesian tree (least hash on top, ties to the left) whose span is at least
-    ``least``, and the first and last place of their spans.
+def compact_windows(h: np.ndarray, doc: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the Cartesian tree over each document's hashes (least on top, ties to the left), the nodes
+    whose span is at least ``least``, and the first and last place of their spans.
 
-    Those nodes are the places that are least in some window of that width, and the nearest
-    smaller places of a kept node are kept nodes, so the tree is only built over them.
+    ``doc`` numbers the documents that follow each other in ``h``. Those nodes are the places that
+    are least in some window of that width, and the nearest smaller places of a kept node are kept
+    nodes, so the tree is only built over them.
     """
     n = len(h)
     if n < least:
         return (np.zeros(0, np.int64),) * 3
-    bits = np.uint64(max(1, n.bit_length()))
-    place = np.arange(n, dtype=np.uint64)
-    v = h >> bits << bits | place  # ordered by hash, then place
-    at = (_sliding_min(v, least) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    bits = np.uint64(n.bit_length())
+    v = h >> bits << bits | np.arange(n, dtype=np.uint64)  # ordered by hash, then place
+    inside = doc[: n - least + 1] == doc[least - 1 :]
+    at = (_sliding_min(v, least)[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     at = at[np.flatnonzero(np.diff(at, prepend=-1))]
-    value = v[at].tolist()
-    first, last = np.zeros(len(at), np.int64), np.full(len(at), n - 1)
-    where, stack = at.tolist(), []
+    value, where, of = v[at].tolist(), at.tolist(), doc[at].tolist()
+    begin, end = np.searchsorted(doc, of).tolist(), (np.searchsorted(doc, of, "right") - 1).tolist()
+    first, last, stack, now = begin, end, [], -1
     for i, x in enumerate(value):
+        if of[i] != now:
+            now, stack = of[i], []
         while stack and value[stack[-1]] > x:
             last[stack.pop()] = where[i] - 1
-        first[i] = where[stack[-1]] + 1 if stack else 0
+        if stack:
+            first[i] = where[stack[-1]] + 1
         stack.append(i)
-    return at, first, last
+    return at, np.array(first, np.int64), np.array(last, np.int64)
 
 
 WINDOWS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("place", pa.int64()), ("around", pa.int64())])
 
 
+def _windows(ids: np.ndarray, texts: list[str], around: bool) -> list[np.ndarray]:
+    """Columns of the windows of some documents."""
+    words, owner = S.together(texts)
+    whole = np.flatnonzero(owner[: len(words) - S.WIDTH + 1] == owner[S.WIDTH - 1 :]) if len(words) >= S.WIDTH else np.zeros(0, np.int64)
+    if not len(whole):
+        return [np.zeros(0, np.int64)] * 4
+    s, doc = S.of_words(words)[whole], owner[whole]
+    h = [S.mix(s ^ S._STEPS[k]) for k in range(HASHES)]
+    found = [compact_windows(x, doc) for x in h]
+    at, first, last = (np.concatenate([f[i] for f in found]) for i in range(3))
+    key = np.concatenate([x[f[0]] >> np.uint64(2) << np.uint64(2) | np.uint64(k) for k, (x, f) in enumerate(zip(h, found, strict=True))])
+    here = doc[at]
+    local = at - np.searchsorted(doc, here)
+    place = local << 32 | np.minimum(at - first, _SIDE) << 16 | np.minimum(last - at, _SIDE)
+    side = np.zeros(len(at), np.uint64)
+    if around:
+        reach = max(ANCHORS)
+        mark = np.pad(s % np.uint64(_SIDE) + np.uint64(1), reach)
+        same = np.pad(doc, reach, constant_values=-1)
+        for j, step in enumerate(ANCHORS):
+            there = at + reach + step
+            side |= np.where(same[there] == here, mark[there], np.uint64(0)) << np.uint64(16 * j)
+    return [key.view(np.int64), ids[here], place, side.view(np.int64)]
+
+
 def windows(docs: DataFrame, around: bool) -> DataFrame:
     """key (min-hash; its two low bits are the function), node, place (packed), surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            keys, nodes, places, sides = [], [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = S.of_words(S.words(text))
-                n = len(s)
-                if n < LEAST:
-                    continue
-                for k in range(HASHES):
-                    h = S.mix(s ^ S._STEPS[k])
-                    at, first, last = compact_windows(h)
-                    keys.append(h[at] >> np.uint64(2) << np.uint64(2) | np.uint64(k))
-                    places.append(at << 32 | np.minimum(at - first, _SIDE) << 16 | np.minimum(last - at, _SIDE))
-                    nodes.append(np.full(len(at), doc_id))
-                    if around:
-                        side = np.zeros(len(at), np.uint64)
-                        for j, step in enumerate(ANCHORS):
-                            there = at + step
-                            inside = (there >= 0) & (there < n)
-                            mark = np.where(inside, s[np.clip(there, 0, n - 1)] % np.uint64(_SIDE) + np.uint64(1), np.uint64(0))
-                            side |= mark << np.uint64(16 * j)
-                        sides.append(side)
-            if keys:
-                key = np.concatenate(keys).view(np.int64)
-                yield to_arrow(WINDOWS, key=key, node=np.concatenate(nodes), place=np.concatenate(places), around=np.concatenate(sides).view(np.int64) if around else np.zeros(len(key), np.int64))
+            ids, texts = b.column(0).to_numpy(zero_copy_only=False), [t or "" for t in b.column(1).to_pylist()]
+            at = 0
+            while at < len(texts):  # as many as hold PORTION characters, so that the arrays stay small
+                end, size = at + 1, len(texts[at])
+                while end < len(texts) and size + len(texts[end]) <= PORTION:
+                    size += len(texts[end])
+                    end += 1
+                columns = _windows(ids[at:end], texts[at:end], around)
+                if len(columns[0]):
+                    yield to_arrow(WINDOWS, **dict(zip(WINDOWS.names, columns, strict=True)))
+                at = end
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, node long, place long, around long")
 
@@ -180,6 +200,20 @@ def align(a: np.ndarray, b: np.ndarray, shifts: set[int], least: int = LEAST, ga
     return sorted(out)
 
 
+def passages_of(a: np.ndarray, b: np.ndarray, hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """Passages of a pair whose windows met at places (in a, in b): the diagonal with the most hits
+    first, with its neighbours; hits that a passage covers need no diagonal of their own."""
+    out, left = [], hits
+    while left:
+        counts = Counter(x - y for x, y in left)
+        best = min(counts, key=lambda d: (-counts[d], abs(d), d))
+        near = {d for d in counts if abs(d - best) <= GAP}
+        found = align(a, b, near)
+        out += [f for f in found if not any(s <= f[0] and f[1] <= e for s, e, _, _ in out)]
+        left = [(x, y) for x, y in left if x - y not in near and not any(s <= x < e for s, e, _, _ in found)]
+    return sorted(out)
+
+
 SEQUENCES = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 PASSAGES = pa.schema([(n, pa.int64()) for n in ("node", "first", "start", "end", "first_start", "first_end")])
 
@@ -193,30 +227,34 @@ def sequences(docs: DataFrame) -> DataFrame:
 
 
 def _pairs(hits: DataFrame, need: int) -> DataFrame:
-    """(node, first) with the windows that met, of pairs where enough functions overlap."""
-    schema = pa.schema([("node", pa.int64()), ("first", pa.int64()), ("ok", pa.bool_()), ("shifts", pa.list_(pa.int64()))])
+    """(node, first) with the places where their windows met, of pairs where enough functions overlap."""
+    schema = pa.schema([("node", pa.int64()), ("first", pa.int64()), ("x", pa.list_(pa.int64())), ("y", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             hits = b.column(2).to_pylist()
-            shifts = [sorted({(h["place"] >> 32) - (h["first_place"] >> 32) for h in hs}) for hs in hits]
-            yield to_arrow(schema, node=b.column(0), first=b.column(1), ok=[enough(h, need=need) for h in hits], shifts=shifts)
+            ok = [i for i, h in enumerate(hits) if need < 2 or enough(h, need=need)]
+            place = lambda n: [[h[n] >> 32 for h in hits[i]] for i in ok]
+            yield to_arrow(schema, node=b.column(0).take(pa.array(ok, pa.int32())), first=b.column(1).take(pa.array(ok, pa.int32())), x=place("place"), y=place("first_place"))
 
     # As many windows as the two documents have: the group is bounded by their texts.
-    grouped = hits.groupBy("node", "first").agg(F.collect_list(F.struct((F.col("key").bitwiseAND(F.lit(3))).alias("k"), "place", "first_place")).alias("hits"))
-    return grouped.mapInArrow(run, "node long, first long, ok boolean, shifts array<long>")
+    function = F.col("key").bitwiseAND(F.lit(3))
+    grouped = hits.groupBy("node", "first").agg(F.collect_list(F.struct(function.alias("k"), "place", "first_place")).alias("hits"))
+    met = grouped.where(F.size(F.array_distinct(F.col("hits.k"))) >= need)
+    return met.mapInArrow(run, "node long, first long, x array<long>, y array<long>")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Passages of the pairs that are ok; a row of nulls where there is none."""
+    """Passages of the pairs; a row of nulls where there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             out: dict[str, list] = {n: [] for n in PASSAGES.names}
-            node, first, shifts, x, y = (b.column(i) for i in range(5))
+            node, first, at, there, x, y = (b.column(i) for i in range(6))
             for i in range(b.num_rows):
                 a, f = node[i].as_py(), first[i].as_py()
-                found = align(x[i].values.to_numpy(), y[i].values.to_numpy(), set(shifts[i].as_py()))
+                hits = list(zip(at[i].as_py(), there[i].as_py(), strict=True))
+                found = passages_of(x[i].values.to_numpy(), y[i].values.to_numpy(), hits)
                 for s, e, t, u in found or [(None,) * 4]:
                     # A passage of k shingles has k + WIDTH - 1 words.
                     ends = (s, e + S.WIDTH - 1, t, u + S.WIDTH - 1) if found else (None,) * 4
@@ -227,7 +265,7 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = pairs.select(F.col("node").alias("doc_id")).union(pairs.select("first")).distinct()
     known = cut(sequences(docs.join(asked, "doc_id", "left_semi")))
     of = lambda n, s: known.select(F.col("node").alias(n), F.col("shingles").alias(s))
-    both = pairs.join(of("node", "x"), "node").join(of("first", "y"), "first").select("node", "first", "shifts", "x", "y")
+    both = pairs.join(of("node", "s_x"), "node").join(of("first", "s_y"), "first").select("node", "first", "x", "y", "s_x", "s_y")
     return both.mapInArrow(run, ", ".join(f"{n} long" for n in PASSAGES.names))
 
 
@@ -244,13 +282,13 @@ def passages(docs: DataFrame) -> DataFrame:
     first = _star(met, "key")
     hits = cut(windows(docs, around=True).join(first, "key").where("node <> first"))
     pairs = cut(_pairs(hits, ENOUGH))
-    found = cut(_verify(docs, pairs.where("ok")))
+    found = cut(_verify(docs, pairs))
     seen = found.where("start is not null").select("node", "first").distinct()
     # Windows whose pair shows no passage: among those alike in their surroundings.
     side = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.shiftrightunsigned("around", 16 * j).bitwiseAND(F.lit(_SIDE)).alias("mark")) for j in range(len(ANCHORS))]))
     left = hits.join(seen, ["node", "first"], "left_anti").select("key", "node", "place", side.alias("s")).select("key", "node", "place", "s.j", "s.mark").where("mark > 0")
     again = left.join(_star(left, "key", "j", "mark"), ["key", "j", "mark"]).where("node <> first").select("key", "node", "first", "place", "first_place")
-    again = cut(_pairs(again.join(pairs.where("ok").select("node", "first"), ["node", "first"], "left_anti"), 1).where("ok"))
+    again = cut(_pairs(again.join(pairs.select("node", "first"), ["node", "first"], "left_anti"), 1))
     if again.limit(1).count():
         found = found.unionByName(_verify(docs, again))
     kept = found.where("start is not null").distinct()
@@ -264,6 +302,8 @@ def without(text: str | None, spans: list[tuple[int, int]] | None) -> str | None
     _, starts, ends, raw = S.spans(text)
     out, at = [], 0
     for s, e in sorted(spans):
+        if e > len(starts):  # of another text under this doc_id
+            continue
         begin, end = int(starts[s]), int(starts[e]) if e < len(starts) else int(ends[-1])
         if begin > at:
             out.append(raw[at:begin])
