@@ -47,6 +47,8 @@ class RankMerge:
         keys = np.array(sorted(ranks), np.int64)
         self.keys, self.rank_of = keys, np.array([ranks[k] for k in keys.tolist()], np.int32)
 
+    one = staticmethod(lambda i: [i])
+
     def __call__(self, pieces: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(pieces)
         order = sorted((i for i, p in enumerate(pieces) if len(p) <= SHORT), key=lambda i: len(pieces[i]))
@@ -128,7 +130,11 @@ def decoder(spec: WordTokens):
 def kept(spec: WordTokens, ids: list[int]) -> tuple[int, bytes, bytes]:
     """Of a chunk: how many ids, their decimals, their decoding."""
     decode = spec.__dict__.get("decode") or spec.__dict__.setdefault("decode", decoder(spec))
-    return len(ids), " ".join(map(str, ids)).encode(), decode(ids).encode()
+    return len(ids), str(ids)[1:-1].replace(",", "").encode(), decode(ids).encode()
+
+
+def joined(parts: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
+    return sum(p[0] for p in parts), b" ".join(p[1] for p in parts), b" ".join(p[2] for p in parts)
 
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -138,7 +144,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode every text and decode it again; one row per document with digests of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = CachedEncoder(path, RankMerge, kept)
+        encode = CachedEncoder(path, RankMerge, kept, joined)
         sha = lambda parts: hashlib.sha256(b" ".join(parts)).hexdigest()
         for b in slices(batches):
             n, ids, texts = [], [], []

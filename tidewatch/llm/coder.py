@@ -40,10 +40,12 @@ SEGMENT = BLOCK * LANES
 END = 1
 
 _ORDER1, _ORDER2 = 1 << 11, 1 << 12
-_ONE = 1 << 16
-#: What the predicted ids may take of the range; the rest is for all others.
-_SHARE = 61440
-_CDF = 1 << 15
+#: Hit rates are of 2**16, the shares of the coder's range of 2**18.
+_RATE, _BITS = 1 << 16, 18
+_ONE = 1 << _BITS
+#: The order-0 distribution is of 2**14. It keeps at least as much of the range, so no bucket's share is empty.
+_CDF = 1 << 14
+_SHARE = _ONE - _CDF
 _LEAST = np.uint64(1 << 48)
 _U = np.uint64
 
@@ -55,7 +57,7 @@ class Model:
         if greatest >= 1 << 28:
             raise ValueError("ids are below 2**28")
         self.lane = np.arange(lanes)
-        self.buckets = int(greatest + 1).bit_length() + 1
+        self.buckets = n = int(greatest + 1).bit_length() + 1
         #: bucket of an id: the bits of id + 1
         self.bucket = np.frexp(np.arange(1, greatest + 2, dtype=float))[1].astype(np.int64)
         self.next1 = np.zeros(lanes * _ORDER1, np.int32)
@@ -65,14 +67,13 @@ class Model:
         self.hit1 = self.hit2.copy()
         self.alone = np.tile(np.array([0, 9000, 20000, 30000]), lanes)
         self.weight = np.full(lanes * 2, 2048)
-        even = np.arange(self.buckets + 1) * (_CDF // self.buckets)
+        # One row per bucket's start. Each step moves them towards nearly all in one bucket.
+        start = np.arange(n + 1)
+        even = start * (_CDF // n)
         even[-1] = _CDF
-        self.cdf = np.tile(even.astype(np.int32), (lanes, 1))
-        # Towards a distribution with nearly all in one bucket; every bucket keeps at least 32.
-        floor = 32 * np.arange(self.buckets + 1)
-        top = _CDF - 32 * self.buckets
-        self.target = np.stack([floor + np.where(np.arange(self.buckets + 1) > b, top, 0) for b in range(self.buckets)]).astype(np.int32)
-        self.target[:, -1] = _CDF
+        self.cdf = np.tile(even.astype(np.int16)[:, None], (1, lanes))
+        target = 32 * start[:, None] + np.where(start[:, None] > np.arange(n), _CDF - 32 * n, 0)
+        self.target = target.astype(np.int16)
         self.prev = np.zeros(lanes, np.int64)
         self.prev2 = np.zeros(lanes, np.int64)
 
@@ -85,39 +86,42 @@ class Model:
         self.s1, self.s2 = self.base4 + self.c1, self.base4 + self.c2
         same = self.p1 == self.p2
         a1, self.a2 = self.hit1.take(self.s1), self.hit2.take(self.s2)
-        self.b = np.where(same, a1, _ONE - a1)
+        self.b = np.where(same, a1, _RATE - a1)
         self.w = self.lane * 2 + same
-        mixed = self.weight.take(self.w)
-        mixed = (mixed * self.a2 + (4096 - mixed) * self.b) >> 12
-        self.f2 = np.where(self.c2 > 0, np.clip(mixed * _SHARE >> 16, 16, _SHARE - 1024), 0)
-        f1 = np.maximum((_SHARE - self.f2) * self.alone.take(self.s1) >> 16, 16)
-        self.f1 = np.where(same | (self.c1 == 0), 0, f1)
-        self.rest = _ONE - self.f1 - self.f2
+        self.mix = self.weight.take(self.w)
+        mixed = (self.b << 12) + self.mix * (self.a2 - self.b)
+        self.f2 = np.maximum(mixed * _SHARE >> 28, 16) * (self.c2 > 0)
+        self.r1 = self.alone.take(self.s1)
+        self.f1 = np.maximum((_SHARE - self.f2) * self.r1 >> 16, 16) * (~same & (self.c1 > 0))
+        self.hits = self.f1 + self.f2
+        over = self.hits > _SHARE  # by a few of the least shares
+        self.f1 -= over * (self.hits - _SHARE)
+        self.hits = np.minimum(self.hits, _SHARE)
+        self.rest = _ONE - self.hits
 
     def others(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and frequency of a bucket within what the predicted ids leave."""
-        lo = self.rest * self.cdf[self.lane, bucket] >> 15
-        hi = self.rest * self.cdf[self.lane, bucket + 1] >> 15
-        return self.f2 + self.f1 + lo, hi - lo
+        lo = self.rest * self.cdf[bucket, self.lane] >> 14
+        return self.hits + lo, (self.rest * self.cdf[bucket + 1, self.lane] >> 14) - lo
 
     def find(self, v: np.ndarray) -> np.ndarray:
-        """The bucket in whose share v (of 2**16) lies."""
-        at = (v - self.f2 - self.f1)[:, None] >= (self.rest[:, None] * self.cdf[:, 1:-1] >> 15)
-        return at.sum(1)
+        """The bucket in whose share v (of 2**18) lies: rest * cdf >> 14 is at most v - hits."""
+        most = (((np.maximum(v - self.hits, 0) + 1) << 14) - 1) // self.rest
+        return (self.cdf[1:-1] <= most.astype(np.int16)).sum(0, dtype=np.int8)
 
     def update(self, ids: np.ndarray, bucket: np.ndarray) -> None:
         was2, was1 = ids == self.p2, ids == self.p1
-        for rate, at, hit in ((self.hit2, self.s2, was2), (self.hit1, self.s1, was1)):
-            old = rate.take(at)
-            rate[at] = old + ((hit * (_ONE - 1) - old) >> 4)
-        old = self.alone.take(self.s1)
-        self.alone[self.s1] = np.where(was2, old, old + ((was1 * (_ONE - 1) - old) >> 4))
-        step = np.where(was2 == (self.a2 > self.b), 32, -32)
-        self.weight[self.w] = np.clip(self.weight.take(self.w) + step, 256, 3840)
-        new = (ids + 1) << 2
-        self.next1[self.i1] = new + np.where(was1, np.minimum(self.c1 + 1, 3), 1)
-        self.next2[self.i2] = new + np.where(was2, np.minimum(self.c2 + 1, 3), 1)
-        self.cdf += (self.target[bucket] - self.cdf) >> 5
+        full2, full1 = was2 * (_RATE - 1), was1 * (_RATE - 1)
+        self.hit2[self.s2] = self.a2 + ((full2 - self.a2) >> 4)
+        a1 = self.hit1.take(self.s1)
+        self.hit1[self.s1] = a1 + ((full1 - a1) >> 4)
+        self.alone[self.s1] = self.r1 + ((full1 - self.r1) * ~was2 >> 4)
+        step = (was2 == (self.a2 > self.b)) * 64 - 32
+        self.weight[self.w] = np.minimum(np.maximum(self.mix + step, 256), 3840)
+        new = ((ids + 1) << 2) + 1
+        self.next1[self.i1] = new + was1 * np.minimum(self.c1, 2)
+        self.next2[self.i2] = new + was2 * np.minimum(self.c2, 2)
+        self.cdf += (self.target.take(bucket, 1) - self.cdf) >> 5
         self.prev2, self.prev = self.prev, ids
 
 
@@ -137,7 +141,7 @@ def encode(ids: np.ndarray) -> bytes:
     steps = min(BLOCK, len(ids))
     m = Model(lanes, greatest)
     low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
-    out, n = np.zeros((lanes, 2 * steps + 8), "<u2"), np.zeros(lanes, np.int64)
+    out, n = np.zeros((lanes, 3 * steps + 8), "<u2"), np.zeros(lanes, np.int64)
 
     def carry(which: np.ndarray) -> None:
         at = n[which] - 1
@@ -164,7 +168,7 @@ def encode(ids: np.ndarray) -> bytes:
         freq = np.where(was2, m.f2, np.where(was1, m.f1, freq)).astype(_U)
         bits = np.where(hit, 0, bucket - 1)
         lower = np.where(hit, 0, now + 1 - (1 << bits)).astype(_U)
-        r = rng >> _U(16)
+        r = rng >> _U(_BITS)
         rng = (r * freq) >> bits.astype(_U)
         grown = low + r * start + rng * lower
         over = grown < low
@@ -205,12 +209,12 @@ def decode(data: bytes) -> np.ndarray:
     out = np.zeros((steps, lanes), "<u4")
     for t in range(steps):
         m.predict()
-        r = rng >> _U(16)
+        r = rng >> _U(_BITS)
         v = np.minimum(code // r, _U(_ONE - 1)).astype(np.int64)
         was2 = v < m.f2
-        was1 = ~was2 & (v < m.f2 + m.f1)
+        was1 = ~was2 & (v < m.hits)
         hit = was1 | was2
-        bucket = np.where(hit, 1, m.find(v))
+        bucket = np.where(hit, 1, m.find(v).astype(np.int64))
         start, freq = m.others(bucket)
         start = np.where(was2, 0, np.where(was1, m.f2, start)).astype(_U)
         freq = np.where(was2, m.f2, np.where(was1, m.f1, freq)).astype(_U)
@@ -245,7 +249,7 @@ def write(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """Segments in ascending order of doc_id: part, ids before it in its part, documents, data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = CachedEncoder(path, LibraryWords, packed)
+        encoded = CachedEncoder(path, LibraryWords, packed, b"".join)
         part, tail, first = TaskContext.get().partitionId(), np.array([end], "<u4").tobytes(), 0
         held: list[tuple[int, bytes]] = []
 

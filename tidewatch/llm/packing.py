@@ -43,9 +43,9 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 SQL_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def packed(spec: WordTokens, ids: list[int]) -> bytes:
-    """What is kept of a chunk: its ids as little-endian 32-bit integers."""
-    return np.array(ids, "<u4").tobytes()
+def packed(spec: WordTokens, ids: bytes) -> bytes:
+    """What is kept of a pre-token: its ids as they are."""
+    return ids
 
 
 class Piece:
@@ -130,7 +130,7 @@ def pack(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     held = pa.schema([*PIECES, ("part", pa.int32()), ("ids", pa.binary())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, windows = CachedEncoder(path, LibraryWords, packed), Windows()
+        encode, windows = CachedEncoder(path, LibraryWords, packed, b"".join), Windows()
         part, tail = TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
         count = part << SHIFT
         for b in slices(batches):

@@ -8,10 +8,12 @@ distinct chunk is encoded once per worker and remembered (bounded cache).
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -24,6 +26,7 @@ CACHE_CHARS = 64
 
 _C0 = re.compile("[\x1c-\x1f]")
 _ASCII_SPACE = re.compile(r"[ \t-\r]+")
+_MARKS = frozenset(".,;:!?|")
 # The pre-tokenizer's pattern for characters below U+0250, whose classes no Unicode version changes.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x20\x85\xa0\p{L}\p{N}]+")
 
@@ -37,6 +40,14 @@ def byte_letters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+class _Letters(dict):
+    """For str.translate: a character to the byte letters of its UTF-8."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = "".join(byte_letters()[b] for b in chr(c).encode("utf-8", "surrogatepass"))
+        return self[c]
+
+
 class WordTokens:
     """The tokenizer file: vocabulary, merges, special tokens, and its own normaliser."""
 
@@ -50,7 +61,7 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self._letters = dict(enumerate(byte_letters()))
+        self._letters = _Letters()
 
     def chunks(self, text: str | None) -> list[str]:
         """Parts of the text between white space; every separator is one for the tokenizer too."""
@@ -69,60 +80,67 @@ class WordTokens:
             low = chunk.lower()
             if low.isalpha():
                 return [low]
+            if low[:-1].isalpha() and low[-1] in _MARKS:
+                return [low[:-1], low[-1]]
             found = _PIECES.findall(low)
-            return found if low.isprintable() else [self._bytes(p) for p in found]
+            return found if low.isprintable() else [p.translate(self._letters) for p in found]
         if max(chunk) < "ɐ":
-            return [self._bytes(p) for p in _PIECES.findall("".join(map(str.lower, chunk)))]
+            low = "".join(map(str.lower, chunk))
+            found = [low] if low.isalpha() else _PIECES.findall(low)
+            return [p.translate(self._letters) for p in found]
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
 
-    def _bytes(self, piece: str) -> str:
-        return piece.encode().decode("latin-1").translate(self._letters)
-
 
 class LibraryWords:
     """Ids of pre-tokens by the tokenizers library's BPE model."""
 
     def __init__(self, spec: WordTokens):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.model = Tokenizer(spec.library.model)
 
-    def __call__(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+    one = staticmethod(lambda i: np.array([i], "<u4").tobytes())
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        """Of each pre-token, its ids as little-endian 32-bit integers."""
+        e = self.model.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(e.ids, "<u4").tobytes()
+        ends = (4 * np.flatnonzero(np.diff(np.array(e.word_ids), append=-1)) + 4).tolist()
+        return [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)]
 
 
 class CachedEncoder:
     """Encodes whole texts, each distinct chunk once.
 
-    ``words`` maps pre-tokens to ids; ``value`` turns a chunk's ids into what
-    is kept per chunk.
+    ``words`` maps pre-tokens to ids, ``value`` turns ids into what is kept of
+    them, ``join`` makes a chunk's from those of its pre-tokens.
     """
 
-    def __init__(self, path: str, words, value):
+    def __init__(self, path: str, words, value, join):
         state = worker_state("chunks")
         if (key := (path, words.__name__, value.__name__)) not in state:
             spec = WordTokens(path)
             state[key] = (spec, words(spec), {})
         self.spec, self.words, self.cache = state[key]
-        self.value = value
+        self.value, self.join = value, join
 
     def __call__(self, texts: list[str | None]) -> list[list]:
         """For each text, the kept values of its chunks in order."""
         split = [self.spec.chunks(t) for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-        seen: set[str] = set()
-        for s in split:
-            seen.update(s)
-        cache = self.cache
-        missing = [c for c in seen if c not in cache]
-        new = dict(zip(missing, self._encode(missing), strict=True))
-        long = {c: v for c, v in new.items() if len(c) > CACHE_CHARS}
-        cache.update(new if not long else {c: v for c, v in new.items() if c not in long})
+        missing = list(set().union(*split).difference(self.cache))
+        now = dict(zip(missing, self._encode(missing), strict=True))
+        long = {c: now.pop(c) for c in missing if len(c) > CACHE_CHARS}
+        self.cache.update(now)
+        get = self.cache.__getitem__
         if long:
-            return [[long[c] if c in long else cache[c] for c in s] for s in split]
-        return [list(map(cache.__getitem__, s)) for s in split]
+            return [[long[c] if c in long else get(c) for c in s] for s in split]
+        return [list(map(get, s)) for s in split]
 
     def _encode(self, chunks: list[str]) -> list:
-        cut = [self.spec.pieces(c) for c in chunks]
-        own = list({p for c in cut for p in c if isinstance(p, str)})
-        ids = dict(zip(own, self.words(own), strict=True)) if own else {}
-        return [self.value(self.spec, [i for p in c for i in ((p,) if isinstance(p, int) else ids[p])]) for c in cut]
+        cut = list(map(self.spec.pieces, chunks))
+        own = list({p for p in chain.from_iterable(cut) if isinstance(p, str)})
+        known = {i: self.value(self.spec, self.words.one(i)) for i in self.spec.special.values()}
+        if own:
+            known.update(zip(own, (self.value(self.spec, ids) for ids in self.words(own)), strict=True))
+        return [known[c[0]] if len(c) == 1 else self.join([known[p] for p in c]) for c in cut]
