@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -66,6 +67,20 @@ def test_licenses(docs, words):
     assert licenses.scan(docs([])).count() == 0
 
 
+def wrapped(text, columns, prefix):
+    return "\n".join(prefix + x for x in textwrap.wrap(text, columns, break_on_hyphens=False, break_long_words=False))
+
+
+def test_wrapped_licenses(docs, words):
+    layouts = [(c, p) for c in (40, 78) for p in ("", "# ", " * ", "// ")]
+    own = {n: t for n, t in licenses.TEMPLATES.items() if n != "SPDX"}
+    rows = [(name, f"{words(60)}\n{p}\n{wrapped(t, c, p)}\n{p}\n{words(60)}") for c, p in layouts for name, t in own.items()]
+    rows += [(n, t.replace(" ", "\n")) for n, t in own.items()]
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs([(i, t) for i, (_, t) in enumerate(rows)])).collect()}
+    want = {i: re.split("-notice", n)[0] for i, (n, _) in enumerate(rows)}
+    assert got == want
+
+
 def test_language_held_out(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     lang = {r.doc_id: r.lang for r in df.select("doc_id", "lang").collect()}

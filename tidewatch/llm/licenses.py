@@ -1,6 +1,7 @@
 """License scan by conditional compression.
 
-Lines near a licence keyword (Aho-Corasick) form candidate blocks. A block is
+The words near a licence keyword (Aho-Corasick), as many to either side as any
+template has and across line breaks, form candidate blocks. A block is
 compressed with each template as a raw zstandard dictionary; the less is left
 of its plain compressed size, the more of its wording is the template's. The
 templates are ranked by that reduction and the best are confirmed word by word:
@@ -15,6 +16,8 @@ Repeated rows are scanned as rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -49,11 +52,10 @@ TEMPLATES = {
     "SPDX": "SPDX-License-Identifier:",
     "all-rights-reserved": "All rights reserved.",
 }
-KEYWORDS = ("licens", "licenc", "spdx-", "permission is hereby", "permission to use", "redistribution", "free software", "public domain", "all rights reserved", "without warranty", "creative commons")
+#: Every template holds one that no line break can part.
+KEYWORDS = ("licens", "licenc", "spdx-", "permission", "redistribution", "free software", "domain", "reserved", "without warranty", "commons")
 
-#: Lines either side of a hit line that join its block while they hold words.
-AROUND = 1
-#: A block line longer than this is cut to words around the hit, in a window that holds any template.
+#: Words either side of a hit that join its block: more than any template has.
 WINDOW_WORDS = 120
 #: Templates confirmed per block, in the order of their reduction.
 RANKED = 4
@@ -75,25 +77,46 @@ def _tools():
     return a, plain, given, {n: _WORD.findall(t.lower()) for n, t in TEMPLATES.items()}
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans (code points) of the lines around keyword hits; neighbours are joined."""
+def _lower(text: str) -> str:
+    """The text in lower case, at the same places."""
     low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _back(low: str, at: int, stop: int) -> int:
+    """Where the ``WINDOW_WORDS``-th word before ``at`` begins; ``stop`` if fewer words follow it."""
+    size = 12 * WINDOW_WORDS
+    while True:
+        begin = max(stop, at - size)
+        # A word at the edge may begin before it.
+        found = [m.start() for m in _WORD.finditer(low, begin, at)][begin > stop :]
+        if len(found) >= WINDOW_WORDS:
+            return found[-WINDOW_WORDS]
+        if begin == stop:
+            return stop
+        size *= 2
+
+
+def blocks(text: str) -> list[tuple[int, int]]:
+    """Spans (code points) of the words around keyword hits; neighbours are joined."""
+    low = _lower(text)
     out: list[list[int]] = []
+    starts, words = array("q"), iter(())
     for end, n in _tools()[0].iter(low):
-        s = e = end - n + 1
-        for _ in range(AROUND + 1):
-            s = max(low.rfind("\n", 0, s), -1) if s > 0 else -1
-        for _ in range(AROUND + 1):
-            e = len(low) if e >= len(low) else (low.find("\n", e + 1) if low.find("\n", e + 1) >= 0 else len(low))
-        s, e = s + 1, e
-        # Far from a line break, the widest span that a template can fill.
-        s, e = max(s, end - 12 * WINDOW_WORDS), min(e, end + 12 * WINDOW_WORDS)
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
+        s = end - n + 1
+        if not out or s > out[-1][1]:
+            begin = _back(low, s, out[-1][1] if out else 0)
+            if not out or begin > out[-1][1]:
+                out.append([begin, begin])
+                starts, words = array("q"), _WORD.finditer(low, begin)
+        left = WINDOW_WORDS - (len(starts) - bisect_right(starts, s))
+        while left > 0:
+            if (m := next(words, None)) is None:
+                out[-1][1] = len(low)
+                break
+            starts.append(m.start())
+            out[-1][1] = m.end()
+            left -= m.start() > s
     return [(s, e) for s, e in out]
 
 
@@ -101,7 +124,7 @@ def judge(block: str) -> list[tuple[str, float, float, str]]:
     """(template, reduction, share of its words in order, differences) of the confirmed ones."""
     _, plain, given, words = _tools()
     low = block.lower()
-    data = low.encode("utf-8", "surrogatepass")
+    data = " ".join(low.split()).encode("utf-8", "surrogatepass")  # whatever the line width
     size = len(plain.compress(data))
     saved = {n: size - len(c.compress(data)) for n, c in given.items()}
     own = _WORD.findall(low)
