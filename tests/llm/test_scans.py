@@ -81,6 +81,19 @@ def test_wrapped_licenses(docs, words):
     assert got == want
 
 
+def test_every_license_of_a_list(docs, words):
+    own = [(n.split("-notice")[0], t) for n, t in licenses.TEMPLATES.items() if n != "SPDX"] * 3
+    random.Random(3).shuffle(own)
+    rows = [(1, "\n".join(t for _, t in own)), (2, "\n\n".join(f"{words(8)} (see the license)\n{wrapped(t, 60, 'dnl ')}" for _, t in own)), (3, " ".join(["All rights reserved."] * 500)), (4, " ".join(["license the software"] * 5000))]
+    got = {r.doc_id: r for r in licenses.scan(docs(rows)).collect()}
+    for i in (1, 2):
+        assert [f.license for f in got[i].findings] == [n for n, _ in own]
+        assert all(f.share == 1.0 and f.differences.replace("dnl", "").strip("-+; ") == "" for f in got[i].findings)
+    assert got[3].n_licenses == 500 and got[4].n_licenses == 0
+    text = rows[2][1]
+    assert {text[f.start : f.end] for f in got[3].findings} == {"All rights reserved"}
+
+
 def test_language_held_out(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     lang = {r.doc_id: r.lang for r in df.select("doc_id", "lang").collect()}

@@ -1,12 +1,14 @@
 """License scan by conditional compression.
 
 The words near a licence keyword (Aho-Corasick), as many to either side as any
-template has and across line breaks, form candidate blocks. A block is
-compressed with each template as a raw zstandard dictionary; the less is left
-of its plain compressed size, the more of its wording is the template's. The
-templates are ranked by that reduction and the best are confirmed word by word:
-the share of the template's words found in order, with version numbers and
-other differences listed exactly.
+template has and across line breaks, form candidate blocks. Every template is looked for
+in every template-sized window of a block that holds enough of its words, and
+confirmed word by word: the share of the template's words found in order, with
+version numbers and other differences listed exactly. Of confirmed places that
+overlap, the one with most of its wording is kept, then the one whose text,
+compressed with the template as a raw zstandard dictionary, leaves least of its
+plain compressed size. What is left of the block is searched again until no
+template is found, so a list of notices or a repeated one is found whole.
 
 Null and empty texts have no findings; a document without one still has its
 row. Texts of any length are scanned whole, row by row, nothing is shuffled.
@@ -18,11 +20,13 @@ from __future__ import annotations
 import re
 from array import array
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -57,8 +61,6 @@ KEYWORDS = ("licens", "licenc", "spdx-", "permission", "redistribution", "free s
 
 #: Words either side of a hit that join its block: more than any template has.
 WINDOW_WORDS = 120
-#: Templates confirmed per block, in the order of their reduction.
-RANKED = 4
 #: Least share of the template's words found in order.
 LEAST = 0.8
 
@@ -74,7 +76,23 @@ def _tools():
     a.make_automaton()
     plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
     given = {n: zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n, t in TEMPLATES.items()}
-    return a, plain, given, {n: _WORD.findall(t.lower()) for n, t in TEMPLATES.items()}
+    return a, plain, given
+
+
+@lru_cache(maxsize=1)
+def _words():
+    """A number per template word, and of each template its words, their places as bits from either
+    end, which numbers it has (the last: any other word) and how many other words may stand between."""
+    own = {n: _WORD.findall(t.lower()) for n, t in TEMPLATES.items() if n != "SPDX"}  # (an identifier follows SPDX)
+    number = {w: i for i, w in enumerate(sorted({w for ws in own.values() for w in ws}))}
+    out = {}
+    for n, ws in own.items():
+        want = [number[w] for w in ws]
+        known = np.zeros(len(number) + 1, bool)
+        known[want] = True
+        has, back = ({w: sum(1 << i for i, x in enumerate(some) if x == w) for w in set(want)} for some in (want, want[::-1]))
+        out[n] = (want, has, back, known, max(4, len(want) // 4))
+    return number, out
 
 
 def _lower(text: str) -> str:
@@ -120,52 +138,123 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def judge(block: str) -> list[tuple[str, float, float, str]]:
-    """(template, reduction, share of its words in order, differences) of the confirmed ones."""
-    _, plain, given, words = _tools()
-    low = block.lower()
-    data = " ".join(low.split()).encode("utf-8", "surrogatepass")  # whatever the line width
-    size = len(plain.compress(data))
-    saved = {n: size - len(c.compress(data)) for n, c in given.items()}
-    own = _WORD.findall(low)
-    found: list[tuple[str, float, float, str]] = []
-    at: list[tuple[int, int]] = []
-    # Long templates save more bytes; of equal savings the one with fewer words is the closer.
-    for n in sorted(saved, key=lambda n: (-saved[n] / len(TEMPLATES[n]), n))[:RANKED] + sorted(saved, key=lambda n: (-saved[n], n))[:RANKED]:
-        if saved[n] <= 0 or any(n == f[0] for f in found):
-            continue
-        m = SequenceMatcher(None, words[n], own, autojunk=False)
-        share, span, diff = _aligned(m, words[n], own)
-        if share >= LEAST and not any(s < span[1] and span[0] < e for s, e in at):
-            found.append((n, saved[n] / max(size, 1), share, diff))
-            at.append(span)
-    return found
-
-
-def _aligned(m: SequenceMatcher, want: list[str], own: list[str]) -> tuple[float, tuple[int, int], str]:
-    """Of the best place: share of matched words, span in the block's words, wording differences."""
-    best = m.find_longest_match()
-    if not best.size:
-        return 0.0, (0, 0), ""
-    s = max(0, best.b - best.a - 2)
-    e = min(len(own), best.b - best.a + len(want) + 2)
-    m = SequenceMatcher(None, want, own[s:e], autojunk=False)
-    same = [x for x in m.get_matching_blocks() if x.size]
-    first, last = same[0].b, same[-1].b + same[-1].size
-    diff = [f"-{' '.join(want[i1:i2])}+{' '.join(own[s + j1 : s + j2])}" for op, i1, i2, j1, j2 in m.get_opcodes() if op != "equal" and (i1 < i2 or (j1 >= first and j2 <= last))]
-    return sum(x.size for x in same) / len(want), (s + first, s + last), "; ".join(diff)
+def _found(has: dict[int, int], m: int, ids: list[int]) -> int:
+    """How many of a template's ``m`` words are in ``ids`` in order (bit-parallel common subsequence)."""
+    v = full = (1 << m) - 1
+    for w in ids:
+        if w in has:
+            u = v & has[w]
+            v = ((v + u) | (v - u)) & full
+    return m - v.bit_count()
+
+
+def _tight(has: dict[int, int], back: dict[int, int], m: int, ids: list[int], k: int) -> tuple[int, int]:
+    """The span of ``ids`` that ends first, and there begins last, with ``k`` words in order."""
+    ends = []
+    for which, some in ((has, ids), (back, None)):
+        some = ids[ends[0] - 1 :: -1] if some is None else some
+        v = full = (1 << m) - 1
+        for i, w in enumerate(some):
+            if w in which:
+                u = v & which[w]
+                v = ((v + u) | (v - u)) & full
+                if m - v.bit_count() >= k:
+                    ends.append(i + 1)
+                    break
+    return ends[0] - ends[1], ends[0]
+
+
+def _places(ids: np.ndarray, n: str) -> Iterator[tuple[int, int, int]]:
+    """(words found, first, end) of the best place of template ``n`` in every stretch as long as it
+    where it can be: no other window holds enough of its words."""
+    want, has, back, known, room = _words()[1][n]
+    m, size = len(want), len(want) + room
+    least = next(k for k in range(m + 1) if k / m >= LEAST)
+    total = np.concatenate([[0], np.cumsum(known[ids])])
+    begin = np.arange(max(1, len(ids) - size + 1))
+    can = np.flatnonzero(total[np.minimum(begin + size, len(ids))] - total[begin] >= least)
+    if not len(can):
+        return
+    need = Counter(want)
+    for run in np.split(can, np.flatnonzero(np.diff(can) != 1) + 1):
+        for at in range(0, len(run), size):
+            first, many = int(run[at]), min(size, len(run) - at)
+            here = ids[first : first + many - 1 + size].tolist()
+            # Of each window, the template's words in any order: an upper bound.
+            have, bound, bounds = Counter(here[:size]), 0, []
+            bound = sum(min(have[w], c) for w, c in need.items())
+            for i in range(many):
+                if i:
+                    gone, new = here[i - 1], here[i - 1 + size] if i - 1 + size < len(here) else -1
+                    if gone in need:
+                        bound -= have[gone] <= need[gone]
+                        have[gone] -= 1
+                    if new in need:
+                        have[new] += 1
+                        bound += have[new] <= need[new]
+                bounds.append((-bound, i))
+            best, window = least - 1, -1
+            for bound, i in sorted(bounds):
+                if -bound <= best:
+                    break
+                if (k := _found(has, m, here[i : i + size])) > best:
+                    best, window = k, i
+            if window >= 0:
+                s, e = _tight(has, back, m, here[window : window + size], best)
+                yield best, first + window + s, first + window + e
+
+
+def judge(block: str) -> list[tuple[str, float, float, str, int, int]]:
+    """(template, reduction, share of its words in order, differences, span) of every place."""
+    _, plain, given = _tools()
+    number, templates = _words()
+    low = _lower(block)
+    ids, starts, ends = array("i"), array("q"), array("q")
+    for m in _WORD.finditer(low):
+        ids.append(number.get(m[0], -1))
+        starts.append(m.start())
+        ends.append(m.end())
+    all_ids = np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32)
+    out = []
+    left = [(0, len(ids))]
+    while left:  # stretches in which no place is confirmed yet
+        begin, end = left.pop()
+        found = []
+        for n, (want, *_) in templates.items():
+            for k, s, e in _places(all_ids[begin:end], n) if (end - begin) / len(want) >= LEAST else ():
+                s, e = begin + s, begin + e
+                data = " ".join(low[starts[s] : ends[e - 1]].split()).encode("utf-8", "surrogatepass")  # whatever the line width
+                size = len(plain.compress(data))
+                found.append((len(want) - 2 * k, len(given[n].compress(data)) / size - 1, n, s, e, k))
+        taken: list[tuple[int, int]] = []
+        # Most wording first; of equal wording, what its template reduces most.
+        for _, less, n, s, e, k in sorted(found):
+            i = bisect_right(taken, (s, e))
+            if (i and taken[i - 1][1] > s) or (i < len(taken) and taken[i][0] < e):
+                continue
+            taken.insert(i, (s, e))
+            own = [low[starts[i] : ends[i]] for i in range(s, e)]
+            out.append((n, max(0.0, -less), k / len(templates[n][0]), _differences(_WORD.findall(TEMPLATES[n].lower()), own), starts[s], ends[e - 1]))
+        if taken:
+            edges = [begin, *(x for span in taken for x in span), end]
+            left += [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
+    return sorted(out, key=lambda f: f[4:])
+
+
+def _differences(want: list[str], own: list[str]) -> str:
+    m = SequenceMatcher(None, want, own, autojunk=False)
+    return "; ".join(f"-{' '.join(want[i1:i2])}+{' '.join(own[j1:j2])}" for op, i1, i2, j1, j2 in m.get_opcodes() if op != "equal")
 
 
 def find(text: str | None) -> list[dict]:
-    """Confirmed licences of a text with their block's span."""
+    """Confirmed licences of a text with their spans."""
     out = []
     for s, e in blocks(text) if text else ():
         block = text[s:e]
         for m in _ID.finditer(block):
             out.append({"license": m[1], "start": s + m.start(), "end": s + m.end(), "reduction": 1.0, "share": 1.0, "differences": ""})
-        for n, reduction, share, diff in judge(block):
-            if n != "SPDX":
-                out.append({"license": n.split("-notice")[0], "start": s, "end": e, "reduction": reduction, "share": share, "differences": diff})
+        for n, reduction, share, diff, at, to in judge(block):
+            out.append({"license": n.split("-notice")[0], "start": s + at, "end": s + to, "reduction": reduction, "share": share, "differences": diff})
     return out
 
 
