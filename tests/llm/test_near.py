@@ -121,6 +121,28 @@ def test_passages_equal_brute_force(docs, words):
     assert substrings.passages(docs([])).count() == 0
 
 
+def test_passages_that_an_earlier_document_holds_in_part(docs, words):
+    rng, rows = random.Random(8), []
+    for _ in range(40):
+        p, q, r = words(70), words(50), words(60)
+        part = " ".join(q.split()[:40] if rng.random() < 0.5 else q.split()[10:])
+        rows.append(f"{p} {words(20)} {part} {words(30)}")  # all of p, most of q
+        rows.append(f"{words(9)} {q} {words(30)} {r} {words(9)} {p}")
+        rows.append(f"{r} {words(25)} {p} {words(11)} {q}" if rng.random() < 0.5 else f"{p} {q} {words(8)} {r}")
+        rows.append(f"{part} {words(80)} {q}")
+    rows = list(enumerate(rows))
+    held = {}
+    for r in substrings.passages(docs(rows)).collect():
+        held.setdefault(r.doc_id, []).append((r.start, r.end))
+    first, missed = {}, []
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), i) < i and not any(s <= k and k + 50 <= e for s, e in held.get(i, ())):
+                missed.append((i, k))
+    assert not missed
+
+
 def test_one_changed_word_is_aligned():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**60, 120)

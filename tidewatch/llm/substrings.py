@@ -12,9 +12,12 @@ Windows of equal min-hash meet: each with the first document's (a star, never
 all pairs of a hot min-hash). For a pair of documents the windows' intervals
 are laid over each other along their diagonal; where enough functions overlap,
 the passages are aligned exactly and kept if they have at least 50 words and a
-Jaccard similarity of ``SIMILAR``. Windows whose star shows nothing (their
+Jaccard similarity of ``SIMILAR``. Windows that no passage of their star holds (their
 first document shares less than the passage) meet again with the first
 document among those that also agree on a shingle 15 or 30 to either side.
+Last, every run of 50 words that no passage holds yet and that an earlier
+document may have meets the first document with the same run, so exact
+repeats of 50 words are all found.
 
 A row is a passage of ``doc_id`` that an earlier document (``first_id``) holds:
 word offsets, ends exclusive. Null texts and texts under 50 words have none.
@@ -200,9 +203,10 @@ def align(a: np.ndarray, b: np.ndarray, shifts: set[int], least: int = LEAST, ga
     return sorted(out)
 
 
-def passages_of(a: np.ndarray, b: np.ndarray, hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+def passages_of(a: np.ndarray, b: np.ndarray, hits: list[tuple[int, int]], size: int = 1) -> list[tuple[int, int, int, int]]:
     """Passages of a pair whose windows met at places (in a, in b): the diagonal with the most hits
-    first, with its neighbours; hits that a passage covers need no diagonal of their own."""
+    first, with its neighbours; hits (of ``size`` shingles) that a passage covers need no diagonal
+    of their own."""
     out, left = [], hits
     while left:
         counts = Counter(x - y for x, y in left)
@@ -210,7 +214,7 @@ def passages_of(a: np.ndarray, b: np.ndarray, hits: list[tuple[int, int]]) -> li
         near = {d for d in counts if abs(d - best) <= GAP}
         found = align(a, b, near)
         out += [f for f in found if not any(s <= f[0] and f[1] <= e for s, e, _, _ in out)]
-        left = [(x, y) for x, y in left if x - y not in near and not any(s <= x < e for s, e, _, _ in found)]
+        left = [(x, y) for x, y in left if x - y not in near and not any(s <= x and x + size <= e for s, e, _, _ in found)]
     return sorted(out)
 
 
@@ -244,7 +248,7 @@ def _pairs(hits: DataFrame, need: int) -> DataFrame:
     return met.mapInArrow(run, "node long, first long, x array<long>, y array<long>")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verify(docs: DataFrame, pairs: DataFrame, size: int = 1) -> DataFrame:
     """Passages of the pairs; a row of nulls where there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +258,7 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 a, f = node[i].as_py(), first[i].as_py()
                 hits = list(zip(at[i].as_py(), there[i].as_py(), strict=True))
-                found = passages_of(x[i].values.to_numpy(), y[i].values.to_numpy(), hits)
+                found = passages_of(x[i].values.to_numpy(), y[i].values.to_numpy(), hits, size)
                 for s, e, t, u in found or [(None,) * 4]:
                     # A passage of k shingles has k + WIDTH - 1 words.
                     ends = (s, e + S.WIDTH - 1, t, u + S.WIDTH - 1) if found else (None,) * 4
@@ -275,23 +279,92 @@ def _star(rows: DataFrame, *keys: str) -> DataFrame:
     return first.select(*keys, F.col("f.node").alias("first"), F.col("f.place").alias("first_place"))
 
 
+GRAMS = pa.schema([(n, pa.int64()) for n in ("gram", "node", "start")] + [("open", pa.bool_())])
+_ODD = 0x9E3779B97F4A7C15
+
+
+def grams(docs: DataFrame, at: DataFrame, spans: DataFrame) -> DataFrame:
+    """A hash of each run of ``LEAST`` shingles under the windows (node, place) and over their nodes;
+    open: whether no passage of ``spans`` holds it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            for i in range(b.num_rows):
+                s = S.of_words(S.words(b.column(1)[i].as_py()))
+                power, back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(s), x, np.uint64)])) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * power[:-1])])
+                starts = []
+                for first, node, last in map(unpack, b.column(2)[i].as_py()):
+                    starts.append(np.arange(max(first, node - LEAST + 1), min(node, last - LEAST + 1) + 1))
+                start = np.unique(np.concatenate(starts))
+                start = start[start + LEAST <= len(s)]  # (of another text under this doc_id)
+                gram = S.mix((total[start + LEAST] - total[start]) * back[start])
+                open_ = np.ones(len(start), bool)
+                for x in b.column(3)[i].as_py() or ():
+                    open_ &= (start < x["start"]) | (start + WORDS > x["end"])
+                yield to_arrow(GRAMS, gram=gram.view(np.int64), node=np.full(len(start), b.column(0)[i].as_py()), start=start, open=open_)
+
+    places = at.groupBy("node").agg(F.collect_set("place").alias("places")).join(spans, "node", "left")
+    asked = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(places, "node").select("node", "text", "places", "spans")
+    return asked.mapInArrow(run, "gram long, node long, start long, open boolean")
+
+
+def _exact(docs: DataFrame, known: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, first, x, y) of runs of ``LEAST`` equal shingles that no passage holds: each with the
+    first document that has it.
+
+    Such a run lies under one window of the first function, with equal min-hashes in all documents,
+    and two of the anchors that follow each other are inside it.
+    """
+    spans = cut(found.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    node = F.shiftright("place", 32)
+    begin = F.greatest(node - F.shiftright("place", 16).bitwiseAND(F.lit(_SIDE)), node - (LEAST - 1))
+    end = F.least(node + F.col("place").bitwiseAND(F.lit(_SIDE)), node + (LEAST - 1)) + S.WIDTH
+    within = F.coalesce(F.exists("spans", lambda x: (x.start <= begin) & (x.end >= end)), F.lit(False))
+    side = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.shiftrightunsigned("around", 16 * j).bitwiseAND(F.lit((1 << 32) - 1)).alias("marks")) for j in range(len(ANCHORS) - 1)]))
+    one = known.where(F.col("key").bitwiseAND(F.lit(3)) == 0).join(spans, "node", "left")
+    one = one.select("key", "node", "place", ((F.col("node") != F.col("first")) & ~within).alias("open"), side.alias("s")).select("key", "node", "place", "open", "s.j", "s.marks")
+    one = cut(one.where((F.col("marks").bitwiseAND(F.lit(_SIDE)) > 0) & (F.col("marks") > _SIDE)))
+    alike = one.groupBy("key", "j", "marks").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.max("open").alias("o")).where("x < y and o")
+    g = cut(grams(docs, one.join(alike, ["key", "j", "marks"]).select("node", "place").distinct(), spans))
+    first = g.groupBy("gram").agg(F.min(F.struct("node", "start")).alias("f"), F.max("node").alias("last")).where("last > f.node")
+    met = g.where("open").join(first.select("gram", F.col("f.node").alias("first"), F.col("f.start").alias("y")), "gram").where("node <> first")
+    # One of each diagonal, which is aligned whole.
+    hits = met.groupBy("node", "first", (F.col("start") - F.col("y")).alias("d")).agg(F.min("start").alias("x"))
+    return hits.groupBy("node", "first").agg(F.collect_list("x").alias("x"), F.collect_list(F.col("x") - F.col("d")).alias("y"))
+
+
+def _more(found: DataFrame, others: DataFrame) -> DataFrame:
+    """``found`` with the passages of ``others`` that none of the same pair holds."""
+    new, old = others.where("start is not null").alias("n"), found.alias("o")
+    inside = F.expr("n.node = o.node and n.first = o.first and o.start <= n.start and n.end <= o.end")
+    return cut(found.unionByName(new.join(old, inside, "left_anti")))
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, first_id, first_start, first_end, n_words of every passage that an earlier document holds."""
     # Most min-hashes occur once: those that meet are found without their surroundings.
     met = windows(docs, around=False)
     first = _star(met, "key")
-    hits = cut(windows(docs, around=True).join(first, "key").where("node <> first"))
+    known = cut(windows(docs, around=True).join(first, "key"))
+    hits = known.where("node <> first")
     pairs = cut(_pairs(hits, ENOUGH))
-    found = cut(_verify(docs, pairs))
-    seen = found.where("start is not null").select("node", "first").distinct()
-    # Windows whose pair shows no passage: among those alike in their surroundings.
+    found = cut(_verify(docs, pairs).where("start is not null"))
+    # Windows that no passage of their pair holds: among those alike in their surroundings.
     side = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.shiftrightunsigned("around", 16 * j).bitwiseAND(F.lit(_SIDE)).alias("mark")) for j in range(len(ANCHORS))]))
-    left = hits.join(seen, ["node", "first"], "left_anti").select("key", "node", "place", side.alias("s")).select("key", "node", "place", "s.j", "s.mark").where("mark > 0")
-    again = left.join(_star(left, "key", "j", "mark"), ["key", "j", "mark"]).where("node <> first").select("key", "node", "first", "place", "first_place")
-    again = cut(_pairs(again.join(pairs.select("node", "first"), ["node", "first"], "left_anti"), 1))
+    at = F.shiftright("place", 32)
+    held = (F.col("h.node") == F.col("p.node")) & (F.col("h.first") == F.col("p.first")) & at.between(F.col("p.start"), F.col("p.end") - S.WIDTH)
+    left = hits.alias("h").join(found.select("node", "first", "start", "end").alias("p"), held, "left_anti").select("key", "node", "place", side.alias("s")).select("key", "node", "place", "s.j", "s.mark").where("mark > 0")
+    again = left.join(_star(left, "key", "j", "mark"), ["key", "j", "mark"]).where("node <> first").select("key", "node", "first", "place", "first_place", (at - F.shiftright("first_place", 32)).alias("d"))
+    done = pairs.select("node", "first", F.explode(F.zip_with("x", "y", lambda x, y: x - y)).alias("d")).distinct()
+    again = cut(_pairs(again.join(done, ["node", "first", "d"], "left_anti"), 1))
     if again.limit(1).count():
-        found = found.unionByName(_verify(docs, again))
-    kept = found.where("start is not null").distinct()
+        found = _more(found, _verify(docs, again))
+    # Exact passages that are still not held, by all their words.
+    rest = cut(_exact(docs, known, found))
+    if rest.limit(1).count():
+        found = _more(found, _verify(docs, rest, LEAST))
+    kept = found.distinct()
     return kept.select(F.col("node").alias("doc_id"), "start", "end", F.col("first").alias("first_id"), "first_start", "first_end", (F.col("end") - F.col("start")).alias("n_words"))
 
 
