@@ -53,6 +53,17 @@ def test_classes_equal_brute_force(docs, words):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_classes_of_documents_with_repeated_lines(docs, words):
+    rows = []
+    for c in (16, 32, 64):
+        for _ in range(30):
+            base, line = words(84), words(20)
+            rows += [f"{base} {line}", f"{base} {' '.join([line] * c)}"]
+    rows = list(enumerate(rows))
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs(rows)).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) == 90
+
+
 def test_empty_null_and_repeated(docs):
     assert minhash.classes(docs([])).count() == 0
     rows = [(1, None), (2, None), (3, ""), (4, "x"), (4, "x"), (None, "x"), (5, "x")]

@@ -1,11 +1,12 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
-A document is its set of five-word shingles, each weighted by 1 + log2 of how
-often it occurs. A shingle's hash drives a Poisson process of its weight as
-rate, whose arrivals fall on random signature slots; a slot keeps the shingle
-that arrived there first. The processes advance together and one ends when its
-next arrival is later than every slot's (early termination). Slots of two
-documents agree with their probability Jaccard similarity.
+A document is its set of five-word shingles, of equal weight however often they
+occur. A shingle's hash drives a Poisson process of its weight as rate, whose
+arrivals fall on random signature slots; a slot keeps the shingle that arrived
+there first. The processes advance together and one ends when its next arrival
+is later than every slot's (early termination). Slots of two documents agree
+with their probability Jaccard similarity, which for equal weights is the
+Jaccard similarity that is verified.
 
 Equal word sequences are one node, found by a digest that is counted per task
 first. Of the others, signatures are cut into bands; a bucket links its
@@ -96,8 +97,8 @@ def sketch(docs: DataFrame) -> DataFrame:
             words = [S.words(t) for t in b.column(1).to_pylist()]
             sets = []
             for w in words:
-                h, n = np.unique(S.of_words(w), return_counts=True)
-                sets.append((h, 1 + np.log2(n)))
+                h = np.unique(S.of_words(w))
+                sets.append((h, np.ones(len(h))))
             buckets = bands(signatures(sets)).view(np.int64)
             yield to_arrow(SKETCH, doc_id=b.column(0), digest=[hashlib.blake2b(w.tobytes(), digest_size=16).digest() if len(w) else None for w in words], n=[len(h) for h, _ in sets], buckets=list(buckets))
 
