@@ -72,6 +72,16 @@ def test_empty_null_and_repeated(docs):
     assert sorted([r.doc_id for r in minhash.keep_first(docs(rows)).collect()], key=repr) == sorted([1, 2, 3, 4, None], key=repr)
 
 
+def test_of_a_doc_id_with_two_texts_the_one_of_its_own_class_stays(docs, words):
+    rows = []
+    for i in range(0, 200, 2):
+        copied = words(30)
+        rows += [(i, copied), (i + 1, copied), (i + 1, words(30))]
+    df = docs(rows)
+    want = sorted([t for k, (_, t) in enumerate(rows) if k % 3 != 1])
+    assert sorted(r.text for r in minhash.keep_first(df).collect()) == want
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(2)
     a, b, both = (shingles.mix(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (30, 30, 140))

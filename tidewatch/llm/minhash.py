@@ -85,12 +85,12 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return total
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("buckets", pa.list_(pa.int64()))])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("buckets", pa.list_(pa.int64()))])
 SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the words (null: none), distinct shingles, buckets."""
+    """doc_id, hash of the text, digest of the words (null: none), distinct shingles, buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -100,9 +100,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 h = np.unique(S.of_words(w))
                 sets.append((h, np.ones(len(h))))
             buckets = bands(signatures(sets)).view(np.int64)
-            yield to_arrow(SKETCH, doc_id=b.column(0), digest=[hashlib.blake2b(w.tobytes(), digest_size=16).digest() if len(w) else None for w in words], n=[len(h) for h, _ in sets], buckets=list(buckets))
+            yield to_arrow(SKETCH, doc_id=b.column(0), text_hash=b.column(2), digest=[hashlib.blake2b(w.tobytes(), digest_size=16).digest() if len(w) else None for w in words], n=[len(h) for h, _ in sets], buckets=list(buckets))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary, n long, buckets array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, digest binary, n long, buckets array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -152,6 +152,11 @@ def across(apart: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataF
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id: the least doc_id of its class. One row per row of ``docs``."""
+    return _labelled(docs, similar).select("doc_id", "class_id")
+
+
+def _labelled(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, hash of the text, class_id."""
     known = cut(sketch(docs))
     node = known.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "buckets")).alias("x"))
     nodes = cut(node.select("digest", F.col("x.doc_id").alias("node"), F.col("x.n").alias("n"), F.col("x.buckets").alias("buckets")))
@@ -174,12 +179,16 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         found = cut(verified(late, sets, similar))
         if found.limit(1).count():
             labels = components(found, labels)
-    named = known.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest", "left")
-    return named.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node", "doc_id").alias("class_id"))
+    named = known.select("doc_id", "text_hash", "digest").join(nodes.select("digest", "node"), "digest", "left")
+    return named.join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node", "doc_id").alias("class_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least doc_id; rows without a doc_id all stay."""
-    first = classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each class, the one with the least doc_id; rows without a doc_id all stay.
+
+    Of several texts under that doc_id, one whose own class it is stays.
+    """
+    first = _labelled(docs).where("doc_id = class_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    first = first.select(F.col("doc_id").alias("_first"), F.col("text_hash").alias("_text_hash"))
+    kept = docs.join(first, (docs["doc_id"] == first["_first"]) & (F.xxhash64(docs["text"]) == first["_text_hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
