@@ -9,7 +9,9 @@ import types
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: The words of every operator: runs of anything but ASCII white space.
@@ -77,5 +79,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def slices_by_size(batches: Iterator[pa.RecordBatch], column: int, rows: int = 256, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows that end once their texts in ``column`` reach ``size`` bytes."""
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            to = min(at + rows, int(np.searchsorted(upto, before + size)) + 1, b.num_rows)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def to_arrow(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
