@@ -15,6 +15,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # of a repeated key in a JSON object the last value counts, instead of the record being lost
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
