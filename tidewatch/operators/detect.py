@@ -1,11 +1,16 @@
 """Rule-based detectors over the canonical event table (D-1 .. D-9).
 
-Every detector is a plan: filter the rows it needs, find each group's densest
-window (:mod:`.windows`), gather statistics of the rows inside that window and
-keep the groups over threshold. Output rows share one schema
-(:data:`DETECTION_COLUMNS`) so they union into a single detections table; the
-per-type evidence sits in one struct whose unused fields are null (``to_json``
-drops them at the sink).
+The rules run together, whichever of them are asked for. A row of the log is
+tagged with the rules it counts for, and one window chain (:mod:`.windows`)
+finds the densest window of every (rule, source, target), each rule with its
+width. Windows with too few rows to fire go; what is left is small and is
+stored. One join brings the rows inside the windows back, which become one row
+per distinct value (user, port, host, path) of a window; statistics, port
+gaps and first-ten lists are one window and one aggregate over those.
+
+Output rows share one schema (:data:`DETECTION_COLUMNS`); the per-type evidence
+sits in one struct whose unused fields are null (``to_json`` drops them at the
+sink).
 """
 
 from __future__ import annotations
@@ -13,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.firstk import first_k_distinct
 from ..functions.rules import is_error_status, is_suspicious_path
+from ..session import cut_lineage
 from .windows import densest_window, rows_in_window
 
 # ---- fixed values: windows and thresholds of the rules --------------------
@@ -83,78 +88,61 @@ def has_any(df: DataFrame, col: str) -> bool:
     return len(df.where(F.col(col).isNotNull()).select(col).limit(1).collect()) > 0
 
 
-def _failed(df: DataFrame) -> Column:
+def _failed() -> Column:
     return F.coalesce(F.col("failed_attempts"), F.lit(0.0)) >= 1
 
 
-# ---------------------------------------------------------------- D-1
-def brute_force(df: DataFrame, bucket_minutes: int | None = None) -> DataFrame:
-    """Many failures against one (source IP, username) inside 10 minutes.
+# ---------------------------------------------------------------- windows of all rules
+BRUTE, SPRAY, SCAN, PROBE = (DETECTOR_ORDER[k] for k in ("brute_force", "credential_spray", "port_scan", "endpoint_probe"))
+RULES = (BRUTE, SPRAY, SCAN, PROBE)
+WIDTH_MIN = {BRUTE: BRUTE_FORCE_WINDOW_MIN, SPRAY: SPRAY_WINDOW_MIN, SCAN: PORT_SCAN_WINDOW_MIN, PROBE: PROBE_WINDOW_MIN}
+#: A window of fewer rows can't fire: distinct values and hits are no more than rows.
+LEAST_ROWS = {BRUTE: BRUTE_FORCE_THRESHOLD, SPRAY: SPRAY_USER_THRESHOLD, SCAN: PORT_SCAN_THRESHOLD,
+              PROBE: min(PROBE_PATH_THRESHOLD, PROBE_SUSPICIOUS_THRESHOLD)}
 
-    Keyed by (ip, username) when the dataset has any username (failures without
-    one are then skipped), else by ip alone with target ``unattributed``.
-    """
-    failed = df.where(_failed(df) & F.col("source_ip").isNotNull() & F.col("timestamp").isNotNull())
-    if has_any(df, "username"):
-        failed = failed.where(F.col("username").isNotNull())
-        keys = ["source_ip", "username"]
-    else:
-        failed = failed.withColumn("username", F.lit(None).cast("string"))
-        keys = ["source_ip", "username"]
-    win = densest_window(failed, keys, "timestamp", BRUTE_FORCE_WINDOW_MIN, bucket_minutes)
-    hit = win.where(F.col("window_count") >= BRUTE_FORCE_THRESHOLD)
+
+def _by_rule(values: dict[int, object], rules) -> Column:
+    """The rule's value, of the rules in use."""
+    out = F.lit(values[rules[-1]])
+    for r in rules[:-1]:
+        out = F.when(F.col("rule") == r, F.lit(values[r])).otherwise(out)
+    return out
+
+
+def _usable(df: DataFrame) -> DataFrame:
+    return df.where(F.col("source_ip").isNotNull() & F.col("timestamp").isNotNull())
+
+
+def _tags(rules, has_users: bool) -> Column:
+    """The rules a row counts for, as (rule, target); only brute force looks at each target by itself."""
+    failed, user = _failed(), F.col("username")
+    counts = {BRUTE: failed & user.isNotNull() if has_users else failed, SPRAY: failed & user.isNotNull(),
+              SCAN: F.col("port").isNotNull(), PROBE: F.col("request_path").isNotNull()}
+    none = F.lit(None).cast("string")
+    tag = lambda r: F.struct(F.lit(r).alias("rule"), (user if r == BRUTE and has_users else none).alias("target"))
+    return F.array_compact(F.array(*[F.when(counts[r], tag(r)) for r in rules]))
+
+
+def _windows(df: DataFrame, rules, bucket_minutes: int | None) -> DataFrame:
+    """rule, source_ip, target and the densest window of each that has rows enough to fire."""
+    tagged = _usable(df).select("source_ip", "timestamp", F.inline(_tags(rules, BRUTE in rules and has_any(df, "username"))))
+    win = densest_window(tagged, ["rule", "source_ip", "target"], "timestamp", max(WIDTH_MIN[r] for r in rules),
+                         bucket_minutes, _by_rule(WIDTH_MIN, rules))
+    return win.where(F.col("window_count") >= _by_rule(LEAST_ROWS, rules))
+
+
+# ---------------------------------------------------------------- D-1
+def _brute_force(win: DataFrame) -> DataFrame:
     n = F.col("window_count")
-    return hit.select(*_detection(
+    return win.where(F.col("rule") == BRUTE).select(*_detection(
         "brute_force", F.col("source_ip"), F.col("window_start"), F.col("window_end"),
         F.least(F.lit(1.0), n / F.lit(3.0 * BRUTE_FORCE_THRESHOLD)), n,
-        F.when(F.col("username").isNotNull(), F.array(F.col("username"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("target").isNotNull(), F.array(F.col("target"))).otherwise(F.array().cast("array<string>")),
         evidence(failed_attempts_in_window=n,
-                 target_username=F.coalesce(F.col("username"), F.lit("unattributed")),
+                 target_username=F.coalesce(F.col("target"), F.lit("unattributed")),
                  window_minutes=F.lit(float(BRUTE_FORCE_WINDOW_MIN)))))
 
 
-# ---------------------------------------------------------------- D-2
-def credential_spray(df: DataFrame, order_col: str = "row_id", bucket_minutes: int | None = None,
-                     max_avg_attempts: float = SPRAY_MAX_AVG_ATTEMPTS) -> DataFrame:
-    """Failures from one source IP spread over many usernames inside 10 minutes.
-
-    Stands down (no rows) without usernames. ``targeted_usernames`` carries the
-    first 10 accounts in input order; :func:`spray_targets` gives the full list
-    as rows.
-    """
-    failed = df.where(_failed(df) & F.col("source_ip").isNotNull() & F.col("timestamp").isNotNull()
-                      & F.col("username").isNotNull())
-    win = densest_window(failed, ["source_ip"], "timestamp", SPRAY_WINDOW_MIN, bucket_minutes)
-    # a spray needs at least as many rows as distinct users: exact pre-filter
-    win = win.where(F.col("window_count") >= SPRAY_USER_THRESHOLD)
-    inside = rows_in_window(failed.select("source_ip", "timestamp", "username", order_col), win,
-                            ["source_ip"], "timestamp", SPRAY_WINDOW_MIN, bucket_minutes)
-    stats = inside.groupBy("source_ip", "window_start", "window_end").agg(
-        F.countDistinct("username").alias("users"), F.count(F.lit(1)).alias("attempts"))
-    stats = stats.withColumn("avg", F.col("attempts") / F.col("users"))
-    hit = stats.where((F.col("users") >= SPRAY_USER_THRESHOLD) & (F.col("avg") <= F.lit(max_avg_attempts)))
-    sample = first_k_distinct(inside, ["source_ip"], "username", order_col, SAMPLE_LIST_SIZE, "targets")
-    hit = hit.join(sample, "source_ip", "left")
-    users = F.col("users")
-    return hit.select(*_detection(
-        "credential_spray", F.col("source_ip"), F.col("window_start"), F.col("window_end"),
-        F.least(F.lit(1.0), users / F.lit(3.0 * SPRAY_USER_THRESHOLD)), F.col("attempts"),
-        F.coalesce(F.col("targets"), F.array().cast("array<string>")),
-        evidence(distinct_usernames_targeted=users, total_failed_attempts=F.col("attempts"),
-                 avg_attempts_per_user=F.round(F.col("avg"), 2),
-                 window_minutes=F.lit(float(SPRAY_WINDOW_MIN)))))
-
-
-def spray_targets(df: DataFrame, order_col: str = "row_id", bucket_minutes: int | None = None) -> DataFrame:
-    """Every (source_ip, username) targeted inside a spray window, with its first row."""
-    det = credential_spray(df, order_col, bucket_minutes).select("source_ip", "window_start", "window_end")
-    failed = df.where(_failed(df) & F.col("source_ip").isNotNull() & F.col("timestamp").isNotNull()
-                      & F.col("username").isNotNull())
-    inside = rows_in_window(failed.select("source_ip", "timestamp", "username", order_col), det,
-                            ["source_ip"], "timestamp", SPRAY_WINDOW_MIN, bucket_minutes)
-    return inside.groupBy("source_ip", "username").agg(F.min(order_col).alias("first_row"))
-
-
 # ---------------------------------------------------------------- D-3 / D-4
 def port_gaps(ports: DataFrame, group: list[str], port: str) -> DataFrame:
     """Per group of distinct ports (rows): ``n_ports`` and the share of neighbour gaps <= 3 (< 2 ports: 0).
@@ -168,69 +156,137 @@ def port_gaps(ports: DataFrame, group: list[str], port: str) -> DataFrame:
     return g.select(*group, "n_ports", ratio.alias("sequential_ratio"))
 
 
+# ---------------------------------------------------------------- D-2 .. D-7
+_USER, _PORT, _HOST, _PATH = range(4)
+_SLICES = 16
+
+
+def _values(df: DataFrame, win: DataFrame, rules, order_col: str, bucket_minutes: int | None) -> DataFrame:
+    """One row per distinct value inside a window: rule, kind, value, port, n rows, errors, first row."""
+    rows = _usable(df).select("source_ip", "timestamp", "username", F.col("port").cast("long").alias("port"), "destination_ip",
+                              "request_path", "status_code", order_col, F.inline(_tags(rules, False)))
+    keys = ["rule", "source_ip"]
+    inside = rows_in_window(rows, win.select(*keys, "window_start", "window_end"), keys, "timestamp",
+                            max(WIDTH_MIN[r] for r in rules), bucket_minutes)
+    none = F.lit(None).cast("long")
+    value = lambda kind, c, port=none: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("value"), port.alias("port"))
+    found = (F.when(F.col("rule") == SPRAY, F.array(value(_USER, F.col("username"))))
+              .when(F.col("rule") == PROBE, F.array(value(_PATH, F.col("request_path"))))
+              .otherwise(F.array_compact(F.array(value(_PORT, F.col("port"), F.col("port")),
+                                                 F.when(F.col("destination_ip").isNotNull(), value(_HOST, F.col("destination_ip")))))))
+    error = is_error_status(F.col("status_code")).cast("int")
+    each = inside.select(*keys, "window_start", "window_end", error.alias("error"), F.col(order_col).alias("_o"), F.inline(found))
+    return each.groupBy(*keys, "window_start", "window_end", "kind", "value", "port").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("error").alias("errors"), F.min("_o").alias("first"))
+
+
+def _statistics(values: DataFrame) -> DataFrame:
+    """Per window: distinct values, rows, errors, sensitive hits, close port neighbours, and the first ten values.
+
+    The ports of a window are at most 65 536 and are ordered together; other values are ranked in
+    slices, whose first ten hold the window's.
+    """
+    key = ["rule", "source_ip", "window_start", "window_end"]
+    part = F.when(F.col("kind") == _PORT, 0).otherwise(F.pmod(F.xxhash64("value"), F.lit(_SLICES)))
+    order = Window.partitionBy(*key, "kind", part).orderBy("port", "first", "value")
+    v = values.withColumn("rank", F.row_number().over(order)).withColumn("close", F.col("port") - F.lag("port").over(order) <= SEQUENTIAL_GAP)
+    own = F.col("kind") != _HOST
+    listed = (F.col("kind") != _PORT) & (F.col("rank") <= SAMPLE_LIST_SIZE)
+    sample = F.array_sort(F.collect_list(F.when(listed, F.struct("first", "value"))))
+    return v.groupBy(*key).agg(
+        F.count_if(own).alias("distinct"), F.sum(F.when(own, F.col("n"))).alias("rows"),
+        F.sum(F.when(own, F.col("errors"))).alias("errors"),
+        F.coalesce(F.sum(F.when((F.col("kind") == _PATH) & is_suspicious_path(F.col("value")), F.col("n"))), F.lit(0)).alias("hits"),
+        F.count_if("close").alias("close"),
+        F.transform(F.slice(sample, 1, SAMPLE_LIST_SIZE), lambda x: x["value"]).alias("sample"))
+
+
+def _value_rules(stats: DataFrame, max_avg_attempts: float) -> DataFrame:
+    """The detections of spraying, scanning and probing."""
+    is_spray, is_scan, is_probe = (F.col("rule") == r for r in (SPRAY, SCAN, PROBE))
+    n, rows, hits = F.col("distinct"), F.col("rows"), F.col("hits")
+    avg = rows / n
+    seq = F.when(n < 2, 0.0).otherwise(F.col("close") / (n - 1).cast("double"))
+    err = F.col("errors") / rows.cast("double")
+    fires = ((is_spray & (n >= SPRAY_USER_THRESHOLD) & (avg <= F.lit(max_avg_attempts)))
+             | (is_scan & (n >= PORT_SCAN_THRESHOLD))
+             | (is_probe & (((n >= PROBE_PATH_THRESHOLD) & (err >= PROBE_ERROR_RATIO)) | (hits >= PROBE_SUSPICIOUS_THRESHOLD))))
+    full = {SPRAY: 3.0 * SPRAY_USER_THRESHOLD, SCAN: 3.0 * PORT_SCAN_THRESHOLD, PROBE: 3.0 * PROBE_PATH_THRESHOLD}
+    many = F.least(F.lit(1.0), n / _by_rule(full, (SPRAY, SCAN, PROBE)))
+    severity = F.when(is_probe, F.greatest(many, F.least(F.lit(1.0), hits / F.lit(3.0 * PROBE_SUSPICIOUS_THRESHOLD)))).otherwise(many)
+    nobody = F.array().cast("array<string>")
+    names = {r: k for k, r in DETECTOR_ORDER.items()}
+    return stats.where(fires).select(
+        _by_rule(names, (SPRAY, SCAN, PROBE)).alias("detection_type"), F.col("rule").alias("detector_order"), "source_ip",
+        "window_start", "window_end", severity.cast("double").alias("severity"), rows.cast("long").alias("event_count"),
+        F.when(is_spray, F.col("sample")).otherwise(nobody).alias("targeted_usernames"),
+        evidence(distinct_usernames_targeted=F.when(is_spray, n), total_failed_attempts=F.when(is_spray, rows),
+                 avg_attempts_per_user=F.when(is_spray, F.round(avg, 2)),
+                 distinct_ports_contacted=F.when(is_scan, n), target_hosts=F.when(is_scan, F.col("sample")),
+                 sequential_pattern=F.when(is_scan, seq >= SEQUENTIAL_FLAG_RATIO), sequential_ratio=F.when(is_scan, F.round(seq, 2)),
+                 distinct_paths_requested=F.when(is_probe, n), error_response_ratio=F.when(is_probe, F.round(err, 2)),
+                 suspicious_path_hits=F.when(is_probe, hits), sample_paths=F.when(is_probe, F.col("sample")),
+                 window_minutes=_by_rule({r: float(WIDTH_MIN[r]) for r in RULES}, (SPRAY, SCAN, PROBE))).alias("evidence"))
+
+
+# ---------------------------------------------------------------- D-8
+def rule_detections(df: DataFrame, order_col: str = "row_id", bucket_minutes: int | None = None,
+                    rules=RULES, max_avg_attempts: float = SPRAY_MAX_AVG_ATTEMPTS) -> DataFrame:
+    """The detections of ``rules``. No usable source IP -> no rows.
+
+    The log is read once for the windows and once for the rows inside them, whatever the number of rules.
+    """
+    win = _windows(df, rules, bucket_minutes)
+    valued = tuple(r for r in rules if r != BRUTE)
+    if not valued:
+        return _brute_force(win)
+    win = cut_lineage(win)      # read by the join and by brute force
+    inside = _values(df, win.where(F.col("rule") != BRUTE), valued, order_col, bucket_minutes)
+    found = _value_rules(_statistics(inside), max_avg_attempts)
+    return _brute_force(win).unionByName(found) if BRUTE in rules else found
+
+
+def brute_force(df: DataFrame, bucket_minutes: int | None = None) -> DataFrame:
+    """D-1: many failures against one (source IP, username) inside 10 minutes.
+
+    Keyed by (ip, username) when the dataset has any username (failures without
+    one are then skipped), else by ip alone with target ``unattributed``.
+    """
+    return rule_detections(df, bucket_minutes=bucket_minutes, rules=(BRUTE,))
+
+
+def credential_spray(df: DataFrame, order_col: str = "row_id", bucket_minutes: int | None = None,
+                     max_avg_attempts: float = SPRAY_MAX_AVG_ATTEMPTS) -> DataFrame:
+    """D-2: failures from one source IP spread over many usernames inside 10 minutes.
+
+    Stands down (no rows) without usernames. ``targeted_usernames`` carries the
+    first 10 accounts in input order; :func:`spray_targets` gives the full list
+    as rows.
+    """
+    return rule_detections(df, order_col, bucket_minutes, (SPRAY,), max_avg_attempts)
+
+
 def port_scan(df: DataFrame, order_col: str = "row_id", bucket_minutes: int | None = None) -> DataFrame:
-    """One source IP touching many distinct ports inside 5 minutes."""
-    scoped = (df.where(F.col("source_ip").isNotNull() & F.col("timestamp").isNotNull() & F.col("port").isNotNull())
-                .select("source_ip", "timestamp", F.col("port").cast("long").alias("port_i"),
-                        "destination_ip", order_col))
-    win = densest_window(scoped, ["source_ip"], "timestamp", PORT_SCAN_WINDOW_MIN, bucket_minutes)
-    win = win.where(F.col("window_count") >= PORT_SCAN_THRESHOLD)   # distinct ports <= rows
-    inside = rows_in_window(scoped, win, ["source_ip"], "timestamp", PORT_SCAN_WINDOW_MIN, bucket_minutes)
-    group = ["source_ip", "window_start", "window_end"]
-    ports = inside.groupBy(*group, "port_i").agg(F.count(F.lit(1)).alias("n"))
-    stats = port_gaps(ports, group, "port_i").join(ports.groupBy(*group).agg(F.sum("n").alias("rows")), group)
-    stats = stats.where(F.col("n_ports") >= PORT_SCAN_THRESHOLD).withColumnRenamed("sequential_ratio", "seq")
-    hosts = first_k_distinct(inside, ["source_ip"], "destination_ip", order_col, SAMPLE_LIST_SIZE, "hosts")
-    hit = stats.join(hosts, "source_ip", "left")
-    n = F.col("n_ports")
-    return hit.select(*_detection(
-        "port_scan", F.col("source_ip"), F.col("window_start"), F.col("window_end"),
-        F.least(F.lit(1.0), n / F.lit(3.0 * PORT_SCAN_THRESHOLD)), F.col("rows"), None,
-        evidence(distinct_ports_contacted=n,
-                 target_hosts=F.coalesce(F.col("hosts"), F.array().cast("array<string>")),
-                 sequential_pattern=F.col("seq") >= SEQUENTIAL_FLAG_RATIO,
-                 sequential_ratio=F.round(F.col("seq"), 2),
-                 window_minutes=F.lit(float(PORT_SCAN_WINDOW_MIN)))))
-
-
-# ---------------------------------------------------------------- D-5 .. D-7
+    """D-3 / D-4: one source IP touching many distinct ports inside 5 minutes."""
+    return rule_detections(df, order_col, bucket_minutes, (SCAN,))
+
+
 def endpoint_probe(df: DataFrame, order_col: str = "row_id", bucket_minutes: int | None = None) -> DataFrame:
-    """Many distinct paths with mostly error responses, or repeated sensitive paths,
+    """D-5 .. D-7: many distinct paths with mostly error responses, or repeated sensitive paths,
     from one source IP inside 10 minutes."""
-    scoped = (df.where(F.col("source_ip").isNotNull() & F.col("timestamp").isNotNull()
-                       & F.col("request_path").isNotNull())
-                .select("source_ip", "timestamp", "request_path", "status_code", order_col))
-    win = densest_window(scoped, ["source_ip"], "timestamp", PROBE_WINDOW_MIN, bucket_minutes)
-    min_rows = min(PROBE_PATH_THRESHOLD, PROBE_SUSPICIOUS_THRESHOLD)
-    win = win.where(F.col("window_count") >= min_rows)   # either trigger needs this many rows
-    inside = rows_in_window(scoped, win, ["source_ip"], "timestamp", PROBE_WINDOW_MIN, bucket_minutes)
-    stats = inside.groupBy("source_ip", "window_start", "window_end").agg(
-        F.countDistinct("request_path").alias("paths"),
-        F.avg(F.when(is_error_status(F.col("status_code")), 1.0).otherwise(0.0)).alias("err"),
-        F.count_if(is_suspicious_path(F.col("request_path"))).alias("hits"),
-        F.count(F.lit(1)).alias("rows"))
-    trig = (((F.col("paths") >= PROBE_PATH_THRESHOLD) & (F.col("err") >= PROBE_ERROR_RATIO))
-            | (F.col("hits") >= PROBE_SUSPICIOUS_THRESHOLD))
-    stats = stats.where(trig)
-    sample = first_k_distinct(inside, ["source_ip"], "request_path", order_col, SAMPLE_LIST_SIZE, "sample")
-    hit = stats.join(sample, "source_ip", "left")
-    sev = F.greatest(F.least(F.lit(1.0), F.col("paths") / F.lit(3.0 * PROBE_PATH_THRESHOLD)),
-                     F.least(F.lit(1.0), F.col("hits") / F.lit(3.0 * PROBE_SUSPICIOUS_THRESHOLD)))
-    return hit.select(*_detection(
-        "endpoint_probe", F.col("source_ip"), F.col("window_start"), F.col("window_end"), sev,
-        F.col("rows"), None,
-        evidence(distinct_paths_requested=F.col("paths"), error_response_ratio=F.round(F.col("err"), 2),
-                 suspicious_path_hits=F.col("hits"),
-                 sample_paths=F.coalesce(F.col("sample"), F.array().cast("array<string>")),
-                 window_minutes=F.lit(float(PROBE_WINDOW_MIN)))))
+    return rule_detections(df, order_col, bucket_minutes, (PROBE,))
 
 
-# ---------------------------------------------------------------- D-8
-def rule_detections(df: DataFrame, order_col: str = "row_id", bucket_minutes: int | None = None) -> DataFrame:
-    """The four rules, concatenated in detector order. No usable source IP -> no rows."""
-    parts = [brute_force(df, bucket_minutes), credential_spray(df, order_col, bucket_minutes),
-             port_scan(df, order_col, bucket_minutes), endpoint_probe(df, order_col, bucket_minutes)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def spray_targets(df: DataFrame, order_col: str = "row_id", bucket_minutes: int | None = None,
+                  detections: DataFrame | None = None) -> DataFrame:
+    """Every (source_ip, username) targeted inside a spray window, with its first row.
+
+    ``detections`` (stored ones) saves finding the windows again.
+    """
+    if detections is None:
+        detections = credential_spray(df, order_col, bucket_minutes)
+    spray = detections.where(F.col("detection_type") == "credential_spray").select("source_ip", "window_start", "window_end")
+    failed = _usable(df).where(_failed() & F.col("username").isNotNull())
+    inside = rows_in_window(failed.select("source_ip", "timestamp", "username", order_col), spray,
+                            ["source_ip"], "timestamp", SPRAY_WINDOW_MIN, bucket_minutes)
+    return inside.groupBy("source_ip", "username").agg(F.min(order_col).alias("first_row"))

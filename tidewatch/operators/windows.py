@@ -49,14 +49,15 @@ def bucket_of(us: Column, b_us: int) -> Column:
 
 
 def densest_window(df: DataFrame, keys: Sequence[str], ts_col: str, width_minutes: float,
-                   bucket_minutes: int | None = None) -> DataFrame:
+                   bucket_minutes: int | None = None, width_of: Column | None = None) -> DataFrame:
     """One row per group: ``keys..., window_count, window_start, window_end``.
 
-    ``window_start``/``window_end`` are TIMESTAMP_NTZ.
+    ``window_start``/``window_end`` are TIMESTAMP_NTZ. Groups may differ in width: ``width_of`` gives
+    a group's width in minutes from its keys, ``width_minutes`` is then the largest.
     """
     keys = list(keys)
-    width_us = int(width_minutes * MINUTE_US)
-    b_us = _bucket_us(width_us, bucket_minutes)
+    b_us = _bucket_us(int(width_minutes * MINUTE_US), bucket_minutes)
+    width = F.lit(int(width_minutes * MINUTE_US)) if width_of is None else (width_of * MINUTE_US).cast("long")
 
     # events of one instant are counted first (map-side), so a flood is as many rows as it has instants
     base = (df.where(F.col(ts_col).isNotNull())
@@ -66,10 +67,10 @@ def densest_window(df: DataFrame, keys: Sequence[str], ts_col: str, width_minute
     # own row, its probe, and (near the end of a bucket) a context copy for the next bucket
     copies = F.array(
         F.struct(bucket.alias("b"), F.col("t").alias("pos"), F.lit(0).alias("kind"), F.col("t").alias("t_end")),
-        F.struct(bucket.alias("b"), (F.col("t") - F.lit(width_us)).alias("pos"), F.lit(-1).alias("kind"),
+        F.struct(bucket.alias("b"), (F.col("t") - width).alias("pos"), F.lit(-1).alias("kind"),
                  F.col("t").alias("t_end")),
     )
-    copies = F.when(F.col("t") >= next_start - F.lit(width_us),
+    copies = F.when(F.col("t") >= next_start - width,
                     F.array_append(copies, F.struct((bucket + 1).alias("b"), F.col("t").alias("pos"),
                                                     F.lit(1).alias("kind"), F.col("t").alias("t_end"))))\
               .otherwise(copies)
@@ -118,12 +119,12 @@ def rows_in_window(df: DataFrame, windows: DataFrame, keys: Sequence[str], ts_co
     ev = (df.where(F.col(ts_col).isNotNull())
             .withColumn("_ts_us", epoch_us(ts_col))
             .withColumn("_bucket", bucket_of(F.col("_ts_us"), b_us)))
-    win = (windows.select(*keys, "window_start", "window_end",
+    # both sides may stem from one frame: the window side gets names of its own
+    win = (windows.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+                          F.col("window_start").alias("_start"), F.col("window_end").alias("_end"),
                           epoch_us("window_start").alias("_ws"), epoch_us("window_end").alias("_we"))
-                  .withColumn("_bucket", F.explode(F.sequence(bucket_of(F.col("_ws"), b_us),
-                                                              bucket_of(F.col("_we"), b_us)))))
-    cond = [ev[k].eqNullSafe(win[k]) for k in keys] + [ev["_bucket"] == win["_bucket"],
-                                                       ev["_ts_us"] >= win["_ws"],
-                                                       ev["_ts_us"] <= win["_we"]]
+                  .withColumn("_at", F.explode(F.sequence(bucket_of(F.col("_ws"), b_us), bucket_of(F.col("_we"), b_us)))))
+    cond = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)] + [
+        F.col("_bucket") == F.col("_at"), F.col("_ts_us") >= F.col("_ws"), F.col("_ts_us") <= F.col("_we")]
     out = ev.join(win, cond, "inner")
-    return out.select(*[ev[c] for c in df.columns], win["window_start"], win["window_end"])
+    return out.select(*df.columns, F.col("_start").alias("window_start"), F.col("_end").alias("window_end"))

@@ -73,7 +73,7 @@ def analyse_file(spark: SparkSession, path: str, root: str, dataset_id: str,
     result.alerts.write.parquet(at["alerts"])
     result.evidence.write.parquet(at["alert_evidence"])
     # every account of a spray, where a detection only names the first ten
-    spray_targets(stored, "row_id").write.parquet(at["spray_targets"])
+    spray_targets(stored, "row_id", detections=spark.read.parquet(at["detections"])).write.parquet(at["spray_targets"])
     summary = {r["column_name"]: {"mapped_field": r["mapped_field"], "confidence": r["confidence"],
                                   "source": r["source"], "inferred_dtype": r["inferred_dtype"],
                                   "sample_values": list(r["sample_values"])}
