@@ -2,6 +2,8 @@
 
 * :func:`document_tfidf_summary` - the matcher's TF-IDF applied to a whole text
   table (every word of every document), summarised per document.
+* :func:`embed` and :func:`cosine_similarity` - an embedding model, or vectors from
+  a table, as the similarity of the column matcher (``match_scores(similarity=...)``).
 * :func:`embedding_concept_match` - the embedding form of matching: every vector
   against a small set of concept vectors (here the per-label centroids derived
   from the table itself), cosine, softmax at temperature 0.1, best concept.
@@ -9,11 +11,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numfmt import rnd
 from .matching import EMBEDDING_TEMPERATURE, tfidf_vectors
+from .ontology import CONCEPTS
 
 
 def document_tfidf_summary(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,6 +32,46 @@ def document_tfidf_summary(docs: DataFrame, doc_col: str = "doc_id", text_col: s
         F.max(rnd(F.col("w"), 6)).alias("top_weight"))
 
 
+def embed(texts: DataFrame, text_col: str, make_model: Callable[[], Callable], batch_size: int = 256) -> DataFrame:
+    """``texts`` with a column ``vector array<double>`` by an embedding model.
+
+    ``make_model`` loads the model once per Python worker and returns a function from an array of
+    texts to an (n, dimensions) array; texts reach it in Arrow batches.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+
+    model = predict_batch_udf(make_model, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+    return texts.withColumn("vector", model(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def cosine_similarity(columns: DataFrame, concepts: DataFrame) -> DataFrame:
+    """``dataset_id, column_name, concept, sim``: each column's vector against each concept's.
+
+    Takes ``dataset_id, column_name, vector`` and ``concept, vector``. The concepts are one broadcast
+    row (at most ``MOST_CONCEPTS``, else an error); a column's cosines are computed in its row. A null
+    or zero vector, or one of another length, is similar to nothing (0).
+    """
+    double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    known = concepts.select("concept", double("vector").alias("v")).withColumn("n", length(F.col("v")))
+    one = known.agg(F.collect_list(F.struct("concept", "v", "n")).alias("concepts")).withColumn(
+        "concepts", F.when(F.size("concepts") <= MOST_CONCEPTS, F.col("concepts")).otherwise(F.raise_error(F.lit(f"more than {MOST_CONCEPTS} concepts"))))
+    rows = columns.select("dataset_id", "column_name", double("vector").alias("v")).withColumn("n", length(F.col("v")))
+    pairs = rows.join(F.broadcast(one)).select("dataset_id", "column_name", "v", "n", F.explode("concepts").alias("k"))
+    dot = F.aggregate(F.zip_with("v", F.col("k.v"), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    scale = F.col("n") * F.col("k.n")
+    return pairs.select("dataset_id", "column_name", F.col("k.concept").alias("concept"), F.coalesce(F.when(scale > 0, dot / scale), F.lit(0.0)).alias("sim"))
+
+
+def embedding_similarity(profiles: DataFrame, make_model: Callable[[], Callable]) -> DataFrame:
+    """M-2: the similarity of profiled columns to the concepts by an embedding model over their texts.
+
+    For ``map_columns(profiles, temperature=EMBEDDING_TEMPERATURE, similarity=...)``.
+    """
+    concepts = profiles.sparkSession.createDataFrame([(k, t) for k, _, _, t in CONCEPTS], "concept string, text string")
+    return cosine_similarity(embed(profiles, "descriptor", make_model), embed(concepts, "text", make_model))
+
+
 MOST_CONCEPTS = 10_000     # concepts are a small fixed set; their vectors travel with every task
 
 

@@ -8,10 +8,19 @@ written for clarity, not speed.
 
 from __future__ import annotations
 
-from ..functions.rules import ERROR_STATUS_CODES, FAILURE_PATTERN, SUSPICIOUS_PATH_PATTERNS
 from ..sources.fixture import SEC_DUCKDB_SQL
 
 D = "::double"
+# Written out here and not imported, so that a wrong constant in a plan shows.
+FAILURE_PATTERN = "fail|denied|invalid|error|reject|refus|unauthor|forbidden|lock|bad"
+SUSPICIOUS_PATH_PATTERNS = ["admin", ".env", "wp-login", "phpmyadmin", ".git", "passwd", "shadow", ".bak", "debug", "..",
+                            "server-status", "actuator"]
+ERROR_IN = "400.0, 401.0, 403.0, 404.0, 500.0"
+TOKEN = r"[\p{L}\p{N}_]{2,}"
+NUMBER_TEXT = PROFILE_NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+INTEGER_TEXT = r"^-?\d+$"
+DATE_SHAPE = (r"(\d{4}[-/]\d{1,2}[-/]\d{1,2})|(\d{1,2}[-/]\d{1,2}[-/]\d{4})|(\d{1,2}/[A-Za-z]{3}/\d{4})"
+              r"|([A-Za-z]{3} \d{1,2},? \d{4})|(\d{1,2} [A-Za-z]{3} \d{4})|(^\d{8}T\d{6})")
 
 
 def ctes(*parts: str) -> str:
@@ -42,7 +51,6 @@ def first_k(name: str, src: str, key: str, value: str, k: int = 10) -> str:
 
 FAILED = "coalesce(failed_attempts, 0) >= 1"
 SUSPICIOUS = "(" + " or ".join(f"contains(lower(request_path), '{p}')" for p in SUSPICIOUS_PATH_PATTERNS) + ")"
-ERROR_IN = ", ".join(f"{c}.0" for c in ERROR_STATUS_CODES)
 
 BF_SRC = f"""bf_src as (
   select source_ip, username, timestamp from sec
@@ -410,8 +418,6 @@ from expl""")
 
 # ------------------------------------------------------------------ ingestion / text
 from ..functions.stopwords import ENGLISH  # noqa: E402
-from ..operators.matching import TOKEN  # noqa: E402
-from ..operators.normalize import NUMBER_TEXT  # noqa: E402
 
 _STOP = "[" + ", ".join(lit(w) for w in ENGLISH) + "]"
 
@@ -473,9 +479,7 @@ from sec"""
 
 
 # ------------------------------------------------------------------ ontology / profiling / normalisation
-from ..functions.timeparse import DATE_SHAPE  # noqa: E402
 from ..operators.ontology import CONCEPTS, DISPLAY_NAMES  # noqa: E402
-from ..operators.profile import INTEGER_TEXT, NUMBER_TEXT as PROFILE_NUMBER  # noqa: E402
 
 _SEC_FIELDS = ["source_ip", "destination_ip", "timestamp", "username", "event_type", "failed_attempts", "port",
                "protocol", "request_path", "status_code", "payload_size", "device_id"]
@@ -537,10 +541,10 @@ select event_id, (case when regexp_matches(event_type, '(?i)({FAILURE_PATTERN})'
 from ..operators.ontology import DTYPE_COMPATIBILITY  # noqa: E402
 
 
-def _sec_profile_ctes(limit: str = "") -> list[str]:
+def _sec_profile_ctes(limit: str = "", columns: dict[str, str] | None = None) -> list[str]:
     long = " union all ".join(
-        f"select '{c}' as column_name, {i} as col_index, event_id as row_id, cast({c} as varchar) as value from head"
-        for i, c in enumerate(SEC_COLUMNS))
+        f"select '{n}' as column_name, {i} as col_index, event_id as row_id, cast({c} as varchar) as value from head"
+        for i, (n, c) in enumerate((columns or {c: c for c in SEC_COLUMNS}).items()))
     num = f"case when regexp_full_match(value, '{PROFILE_NUMBER.lstrip('^').rstrip('$')}') " \
           "then try_cast(trim(value) as double) end"
     return [
@@ -595,32 +599,93 @@ _ONTO_VALUES = "(values " + ", ".join(
 _COMPAT = " ".join(f"when {lit(k)} then [{', '.join(lit(v) for v in vs)}]" for k, vs in DTYPE_COMPATIBILITY.items())
 
 
-def _match_sec_ctes() -> list[str]:
-    return [*_sec_profile_ctes(),
-            f"onto as (select * from {_ONTO_VALUES})",
-            """docs as (select 'concept:' || concept as doc, description as text from onto
-   union all select column_name, descriptor from descr)""",
-            *tfidf_sql("docs", "doc", "text"),
-            """sim as (select d.doc as column_name, substr(c.doc, 9) as concept, sum(d.w * c.w) as sim
-   from vec d join vec c on d.term = c.term
-   where d.doc not like 'concept:%' and c.doc like 'concept:%' group by all)""",
-            f"""grid as (select d.column_name, d.col_index, d.inferred_dtype, o.concept, o.concept_index,
+_ONTO = f"onto as (select * from {_ONTO_VALUES})"
+
+
+def _confidence_ctes(temperature: float) -> list[str]:
+    """From descr (column_name, col_index, inferred_dtype) and sim: the softmax over the concepts of each column."""
+    return [f"""grid as (select d.column_name, d.col_index, d.inferred_dtype, o.concept, o.concept_index,
    coalesce(s.sim, 0.0) as sim,
    coalesce(s.sim, 0.0)
    + case when len(list_filter(o.hints, lambda h: contains(lower(d.column_name), h))) > 0 then 0.08 else 0.0 end
    + case when (case d.inferred_dtype {_COMPAT} end) is null then 0.0
           when list_contains(case d.inferred_dtype {_COMPAT} end, o.expected_dtype) then 0.05 else -0.10 end
      as raw
-   from descr d, onto o left join sim s on s.column_name = d.column_name and s.concept = o.concept)""",
-            """soft as (select *, exp((raw - max(raw) over (partition by column_name)) / 0.05) as e from grid)""",
+   from descr d cross join onto o left join sim s on s.column_name = d.column_name and s.concept = o.concept)""",
+            f"""soft as (select *, exp((raw - max(raw) over (partition by column_name)) / {temperature}) as e from grid)""",
             "conf as (select *, e / sum(e) over (partition by column_name) as confidence from soft)"]
 
 
+def _match_sec_ctes(columns: dict[str, str] | None = None) -> list[str]:
+    return [*_sec_profile_ctes("", columns), _ONTO,
+            """docs as (select 'concept:' || concept as doc, description as text from onto
+   union all select column_name, descriptor from descr)""",
+            *tfidf_sql("docs", "doc", "text"),
+            """sim as (select d.doc as column_name, substr(c.doc, 9) as concept, sum(d.w * c.w) as sim
+   from vec d join vec c on d.term = c.term
+   where d.doc not like 'concept:%' and c.doc like 'concept:%' group by all)""",
+            *_confidence_ctes(0.05)]
+
+
 MATCH_SCORES_SEC = ctes(*_match_sec_ctes()) + f"""
 select column_name, concept, {rnd('sim', 9)} as sim, {rnd('confidence', 6)} as confidence from conf"""
 
 
+def assign_sql(dataset: str, scores: list[str], pins: dict[str, str | None] | None = None) -> str:
+    """M-7 .. M-9: the surest pair whose column and field are both free, round by round; pins leave first."""
+    rows = " union all ".join(f"select {lit(c)} as column_name, {lit(f) if f else 'null::varchar'} as pin" for c, f in (pins or {}).items())
+    body = ctes(*scores, f"pins as ({rows or 'select null::varchar as column_name, null::varchar as pin where false'})",
+                """open_pairs as (select column_name, col_index, concept, concept_index, confidence from conf
+   where confidence >= 0.35 and column_name not in (select column_name from pins)
+     and concept not in (select pin from pins where pin is not null))""",
+                """picked as (select 0 as round, []::varchar[] as cols, []::varchar[] as fields, null::varchar as column_name,
+     null::varchar as found, null::double as sure
+   union all
+   select p.round + 1, list_append(p.cols, b.column_name), list_append(p.fields, b.concept), b.column_name, b.concept, b.confidence
+   from picked p cross join lateral (select * from open_pairs o
+     where not list_contains(p.cols, o.column_name) and not list_contains(p.fields, o.concept)
+     order by o.confidence desc, o.col_index, o.concept_index limit 1) b)""",
+                "columns_ as (select distinct column_name, col_index, inferred_dtype from conf)",
+                """fielded as (select c.*, n.column_name is not null as manual, coalesce(n.pin, p.found) as field, n.pin, p.sure
+   from columns_ c left join (select * from picked where round > 0) p using (column_name) left join pins n using (column_name))""",
+                """lone as (select count(*) filter (where inferred_dtype = 'ip') = 1
+     and count(*) filter (where field = 'source_ip') = 0 as alone from fielded)""",
+                """turned as (select *, alone and inferred_dtype = 'ip' and not manual
+     and (field is null or field = 'destination_ip') as turns from fielded, lone)""")
+    return "with recursive" + body[len("with"):] + f"""
+select {lit(dataset)} as dataset_id, column_name, col_index, case when turns then 'source_ip' else field end as mapped_field,
+  round(case when pin is not null then 1.0 else coalesce(sure, case when turns then 0.5 else 0.0 end) end::double, 4) as confidence,
+  case when manual then 'manual' else 'inferred' end as source
+from turned"""
+
+
+MATCH_ASSIGN_SEC = assign_sql("sec", _match_sec_ctes())
+MATCH_OVERRIDE = assign_sql("sec", _match_sec_ctes(), {"port": None, "props": "source_location"})
+MATCH_SINGLE_IP = assign_sql("lone", _match_sec_ctes({"rhost": "source_ip", "user": "username", "result": "event_type"}))
+
+_KEYS_VALUES = "(values " + ", ".join(f"({i}, {lit(k)})" for i, (k, *_) in enumerate(CONCEPTS)) + ") as k(vec_id, concept)"
+EMBEDDING_COSINE = ctes(
+    """cells as (select vec_id, i, embedding[i]::double as x
+   from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings))""",
+    "norms as (select vec_id, sqrt(sum(x * x)) as n from cells group by vec_id)",
+    f"concept_cells as (select concept, i, x, n from cells join norms using (vec_id) join {_KEYS_VALUES} using (vec_id))",
+    """sim as (select 'c' || c.vec_id as column_name, concept, sum(c.x * k.x) / (any_value(m.n) * any_value(k.n)) as sim
+   from cells c join norms m using (vec_id) join concept_cells k using (i) group by c.vec_id, concept)""",
+    "descr as (select 'c' || vec_id as column_name, vec_id as col_index, 'string' as inferred_dtype from embeddings)",
+    _ONTO, *_confidence_ctes(0.1)) + f"""
+select column_name, concept, {rnd('sim', 6)} as sim, {rnd('confidence', 6)} as confidence from conf"""
+
+SPRAY_TARGETS = ctes(*CS_BODY) + """
+select source_ip, username, min(event_id) as first_row from cs_in join (select distinct source_ip from cs_hit) using (source_ip)
+group by source_ip, username"""
+
+
 # ------------------------------------------------------------------ readers
 READ_CSV = ctes() + """
 select event_id, 'he said "' || event_type || '", ok' as note, username from sec where event_id % 50 <> 0"""
 READ_NDJSON = ctes() + "select event_id, source_ip, port, username from sec"
+READ_CSV_QUOTED = ctes() + """
+select event_id, 'é "' || event_type || '",' || chr(10) || 'ok' as note, username from sec"""
+READ_NDJSON_ESCAPES = ctes() + """
+select event_id, 'say "[" to {' || event_type || chr(92) || '"}]' as msg, port from sec"""
+READ_WRAPPED_JSON = ctes() + "select event_id, source_ip, port as net_port, username as net_user from sec"

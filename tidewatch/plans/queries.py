@@ -440,7 +440,7 @@ def q_spray_targets(spark, sf):
     return det.spray_targets(_sec(spark, sf), ORDER)
 
 
-REGISTRY["spray_targets"] = (q_spray_targets, None)
+REGISTRY["spray_targets"] = (q_spray_targets, O.SPRAY_TARGETS)
 
 
 # ------------------------------------------------------------------ ontology / profiling / normalisation (sql)
@@ -509,7 +509,7 @@ def q_match_assign_sec(spark, sf):
 REGISTRY.update({
     "profile_sec_descriptor": (q_profile_sec_descriptor, O.PROFILE_SEC_DESCRIPTOR),
     "match_scores_sec": (q_match_scores_sec, O.MATCH_SCORES_SEC),
-    "match_assign_sec": (q_match_assign_sec, None),
+    "match_assign_sec": (q_match_assign_sec, O.MATCH_ASSIGN_SEC),
 })
 
 
@@ -544,6 +544,62 @@ def q_read_ndjson(spark, sf):
     return read_log(spark, at, "ndjson").select("event_id", "source_ip", F.col("port").cast("double").alias("port"), "username")
 
 
+def q_read_csv_quoted(spark, sf):
+    """S-2: CSV files in a folder with a blank, half of them in Latin-1, whose text field holds quotes and line breaks."""
+    s = _sec(spark, sf)
+    note = F.concat(F.lit('\u00e9 "'), "event_type", F.lit('",\nok')).alias("note")
+    at = f"{_folder(spark, 'read csv')}/a b"
+    for part, encoding in ((0, "UTF-8"), (1, "ISO-8859-1")):
+        half = s.where(F.col("event_id") % 2 == part).select("event_id", note, "username")
+        half.write.mode("append").option("header", True).option("escape", '"').option("encoding", encoding).csv(at)
+    return read_log(spark, at, "csv").select(F.col("event_id").cast("long").alias("event_id"), "note", "username")
+
+
+def q_read_ndjson_escapes(spark, sf):
+    """S-5: newline-delimited JSON whose records hold escaped quotes, brackets and backslashes."""
+    s = _sec(spark, sf)
+    msg = F.concat(F.lit('say "[" to {'), "event_type", F.lit('\\"}]')).alias("msg")
+    at = _folder(spark, "read-escapes")
+    s.select(F.to_json(F.struct("event_id", msg, "port"))).write.text(at)
+    return read_log(spark, at, "ndjson").select("event_id", "msg", F.col("port").cast("double").alias("port"))
+
+
+WRAPPED_ROWS = 1000
+
+
+def q_read_wrapped_json(spark, sf):
+    """S-4 / S-6 / S-7: the log as many JSON documents, a thousand records each, under three different wrappers."""
+    s = _sec(spark, sf)
+    record = F.to_json(F.struct("event_id", "source_ip", F.struct("port", F.col("username").alias("user")).alias("net")))
+    doc = F.col("event_id").cast("long") - F.pmod(F.col("event_id").cast("long"), F.lit(WRAPPED_ROWS))
+    docs = s.groupBy(doc.alias("doc")).agg(F.array_join(F.collect_list(record), ",\n").alias("r"))
+    kind = F.pmod(F.col("doc") / WRAPPED_ROWS, F.lit(3)).cast("int")
+    text = (F.when(kind == 0, F.concat(F.lit('{"took": 3, "hits": {"total": 9, "hits": [\n'), "r", F.lit("\n]}}")))
+             .when(kind == 1, F.concat(F.lit('{"Records": ['), "r", F.lit('], "meta": [{"k": 1}]}')))
+             .otherwise(F.concat(F.lit('{\n"value": {"items": [{"x": "["}, 1], "rows": ['), "r", F.lit("]}\n}"))))
+    at = _folder(spark, "read-wrapped")
+    docs.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(at)
+    return read_log(spark, at, "json").select("event_id", "source_ip", F.col("`net.port`").cast("double").alias("net_port"),
+                                              F.col("`net.user`").alias("net_user"))
+
+
+def q_embedding_cosine(spark, sf):
+    """M-2: columns against concepts by vectors, at the embedder's temperature. Every vector of the table
+    stands for a text column of one dataset, and the first 13 vectors for the concepts."""
+    from ..functions.numfmt import rnd
+    from ..operators.ontology import KEYS
+    from ..operators.textsim import cosine_similarity
+    apply_engine_conf(spark)
+    emb = read_table(spark, sf, "embeddings")
+    columns = emb.select(F.lit("emb").alias("dataset_id"), F.concat(F.lit("c"), "vec_id").alias("column_name"),
+                         F.col("vec_id").cast("int").alias("col_index"), F.lit("string").alias("inferred_dtype"),
+                         F.col("embedding").alias("vector"))
+    key = F.create_map(*[F.lit(x) for i, k in enumerate(KEYS) for x in (i, k)])
+    concepts = emb.where(F.col("vec_id") < len(KEYS)).select(key[F.col("vec_id").cast("int")].alias("concept"), F.col("embedding").alias("vector"))
+    scores = M.match_scores(columns, M.EMBEDDING_TEMPERATURE, cosine_similarity(columns, concepts))
+    return scores.select("column_name", "concept", rnd(F.col("sim"), 6).alias("sim"), rnd(F.col("confidence"), 6).alias("confidence"))
+
+
 def q_match_override(spark, sf):
     """M-8: the security log's columns with two analyst decisions."""
     return M.map_columns(_sec_profile(spark, sf), {"sec": {"port": None, "props": "source_location"}})
@@ -559,6 +615,10 @@ def q_match_single_ip(spark, sf):
 REGISTRY.update({
     "read_csv": (q_read_csv, O.READ_CSV),
     "read_ndjson": (q_read_ndjson, O.READ_NDJSON),
-    "match_override": (q_match_override, None),
-    "match_single_ip": (q_match_single_ip, None),
+    "read_csv_quoted": (q_read_csv_quoted, O.READ_CSV_QUOTED),
+    "read_ndjson_escapes": (q_read_ndjson_escapes, O.READ_NDJSON_ESCAPES),
+    "read_wrapped_json": (q_read_wrapped_json, O.READ_WRAPPED_JSON),
+    "embedding_cosine": (q_embedding_cosine, O.EMBEDDING_COSINE),
+    "match_override": (q_match_override, O.MATCH_OVERRIDE),
+    "match_single_ip": (q_match_single_ip, O.MATCH_SINGLE_IP),
 })
