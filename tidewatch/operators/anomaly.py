@@ -1,7 +1,7 @@
 """Behavioural anomaly model per source IP (A-1 .. A-6).
 
-* :func:`ip_features` - eight behaviour features per IP, one partial+final
-  aggregate (A-1).
+* :func:`ip_features` - eight behaviour features per IP (A-1), from a state that
+  merges over days (:func:`ip_state`, :func:`merge_ip_states`).
 * :func:`standardize` - population z-scores; the 16 moments are a one-row
   aggregate read back as literals, like a fitted scaler (A-2).
 * :func:`isolation_forest_scores` - isolation forest (Liu, Ting, Zhou 2008):
@@ -19,7 +19,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -45,30 +44,72 @@ UNKNOWN_NOTE = "Behaviour differs from baseline but did not match a known attack
 _EULER = 0.5772156649015329
 
 
-def ip_features(df: DataFrame, approx_distinct: bool = False, extra: Sequence[Column] = ()) -> DataFrame:
-    """A-1: one aggregate per IP. Exact distinct counts make Spark expand each row once
-    per distinct column; ``approx_distinct=True`` uses HyperLogLog++ sketches instead,
-    which merge map-side (relative error about 5%)."""
-    scoped = df.where(F.col("source_ip").isNotNull())
+#: The columns whose distinct values a source is measured by, and the feature of each.
+DISTINCT = {"port": "distinct_ports", "destination_ip": "distinct_destinations", "request_path": "distinct_paths",
+            "username": "distinct_usernames"}
+_SUMS = ["n", "failed", "payload", "off_hours"]
+
+
+def ip_state(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
+    """A-1 as a state that merges: states of parts (days) together give the state of the whole.
+
+    Exact: a row per (source_ip, kind, value) - kind -1 holds the sums and the first and last
+    timestamp, kinds 0.. one distinct value of a column each. A row of the log becomes at most five,
+    which are summed map-side, so a hot source is as many rows as it has distinct values.
+    ``approx_distinct``: a row per source with the sums and a HyperLogLog sketch per column.
+    """
     hour = F.hour("timestamp")
-    off = F.when((hour < 6) | (hour >= 22), 1.0).otherwise(0.0)
-    nd = F.approx_count_distinct if approx_distinct else F.countDistinct
-    return scoped.groupBy("source_ip").agg(
-        F.count(F.lit(1)).cast("double").alias("event_count"),
-        F.avg(F.least(F.coalesce("failed_attempts", F.lit(0.0)), F.lit(1.0))).alias("failed_ratio"),
-        nd("port").cast("double").alias("distinct_ports"),
-        nd("destination_ip").cast("double").alias("distinct_destinations"),
-        nd("request_path").cast("double").alias("distinct_paths"),
-        nd("username").cast("double").alias("distinct_usernames"),
-        F.avg(F.coalesce("payload_size", F.lit(0.0))).alias("avg_payload_size"),
-        F.avg(off).alias("off_hours_ratio"),
-        *extra,
-    )
+    scoped = df.where(F.col("source_ip").isNotNull())
+    sums = [F.lit(1).cast("long").alias("n"), F.least(F.coalesce("failed_attempts", F.lit(0.0)), F.lit(1.0)).alias("failed"),
+            F.coalesce("payload_size", F.lit(0.0)).alias("payload"), F.when((hour < 6) | (hour >= 22), 1.0).otherwise(0.0).alias("off_hours"),
+            F.col("timestamp").alias("first_ts"), F.col("timestamp").alias("last_ts")]
+    if approx_distinct:
+        rows = scoped.select("source_ip", *sums, *[F.col(c).cast("string").alias(c) for c in DISTINCT])
+        return rows.groupBy("source_ip").agg(*_merged_sums(), *[F.hll_sketch_agg(c).alias(c) for c in DISTINCT])
+    nothing = [F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in _SUMS[1:]],
+               *[F.lit(None).cast(df.schema["timestamp"].dataType).alias(c) for c in ("first_ts", "last_ts")]]
+    whole = F.struct(F.lit(-1).alias("kind"), F.lit(None).cast("string").alias("value"), *sums)
+    each = [F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("kind"), F.col(c).cast("string").alias("value"), *nothing))
+            for i, c in enumerate(DISTINCT)]
+    rows = scoped.select("source_ip", F.inline(F.array_compact(F.array(whole, *each))))
+    return rows.groupBy("source_ip", "kind", "value").agg(*_merged_sums())
+
+
+def _merged_sums() -> list[Column]:
+    return [*[F.sum(c).alias(c) for c in _SUMS], F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")]
+
+
+def merge_ip_states(states: DataFrame, approx_distinct: bool = False) -> DataFrame:
+    """One state from the rows of several (their union)."""
+    if approx_distinct:
+        return states.groupBy("source_ip").agg(*_merged_sums(), *[F.hll_union_agg(c).alias(c) for c in DISTINCT])
+    return states.groupBy("source_ip", "kind", "value").agg(*_merged_sums())
+
+
+def profile_of(state: DataFrame, approx_distinct: bool = False) -> DataFrame:
+    """The eight features and each source's first and last timestamp, from a state."""
+    if approx_distinct:
+        distinct = {f: F.coalesce(F.hll_sketch_estimate(c), F.lit(0)) for c, f in DISTINCT.items()}
+        whole = state
+    else:
+        counts = {f: F.count_if(F.col("kind") == i).alias(f) for i, f in enumerate(DISTINCT.values())}
+        whole = state.groupBy("source_ip").agg(*_merged_sums(), *counts.values())
+        distinct = {f: F.col(f) for f in counts}
+    share = lambda c: F.col(c) / F.col("n")
+    return whole.select("source_ip", F.col("n").cast("double").alias("event_count"), share("failed").alias("failed_ratio"),
+                        *[c.cast("double").alias(f) for f, c in distinct.items()], share("payload").alias("avg_payload_size"),
+                        share("off_hours").alias("off_hours_ratio"), "first_ts", "last_ts")
+
+
+def ip_features(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
+    """A-1: the eight features of every source. ``approx_distinct`` counts distinct values by
+    HyperLogLog sketches, one row per source map-side (relative error about 2%)."""
+    return ip_profile(df, approx_distinct).drop("first_ts", "last_ts")
 
 
 def ip_profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """The features and, from the same aggregate, each IP's first and last timestamp."""
-    return ip_features(df, approx_distinct, [F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")])
+    return profile_of(ip_state(df, approx_distinct), approx_distinct)
 
 
 def _moments(feats: DataFrame) -> dict[str, tuple[float, float]]:
