@@ -15,7 +15,8 @@ SF = "/root/testdata/sf0.001"
 CHECKED = ["brute_force", "credential_spray", "port_scan", "endpoint_probe", "densest_window",
            "ip_features", "risk_scores", "explain_evidence", "timeline", "geo_join", "failure_indicator",
            "profile_sec_descriptor", "match_scores_sec", "normalize_project", "tfidf_documents", "embedding_match",
-           "sequential_ratio", "read_csv", "read_ndjson", "profile_head", "ontology"]
+           "sequential_ratio", "read_csv", "read_ndjson", "profile_head", "ontology", "read_csv_quoted",
+           "read_ndjson_escapes", "read_wrapped_json", "embedding_cosine", "match_override", "match_single_ip", "ip_investigation"]
 
 
 def _norm(v):

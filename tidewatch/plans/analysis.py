@@ -7,9 +7,9 @@ nothing is computed twice and nothing has to be kept in executor memory.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import anomaly as A
@@ -39,6 +39,17 @@ def analyse(events: DataFrame, order_col: str = "row_id", mapping_confidence: fl
     return Analysis(detections, scores, alerts, evidence_rows(profiles, detections))
 
 
+def store(result: Analysis, at: str) -> None:
+    """Write the four tables of an analysis under a folder."""
+    for f in fields(Analysis):
+        getattr(result, f.name).write.parquet(f"{at}/{f.name}")
+
+
+def stored(spark: SparkSession, at: str) -> Analysis:
+    """An analysis that ``store`` has written."""
+    return Analysis(**{f.name: spark.read.parquet(f"{at}/{f.name}") for f in fields(Analysis)})
+
+
 def flat_alerts(alerts: DataFrame) -> DataFrame:
     """Alert rows with arrays/structs as text, for checking and CSV-like sinks."""
     return alerts.select(

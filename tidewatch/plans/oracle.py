@@ -399,6 +399,11 @@ IP_EVENTS = analysis_sql("""select source_ip, event_rank, event_id, timestamp, e
     as event_rank
   from sec s where s.source_ip in (select source_ip from expl))
 where event_rank <= 200""")
+IP_INVESTIGATION = analysis_sql("""select source_ip, event_rank, event_id, timestamp, total_events,
+  (select count(*) from det d where d.source_ip = x.source_ip) as detections from (
+  select s.*, row_number() over (order by s.timestamp asc nulls last, s.event_id) as event_rank, count(*) over () as total_events
+  from sec s where s.source_ip = (select source_ip from expl order by risk_score desc, source_ip limit 1)) x
+where event_rank <= 200""")
 ATTACK_PROGRESSION = analysis_sql("""select source_ip,
   row_number() over (partition by source_ip order by window_start asc nulls first, detector_order, k) as step,
   detection_type, window_start, window_end, severity, event_count from det""")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import is_suspicious_path
@@ -231,22 +231,53 @@ REGISTRY.update({
 
 # ------------------------------------------------------------------ serving views
 from . import views as V  # noqa: E402
+from .analysis import store, stored  # noqa: E402
+from .pipeline import _fs  # noqa: E402
 
 ALERT_COLS = ["source_ip", "risk_score", "classification", "threat_severity", "behavior_anomaly", "frequency",
               "confidence", "event_count", "threat"]
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def _served(spark, sf):
+    """The analysis as stored tables, which is what views are served from.
+
+    The first view of an application over a log writes them to the shared folder; later ones read
+    them, as long as they are there and the log's files have not changed.
+    """
+    fs, events = _fs(spark, f"{sf.rstrip('/')}/events.parquet")
+    files = fs.listStatus(events) if fs.getFileStatus(events).isDirectory() else [fs.getFileStatus(events)]
+    key = (spark.sparkContext.applicationId, *sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+    at = _STORED.get(key)
+    if at is None or not _fs(spark, f"{at}/evidence/_SUCCESS")[0].exists(_fs(spark, f"{at}/evidence/_SUCCESS")[1]):
+        at = _STORED[key] = _folder(spark, "analysis")
+        store(_checked(spark, sf), at)
+    return stored(spark, at)
+
+
+def q_ip_investigation(spark, sf):
+    """Q-6: the investigation of one IP, the riskiest; its first events by time and its totals beside each."""
+    a, s = _served(spark, sf), _sec(spark, sf)
+    worst = V.top_offenders(a.alerts, 1).first()["source_ip"]
+    i = V.investigate(s, a.detections, a.alerts, worst, ORDER)
+    rank = F.row_number().over(Window.orderBy(F.col("timestamp").asc_nulls_last(), ORDER))   # of at most event_limit rows
+    return i.events.select("source_ip", rank.alias("event_rank"), "event_id", "timestamp", F.lit(i.total_events).cast("long").alias("total_events"),
+                           F.lit(i.detections.count()).cast("long").alias("detections"))
+
+
 def q_overview_kpis(spark, sf):
-    a = _checked(spark, sf)
+    a = _served(spark, sf)
     return V.overview(_sec(spark, sf), a.detections, a.alerts)
 
 
 def q_risk_distribution(spark, sf):
-    return V.risk_distribution(_checked(spark, sf).alerts)
+    return V.risk_distribution(_served(spark, sf).alerts)
 
 
 def q_attack_categories(spark, sf):
-    return V.attack_categories(_checked(spark, sf).detections)
+    return V.attack_categories(_served(spark, sf).detections)
 
 
 def q_timeline_volume(spark, sf):
@@ -254,47 +285,47 @@ def q_timeline_volume(spark, sf):
 
 
 def q_timeline(spark, sf):
-    return V.timeline(_sec(spark, sf), _checked(spark, sf).detections)
+    return V.timeline(_sec(spark, sf), _served(spark, sf).detections)
 
 
 def q_timeline_pivot(spark, sf):
-    return V.timeline_pivot(_sec(spark, sf), _checked(spark, sf).detections)
+    return V.timeline_pivot(_sec(spark, sf), _served(spark, sf).detections)
 
 
 def q_alerts_topk(spark, sf):
-    return V.alerts_topk(_checked(spark, sf).alerts).select(*ALERT_COLS)
+    return V.alerts_topk(_served(spark, sf).alerts).select(*ALERT_COLS)
 
 
 def q_top_offenders(spark, sf):
-    return V.top_offenders(_checked(spark, sf).alerts).select(*ALERT_COLS)
+    return V.top_offenders(_served(spark, sf).alerts).select(*ALERT_COLS)
 
 
 def q_behaviour_anomalies(spark, sf):
-    return V.behaviour_anomalies(_checked(spark, sf).alerts).select(*ALERT_COLS)
+    return V.behaviour_anomalies(_served(spark, sf).alerts).select(*ALERT_COLS)
 
 
 def q_ip_total(spark, sf):
-    a = _checked(spark, sf)
+    a = _served(spark, sf)
     return V.ip_totals(_sec(spark, sf), a.detections, a.alerts)
 
 
 def q_ip_events(spark, sf):
-    a = _checked(spark, sf)
+    a = _served(spark, sf)
     e = V.ip_events(_sec(spark, sf), a.alerts, ORDER)
     return e.select("source_ip", "event_rank", "event_id", "timestamp", "event_type", "username", "port",
                     "request_path", "status_code")
 
 
 def q_attack_progression(spark, sf):
-    return V.attack_progression(_checked(spark, sf).detections)
+    return V.attack_progression(_served(spark, sf).detections)
 
 
 def q_geo_distribution(spark, sf):
-    return V.geo_distribution(_checked(spark, sf).alerts)
+    return V.geo_distribution(_served(spark, sf).alerts)
 
 
 def q_peak_risk(spark, sf):
-    a = _checked(spark, sf)
+    a = _served(spark, sf)
     return V.peak_risk(a.alerts, a.detections)
 
 
@@ -310,6 +341,7 @@ REGISTRY.update({
     "behaviour_anomalies": (q_behaviour_anomalies, O.BEHAVIOUR_ANOMALIES),
     "ip_total": (q_ip_total, O.IP_TOTAL),
     "ip_events": (q_ip_events, O.IP_EVENTS),
+    "ip_investigation": (q_ip_investigation, O.IP_INVESTIGATION),
     "attack_progression": (q_attack_progression, O.ATTACK_PROGRESSION),
     "geo_distribution": (q_geo_distribution, O.GEO_DISTRIBUTION),
     "peak_risk": (q_peak_risk, O.PEAK_RISK),

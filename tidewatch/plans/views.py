@@ -6,6 +6,8 @@ only the (small) answer reaches the caller.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,13 +121,42 @@ def ip_events(events: DataFrame, ips: DataFrame, order_col: str = "row_id",
                         event_limit, rank_col="event_rank")
 
 
+@dataclass
+class Investigation:
+    """Q-6: all that is known of one source IP."""
+
+    total_events: int
+    alert: DataFrame          # no row or one
+    detections: DataFrame     # by window_start
+    progression: DataFrame
+    events: DataFrame         # the first by time
+
+
+def investigate(events: DataFrame, detections: DataFrame, alerts: DataFrame, source_ip: str, order_col: str = "row_id",
+                event_limit: int = DEFAULT_EVENT_LIMIT) -> Investigation:
+    """Q-6 for one IP; an IP with neither an alert nor a detection is a KeyError.
+
+    Stored events lie sorted by (source_ip, timestamp), so that the filter skips nearly all row groups.
+    """
+    if not 1 <= event_limit <= 2000:
+        raise ValueError("event_limit must be within 1..2000")
+    alert, found, own = (df.where(F.col("source_ip") == source_ip) for df in (alerts, detections, events))
+    if not alert.take(1) and not found.take(1):
+        raise KeyError(f"No analysis found for IP {source_ip} in this dataset")
+    first = own.orderBy(F.col("timestamp").asc_nulls_last(), order_col).limit(event_limit)
+    return Investigation(own.count(), alert, found.orderBy(F.col("window_start").asc_nulls_first(), "detector_order"),
+                         attack_progression(found), first)
+
+
 def attack_progression(detections: DataFrame) -> DataFrame:
     """Q-7: each IP's detections in time order, five fields and a step number.
 
     A step is the place within the IP's hour plus the detections of its earlier hours, so an IP with
     any number of detections is ranked hour by hour in many tasks.
     """
-    key = F.coalesce(F.col("evidence.target_username"), F.lit(""))
+    stored = "evidence_json" in detections.columns
+    key = F.get_json_object("evidence_json", "$.target_username") if stored else F.col("evidence.target_username")
+    key = F.coalesce(key, F.lit(""))
     d = detections.withColumn("_h", F.date_trunc("hour", "window_start"))
     order = [F.col("window_start").asc_nulls_first(), F.col("detector_order"), key]
     place = F.row_number().over(Window.partitionBy("source_ip", "_h").orderBy(*order))

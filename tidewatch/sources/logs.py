@@ -314,11 +314,11 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Input order as a column that sorts by file, place of the split in it, and place in the split.
 
     Spark packs splits by size, so a running number alone doesn't follow the files' order. A frame
-    that isn't read from files is numbered alone.
+    that isn't read from files in one scan is numbered alone.
     """
     n = F.monotonically_increasing_id()
     try:
         return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"),
                                             F.col("_metadata.file_block_start").alias("block"), n.alias("n")))
     except AnalysisException:
-        return df.withColumn(name, n)
+        return df.withColumn(name, F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), n.alias("n")))
