@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidewatch.llm import minhash, shingles, substrings
 from tidewatch.llm.components import components
@@ -180,3 +181,51 @@ def test_repeats_are_cut_from_later_documents(docs, words):
     assert got == {1: rows[0][1], 2: "Vor  nach", 3: rows[2][1], 4: None, None: p}
     assert substrings.remove_repeats(df).columns == df.columns
     assert substrings.without("a bb  ccc d", [(1, 3)]) == "a d"
+
+
+def test_texts_of_one_doc_id_are_cut_by_themselves(docs, words):
+    passage, own = words(60), words(120)
+    rows = [(1, words(20) + " " + passage), (2, passage + " " + words(30)), (2, own), (3, own + " x"), (2, own)]
+    df = docs(rows).withColumn("_spans", F.lit(1)).withColumn("_node", F.lit("n"))
+    got = sorted((r.doc_id, r.text) for r in substrings.remove_repeats(df).collect())
+    left = rows[1][1][len(passage) + 1 :]
+    kept = [t for i, t in got if i == 2]
+    assert left in kept and len(got) == 5
+    # of the two documents with the same 120 words one keeps them: doc_id 3 is before 2's second text or 2's is the least
+    assert sum(own in t for _, t in got) in (1, 2) and any(own in t for _, t in got)
+    assert substrings.remove_repeats(df).columns == df.columns
+    found = substrings.passages(df).collect()
+    assert {(r.doc_id, r.first_id) for r in found} <= {(2, 1), (3, 2), (2, 3)} and (2, 1) in {(r.doc_id, r.first_id) for r in found}
+
+
+def near_pairs(words, rng, n, length, changes):
+    """Texts that share one passage of ``length`` words with ``changes`` words replaced inside."""
+    out = []
+    for _ in range(n):
+        p = words(length).split()
+        q = list(p)
+        for i in rng.sample(range(10, length - 10), changes):
+            q[i] = f"other{i}"
+        out.append((" ".join([words(70), *p, words(40)]), " ".join([words(45), *q, words(60)])))
+    return out
+
+
+def test_recall_of_near_passages(docs, words):
+    """Against brute force (all diagonals of the pair aligned), pairs alone and behind an earlier partial holder."""
+    rng = random.Random(5)
+    rows, pairs, number = [], [], 0
+    for length, changes in ((55, 1), (60, 1), (70, 1), (80, 1), (100, 2), (140, 3)):
+        for a, b in near_pairs(words, rng, 25, length, changes):
+            early = " ".join([words(50), *a.split()[70 : 70 + length // 2]])  # holds a part of the passage
+            rows += [(number, early), (number + 1, a), (number + 2, b)]
+            pairs.append((number + 1, number + 2, a, b))
+            number += 3
+    found = {(r.first_id, r.doc_id) for r in substrings.passages(docs(rows)).collect()}
+    want = caught = 0
+    for i, j, a, b in pairs:
+        x, y = (shingles.of_words(shingles.words(t)) for t in (a, b))
+        if substrings.align(y, x, set(range(-len(x), len(y)))):
+            want += 1
+            caught += (i, j) in found
+    print("recall", caught, want)
+    assert want >= 80 and caught >= 0.95 * want

@@ -44,3 +44,12 @@ def test_hosts_and_their_documents(docs, words):
     kept = quality.keep(docs(rows, extra=True))
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
     assert kept.columns == docs(rows, extra=True).columns
+
+
+def test_keep_judges_each_text_of_a_doc_id(docs, words):
+    clean = words(200)
+    rows = [(1, clean), (1, "too short"), (2, words(100)), (None, "short"), (None, words(90)), (3, None)]
+    df = docs(rows, extra=True)
+    kept = quality.keep(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)

@@ -9,6 +9,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pytest
 
 from tidewatch.llm import langid, licenses, secrets, topk
 
@@ -94,6 +95,96 @@ def test_every_license_of_a_list(docs, words):
     assert {text[f.start : f.end] for f in got[3].findings} == {"All rights reserved"}
 
 
+def brute_places(text):
+    """By definition: every span of words and every template with enough of its words in order, by dynamic programming."""
+    low = licenses._lower(text)
+    spans = [(m.start(), m.end()) for m in licenses._WORD.finditer(low)]
+    words = [low[s:e] for s, e in spans]
+    found = []
+    for n, t in licenses.TEMPLATES.items():
+        want = licenses._WORD.findall(t.lower())
+        if n == "SPDX":
+            continue
+        room = len(want) + max(4, len(want) // 4)
+        for s in range(len(words)):
+            row = [0] * (len(want) + 1)
+            for e in range(s, min(len(words), s + room)):
+                new = [0]
+                for j, w in enumerate(want):
+                    new.append(row[j] + 1 if w == words[e] else max(row[j + 1], new[j]))
+                row = new
+                if row[-1] / len(want) >= licenses.LEAST:
+                    found.append((n, s, e + 1, row[-1]))
+                    break
+    return found
+
+
+def test_licenses_against_brute_force(words):
+    """Every finding is a place by definition, and no place is left without a finding on it."""
+    rng = random.Random(11)
+    own = [n for n in licenses.TEMPLATES if n != "SPDX"]
+    for _ in range(12):
+        parts = []
+        for n in rng.sample(own, 2):
+            ws = licenses.TEMPLATES[n].split()
+            for _ in range(rng.randint(0, max(1, len(ws) // 6))):
+                i = rng.randrange(len(ws))
+                ws[i : i + 1] = rng.choice([[], ["other"], [ws[i], "word"]])
+            parts += [words(rng.randint(0, 5)), " ".join(ws)]
+        text = " ".join(parts) + " license"
+        got = [f for f in licenses.find(text)]
+        low = licenses._lower(text)
+        spans = [(m.start(), m.end()) for m in licenses._WORD.finditer(low)]
+        for n, s, e, _ in brute_places(text):
+            assert any(f["start"] < spans[e - 1][1] and spans[s][0] < f["end"] for f in got), (n, text)
+        places = brute_places(text)
+        for f in got:
+            assert any(n.split("-notice")[0] == f["license"] and spans[s][0] < f["end"] and f["start"] < spans[e - 1][1] for n, s, e, _ in places)
+
+
+def test_compression_ranks(monkeypatch):
+    """Which of the templates that the wording accepts is reported depends on what each saves."""
+    text = "x y z " * 30 + licenses.TEMPLATES["Apache-2.0"] + " tail license " * 3
+    assert [f["license"] for f in licenses.find(text)] == ["Apache-2.0"] and licenses.find(text)[0]["share"] == 1.0
+    plain = [(f["license"], f["start"], f["end"]) for f in licenses.find(text)]
+    monkeypatch.setattr(licenses, "compressed", lambda place, n: (1000, 900 if n == "Apache-2.0-notice" else 1000))
+    turned = [(f["license"], f["start"], f["end"]) for f in licenses.find(text)]
+    assert turned != plain and turned[0][2] < plain[0][2]       # the notice at its head took the place
+
+
+def test_letters():
+    for t in ("\u00b2", "\u00bd \u2167 \u2460", "123", "__", "!?", "\u00b3\u00b9"):
+        assert not langid.has_letter(t)
+    for t in ("a", "\u00e9", "\u6f22", "12\u00b2x", "\u00aa"):
+        assert langid.has_letter(t)
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    df = spark.createDataFrame([(i, [1e9 / 256] * 4) for i in range(3)], "vec_id long, embedding array<double>")
+    assert topk.top_k(df, "vec_id = 0").count() == 2
+    df = spark.createDataFrame([(i, [3e9] * 4) for i in range(3)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(df, "vec_id = 0")
+
+
+def test_pairs_of_blocks(spark, monkeypatch):
+    """A row per pair of blocks, and more keys with more rows."""
+    for n, v in (("QUERIES", 4), ("CANDIDATES", 8), ("TILE", 2), ("SPREAD", 3)):
+        monkeypatch.setattr(topk, n, v)
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 11)]) for i in range(200)], "vec_id long, embedding array<double>").repartition(2).cache()
+    tiles, blocks = 13, 10
+    c = topk._candidates(df, tiles)
+    q = topk.quantised(df).where("vec_id % 5 = 0").selectExpr("vec_id as query_id", "v", "cast(null as long) as bin", "5 as need")
+    met = topk.pairs(c, topk._queries(q, blocks, tiles), blocks)
+    n_q = topk._queries(q, blocks, 1).count()
+    assert met.count() == c.count() * n_q and met.groupBy("ids", "q_ids").count().where("count > 1").count() == 0
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, "vec_id % 5 = 0").collect()}
+    v = {i: (256 * (i % 7), 256 * (i % 11)) for i in range(200)}
+    for i in range(0, 200, 5):
+        best = sorted((-(v[i][0] * v[j][0] + v[i][1] * v[j][1]), j) for j in v if j != i)[:5]
+        assert [got[i, k + 1] for k in range(5)] == [(j, -s) for s, j in best]
+
+
 def test_language_held_out(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     lang = {r.doc_id: r.lang for r in df.select("doc_id", "lang").collect()}

@@ -155,4 +155,4 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                 texts.append(sha([c[2] for c in chunks]))
             yield to_arrow(DIGEST, doc_id=b.column(0), n_tokens=n, ids_sha256=ids, decoded_sha256=texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

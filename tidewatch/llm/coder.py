@@ -220,7 +220,7 @@ def decode(data: bytes) -> np.ndarray:
         freq = np.where(was2, m.f2, np.where(was1, m.f1, freq)).astype(_U)
         bits = np.where(hit, 0, bucket - 1)
         code = code - r * start
-        rng = (r * freq) >> bits.astype(_U)
+        rng = np.maximum((r * freq) >> bits.astype(_U), _U(1))  # only a damaged block gets to 0
         lower = code // rng
         lower = np.where(hit, _U(0), lower)
         code = code - lower * rng

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Iterator
@@ -14,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import checkpoint_dir
+
 #: The words of every operator: runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,19 +47,23 @@ def words_of(text: str | None) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which every executor can reach.
+    """A new folder under ``spark.checkpoint.dir``, which every executor can reach; it goes when the driver ends.
 
-    Only where the cluster names none (tests on one machine) is a temporary
-    folder made and set.
+    Only a session on one machine (tests) may name none; on a cluster that is an error.
     """
+    at = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     sc = spark.sparkContext
-    set_to = sc._jsc.sc().getCheckpointDir()
-    base = set_to.get() if set_to.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidewatch-llm-")
-    if not set_to.isDefined():
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not got."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def cut(df: DataFrame) -> DataFrame:

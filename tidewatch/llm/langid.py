@@ -42,10 +42,15 @@ CLEAR = 0.6
 MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: What may be a letter: the pattern also has numerals and marks such as ², ½ or Ⅷ.
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def grams(text: str) -> Iterator[np.ndarray]:
     """Hashes of the byte n-grams of a lower-cased text, a bounded piece at a time."""
     data = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)
@@ -120,7 +125,7 @@ class Ecoc:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score in 0..1, whether another is about as near."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, False
         f = self.margins(text) * SHARP
         loss = (np.logaddexp(0, -self.code * f) * self.weight).sum(1)

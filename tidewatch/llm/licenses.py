@@ -1,25 +1,28 @@
 """License scan by conditional compression.
 
 The words near a licence keyword (Aho-Corasick), as many to either side as any
-template has and across line breaks, form candidate blocks. Every template is looked for
-in every template-sized window of a block that holds enough of its words, and
-confirmed word by word: the share of the template's words found in order, with
-version numbers and other differences listed exactly. Of confirmed places that
-overlap, the one with most of its wording is kept, then the one whose text,
-compressed with the template as a raw zstandard dictionary, leaves least of its
-plain compressed size. What is left of the block is searched again until no
-template is found, so a list of notices or a repeated one is found whole.
+template has and across line breaks, form candidate blocks. Every template's best
+place in each template-sized window of a block that holds enough of its words is a
+candidate; a window without them can't be confirmed, so none is missed. Candidates
+are compressed, plain and with each's template as a raw zstandard dictionary, and
+ranked by the bytes that the dictionary saves. In that order they are confirmed by
+their exact wording: the share of the template's words found in order is at least
+``LEAST``, and version numbers and other differences are listed; of overlapping ones
+that save the same to a few bytes, the one with fewest differences wins. A confirmed place
+is masked for those after it, and what is left of the block is searched again
+until no template is found, so a list of notices or a repeated one is found whole.
 
 Null and empty texts have no findings; a document without one still has its
 row. Texts of any length are scanned whole, row by row, nothing is shuffled.
-Repeated rows are scanned as rows; extra columns are ignored.
+Repeated rows are scanned as rows; extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -45,6 +48,11 @@ TEMPLATES = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
@@ -59,12 +67,14 @@ TEMPLATES = {
 #: Every template holds one that no line break can part.
 KEYWORDS = ("licens", "licenc", "spdx-", "permission", "redistribution", "free software", "domain", "reserved", "without warranty", "commons")
 
-#: Words either side of a hit that join its block: more than any template has.
-WINDOW_WORDS = 120
+_WORD = re.compile(r"\w+(?:[.\-/]\w+)*")
+#: Words either side of a hit that join its block: as many as the longest template's window, and some.
+WINDOW_WORDS = max(len(_WORD.findall(t)) for t in TEMPLATES.values()) * 5 // 4 + 10
 #: Least share of the template's words found in order.
 LEAST = 0.8
+#: Bytes of savings that tell nothing: a literal more or less, and the length of a match's offset.
+SLACK = 8
 
-_WORD = re.compile(r"\w+(?:[.\-/]\w+)*")
 _ID = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)", re.I)
 
 
@@ -204,9 +214,15 @@ def _places(ids: np.ndarray, n: str) -> Iterator[tuple[int, int, int]]:
                 yield best, first + window + s, first + window + e
 
 
+def compressed(place: str, n: str) -> tuple[int, int]:
+    """Bytes of a place (whatever its line width) compressed plain, and with template ``n`` as dictionary."""
+    _, plain, given = _tools()
+    data = " ".join(place.split()).encode("utf-8", "surrogatepass")
+    return len(plain.compress(data)), len(given[n].compress(data))
+
+
 def judge(block: str) -> list[tuple[str, float, float, str, int, int]]:
     """(template, reduction, share of its words in order, differences, span) of every place."""
-    _, plain, given = _tools()
     number, templates = _words()
     low = _lower(block)
     ids, starts, ends = array("i"), array("q"), array("q")
@@ -223,18 +239,20 @@ def judge(block: str) -> list[tuple[str, float, float, str, int, int]]:
         for n, (want, *_) in templates.items():
             for k, s, e in _places(all_ids[begin:end], n) if (end - begin) / len(want) >= LEAST else ():
                 s, e = begin + s, begin + e
-                data = " ".join(low[starts[s] : ends[e - 1]].split()).encode("utf-8", "surrogatepass")  # whatever the line width
-                size = len(plain.compress(data))
-                found.append((len(want) - 2 * k, len(given[n].compress(data)) / size - 1, n, s, e, k))
+                size, rest = compressed(low[starts[s] : ends[e - 1]], n)
+                found.append((rest - size, len(want) - 2 * k, n, s, e, k, 1 - rest / size))
         taken: list[tuple[int, int]] = []
-        # Most wording first; of equal wording, what its template reduces most.
-        for _, less, n, s, e, k in sorted(found):
-            i = bisect_right(taken, (s, e))
-            if (i and taken[i - 1][1] > s) or (i < len(taken) and taken[i][0] < e):
+        free = lambda s, e: not ((i := bisect_right(taken, (s, e))) and taken[i - 1][1] > s) and not (i < len(taken) and taken[i][0] < e)
+        ranked = sorted(found)
+        for at, (saved, _, _, s, e, *_) in enumerate(ranked):
+            if not free(s, e):
                 continue
-            taken.insert(i, (s, e))
+            # Savings that differ by less than a match costs are equal; of those the exact wording decides.
+            close = (c for c in ranked[at:] if c[0] - saved <= SLACK and c[3] < e and s < c[4] and free(c[3], c[4]))
+            _, _, n, s, e, k, reduction = min(close, key=lambda c: c[1])
+            insort(taken, (s, e))
             own = [low[starts[i] : ends[i]] for i in range(s, e)]
-            out.append((n, max(0.0, -less), k / len(templates[n][0]), _differences(_WORD.findall(TEMPLATES[n].lower()), own), starts[s], ends[e - 1]))
+            out.append((n, max(0.0, reduction), k / len(templates[n][0]), _differences(_WORD.findall(TEMPLATES[n].lower()), own), starts[s], ends[e - 1]))
         if taken:
             edges = [begin, *(x for span in taken for x in span), end]
             left += [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]

@@ -112,10 +112,11 @@ def judge(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with its columns; rows are judged by doc_id and host."""
-    gone = judge(docs).where(~F.col("kept")).select("doc_id", "source").distinct()
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("source").alias("_host"))
-    same = docs["doc_id"].eqNullSafe(gone["_id"]) & docs["source"].eqNullSafe(gone["_host"])
+    """The rows of ``docs`` that are kept, with its columns; each row is judged by its doc_id, host and text."""
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    gone = judge(hashed, ["_text_hash"]).where(~F.col("kept")).select("doc_id", "source", "_text_hash").distinct()
+    gone = gone.toDF("_id", "_host", "_hash")
+    same = docs["doc_id"].eqNullSafe(gone["_id"]) & docs["source"].eqNullSafe(gone["_host"]) & (F.xxhash64(docs["text"]) == gone["_hash"])
     return docs.join(gone, same, "left_anti")
 
 

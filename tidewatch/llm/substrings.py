@@ -21,8 +21,11 @@ repeats of 50 words are all found.
 
 A row is a passage of ``doc_id`` that an earlier document (``first_id``) holds:
 word offsets, ends exclusive. Null texts and texts under 50 words have none.
-Rows of one doc_id count as one document (their texts should be equal) and rows
-without doc_id are not searched.
+Rows of one doc_id with one text count as one document; each other text under
+that doc_id is a document of its own, later than all doc_ids. Rows without
+doc_id are not searched. A passage begins and ends with five equal words at least,
+so where the words at its ends differ it is the part between them. Repeated rows
+and extra columns of any name stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import cut, slices, to_arrow
+from .common import cut, fresh, slices, to_arrow
 
 WORDS = 50
 LEAST = WORDS - S.WIDTH + 1
@@ -297,7 +300,7 @@ def grams(docs: DataFrame, at: DataFrame, spans: DataFrame) -> DataFrame:
                 for first, node, last in map(unpack, b.column(2)[i].as_py()):
                     starts.append(np.arange(max(first, node - LEAST + 1), min(node, last - LEAST + 1) + 1))
                 start = np.unique(np.concatenate(starts))
-                start = start[start + LEAST <= len(s)]  # (of another text under this doc_id)
+                start = start[start + LEAST <= len(s)]
                 gram = S.mix((total[start + LEAST] - total[start]) * back[start])
                 open_ = np.ones(len(start), bool)
                 for x in b.column(3)[i].as_py() or ():
@@ -341,8 +344,33 @@ def _more(found: DataFrame, others: DataFrame) -> DataFrame:
     return cut(found.unionByName(new.join(old, inside, "left_anti")))
 
 
+def _nodes(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a number per document as column ``name``: its doc_id, and above all doc_ids a number
+    for each further text of a doc_id. Those, with their doc_id, are the second frame (None: there are none)."""
+    own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h")).where("_id is not null")
+    several = own.groupBy("_id").agg(F.min("_h").alias("_least"), F.max("_h").alias("_most")).where("_least <> _most")
+    if not several.limit(1).count():
+        return docs.withColumn(name, F.col("doc_id").cast("long")), None
+    top = own.agg(F.max("_id")).first()[0]
+    others = own.join(several, "_id").where("_h <> _least").select("_id", "_h").distinct()
+    others = cut(others.withColumn("_n", F.monotonically_increasing_id() + F.lit(top + 1)))
+    same = (docs["doc_id"] == others["_id"]) & (F.xxhash64(docs["text"]) == others["_h"])
+    numbered = docs.join(others, same, "left").select(*[docs[c] for c in docs.columns], F.coalesce(others["_n"], docs["doc_id"].cast("long")).alias(name))
+    return numbered, others.select(F.col("_n").alias("_node"), "_id")
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, first_id, first_start, first_end, n_words of every passage that an earlier document holds."""
+    numbered, others = _nodes(docs.select("doc_id", "text"), "node")
+    found = _passages(numbered.select(F.col("node").alias("doc_id"), "text"))
+    if others is not None:
+        for c in ("doc_id", "first_id"):
+            found = found.join(others, found[c] == others["_node"], "left").withColumn(c, F.coalesce("_id", c)).drop("_node", "_id")
+    return found
+
+
+def _passages(docs: DataFrame) -> DataFrame:
+    """The same for documents with one text per doc_id."""
     # Most min-hashes occur once: those that meet are found without their surroundings.
     met = windows(docs, around=False)
     first = _star(met, "key")
@@ -375,8 +403,6 @@ def without(text: str | None, spans: list[tuple[int, int]] | None) -> str | None
     _, starts, ends, raw = S.spans(text)
     out, at = [], 0
     for s, e in sorted(spans):
-        if e > len(starts):  # of another text under this doc_id
-            continue
         begin, end = int(starts[s]), int(starts[e]) if e < len(starts) else int(ends[-1])
         if begin > at:
             out.append(raw[at:begin])
@@ -387,7 +413,10 @@ def without(text: str | None, spans: list[tuple[int, int]] | None) -> str | None
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """All rows and columns; in ``text``, passages that an earlier document holds are cut out."""
     columns, at = docs.columns, docs.columns.index("text")
-    spans = passages(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    node, own = fresh(docs, "_node"), fresh(docs, "_spans")
+    numbered, _ = _nodes(docs, node)
+    found = _passages(numbered.select(F.col(node).alias("doc_id"), "text"))
+    spans = found.groupBy(F.col("doc_id").alias(node)).agg(F.collect_set(F.struct("start", "end")).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -396,4 +425,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([b.schema.field(i) for i in range(len(columns))]))
 
-    return docs.join(spans, "doc_id", "left").select(*columns, "_spans").mapInArrow(run, docs.schema)
+    return numbered.join(spans, node, "left").select(*columns, own).mapInArrow(run, docs.schema)

@@ -8,14 +8,17 @@ kth score can't be lower, so no count is lost and a block reports at most k
 bins a query. The last pass keeps scores above the kth, and of ties the k
 smallest ids of each block; they are then ranked.
 
-Both sides are cut into blocks of fixed size and meet by an equi-join on the
-block pair, so no task holds more than one pair at a time.
+Both sides are cut into blocks of fixed size, and ``TILE`` blocks of either side
+to a tile; tiles meet by a merge join on the pair of tiles, which spills, and a
+row of the join is one pair of blocks. The number of tiles grows with both sides,
+so more rows are more keys and no task holds more than one pair at a time.
 
 Vectors that are null or hold a null or non-finite component take no part;
 vectors of different lengths are not compared. Rows with the query's own id
 are no candidates of it; of several rows with a query's id the smallest
 vector is the query. Repeated candidate rows each count. Fewer than k
-candidates: all. Products must fit in 64 bits.
+candidates: all. Extra columns are ignored; an empty table gives no rows. Where a
+product may not fit in 64 bits the call fails.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import cut, slices, to_arrow
 
 QUERIES, CANDIDATES = 1024, 4096
-#: Groups of candidate blocks that each meet a copy of the queries.
+#: Blocks of a side that meet the other side's together.
+TILE = 8
+#: Tiles of candidates at least, for as many tasks.
 SPREAD = 48
 LEVELS = 3
 
@@ -45,8 +50,8 @@ def quantised(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(vectors: DataFrame) -> DataFrame:
-    """Blocks of vectors as they lie in their partitions."""
+def _candidates(vectors: DataFrame, tiles: int) -> DataFrame:
+    """Blocks of vectors as they lie in their partitions, and the tile ``to`` of each."""
     schema = pa.schema([("dim", pa.int32()), ("to", pa.int32()), ("ids", pa.binary()), ("values", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,15 +64,23 @@ def _candidates(vectors: DataFrame) -> DataFrame:
                 rows = np.flatnonzero(size == dim)
                 values = flat if len(rows) == len(size) else np.concatenate([flat[ends[r] - dim : ends[r]] for r in rows])
                 k += 1
-                yield to_arrow(schema, dim=[dim], to=[k % SPREAD], ids=[ids[rows].astype("<i8").tobytes()], values=[values.astype("<i8").tobytes()])
+                yield to_arrow(schema, dim=[dim], to=[k % tiles], ids=[ids[rows].astype("<i8").tobytes()], values=[values.astype("<i8").tobytes()])
 
     return quantised(vectors).mapInArrow(run, "dim int, to int, ids binary, values binary")
 
 
-def _queries(queries: DataFrame, blocks: int) -> DataFrame:
-    """Blocks of queries with their state, one copy per group of candidate blocks."""
+def _queries(queries: DataFrame, blocks: int, tiles: int) -> DataFrame:
+    """Blocks of queries with their state and their tile ``own``, one copy per tile of candidates."""
     q = queries.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "v", "bin", "need")).alias("q"))
-    return q.select("dim", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("to"), F.col("q.query_id").alias("q_ids"), F.flatten("q.v").alias("q_values"), F.col("q.bin").alias("q_bins"), F.col("q.need").alias("q_need"))
+    own = F.floor(F.col("block") / TILE).cast("int").alias("own")
+    return q.select("dim", own, F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("to"), F.col("q.query_id").alias("q_ids"), F.flatten("q.v").alias("q_values"), F.col("q.bin").alias("q_bins"), F.col("q.need").alias("q_need"))
+
+
+def pairs(candidates: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
+    """A row per pair of a block of candidates and a block of queries."""
+    tiles = F.explode(F.sequence(F.lit(0), F.lit(-(-blocks // TILE) - 1)))
+    joined = candidates.withColumn("own", tiles).join(queries.hint("merge"), ["dim", "own", "to"])
+    return joined.select("dim", "ids", "values", "q_ids", "q_values", "q_bins", "q_need")
 
 
 def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -77,7 +90,7 @@ def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q @ c.T
 
 
-def _pass(candidates: DataFrame, queries: DataFrame, shift: int, before: int | None, last: bool = False) -> DataFrame:
+def _pass(joined: DataFrame, shift: int, before: int | None, last: bool = False) -> DataFrame:
     """One scoring of all pairs: (query_id, key, n) as bins and counts, or at last as ids and scores."""
     schema = pa.schema([("query_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
@@ -110,30 +123,33 @@ def _pass(candidates: DataFrame, queries: DataFrame, shift: int, before: int | N
             if out:
                 yield to_arrow(schema, **dict(zip(schema.names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    joined = candidates.join(queries.hint("shuffle_hash"), ["dim", "to"])
-    return joined.select("dim", "ids", "values", "q_ids", "q_values", "q_bins", "q_need").mapInArrow(run, "query_id long, key long, n long")
+    return joined.mapInArrow(run, "query_id long, key long, n long")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of every query."""
     v = quantised(vectors)
     q = v.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
-    bound = v.agg(F.max(F.size("v")).alias("dim"), F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v")))).alias("most")).first()
+    bound = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v")))).alias("most")).first()
     blocks = -(-q.count() // QUERIES) or 1
     bits = max(1, ((bound.dim or 0) * (bound.most or 0) ** 2).bit_length())
+    if bits > 63:
+        raise ValueError(f"inner products may take {bits} bits and a sign; 64 bits hold them up to 63")
+    tiles = max(SPREAD, -(-bound.n // (TILE * CANDIDATES)))
     shifts = [bits * (LEVELS - 1 - i) // LEVELS for i in range(LEVELS)]
-    candidates = _candidates(vectors)
+    candidates = _candidates(vectors, tiles)
     state = q.select("query_id", F.lit(None).cast("long").alias("bin"), F.lit(k).alias("need"))
+    met = lambda: pairs(candidates, _queries(q.join(state, "query_id"), blocks, tiles), blocks)  # noqa: E731  with the state of now
     before = None
     for shift in shifts:
-        counted = _pass(candidates, _queries(q.join(state, "query_id"), blocks), shift, before).groupBy("query_id", "key").agg(F.sum("n").alias("n"))
+        counted = _pass(met(), shift, before).groupBy("query_id", "key").agg(F.sum("n").alias("n"))
         w = Window.partitionBy("query_id").orderBy(F.desc("key"))
         # The bin that holds the kth score; one that has fewer candidates than k narrows to its last bin.
         reached = counted.select("query_id", "key", "n", F.sum("n").over(w).alias("upto")).join(state.select("query_id", F.col("need").alias("need")), "query_id")
         at = reached.groupBy("query_id").agg(F.max(F.when(F.col("upto") >= F.col("need"), F.struct("key", (F.col("need") - F.col("upto") + F.col("n")).alias("need")))).alias("at"), F.min(F.struct("key", F.col("n").alias("need"))).alias("last"))
         state = cut(at.select("query_id", F.coalesce("at", "last")["key"].alias("bin"), F.coalesce("at", "last")["need"].cast("int").alias("need")))
         before = shift
-    found = _pass(candidates, _queries(q.join(state, "query_id"), blocks), 0, None, last=True)
+    found = _pass(met(), 0, None, last=True)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "key"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("key").alias("vec_id"), F.col("n").alias("score"))
 
