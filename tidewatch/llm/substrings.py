@@ -43,7 +43,7 @@ from .common import cut, fresh, slices, to_arrow
 
 WORDS = 50
 LEAST = WORDS - S.WIDTH + 1
-HASHES, ENOUGH = 3, 2
+HASHES, ENOUGH = 4, 2
 SIMILAR = 0.8
 #: Shingles to either side of a window's node that tell its surroundings.
 ANCHORS = (-30, -15, 15, 30)
@@ -221,18 +221,9 @@ def passages_of(a: np.ndarray, b: np.ndarray, hits: list[tuple[int, int]], size:
     return sorted(out)
 
 
-SEQUENCES = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 PASSAGES = pa.schema([(n, pa.int64()) for n in ("node", "first", "start", "end", "first_start", "first_end")])
 
 
-def sequences(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield to_arrow(SEQUENCES, node=b.column(0), shingles=[S.of_words(S.words(t)).view(np.int64) for t in b.column(1).to_pylist()])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, shingles array<long>")
-
-
 def _pairs(hits: DataFrame, need: int) -> DataFrame:
     """(node, first) with the places where their windows met, of pairs where enough functions overlap."""
     schema = pa.schema([("node", pa.int64()), ("first", pa.int64()), ("x", pa.list_(pa.int64())), ("y", pa.list_(pa.int64()))])
@@ -255,13 +246,16 @@ def _verify(docs: DataFrame, pairs: DataFrame, size: int = 1) -> DataFrame:
     """Passages of the pairs; a row of nulls where there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, there = None, None  # rows come by first document
         for b in slices(batches, 64):
             out: dict[str, list] = {n: [] for n in PASSAGES.names}
-            node, first, at, there, x, y = (b.column(i) for i in range(6))
+            node, first, at, other, x, y = (b.column(i) for i in range(6))
             for i in range(b.num_rows):
                 a, f = node[i].as_py(), first[i].as_py()
-                hits = list(zip(at[i].as_py(), there[i].as_py(), strict=True))
-                found = passages_of(x[i].values.to_numpy(), y[i].values.to_numpy(), hits, size)
+                if f != last:
+                    last, there = f, S.of_words(S.words(y[i].as_py()))
+                hits = list(zip(at[i].as_py(), other[i].as_py(), strict=True))
+                found = passages_of(S.of_words(S.words(x[i].as_py())), there, hits, size)
                 for s, e, t, u in found or [(None,) * 4]:
                     # A passage of k shingles has k + WIDTH - 1 words.
                     ends = (s, e + S.WIDTH - 1, t, u + S.WIDTH - 1) if found else (None,) * 4
@@ -270,8 +264,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, size: int = 1) -> DataFrame:
             yield to_arrow(PASSAGES, **out)
 
     asked = pairs.select(F.col("node").alias("doc_id")).union(pairs.select("first")).distinct()
-    known = cut(sequences(docs.join(asked, "doc_id", "left_semi")))
-    of = lambda n, s: known.select(F.col("node").alias(n), F.col("shingles").alias(s))
+    # Texts, which are shuffled compressed, and once for both sides; their hashes would be larger.
+    texts = docs.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.any_value("text").alias("text"))
+    of = lambda n, t: texts.select(F.col("doc_id").alias(n), F.col("text").alias(t))
     both = pairs.join(of("node", "s_x"), "node").join(of("first", "s_y"), "first").select("node", "first", "x", "y", "s_x", "s_y")
     return both.mapInArrow(run, ", ".join(f"{n} long" for n in PASSAGES.names))
 
