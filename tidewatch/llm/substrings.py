@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
@@ -376,8 +376,12 @@ def _passages(docs: DataFrame) -> DataFrame:
     # Windows that no passage of their pair holds: among those alike in their surroundings.
     side = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.shiftrightunsigned("around", 16 * j).bitwiseAND(F.lit(_SIDE)).alias("mark")) for j in range(len(ANCHORS))]))
     at = F.shiftright("place", 32)
-    held = (F.col("h.node") == F.col("p.node")) & (F.col("h.first") == F.col("p.first")) & at.between(F.col("p.start"), F.col("p.end") - S.WIDTH)
-    left = hits.alias("h").join(found.select("node", "first", "start", "end").alias("p"), held, "left_anti").select("key", "node", "place", side.alias("s")).select("key", "node", "place", "s.j", "s.mark").where("mark > 0")
+    spans = found.select("node", "first", F.col("start").alias("pos"), (F.col("end") - S.WIDTH).alias("upto"))
+    # (one pass over a pair's hits and passages by place: as many rows as the two documents have)
+    so_far = Window.partitionBy("node", "first").orderBy("pos", F.col("upto").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = hits.withColumn("pos", at).unionByName(spans, allowMissingColumns=True).withColumn("held", F.max("upto").over(so_far))
+    open_ = placed.where(F.col("key").isNotNull() & (F.col("held").isNull() | (F.col("held") < F.col("pos"))))
+    left = open_.select("key", "node", "place", side.alias("s")).select("key", "node", "place", "s.j", "s.mark").where("mark > 0")
     again = left.join(_star(left, "key", "j", "mark"), ["key", "j", "mark"]).where("node <> first").select("key", "node", "first", "place", "first_place", (at - F.shiftright("first_place", 32)).alias("d"))
     done = pairs.select("node", "first", F.explode(F.zip_with("x", "y", lambda x, y: x - y)).alias("d")).distinct()
     again = cut(_pairs(again.join(done, ["node", "first", "d"], "left_anti"), 1))
