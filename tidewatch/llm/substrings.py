@@ -318,10 +318,13 @@ def _exact(docs: DataFrame, known: DataFrame, found: DataFrame) -> DataFrame:
     node = F.shiftright("place", 32)
     begin = F.greatest(node - F.shiftright("place", 16).bitwiseAND(F.lit(_SIDE)), node - (LEAST - 1))
     end = F.least(node + F.col("place").bitwiseAND(F.lit(_SIDE)), node + (LEAST - 1)) + S.WIDTH
-    within = F.coalesce(F.exists("spans", lambda x: (x.start <= begin) & (x.end >= end)), F.lit(False))
     side = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.shiftrightunsigned("around", 16 * j).bitwiseAND(F.lit((1 << 32) - 1)).alias("marks")) for j in range(len(ANCHORS) - 1)]))
-    one = known.where(F.col("key").bitwiseAND(F.lit(3)) == 0).join(spans, "node", "left")
-    one = one.select("key", "node", "place", ((F.col("node") != F.col("first")) & ~within).alias("open"), side.alias("s")).select("key", "node", "place", "open", "s.j", "s.marks")
+    # Held by a passage: of those that begin no later, one ends no earlier (one pass over a document's windows and passages).
+    so_far = Window.partitionBy("node").orderBy("pos", F.col("upto").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = known.where(F.col("key").bitwiseAND(F.lit(3)) == 0).select("key", "node", "place", "around", "first", begin.alias("pos"), end.alias("ends"))
+    passed = found.select("node", F.col("start").alias("pos"), F.col("end").alias("upto")).distinct()
+    one = one.unionByName(passed, allowMissingColumns=True).withColumn("held", F.coalesce(F.max("upto").over(so_far) >= F.col("ends"), F.lit(False))).where("key is not null")
+    one = one.select("key", "node", "place", ((F.col("node") != F.col("first")) & ~F.col("held")).alias("open"), side.alias("s")).select("key", "node", "place", "open", "s.j", "s.marks")
     one = cut(one.where((F.col("marks").bitwiseAND(F.lit(_SIDE)) > 0) & (F.col("marks") > _SIDE)))
     alike = one.groupBy("key", "j", "marks").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.max("open").alias("o")).where("x < y and o")
     g = cut(grams(docs, one.join(alike, ["key", "j", "marks"]).select("node", "place").distinct(), spans))
