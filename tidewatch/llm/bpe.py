@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, to_arrow
+from .common import slices_by_size, to_arrow
 from .tokens import CachedEncoder, WordTokens, byte_letters
 
 #: Words of more parts than this take the heap.
@@ -38,6 +39,10 @@ class RankMerge:
         vocab, letters = spec.vocab, byte_letters()
         self.first = {c: vocab[c] for c in letters}
         self.last = {c: vocab[c + spec.suffix] for c in letters}
+        # The same by code point: a row for letters within a word, one for its last.
+        self.part_of = np.zeros((2, max(map(ord, letters)) + 1), np.int32)
+        for c in letters:
+            self.part_of[:, ord(c)] = self.first[c], self.last[c]
         self.size = max(vocab.values()) + 1
         ranks: dict[int, int] = {}
         for r, (a, b) in enumerate(spec.merges):
@@ -54,7 +59,7 @@ class RankMerge:
         order = sorted((i for i, p in enumerate(pieces) if len(p) <= SHORT), key=lambda i: len(pieces[i]))
         for at in range(0, len(order), ROWS):
             rows = order[at : at + ROWS]
-            for i, ids in zip(rows, self._short([self._parts(pieces[i]) for i in rows]), strict=True):
+            for i, ids in zip(rows, self._short([pieces[i] for i in rows]), strict=True):
                 out[i] = ids
         for i, p in enumerate(pieces):
             if len(p) > SHORT:
@@ -70,12 +75,15 @@ class RankMerge:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.rank_of[at], _NONE)
 
-    def _short(self, words: list[list[int]]) -> list[list[int]]:
-        width = max(map(len, words))
+    def _short(self, words: list[str]) -> list[list[int]]:
+        size = np.array(list(map(len, words)))
+        width = int(size.max())
         # A column of -1 on either side, so that every boundary has neighbours.
         part = np.full((len(words), width + 2), -1, np.int32)
-        for i, w in enumerate(words):
-            part[i, 1 : len(w) + 1] = w
+        code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        last = np.zeros(len(code), np.int8)
+        last[np.cumsum(size) - 1] = 1
+        part[:, 1:-1][np.arange(width) < size[:, None]] = self.part_of[last, code]
         rank = self._rank(part[:, :-1], part[:, 1:])
         done: list = [None] * len(words)
         row = np.arange(len(words))
@@ -85,8 +93,11 @@ class RankMerge:
             each = np.arange(len(row))
             low = rank[each, at]
             if (ended := low == _NONE).any():
-                for i, p in zip(row[ended].tolist(), part[ended].tolist(), strict=True):
-                    done[i] = [x for x in p if x >= 0]
+                full = part[ended]
+                held = full >= 0
+                ids, end = full[held].tolist(), np.cumsum(held.sum(1)).tolist()
+                for i, s, e in zip(row[ended].tolist(), [0, *end], end, strict=False):
+                    done[i] = ids[s:e]
                 row, part, rank, at, low = row[~ended], part[~ended], rank[~ended], at[~ended], low[~ended]
                 each = np.arange(len(row))
                 if not len(row):
@@ -122,20 +133,17 @@ class RankMerge:
 
 
 def decoder(spec: WordTokens):
-    """ids -> text: the tokens themselves, one space between (the file names no decoder)."""
-    token = {i: t for t, i in spec.vocab.items()} | {i: t for t, i in spec.special.items()}
-    return lambda ids: " ".join(map(token.__getitem__, ids))
+    """ids -> text in UTF-8: the tokens themselves, one space between (the file names no decoder)."""
+    token = {i: t.encode() for t, i in (spec.vocab | spec.special).items()}
+    return lambda ids: b" ".join(map(token.__getitem__, ids))
 
 
-def kept(spec: WordTokens, ids: list[int]) -> tuple[int, bytes, bytes]:
-    """Of a chunk: how many ids, their decimals, their decoding."""
-    decode = spec.__dict__.get("decode") or spec.__dict__.setdefault("decode", decoder(spec))
-    return len(ids), str(ids)[1:-1].replace(",", "").encode(), decode(ids).encode()
+def kept(spec: WordTokens, ids: list[int]) -> bytes:
+    """What is kept of a pre-token: its ids as 32-bit integers."""
+    return array("I", ids).tobytes()
 
 
-def joined(parts: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
-    return sum(p[0] for p in parts), b" ".join(p[1] for p in parts), b" ".join(p[2] for p in parts)
-
+joined = b"".join
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -145,14 +153,14 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = CachedEncoder(path, RankMerge, kept, joined)
-        sha = lambda parts: hashlib.sha256(b" ".join(parts)).hexdigest()
-        for b in slices(batches):
-            n, ids, texts = [], [], []
+        decode, decimal = decoder(encode.spec), [str(i).encode() for i in range(max((encode.spec.vocab | encode.spec.special).values()) + 1)]
+        for b in slices_by_size(batches, 1, rows=2048):
+            n, coded, texts = [], [], []
             for chunks in encode(b.column(1).to_pylist()):
-                chunks = [c for c in chunks if c[0]]
-                n.append(sum(c[0] for c in chunks))
-                ids.append(sha([c[1] for c in chunks]))
-                texts.append(sha([c[2] for c in chunks]))
-            yield to_arrow(DIGEST, doc_id=b.column(0), n_tokens=n, ids_sha256=ids, decoded_sha256=texts)
+                ids = array("I", b"".join(chunks))
+                n.append(len(ids))
+                coded.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest())
+                texts.append(hashlib.sha256(decode(ids)).hexdigest())
+            yield to_arrow(DIGEST, doc_id=b.column(0), n_tokens=n, ids_sha256=coded, decoded_sha256=texts)
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,7 +2,8 @@
 
 A pre-token never crosses white space, so ``encode(text)`` is the
 concatenation of ``encode(chunk)`` over the chunks between white space. Each
-distinct chunk is encoded once per worker and remembered (bounded cache).
+distinct chunk is encoded once per worker and remembered; of a bounded cache,
+the older half goes when the newer one is full.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from tokenizers import Tokenizer
 
 from .common import worker_state
 
-#: Chunks kept per worker; the cache is emptied when it is full (only speed depends on it).
-CACHE_CHUNKS = 400_000
+#: Chunks in each half of a worker's cache (only speed depends on it).
+CACHE_CHUNKS = 300_000
 #: Longer chunks are encoded each time they occur.
 CACHE_CHARS = 64
 
@@ -119,20 +120,24 @@ class CachedEncoder:
         state = worker_state("chunks")
         if (key := (path, words.__name__, value.__name__)) not in state:
             spec = WordTokens(path)
-            state[key] = (spec, words(spec), {})
-        self.spec, self.words, self.cache = state[key]
+            state[key] = (spec, words(spec), [{}, {}])
+        self.spec, self.words, self.halves = state[key]
         self.value, self.join = value, join
 
     def __call__(self, texts: list[str | None]) -> list[list]:
         """For each text, the kept values of its chunks in order."""
         split = [self.spec.chunks(t) for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        missing = list(set().union(*split).difference(self.cache))
+        if len(self.halves[0]) > CACHE_CHUNKS:
+            self.halves[:] = {}, self.halves[0]
+        cache, older = self.halves
+        unseen = set().union(*split).difference(cache)
+        back = [c for c in unseen if c in older]
+        cache.update(zip(back, map(older.__getitem__, back), strict=True))  # chunks in use outlive the older half
+        missing = list(unseen.difference(back))
         now = dict(zip(missing, self._encode(missing), strict=True))
         long = {c: now.pop(c) for c in missing if len(c) > CACHE_CHARS}
-        self.cache.update(now)
-        get = self.cache.__getitem__
+        cache.update(now)
+        get = cache.__getitem__
         if long:
             return [[long[c] if c in long else get(c) for c in s] for s in split]
         return [list(map(get, s)) for s in split]
