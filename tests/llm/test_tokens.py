@@ -113,6 +113,14 @@ def test_coder_random_and_damage():
             coder.decode(bytes(bad))
 
 
+def test_order_0_predicts_ids():
+    rng = np.random.default_rng(6)
+    ids = rng.choice(rng.integers(1000, 49000, 20), 12000)  # no context helps, each id is one of 20
+    data = coder.encode(ids)
+    assert coder.decode(data).tolist() == ids.tolist()
+    assert len(data) * 8 / len(ids) < np.log2(20) + 1.6
+
+
 def test_files_give_offsets_and_checksums(docs, words, monkeypatch):
     monkeypatch.setattr(coder, "SEGMENT", 700)
     rows = [(i * 3 % 101, words(20)) for i in range(60)] + [(500, None), (501, ""), (502, words(3000))]

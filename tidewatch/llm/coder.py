@@ -4,14 +4,16 @@ Ids are cut into blocks of ``BLOCK``; each starts from an empty model and has
 its own checksum, so a damaged block harms no other. In a block an order-2 and
 an order-1 context each predict one id (the last that followed), with a
 confidence that grows while they are right. Their adaptive hit rates are mixed
-with a learned weight; misses fall to an order-0 model: an adaptive
-distribution over the id's magnitude, with its lower bits uniform. The
+with a learned weight; misses fall to an order-0 model. It predicts the ids of
+a short list, in which an id that occurs moves half the way to the front, so
+that frequent and recent ids lead it; an adaptive distribution covers the places
+of the list and, for ids outside, their magnitude, with lower bits uniform. The
 probabilities drive a 64-bit range coder with carry and 16-bit words.
 
 The blocks of a segment are coded in step, one numpy lane each; that changes
 nothing in the format, in which every block stands alone.
 
-Segment (little endian): "TWID", u32 greatest id, u32 blocks, then per block
+Segment (little endian): "TWI2", u32 greatest id, u32 blocks, then per block
 u32 ids, u32 words, u32 crc32 of the ids as u32, then the 16-bit words of each
 block.
 """
@@ -31,7 +33,7 @@ from .common import cut, slices, to_arrow
 from .packing import packed
 from .tokens import CachedEncoder, LibraryWords
 
-MAGIC = b"TWID"
+MAGIC = b"TWI2"
 BLOCK = 2048
 #: Blocks coded in step.
 LANES = 2048
@@ -39,11 +41,14 @@ LANES = 2048
 SEGMENT = BLOCK * LANES
 END = 1
 
+#: Ids that the order-0 model predicts by name.
+LISTED = 32
+
 _ORDER1, _ORDER2 = 1 << 11, 1 << 12
 #: Hit rates are of 2**16, the shares of the coder's range of 2**18.
 _RATE, _BITS = 1 << 16, 18
 _ONE = 1 << _BITS
-#: The order-0 distribution is of 2**14. It keeps at least as much of the range, so no bucket's share is empty.
+#: The order-0 distribution is of 2**14. It keeps at least as much of the range, so no symbol's share is empty.
 _CDF = 1 << 14
 _SHARE = _ONE - _CDF
 _LEAST = np.uint64(1 << 48)
@@ -57,8 +62,8 @@ class Model:
         if greatest >= 1 << 28:
             raise ValueError("ids are below 2**28")
         self.lane = np.arange(lanes)
-        self.buckets = n = int(greatest + 1).bit_length() + 1
-        #: bucket of an id: the bits of id + 1
+        #: symbols of order 0: places of the list, then the bits of id + 1 (1 or more)
+        n = LISTED + int(greatest + 1).bit_length()
         self.bucket = np.frexp(np.arange(1, greatest + 2, dtype=float))[1].astype(np.int64)
         self.next1 = np.zeros(lanes * _ORDER1, np.int32)
         self.next2 = np.zeros(lanes * _ORDER2, np.int32)
@@ -67,7 +72,9 @@ class Model:
         self.hit1 = self.hit2.copy()
         self.alone = np.tile(np.array([0, 9000, 20000, 30000]), lanes)
         self.weight = np.full(lanes * 2, 2048)
-        # One row per bucket's start. Each step moves them towards nearly all in one bucket.
+        self.listed = np.full((LISTED, lanes), -1, np.int32)
+        self.place = np.arange(LISTED, dtype=np.int8)[:, None]
+        # One row per symbol's start. Each step moves them towards nearly all in one symbol.
         start = np.arange(n + 1)
         even = start * (_CDF // n)
         even[-1] = _CDF
@@ -99,17 +106,22 @@ class Model:
         self.hits = np.minimum(self.hits, _SHARE)
         self.rest = _ONE - self.hits
 
-    def others(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and frequency of a bucket within what the predicted ids leave."""
-        lo = self.rest * self.cdf[bucket, self.lane] >> 14
-        return self.hits + lo, (self.rest * self.cdf[bucket + 1, self.lane] >> 14) - lo
+    def symbol(self, ids: np.ndarray) -> np.ndarray:
+        """Of each id, its symbol in the order-0 model: its place in the list, or its magnitude."""
+        place = ((self.listed == ids) * (self.place + 1)).max(0).astype(np.int64)
+        return np.where(place > 0, place - 1, LISTED - 1 + self.bucket.take(ids))
+
+    def others(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and frequency of a symbol within what the predicted ids leave."""
+        lo = self.rest * self.cdf[symbol, self.lane] >> 14
+        return self.hits + lo, (self.rest * self.cdf[symbol + 1, self.lane] >> 14) - lo
 
     def find(self, v: np.ndarray) -> np.ndarray:
-        """The bucket in whose share v (of 2**18) lies: rest * cdf >> 14 is at most v - hits."""
+        """The symbol in whose share v (of 2**18) lies: rest * cdf >> 14 is at most v - hits."""
         most = (((np.maximum(v - self.hits, 0) + 1) << 14) - 1) // self.rest
         return (self.cdf[1:-1] <= most.astype(np.int16)).sum(0, dtype=np.int8)
 
-    def update(self, ids: np.ndarray, bucket: np.ndarray) -> None:
+    def update(self, ids: np.ndarray, symbol: np.ndarray) -> None:
         was2, was1 = ids == self.p2, ids == self.p1
         full2, full1 = was2 * (_RATE - 1), was1 * (_RATE - 1)
         self.hit2[self.s2] = self.a2 + ((full2 - self.a2) >> 4)
@@ -121,7 +133,13 @@ class Model:
         new = ((ids + 1) << 2) + 1
         self.next1[self.i1] = new + was1 * np.minimum(self.c1, 2)
         self.next2[self.i2] = new + was2 * np.minimum(self.c2, 2)
-        self.cdf += (self.target.take(bucket, 1) - self.cdf) >> 5
+        self.cdf += (self.target.take(symbol, 1) - self.cdf) >> 5
+        # Within the list an id moves half the way to the front, a new one to the middle.
+        come = np.minimum(symbol, LISTED - 1).astype(np.int8)
+        to = np.where(symbol < LISTED, come >> 1, np.int8(LISTED // 2))
+        down = (self.place[1:] > to) & (self.place[1:] <= come)
+        np.copyto(self.listed[1:], self.listed[:-1].copy(), where=down)
+        self.listed[to, self.lane] = ids
         self.prev2, self.prev = self.prev, ids
 
 
@@ -159,15 +177,16 @@ def encode(ids: np.ndarray) -> bytes:
     columns = np.ascontiguousarray(rows.T[:steps])
     for now in columns:
         m.predict()
-        bucket = m.bucket.take(now)
-        start, freq = m.others(bucket)
+        symbol = m.symbol(now)
+        start, freq = m.others(symbol)
         was2 = now == m.p2
         was1 = (now == m.p1) & ~was2
         hit = was1 | was2
         start = np.where(was2, 0, np.where(was1, m.f2, start)).astype(_U)
         freq = np.where(was2, m.f2, np.where(was1, m.f1, freq)).astype(_U)
-        bits = np.where(hit, 0, bucket - 1)
-        lower = np.where(hit, 0, now + 1 - (1 << bits)).astype(_U)
+        known = hit | (symbol < LISTED)
+        bits = np.where(known, 0, symbol - LISTED)
+        lower = np.where(known, 0, now + 1 - (1 << bits)).astype(_U)
         r = rng >> _U(_BITS)
         rng = (r * freq) >> bits.astype(_U)
         grown = low + r * start + rng * lower
@@ -178,7 +197,7 @@ def encode(ids: np.ndarray) -> bytes:
         while len(small := np.flatnonzero(rng < _LEAST)):
             shift(small)
             rng[small] <<= _U(16)
-        m.update(now, bucket)
+        m.update(now, symbol)
     for _ in range(4):
         shift(lane)
     counts = np.full(lanes, BLOCK)
@@ -200,6 +219,7 @@ def decode(data: bytes) -> np.ndarray:
     stream = np.concatenate([np.frombuffer(data, "<u2", offset=12 + 12 * lanes), np.zeros(8, "<u2")]).astype(_U)
     at = np.cumsum(words) - words
     m = Model(lanes, greatest)
+    lane = m.lane
     code, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
     for _ in range(4):
         code = code << _U(16) | stream.take(at)
@@ -214,24 +234,27 @@ def decode(data: bytes) -> np.ndarray:
         was2 = v < m.f2
         was1 = ~was2 & (v < m.hits)
         hit = was1 | was2
-        bucket = np.where(hit, 1, m.find(v).astype(np.int64))
-        start, freq = m.others(bucket)
+        symbol = np.where(hit, 0, m.find(v).astype(np.int64))
+        start, freq = m.others(symbol)
         start = np.where(was2, 0, np.where(was1, m.f2, start)).astype(_U)
         freq = np.where(was2, m.f2, np.where(was1, m.f1, freq)).astype(_U)
-        bits = np.where(hit, 0, bucket - 1)
+        known = hit | (symbol < LISTED)
+        bits = np.where(known, 0, symbol - LISTED)
         code = code - r * start
         rng = np.maximum((r * freq) >> bits.astype(_U), _U(1))  # only a damaged block gets to 0
         lower = code // rng
-        lower = np.where(hit, _U(0), lower)
+        lower = np.where(known, _U(0), lower)
         code = code - lower * rng
-        now = np.where(was2, m.p2, np.where(was1, m.p1, (1 << np.maximum(bits, 0)) + lower.astype(np.int64) - 1))
+        named = m.listed[np.minimum(symbol, LISTED - 1), lane]
+        other = np.where(known, named, (1 << bits) + lower.astype(np.int64) - 1)
+        now = np.where(was2, m.p2, np.where(was1, m.p1, other))
         now = np.clip(now, 0, greatest)  # only a damaged block leaves the range
         while len(small := np.flatnonzero(rng < _LEAST)):
             code[small] = code[small] << _U(16) | stream.take(np.minimum(at[small], end))
             at[small] += 1
             rng[small] = np.maximum(rng[small], _U(1)) << _U(16)
         out[t] = now
-        m.update(now, m.bucket.take(now))
+        m.update(now, m.symbol(now))
     rows = out.T
     ids = np.concatenate([rows[k, :c] for k, c in enumerate(counts.tolist())])
     cuts = np.cumsum(counts)
