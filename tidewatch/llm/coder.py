@@ -106,9 +106,9 @@ class Model:
         self.hits = np.minimum(self.hits, _SHARE)
         self.rest = _ONE - self.hits
 
-    def symbol(self, ids: np.ndarray) -> np.ndarray:
-        """Of each id, its symbol in the order-0 model: its place in the list, or its magnitude."""
-        place = ((self.listed == ids) * (self.place + 1)).max(0).astype(np.int64)
+    def symbol(self, ids: np.ndarray, lanes: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Of each id, its symbol in the order-0 model of its lane: its place in the list, or its magnitude."""
+        place = ((self.listed[:, lanes] == ids.astype(np.int32)) * (self.place + 1)).max(0).astype(np.int64)
         return np.where(place > 0, place - 1, LISTED - 1 + self.bucket.take(ids))
 
     def others(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +254,9 @@ def decode(data: bytes) -> np.ndarray:
             at[small] += 1
             rng[small] = np.maximum(rng[small], _U(1)) << _U(16)
         out[t] = now
-        m.update(now, m.symbol(now))
+        which = np.flatnonzero(hit)
+        symbol[which] = m.symbol(now[which], which)
+        m.update(now, symbol)
     rows = out.T
     ids = np.concatenate([rows[k, :c] for k, c in enumerate(counts.tolist())])
     cuts = np.cumsum(counts)
