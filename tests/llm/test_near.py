@@ -1,6 +1,8 @@
 """Near duplicates and repeated passages against brute force."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -94,6 +96,65 @@ def test_signatures_estimate_probability_jaccard():
     assert abs(np.isin(minhash.signatures([heavy], 4096)[0], a).mean() - share) < 0.03
 
 
+def brute_weighted(rows):
+    """Classes of documents alike in plain or weighted shingles, and the pairs alike in weights alone."""
+    tokens = {i: [int(x) for x in shingles.words(t)] for i, t in rows}
+    names = {i: (t or "").split() for i, t in rows}
+    count = Counter(x >> 48 for w in tokens.values() for x in w)
+    level = lambda x: round(8 * math.log2(count.total() / count[x >> 48]))
+    of = {}
+    for i, w in tokens.items():
+        k = min(5, len(w))
+        of[i] = {tuple(names[i][j : j + k]): min(255, max(1, sum(map(level, w[j : j + k])) // k)) for j in range(len(w) - k + 1)} if w else {}
+    label, only = {i: i for i in of}, set()
+    for a in sorted(of):
+        for b in sorted(of):
+            x, y = of[a], of[b]
+            if a < b and x and y:
+                plain = len(x.keys() & y.keys()) >= 0.8 * len(x.keys() | y.keys())
+                heavy = sum(x[s] for s in x.keys() & y.keys()) * 10 >= 8 * sum((x | y).values())
+                only |= {(a, b)} if heavy and not plain else set()
+                if (plain or heavy) and label[a] != label[b]:
+                    lo, hi = sorted((label[a], label[b]))
+                    label = {i: lo if v == hi else v for i, v in label.items()}
+    return label, only
+
+
+def test_classes_by_weighted_shingles_equal_brute_force(docs, words):
+    rng, rows = random.Random(3), []
+    phrases = [words(18) for _ in range(8)]
+    for k in range(40):  # documents of their own words that differ in common phrases, and others with the same phrases
+        body = words(rng.choice([40, 80, 120, 160]))
+        rows += [f"{body} {rng.choice(phrases)}" for _ in range(3)] + [f"{edited(body, 1, rng)} {rng.choice(phrases)}"]
+        rows += [f"{words(30)} {rng.choice(phrases)}", " ".join(rng.sample(phrases, 3))]
+    rows = list(enumerate([*rows, "", None, "one", "one two"]))
+    want, only = brute_weighted(rows)
+    assert len(only) >= 20 and want != brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs(rows, extra=True)).collect()}
+    assert got == want
+    assert all(got[a] == got[b] for a, b in only)
+
+
+def test_a_shingle_weighs_the_same_in_all_documents(docs, words):
+    phrase, own = words(9), words(40)
+    levels = minhash.word_levels(docs([(i, f"{phrase} {words(20)}") for i in range(50)] + [(50, own), (51, None)]))
+    weight = lambda t: {int(s): int(w) for h in [minhash.weighted_shingles(shingles.words(t), levels)] for s, w in zip(h, minhash.weights(h), strict=True)}
+    alone, within, rare = weight(phrase), weight(f"{own} {phrase} {phrase} {own}"), weight(own)
+    assert len(alone) == 5 and alone.items() <= within.items() and rare.items() <= within.items()
+    assert max(alone.values()) < min(rare.values())
+    assert len(minhash.weighted_shingles(shingles.words(""), levels)) == 0 and len(weight("a b")) == 1
+
+
+def test_templated_documents_make_few_candidates(spark, docs, words):
+    def asked(n):
+        phrase = words(40)
+        df = docs([(i, f"{phrase} {words(14)} {phrase[::-1]}") for i in range(n)])
+        sets = minhash.shingle_sets(df, minhash.word_levels(df))
+        return minhash.across(df.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")), sets).count() / n
+
+    assert asked(600) <= 2 * asked(150) + 10
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 300)], "a long, b long")
     got = {r.node: r.label for r in components(links).collect()}
