@@ -16,7 +16,9 @@ CHECKED = ["brute_force", "credential_spray", "port_scan", "endpoint_probe", "de
            "ip_features", "risk_scores", "explain_evidence", "timeline", "geo_join", "failure_indicator",
            "profile_sec_descriptor", "match_scores_sec", "normalize_project", "tfidf_documents", "embedding_match",
            "sequential_ratio", "read_csv", "read_ndjson", "profile_head", "ontology", "read_csv_quoted",
-           "read_ndjson_escapes", "read_wrapped_json", "embedding_cosine", "match_override", "match_single_ip", "ip_investigation"]
+           "read_ndjson_escapes", "read_wrapped_json", "embedding_cosine", "match_override", "match_single_ip", "ip_investigation",
+           "profile_dtype", "profile_long", "profile_shape", "mapping_summary_sec", "mapping_confidence_sec",
+           "mapping_review_sec", "override_diff", "extra_fields"]
 
 
 def _norm(v):

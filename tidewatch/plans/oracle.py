@@ -694,3 +694,59 @@ select event_id, 'é "' || event_type || '",' || chr(10) || 'ok' as note, userna
 READ_NDJSON_ESCAPES = ctes() + """
 select event_id, 'say "[" to {' || event_type || chr(92) || '"}]' as msg, port from sec"""
 READ_WRAPPED_JSON = ctes() + "select event_id, source_ip, port as net_port, username as net_user from sec"
+
+
+# ------------------------------------------------------------------ profiles of every table, mappings, unmapped fields
+PROFILE_LONG = ctes("head as (select * from sec)") + " union all ".join(
+    f"select '{c}' as column_name, {i} as col_index, event_id as row_id, cast({c} as varchar) as value from head"
+    for i, c in enumerate(SEC_COLUMNS))
+
+PROFILE_SHAPE = ctes(*_sec_profile_ctes()) + """
+select d.column_name, d.inferred_dtype, l.samples,
+  substr(d.descriptor, strpos(d.descriptor, 'Inferred type: ') + length('Inferred type: ' || d.inferred_dtype || '. ')) as shape
+from descr d left join (select column_name, string_agg(value, ' | ' order by r_first) as samples from rk where r_first <= 5 group by 1) l
+  using (column_name)"""
+
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+           "benchmark", "labels", "conversations"]
+_DTYPE_NUM = f"case when regexp_full_match(value, '{PROFILE_NUMBER.lstrip('^').rstrip('$')}') then try_cast(trim(value) as double) end"
+
+
+def _unpivoted(name: str, rows: str) -> str:
+    return (f"select '{name}' as dataset_id, column_name, row_id, value from ({rows}) "
+            "unpivot include nulls (value for column_name in (columns(* exclude (row_id))))")
+
+
+PROFILE_DTYPE = ctes("lv as (" + " union all ".join(
+    [_unpivoted(t, f"select row_number() over () as row_id, columns(*)::varchar from {t}") for t in _TABLES]
+    + [_unpivoted("sec", "select event_id as row_id, " + ", ".join(f"cast({c} as varchar) as {c}" for c in SEC_COLUMNS) + " from sec")]) + ")",
+    "nn as (select *, row_number() over (partition by dataset_id, column_name order by row_id) as rn from lv where value is not null)",
+    f"""st as (select dataset_id, column_name, count(*) as n, count(distinct value) as nd,
+   avg(case when rn <= 200 then (regexp_full_match(value, '{IPV4_SHAPE_SQL}'))::int::double end) as ip_share,
+   bool_and(({_DTYPE_NUM}) is not null) as all_num,
+   avg(regexp_full_match(value, '{INTEGER_TEXT.lstrip('^').rstrip('$')}')::int::double) as int_share,
+   bool_and(case when rn <= 50 then regexp_matches(value, '{DATE_SHAPE}') and try_cast(value as timestamp) is not null end) as all_ts
+   from nn group by all)""") + """
+select c.dataset_id, c.column_name,
+  case when coalesce(n, 0) = 0 then 'unknown'
+       when ip_share > 0.8 then 'ip'
+       when all_num then case when int_share > 0.8 then 'integer' else 'float' end
+       when all_ts then 'datetime'
+       when nd / n < 0.05 and nd <= 20 then 'categorical'
+       else 'string' end as inferred_dtype
+from (select distinct dataset_id, column_name from lv) c left join st using (dataset_id, column_name)"""
+
+MAPPING_SUMMARY_SEC = f"""with m as ({MATCH_ASSIGN_SEC}), p as ({ctes(*_sec_profile_ctes())}
+  select d.column_name, d.inferred_dtype, l.samples from descr d
+  left join (select column_name, string_agg(value, ' | ' order by r_first) as samples from rk where r_first <= 3 group by 1) l using (column_name))
+select 'sec' as dataset_id, column_name, mapped_field, confidence, source, inferred_dtype, coalesce(samples, '') as sample_values
+from m join p using (column_name)"""
+MAPPING_CONFIDENCE_SEC = f"select dataset_id, {rnd('avg(confidence)', 6)} as avg_confidence from ({MATCH_ASSIGN_SEC}) group by all"
+MAPPING_REVIEW_SEC = f"""select column_name, mapped_field, confidence from ({MATCH_ASSIGN_SEC})
+where source <> 'manual' and confidence > 0 and confidence < 0.6"""
+OVERRIDE_DIFF = f"""select column_name, a.mapped_field as "old", b.mapped_field as "new"
+from ({MATCH_ASSIGN_SEC}) a full join ({MATCH_OVERRIDE}) b using (column_name) where a.mapped_field is distinct from b.mapped_field"""
+
+EXTRA_FIELDS = ctes() + """
+select source_ip, to_json(struct_pack("event_id" := event_id, "is ssh" := port = 22, "share" := status_code / 8, "user.name" := username,
+  "net" := struct_pack("port" := port, "hosts" := [device_id, destination_ip]))) as extra_fields from sec"""

@@ -654,3 +654,56 @@ REGISTRY.update({
     "match_override": (q_match_override, O.MATCH_OVERRIDE),
     "match_single_ip": (q_match_single_ip, O.MATCH_SINGLE_IP),
 })
+
+
+# ------------------------------------------------------------------ profiles, mappings and unmapped fields of the security log
+def q_profile_long(spark, sf):
+    """P-2: the security log as one row per cell."""
+    cells = long_values([("sec", _sec(spark, sf).withColumnRenamed("event_id", "row_id"))])
+    return cells.select("column_name", "col_index", "row_id", "value")
+
+
+def q_profile_shape(spark, sf):
+    """P-10 / P-11: the first distinct values of every column and the sentence on their shape."""
+    shape = F.expr("substr(descriptor, instr(descriptor, 'Inferred type: ') + length(concat('Inferred type: ', inferred_dtype, '. ')))")
+    samples = F.when(F.size("sample_values") > 0, F.array_join("sample_values", " | "))
+    return _sec_profile(spark, sf).select("column_name", "inferred_dtype", samples.alias("samples"), shape.alias("shape"))
+
+
+def q_mapping_summary_sec(spark, sf):
+    p = _sec_profile(spark, sf)
+    return mapping_summary(M.map_columns(p), p).withColumn("sample_values", F.array_join("sample_values", " | "))
+
+
+def q_mapping_confidence_sec(spark, sf):
+    from ..functions.numfmt import rnd
+    return M.mapping_confidence(M.map_columns(_sec_profile(spark, sf))).withColumn("avg_confidence", rnd(F.col("avg_confidence"), 6))
+
+
+def q_mapping_review_sec(spark, sf):
+    return M.review_list(M.map_columns(_sec_profile(spark, sf))).select("column_name", "mapped_field", "confidence")
+
+
+def q_override_diff(spark, sf):
+    """M-14: what the two analyst decisions of ``match_override`` change."""
+    scores = cut_lineage(M.match_scores(_sec_profile(spark, sf)))    # read by both assignments
+    return M.override_diff(M.assign(scores), M.assign(scores, {"sec": {"port": None, "props": "source_location"}}))
+
+
+def q_extra_fields(spark, sf):
+    """N-7: unmapped columns of several types, nested ones and names with dots and blanks included, as JSON per row."""
+    raw = _sec(spark, sf).select("source_ip", "event_id", (F.col("port") == 22).alias("is ssh"), (F.col("status_code") / 8).alias("share"),
+                                 F.col("username").alias("user.name"), F.struct("port", F.array("device_id", "destination_ip").alias("hosts")).alias("net"))
+    return to_canonical(raw, [(c, "source_ip" if c == "source_ip" else None) for c in raw.columns]).select("source_ip", "extra_fields")
+
+
+REGISTRY.update({
+    "profile_dtype": (q_profile_dtype, O.PROFILE_DTYPE),
+    "profile_long": (q_profile_long, O.PROFILE_LONG),
+    "profile_shape": (q_profile_shape, O.PROFILE_SHAPE),
+    "mapping_summary_sec": (q_mapping_summary_sec, O.MAPPING_SUMMARY_SEC),
+    "mapping_confidence_sec": (q_mapping_confidence_sec, O.MAPPING_CONFIDENCE_SEC),
+    "mapping_review_sec": (q_mapping_review_sec, O.MAPPING_REVIEW_SEC),
+    "override_diff": (q_override_diff, O.OVERRIDE_DIFF),
+    "extra_fields": (q_extra_fields, O.EXTRA_FIELDS),
+})
