@@ -11,25 +11,163 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numfmt import rnd
-from .matching import EMBEDDING_TEMPERATURE, tfidf_vectors
+from ..functions.stopwords import ENGLISH
+from ..session import checkpoint_dir
+from .matching import EMBEDDING_TEMPERATURE, TOKEN
 from .ontology import CONCEPTS
 
 
-def document_tfidf_summary(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: number of distinct terms and the heaviest term (ties: smaller term)."""
-    vec = tfidf_vectors(docs.select(doc_col, text_col), None, doc_col, text_col)
-    wr = rnd(F.col("w"), 9)
-    return vec.groupBy(doc_col).agg(
-        F.count(F.lit(1)).alias("n_terms"),
-        F.min_by("term", F.struct(-wr, F.col("term"))).alias("top_term"),
-        F.max(rnd(F.col("w"), 6)).alias("top_weight"))
+BETWEEN = r"[^\p{L}\p{N}_]+"     # what parts words; a TOKEN is a word of two characters or more
+BLOCK_TOKENS = 1 << 20     # a block closes at the first document's end beyond this many words; affects speed only
+_BLOCK = "block long, {doc}, terms binary, tfs binary, code int, term string, df long"
+
+
+def _tfidf_blocks(schema: pa.Schema, block_tokens: int = BLOCK_TOKENS):
+    """Arrow batches ``doc, words`` (parted by blanks) in order of ``doc`` -> blocks of whole documents.
+
+    A block is a row per document with its terms' codes and counts (32-bit integers), and a row per distinct term with
+    its code and its documents in the block. Codes follow the order of the terms' bytes: a space
+    sorts before every character of a token, so "a b" is ordered by a, then b.
+    """
+    import pandas as pd
+
+    stop = pa.array(ENGLISH)
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)).cast(f.type) for f in schema], schema=schema)
+
+    def block(number: int, doc: pa.Array, nth: np.ndarray, tok: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        words = tok.flatten().dictionary_encode()
+        at = np.repeat(np.arange(len(tok)), pc.list_value_length(tok).to_numpy(zero_copy_only=False))
+        order = pc.sort_indices(words.dictionary).to_numpy()
+        vocabulary, v = words.dictionary.take(pa.array(order)), len(order)
+        rank = np.empty(v, np.int64)
+        rank[order] = np.arange(v)
+        codes = rank[words.indices.to_numpy()]
+        token = pc.and_not(pc.greater_equal(pc.utf8_length(vocabulary), 2), pc.is_in(vocabulary, stop))
+        kept = token.to_numpy(zero_copy_only=False)[codes]
+        codes, at = codes[kept], at[kept]
+        beside = at[:-1] == at[1:]
+        keys = np.concatenate([codes * (v + 1), codes[:-1][beside] * (v + 1) + codes[1:][beside] + 1])
+        if not len(keys):
+            return
+        of, terms = pd.factorize(keys)
+        order = np.argsort(terms)
+        place = np.empty(len(terms), np.int64)
+        place[order] = np.arange(len(terms))
+        of, terms = place[of], terms[order]
+        pairs, tfs = np.unique(np.concatenate([nth[at], nth[at[:-1][beside]]]) * len(terms) + of, return_counts=True)
+        of, term = pairs // len(terms), pairs % len(terms)
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        ids = doc.take(pa.array(np.searchsorted(nth, of[first])))
+        lists = {k: pa.array([x.tobytes() for x in np.split(n.astype(np.int32), first[1:])], pa.binary()) for k, n in (("terms", term), ("tfs", tfs))}
+        yield rows(len(ids), block=pa.array(np.full(len(ids), number)), doc=ids, **lists)
+        second = terms % (v + 1)
+        one = vocabulary.take(pa.array(terms // (v + 1)))
+        two = vocabulary.take(pa.array(np.maximum(second - 1, 0)))
+        text = pc.if_else(pa.array(second == 0), one, pc.binary_join_element_wise(one, two, " "))
+        yield rows(len(terms), block=pa.array(np.full(len(terms), number)), code=pa.array(np.arange(len(terms))), term=text,
+                   df=pa.array(np.bincount(term, minlength=len(terms))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+
+        def close(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, number
+            t = pa.Table.from_batches(held).combine_chunks()
+            doc, tok = t.column("doc").chunk(0), t.column("tok").chunk(0)
+            same = doc.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            nth = np.cumsum(np.diff(same, prepend=same[0]) != 0)
+            end = len(doc) if last else int(np.searchsorted(nth, nth[-1]))    # the last document may go on
+            if end:
+                yield from block(number, doc.slice(0, end), nth[:end], tok.slice(0, end))
+                number += 1
+                held = t.slice(end).to_batches()
+
+        n, limit = 0, block_tokens
+        for b in batches:
+            if b.num_rows:
+                tok = pc.split_pattern(b.column("words"), " ")
+                held.append(pa.RecordBatch.from_arrays([b.column("doc"), tok], ["doc", "tok"]))
+                n += len(tok.flatten())
+                if n >= limit:
+                    yield from close(False)
+                    n = sum(len(x.column("tok").flatten()) for x in held)
+                    limit = max(block_tokens, 2 * n)       # a document longer than a block
+        if held:
+            yield from close(True)
+
+    return run
+
+
+def _tops(schema: pa.Schema):
+    """The documents of a block and its terms with their idf -> per document the number of terms and the
+    largest weights: per weight within 2e-9 of the largest, the smallest of its terms."""
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return schema.empty_table()
+        words = words.sort_by("code")
+        size = pc.binary_length(docs.column("terms")).to_numpy() // 4
+        term, tf = (np.frombuffer(b"".join(docs.column(c).to_pylist()), np.int32) for c in ("terms", "tfs"))
+        first, of = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+        w = tf * words.column("idf").to_numpy()[term]
+        x = w / np.sqrt(np.add.reduceat(w * w, first))[of]
+        near = np.flatnonzero(x >= np.maximum.reduceat(x, first)[of] - 2e-9)
+        near = near[np.lexsort((term[near], x[near], of[near]))]
+        fresh = np.diff(of[near], prepend=-1) != 0
+        fresh[1:] |= np.diff(x[near]) != 0
+        near = near[fresh]
+        offsets = pa.array(np.append(np.searchsorted(of[near], np.arange(len(size))), len(near)), pa.int32())
+        tops = pa.StructArray.from_arrays([pa.array(x[near]), words.column("term").combine_chunks().take(pa.array(term[near]))], ["w", "term"])
+        found = {"doc": docs.column("doc").combine_chunks(), "n_terms": pa.array(size), "tops": pa.ListArray.from_arrays(offsets, tops)}
+        return pa.table([found[f.name].cast(f.type) for f in schema], schema=schema)
+
+    return run
+
+
+def document_tfidf_summary(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
+                           block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Per document: number of distinct terms and the heaviest term (ties: smaller term).
+
+    The vectors of :func:`tfidf_vectors`, a block of documents at a time: the rows of a document meet
+    in one partition, a block counts its terms once and only its distinct terms are shuffled - by term
+    for their idf over all documents, then back to their block. Blocks are written and read twice.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = T.StructField("doc", docs.schema[doc_col].dataType)
+    form = lambda ddl: T.StructType([f if f.name != "doc" else kind for f in T._parse_datatype_string(ddl.format(doc="doc int")).fields])
+    n = F.lit(docs.agg(F.countDistinct(doc_col)).first()[0])
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
+    rows = rows.repartition("doc").sortWithinPartitions("doc").select("doc", F.regexp_replace(F.lower("text"), BETWEEN, " ").alias("words"))
+    schema = form(_BLOCK)
+    at = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/tfidf-{uuid.uuid4().hex}"
+    rows.mapInArrow(_tfidf_blocks(to_arrow_schema(schema), block_tokens), schema).write.parquet(at)
+    blocks = docs.sparkSession.read.schema(schema).parquet(at)
+    df_ = F.sum("df").over(Window.partitionBy("term"))      # a term has at most a row per block
+    words = blocks.where(F.col("term").isNotNull()).select("block", "code", "term", (F.log((n + 1) / (df_ + 1)) + 1).alias("idf"))
+    lists = blocks.where(F.col("terms").isNotNull()).select("block", "doc", "terms", "tfs")
+    out = form("{doc}, n_terms long, tops array<struct<w: double, term: string>>")
+    best = lists.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_tops(to_arrow_schema(out)), out)
+    top = F.array_max(F.transform("tops", lambda s: rnd(s["w"], 9)))
+    return best.withColumn("top", top).select(
+        F.col("doc").alias(doc_col), "n_terms",
+        F.array_min(F.transform(F.filter("tops", lambda s: rnd(s["w"], 9) == F.col("top")), lambda s: s["term"])).alias("top_term"),
+        rnd(F.array_max(F.transform("tops", lambda s: s["w"])), 6).alias("top_weight"))
 
 
 def embed(texts: DataFrame, text_col: str, make_model: Callable[[], Callable], batch_size: int = 256) -> DataFrame:
