@@ -74,3 +74,24 @@ def test_first_k_distinct_and_rows_exact(spark):
     for k in {r[0] for r in rows}:
         exp = sorted((o for kk, _, o in rows if kk == k), reverse=True)[:5]
         assert [got_rows[(k, i + 1)] for i in range(5)] == exp
+
+
+def test_a_row_is_shuffled_once_to_its_bucket_and_small_buckets_are_left_out(spark):
+    rows = [("a", 60 * k) for k in range(9)] + [("b", 3600 * k) for k in range(50)] + [("c", 3590), ("c", 3595), ("c", 3605)]
+    df = spark.createDataFrame(rows, "g string, s long").select("g", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"))
+    plain = {r["g"]: tuple(r)[1:] for r in densest_window(df, ["g"], "ts", 10).collect()}
+    least = densest_window(df, ["g"], "ts", 10, least_of=F.lit(3))
+    assert {r["g"]: tuple(r)[1:] for r in least.collect()} == {g: plain[g] for g in ("a", "c")}    # "b" has one row per bucket
+    plan = least._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan[plan.index("RepartitionByExpression"):]
+    assert "array(-1" not in dealt and "-1 AS kind" not in dealt          # probes are made after the shuffle
+
+
+def test_first_rows_need_one_rank(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
+    got = first_k_rows(df, ["g"], [F.col("v").desc()], 4)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {(g, r, v) for g in range(3) for r, v in enumerate(sorted((x for x in range(5000) if x % 3 == g), reverse=True)[:4], 1)}
+    assert {(r["g"], r["rank"], r["v"]) for r in got.collect()} == want
+    many = first_k_rows(df, ["g"], [F.col("v")], 1200)                     # beyond what Spark limits before the shuffle
+    assert many.count() == 3600 and many.where("g = 1").agg(F.max("v")).first()[0] == 1 + 3 * 1199

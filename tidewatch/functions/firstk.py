@@ -37,11 +37,15 @@ def first_k_rows(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, sa
     """The first ``k`` rows of every group by ``order`` (Column expressions, ties
     must be broken by the caller), numbered 1..k in ``rank_col``.
 
-    Two-phase: rows are ranked inside ``(group, salt)`` slices (salt = hash of the
-    whole row), at most ``k`` survive per slice, and the final rank is taken over
-    at most ``k * salt`` survivors per group.
+    Where Spark limits groups before the shuffle (``windowGroupLimitThreshold``), a task sends at most
+    ``k`` rows of a group and one rank is enough. For a larger ``k`` two phases: rows are ranked inside
+    ``(group, salt)`` slices (salt = hash of the whole row), at most ``k`` survive per slice, and the
+    final rank is taken over at most ``k * salt`` survivors per group.
     """
     keys = list(keys)
+    if k <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        first = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(rank_col, F.row_number().over(first)).where(F.col(rank_col) <= k)
     salted = df.withColumn("_s", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt)))
     w1 = Window.partitionBy(*keys, "_s").orderBy(*order)
     cand = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_s")

@@ -127,7 +127,7 @@ def _windows(df: DataFrame, rules, bucket_minutes: int | None) -> DataFrame:
     """rule, source_ip, target and the densest window of each that has rows enough to fire."""
     tagged = _usable(df).select("source_ip", "timestamp", F.inline(_tags(rules, BRUTE in rules and has_any(df, "username"))))
     win = densest_window(tagged, ["rule", "source_ip", "target"], "timestamp", max(WIDTH_MIN[r] for r in rules),
-                         bucket_minutes, _by_rule(WIDTH_MIN, rules))
+                         bucket_minutes, _by_rule(WIDTH_MIN, rules), _by_rule(LEAST_ROWS, rules))
     return win.where(F.col("window_count") >= _by_rule(LEAST_ROWS, rules))
 
 

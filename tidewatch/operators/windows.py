@@ -19,6 +19,8 @@ Plan shape, chosen for very large and skewed inputs:
   The last ``W`` of each bucket is copied into the next bucket as context
   (a fraction ``W / bucket`` of rows is duplicated), which makes every
   bucket self-sufficient.
+* A row is shuffled to its ``(group, time bucket)`` as it is; its probe is made
+  there, and buckets with fewer rows than a caller asks for are left out first.
 * The pairing of a row with its probe is an aggregate on
   ``(group, bucket, ts)``; the window's hash partitioning already satisfies
   it, so it adds no exchange. The per-group maximum is an ordinary partial +
@@ -49,11 +51,14 @@ def bucket_of(us: Column, b_us: int) -> Column:
 
 
 def densest_window(df: DataFrame, keys: Sequence[str], ts_col: str, width_minutes: float,
-                   bucket_minutes: int | None = None, width_of: Column | None = None) -> DataFrame:
+                   bucket_minutes: int | None = None, width_of: Column | None = None,
+                   least_of: Column | None = None) -> DataFrame:
     """One row per group: ``keys..., window_count, window_start, window_end``.
 
     ``window_start``/``window_end`` are TIMESTAMP_NTZ. Groups may differ in width: ``width_of`` gives
-    a group's width in minutes from its keys, ``width_minutes`` is then the largest.
+    a group's width in minutes from its keys, ``width_minutes`` is then the largest. ``least_of``
+    gives a number of rows from its keys: buckets with fewer rows are left out, so that a group
+    whose densest window has fewer may lack or give a smaller one.
     """
     keys = list(keys)
     b_us = _bucket_us(int(width_minutes * MINUTE_US), bucket_minutes)
@@ -63,21 +68,21 @@ def densest_window(df: DataFrame, keys: Sequence[str], ts_col: str, width_minute
     base = (df.where(F.col(ts_col).isNotNull())
               .groupBy(*keys, epoch_us(ts_col).alias("t")).agg(F.count(F.lit(1)).alias("n")))
     bucket = bucket_of(F.col("t"), b_us)
-    next_start = (bucket + 1) * F.lit(b_us)
-    # own row, its probe, and (near the end of a bucket) a context copy for the next bucket
-    copies = F.array(
-        F.struct(bucket.alias("b"), F.col("t").alias("pos"), F.lit(0).alias("kind"), F.col("t").alias("t_end")),
-        F.struct(bucket.alias("b"), (F.col("t") - width).alias("pos"), F.lit(-1).alias("kind"),
-                 F.col("t").alias("t_end")),
-    )
-    copies = F.when(F.col("t") >= next_start - width,
-                    F.array_append(copies, F.struct((bucket + 1).alias("b"), F.col("t").alias("pos"),
-                                                    F.lit(1).alias("kind"), F.col("t").alias("t_end"))))\
-              .otherwise(copies)
-    rows = (base.select(*keys, "n", F.inline(copies))
-                .withColumn("real", F.when(F.col("kind") >= 0, F.col("n")).otherwise(F.lit(0))))
-
+    # own row and (near the end of a bucket) a context copy for the next bucket
+    near_end = F.col("t") >= (bucket + 1) * F.lit(b_us) - width
+    at = F.when(near_end, F.array(F.struct(bucket.alias("b"), F.lit(0).alias("kind")), F.struct((bucket + 1).alias("b"), F.lit(1).alias("kind")))) \
+          .otherwise(F.array(F.struct(bucket.alias("b"), F.lit(0).alias("kind"))))
     part = [*keys, "b"]
+    dealt = base.select(*keys, "t", "n", F.inline(at)).repartition(*part)
+    if least_of is not None:    # all rows of a window lie in the part of its end
+        dealt = dealt.withColumn("most", F.sum("n").over(Window.partitionBy(*part))).where(F.col("most") >= least_of).drop("most")
+    # the own row's probe is made where it is used
+    own = F.struct(F.col("t").alias("pos"), F.col("kind").alias("kind2"))
+    probe = F.struct((F.col("t") - width).alias("pos"), F.lit(-1).alias("kind2"))
+    rows = (dealt.select(*part, "n", F.col("t").alias("t_end"), F.inline(F.when(F.col("kind") == 0, F.array(own, probe)).otherwise(F.array(own))))
+                 .withColumnRenamed("kind2", "kind")
+                 .withColumn("real", F.when(F.col("kind") >= 0, F.col("n")).otherwise(F.lit(0))))
+
     # probes sort before real rows at the same position: (pos, real)
     w_cum = (Window.partitionBy(*part).orderBy("pos", F.col("kind") >= 0)
              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
