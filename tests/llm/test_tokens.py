@@ -5,12 +5,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tidewatch.llm import bpe, coder, packing
-from tidewatch.llm.tokens import CachedEncoder, LibraryWords
+from tidewatch.llm import bpe, coder, packing, tokens
+from tidewatch.llm.tokens import CachedEncoder, ColumnEncoder, LibraryWords
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", "a<|endoftext|>B <|startoftext|><|endoftext|> <|ENDOFTEXT|>", "x" * 3000, "ab" * 300 + "!" * 200, "it's I'LL we'd", "İstanbul ǅ ẞ ΣΣ é 가", "a\x1cb\x85c\xa0d　e​f", "\x00\x7f퟿", " \t\n", "12½٣ 3,4.5"]
@@ -39,6 +40,31 @@ def test_merges_equal_the_library():
     assert own([None]) == [[]]
 
 
+def test_columns_equal_the_library(monkeypatch):
+    monkeypatch.setattr(tokens, "COLUMN_CHUNKS", 100)  # halves are dropped and chunks come back
+    monkeypatch.setattr(tokens, "LIBRARY_PIECES", 7)
+    texts = [None, *ODD, *random_texts(300), None]
+    want = [e.ids for e in library().encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    encode, got = ColumnEncoder(PATH), []
+    for at in [*range(0, len(texts), 50)] * 2:
+        ids, offsets = encode(pa.array(texts[at : at + 50]))
+        got += [ids[s:e].tolist() for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+    assert got == want * 2
+    for empty in (pa.array([], pa.string()), pa.array([None], pa.string()), pa.array(["\x85"])):
+        ids, offsets = encode(empty)
+        assert len(ids) == 0 and offsets.tolist() == [0] * (len(empty) + 1)
+
+
+def test_columns_encode_distinct_chunks_only(monkeypatch):
+    encode, asked = ColumnEncoder(PATH), []
+    words = encode.words
+    monkeypatch.setattr(encode, "words", lambda pieces: asked.extend(pieces) or words(pieces))
+    text = " ".join(f"Columnword{i}." for i in range(50)) * 20
+    encode(pa.array([text] * 30))
+    encode(pa.array([text]))
+    assert 0 < len(asked) == len(set(asked))
+
+
 def test_short_and_long_words_merge_alike():
     spec = CachedEncoder(PATH, bpe.RankMerge, bpe.kept, bpe.joined).spec
     m, rng = bpe.RankMerge(spec), random.Random(5)

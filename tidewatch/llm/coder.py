@@ -29,9 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, to_arrow
-from .packing import packed
-from .tokens import CachedEncoder, LibraryWords
+from .common import cut, slices, slices_by_size, to_arrow
+from .tokens import ColumnEncoder
 
 MAGIC = b"TWI2"
 BLOCK = 2048
@@ -274,19 +273,20 @@ def write(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """Segments in ascending order of doc_id: part, ids before it in its part, documents, data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = CachedEncoder(path, LibraryWords, packed, b"".join)
-        part, tail, first = TaskContext.get().partitionId(), np.array([end], "<u4").tobytes(), 0
-        held: list[tuple[int, bytes]] = []
+        encoded = ColumnEncoder(path)
+        part, tail, first = TaskContext.get().partitionId(), np.array([end], "<u4"), 0
+        held: list[tuple[int, np.ndarray]] = []
 
         def segment() -> pa.RecordBatch:
-            data = b"".join(x for _, x in held)
-            return to_arrow(FILES, part=[part], first=[first], n_ids=[len(data) // 4], doc_ids=[[d for d, _ in held]], lengths=[[len(x) // 4 for _, x in held]], data=[encode(np.frombuffer(data, "<u4"))])
+            ids = np.concatenate([x for _, x in held])
+            return to_arrow(FILES, part=[part], first=[first], n_ids=[len(ids)], doc_ids=[[d for d, _ in held]], lengths=[[len(x) for _, x in held]], data=[encode(ids)])
 
         size = 0
-        for b in slices(batches):
-            for doc_id, chunks in zip(b.column(0).to_pylist(), encoded(b.column(1).to_pylist()), strict=True):
-                held.append((doc_id, b"".join([*chunks, tail])))
-                size += len(held[-1][1]) // 4
+        for b in slices_by_size(batches, 1, rows=4096, size=1 << 23):
+            column, offsets = encoded(b.column(1))
+            for doc_id, s, e in zip(b.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                held.append((doc_id, np.concatenate([column[s:e], tail])))
+                size += e - s + 1
                 if size >= SEGMENT:
                     yield segment()
                     first, size, held = first + size, 0, []

@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, to_arrow
-from .tokens import CachedEncoder, LibraryWords, WordTokens
+from .common import cut, slices_by_size, to_arrow
+from .tokens import ColumnEncoder, WordTokens
 
 WINDOW = 2048
 END = 1
@@ -130,13 +130,14 @@ def pack(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     held = pa.schema([*PIECES, ("part", pa.int32()), ("ids", pa.binary())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, windows = CachedEncoder(path, LibraryWords, packed, b"".join), Windows()
-        part, tail = TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
+        encode, windows = ColumnEncoder(path), Windows()
+        part, tail = TaskContext.get().partitionId(), np.array([end], "<u4")
         count = part << SHIFT
-        for b in slices(batches):
+        for b in slices_by_size(batches, 1, rows=4096, size=1 << 23):
             done = []
-            for doc_id, chunks in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
-                ids = np.frombuffer(b"".join(chunks) + tail, "<u4")
+            column, offsets = encode(b.column(1))
+            for doc_id, s, e in zip(b.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                ids = np.concatenate([column[s:e], tail])
                 done += windows.add(Piece(doc_id, 0, ids, len(ids)))
             out = rows(done, count)
             count += len(done)

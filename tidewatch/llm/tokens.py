@@ -8,13 +8,16 @@ the older half goes when the newer one is full.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -24,12 +27,20 @@ from .common import worker_state
 CACHE_CHUNKS = 300_000
 #: Longer chunks are encoded each time they occur.
 CACHE_CHARS = 64
+#: The same for a worker's cache of ``ColumnEncoder``.
+COLUMN_CHUNKS = 500_000
+#: Pre-tokens in one call of the library.
+LIBRARY_PIECES = 1 << 16
 
 _C0 = re.compile("[\x1c-\x1f]")
 _ASCII_SPACE = re.compile(r"[ \t-\r]+")
 _MARKS = frozenset(".,;:!?|")
 # The pre-tokenizer's pattern for characters below U+0250, whose classes no Unicode version changes.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x20\x85\xa0\p{L}\p{N}]+")
+# The same over many chunks, one in a line.
+_LINES = regex.compile(_PIECES.pattern + r"|\n")
+# Chunks that those patterns are not enough for: other characters, perhaps a special token.
+_RARE = re.compile("[\u0250-\U0010ffff]|<\\|")
 
 
 @lru_cache(maxsize=1)
@@ -149,3 +160,120 @@ class CachedEncoder:
         if own:
             known.update(zip(own, (self.value(self.spec, ids) for ids in self.words(own)), strict=True))
         return [known[c[0]] if len(c) == 1 else self.join([known[p] for p in c]) for c in cut]
+
+
+class LibraryIds:
+    """Ids of pre-tokens by the tokenizers library's BPE model, as an Arrow column of binary values.
+
+    The last id of each pre-token, and no other, is that of a token with the end-of-word suffix.
+    """
+
+    def __init__(self, spec: WordTokens):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.model = Tokenizer(spec.library.model)
+        self.model.model._resize_cache(0)  # pre-tokens come once
+        self.last = np.zeros(max(spec.vocab.values()) + 1, bool)
+        self.last[[i for t, i in spec.vocab.items() if t.endswith(spec.suffix)]] = True
+
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pre-tokens after each other, and where those of each end."""
+        found = []
+        for at in range(0, len(pieces), LIBRARY_PIECES):
+            found.append(np.array(self.model.encode_batch_fast([pieces[at : at + LIBRARY_PIECES]], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4"))
+        ids = np.concatenate(found) if found else np.zeros(0, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces):
+            raise ValueError("a pre-token without a token that ends it")
+        return ids, ends
+
+
+def binary_column(data: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """Values that follow each other in ``data``; ``ends`` in bytes."""
+    offsets = np.concatenate([np.zeros(1, np.int64), ends.astype(np.int64)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def parts_of(column: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column's values after each other, and their offsets (one more than values)."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
+
+
+def strings(column: pa.StringArray, between: str) -> list[str]:
+    """The values of a column as a list (in fewer steps than Arrow's); none holds ``between``."""
+    if not len(column):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column), between)[0].as_py().split(between)
+
+
+class ColumnEncoder:
+    """Encodes columns of whole texts to ids by the tokenizers library, each distinct chunk once.
+
+    Arrow cuts the texts at ASCII white space, numbers the distinct chunks of a
+    column and lines up their ids; Python handles those chunks alone. They are
+    remembered as in ``CachedEncoder``.
+    """
+
+    def __init__(self, path: str):
+        state = worker_state("columns")
+        if path not in state:
+            spec = WordTokens(path)
+            table = list(byte_letters())
+            table[32], table[10] = " ", "\n"  # between pieces and between chunks
+            state[path] = (spec, LibraryIds(spec), "".join(table), [{"": b""}, {}])
+        self.spec, self.words, self.table, self.halves = state[path]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts after each other, and their offsets (one more than texts)."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = pc.dictionary_encode(split.flatten())
+        data, offsets = parts_of(pa.array(self._values(strings(coded.dictionary, "\n")), pa.large_binary()).take(coded.indices))
+        upto = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        return data.view("<u4"), np.concatenate([np.zeros(1, np.int64), offsets[upto]]) // 4
+
+    def _values(self, chunks: list[str]) -> list[bytes]:
+        if len(self.halves[0]) > COLUMN_CHUNKS:
+            self.halves[:] = {"": b""}, self.halves[0]
+        cache, older = self.halves
+        out = list(map(cache.get, chunks))
+        unseen = [c for c, v in zip(chunks, out, strict=True) if v is None]
+        if not unseen:
+            return out
+        found = list(map(older.get, unseen))
+        missing = [c for c, v in zip(unseen, found, strict=True) if v is None]
+        new = iter(self._encode(missing))
+        found = [next(new) if v is None else v for v in found]
+        cache.update((c, v) for c, v in zip(unseen, found, strict=True) if len(c) <= CACHE_CHARS)  # chunks in use outlive the older half
+        late = iter(found)
+        return [next(late) if v is None else v for v in out]
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        rare = [bool(_RARE.search(c)) for c in chunks]
+        if not any(rare):
+            return self._plain(chunks)
+        odd, plain = iter(self._rare(list(compress(chunks, rare)))), iter(self._plain([c for c, r in zip(chunks, rare, strict=True) if not r]))
+        return [next(odd if r else plain) for r in rare]
+
+    def _plain(self, chunks: list[str]) -> list[bytes]:
+        """Of chunks of characters below U+0250 without special tokens: all pieces by one pattern, their letters by one table."""
+        if not chunks:
+            return []
+        found = _LINES.findall("\n".join(chunks).lower()) + ["\n"]
+        pieces = pc.dictionary_encode(pa.array(codecs.charmap_decode(" ".join(found).encode(), "strict", self.table)[0].split(" "), pa.string()))
+        own = strings(pieces.dictionary, " ")
+        line = own.index("\n")
+        ids, ends = self.words(own[:line] + own[line + 1 :])
+        ends = np.insert(ends, line, ends[line - 1] if line else 0)  # the end of a line has no ids
+        data, offsets = parts_of(binary_column(ids, 4 * ends).take(pieces.indices))
+        cuts = offsets[np.flatnonzero(pieces.indices.to_numpy() == line)].tolist()
+        raw = data.tobytes()
+        return [raw[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
+
+    def _rare(self, chunks: list[str]) -> list[bytes]:
+        cut = list(map(self.spec.pieces, chunks))
+        own = list({p for p in chain.from_iterable(cut) if isinstance(p, str)})
+        ids, ends = self.words(own)
+        known = {i: [i] for i in self.spec.special.values()}
+        known.update((p, ids[s:e]) for p, s, e in zip(own, [0, *ends.tolist()], ends.tolist(), strict=False))
+        return [np.concatenate([known[p] for p in c]).astype("<u4").tobytes() if c else b"" for c in cut]
