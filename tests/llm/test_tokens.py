@@ -147,6 +147,28 @@ def test_order_0_predicts_ids():
     assert len(data) * 8 / len(ids) < np.log2(20) + 1.6
 
 
+def test_blocks_of_a_segment_share_one_model():
+    rng = np.random.default_rng(8)
+    phrases = [rng.integers(0, 2**28 - 2, 12) for _ in range(40)]  # ids far apart are coded by rank
+    ids = np.concatenate([phrases[i] for i in rng.integers(0, 40, 4000)])  # each phrase is rare in one block
+    data = coder.encode(ids)
+    assert coder.decode(data).tolist() == ids.tolist()
+    assert len(data) * 8 / len(ids) < 2
+    for at in (5, 9, 14, 40):  # the head has a checksum of its own
+        bad = bytearray(data)
+        bad[at] ^= 1
+        with pytest.raises(ValueError):
+            coder.decode(bytes(bad))
+    with pytest.raises(ValueError):
+        coder.decode(data[:-3])
+
+
+@pytest.mark.parametrize("n", [coder.BLOCK - 1, coder.BLOCK, coder.BLOCK + 1, 3 * coder.BLOCK + 17])
+def test_coder_at_block_ends(n):
+    ids = np.random.default_rng(n).zipf(1.2, n) % 49408
+    assert coder.decode(coder.encode(ids)).tolist() == ids.tolist()
+
+
 def test_files_give_offsets_and_checksums(docs, words, monkeypatch):
     monkeypatch.setattr(coder, "SEGMENT", 700)
     rows = [(i * 3 % 101, words(20)) for i in range(60)] + [(500, None), (501, ""), (502, words(3000))]

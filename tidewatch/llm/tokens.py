@@ -240,18 +240,23 @@ class ColumnEncoder:
         unseen = [c for c, v in zip(chunks, out, strict=True) if v is None]
         if not unseen:
             return out
-        found = list(map(older.get, unseen))
+        found = list(map(older.get, unseen)) if older else [None] * len(unseen)
         missing = [c for c, v in zip(unseen, found, strict=True) if v is None]
         new = iter(self._encode(missing))
         found = [next(new) if v is None else v for v in found]
-        cache.update((c, v) for c, v in zip(unseen, found, strict=True) if len(c) <= CACHE_CHARS)  # chunks in use outlive the older half
+        cache.update(zip(unseen, found, strict=True))  # chunks in use outlive the older half
+        for c in [c for c in unseen if len(c) > CACHE_CHARS]:
+            del cache[c]
         late = iter(found)
         return [next(late) if v is None else v for v in out]
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        rare = [bool(_RARE.search(c)) for c in chunks]
-        if not any(rare):
+        all_ = "\n".join(chunks)
+        if not _RARE.search(all_):
             return self._plain(chunks)
+        # (an ASCII chunk can only hold a special token)
+        search = _RARE.search
+        rare = [bool(search(c)) for c in chunks] if "<|" in all_ else [not c.isascii() and bool(search(c)) for c in chunks]
         odd, plain = iter(self._rare(list(compress(chunks, rare)))), iter(self._plain([c for c, r in zip(chunks, rare, strict=True) if not r]))
         return [next(odd if r else plain) for r in rare]
 
