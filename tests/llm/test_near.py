@@ -290,3 +290,36 @@ def test_recall_of_near_passages(docs, words):
             caught += (i, j) in found
     print("recall", caught, want)
     assert want >= 80 and caught >= 0.95 * want
+
+
+def test_windows_are_made_once(docs, words, monkeypatch):
+    asked, real = [], substrings.windows
+    monkeypatch.setattr(substrings, "windows", lambda *a: asked.append(a) or real(*a))
+    text = words(80)
+    found = substrings.passages(docs([(1, text), (2, words(30) + " " + text), (3, words(80))])).collect()
+    assert [(r.doc_id, r.first_id, r.n_words) for r in found] == [(2, 1, 80)]
+    assert len(asked) == 1
+
+
+def test_shingles_of_texts_together():
+    texts = ["", "a b c", "a b c d e f", " \n", "x" * 400 + " y z \x85 q w e r", "a b c d"]
+    assert [s.tolist() for s in substrings._shingles(texts)] == [substrings.S.of_words(substrings.S.words(t)).tolist() for t in texts]
+    assert [s.tolist() for s in substrings._shingles([""])] == [[]]
+
+
+def test_enough_functions_overlap():
+    rng, least = np.random.default_rng(9), 5
+    group, k = np.sort(rng.integers(0, 60, 300)), rng.integers(0, substrings.HASHES, 300)
+    a, b, left, right = rng.integers(20, 40, 300), rng.integers(20, 40, 300), rng.integers(0, 12, (2, 300)), rng.integers(0, 12, (2, 300))
+    pack = lambda i, at: at << 32 | left[i] << 16 | right[i]
+    want = set()
+    for g in range(60):
+        under: dict[int, set] = {}
+        for i in np.flatnonzero(group == g):
+            s, e = a[i] - min(left[:, i]), a[i] + min(right[:, i]) + 1
+            for start in range(s, e - least + 1):
+                under.setdefault(start, set()).add(k[i])
+        if any(len(u) >= 2 for u in under.values()):
+            want.add(g)
+    got = substrings.enough(group, k, pack(0, a), pack(1, b), least, 2)
+    assert set(got.tolist()) == want and 0 < len(want) < 60

@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,7 +98,27 @@ def compact_windows(h: np.ndarray, doc: np.ndarray, least: int = LEAST) -> tuple
 WINDOWS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("place", pa.int64()), ("around", pa.int64())])
 
 
-def _windows(ids: np.ndarray, texts: list[str], around: bool) -> list[np.ndarray]:
+def _portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of as many texts as hold PORTION characters, so that the arrays stay small."""
+    at = 0
+    while at < len(sizes):
+        end, size = at + 1, sizes[at]
+        while end < len(sizes) and size + sizes[end] <= PORTION:
+            size += sizes[end]
+            end += 1
+        yield at, end
+        at = end
+
+
+def _shingles(texts: list[str]) -> list[np.ndarray]:
+    """The shingles of each text, hashed together."""
+    words, owner = S.together(texts)
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+    whole = S.of_words(words)
+    return [whole[s : e - S.WIDTH + 1] if e - s >= S.WIDTH else S.of_words(words[s:e]) for s, e in zip(cuts, cuts[1:], strict=False)]
+
+
+def _windows(ids: np.ndarray, texts: list[str]) -> list[np.ndarray]:
     """Columns of the windows of some documents."""
     words, owner = S.together(texts)
     whole = np.flatnonzero(owner[: len(words) - S.WIDTH + 1] == owner[S.WIDTH - 1 :]) if len(words) >= S.WIDTH else np.zeros(0, np.int64)
@@ -112,56 +133,48 @@ def _windows(ids: np.ndarray, texts: list[str], around: bool) -> list[np.ndarray
     local = at - np.searchsorted(doc, here)
     place = local << 32 | np.minimum(at - first, _SIDE) << 16 | np.minimum(last - at, _SIDE)
     side = np.zeros(len(at), np.uint64)
-    if around:
-        reach = max(ANCHORS)
-        mark = np.pad(s % np.uint64(_SIDE) + np.uint64(1), reach)
-        same = np.pad(doc, reach, constant_values=-1)
-        for j, step in enumerate(ANCHORS):
-            there = at + reach + step
-            side |= np.where(same[there] == here, mark[there], np.uint64(0)) << np.uint64(16 * j)
+    reach = max(ANCHORS)
+    mark = np.pad(s % np.uint64(_SIDE) + np.uint64(1), reach)
+    same = np.pad(doc, reach, constant_values=-1)
+    for j, step in enumerate(ANCHORS):
+        there = at + reach + step
+        side |= np.where(same[there] == here, mark[there], np.uint64(0)) << np.uint64(16 * j)
     return [key.view(np.int64), ids[here], place, side.view(np.int64)]
 
 
-def windows(docs: DataFrame, around: bool) -> DataFrame:
+def windows(docs: DataFrame) -> DataFrame:
     """key (min-hash; its two low bits are the function), node, place (packed), surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), [t or "" for t in b.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):  # as many as hold PORTION characters, so that the arrays stay small
-                end, size = at + 1, len(texts[at])
-                while end < len(texts) and size + len(texts[end]) <= PORTION:
-                    size += len(texts[end])
-                    end += 1
-                columns = _windows(ids[at:end], texts[at:end], around)
+            for at, end in _portions([len(t) for t in texts]):
+                columns = _windows(ids[at:end], texts[at:end])
                 if len(columns[0]):
                     yield to_arrow(WINDOWS, **dict(zip(WINDOWS.names, columns, strict=True)))
-                at = end
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, node long, place long, around long")
 
 
-def unpack(place: int) -> tuple[int, int, int]:
-    """First, node and last place of a window (spans are packed up to 65535 to a side)."""
+def unpack(place):
+    """First, node and last place of a window or of an array of them (spans are packed up to 65535 to a side)."""
     at = place >> 32
     return at - (place >> 16 & _SIDE), at, at + (place & _SIDE)
 
 
-def enough(hits: list[dict], least: int = LEAST, need: int = ENOUGH) -> bool:
-    """Whether some ``least`` shingles of a document lie under windows of ``need`` functions at once."""
-    edges: list[tuple[int, int, int]] = []
-    for h in hits:
-        (a1, a, a2), (b1, b, b2) = unpack(h["place"]), unpack(h["first_place"])
-        s, e = max(a1, a - (b - b1)), min(a2, a + (b2 - b)) + 1
-        if e - s >= least:  # one such passage begins at s..e-least
-            edges += [(s, 1, h["k"]), (e - least + 1, -1, h["k"])]
-    on: dict[int, int] = {}
-    for _, step, k in sorted(edges):
-        on[k] = on.get(k, 0) + step
-        if sum(v > 0 for v in on.values()) >= need:
-            return True
-    return False
+def enough(group: np.ndarray, k: np.ndarray, place: np.ndarray, first_place: np.ndarray, least: int = LEAST, need: int = ENOUGH) -> np.ndarray:
+    """The groups of hits (windows of function ``k`` in two documents) in which some ``least`` shingles
+    lie under windows of ``need`` functions at once. Groups and places are below 2**31."""
+    (a1, a, a2), (b1, b, b2) = unpack(place), unpack(first_place)
+    s, e = np.maximum(a1, a - (b - b1)), np.minimum(a2, a + (b2 - b)) + 1
+    wide = np.flatnonzero(e - s >= least)  # one such passage begins at s..e-least
+    s, e, group, k = s[wide], e[wide] - least + 1, group[wide], np.tile(k[wide], 2)
+    step = np.repeat(np.array([1, -1]), len(s))
+    where = np.tile(group, 2)
+    order = np.lexsort((step, np.concatenate([s, e]), where))
+    step, k = step[order], k[order]
+    on = sum((np.cumsum(step * (k == j)) > 0).astype(np.int8) for j in range(HASHES))
+    return np.unique(where[order][on >= need])
 
 
 def _runs(a: np.ndarray, b: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
@@ -229,11 +242,16 @@ def _pairs(hits: DataFrame, need: int) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("first", pa.int64()), ("x", pa.list_(pa.int64())), ("y", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            hits = b.column(2).to_pylist()
-            ok = [i for i, h in enumerate(hits) if need < 2 or enough(h, need=need)]
-            place = lambda n: [[h[n] >> 32 for h in hits[i]] for i in ok]
-            yield to_arrow(schema, node=b.column(0).take(pa.array(ok, pa.int32())), first=b.column(1).take(pa.array(ok, pa.int32())), x=place("place"), y=place("first_place"))
+        for b in slices(batches, 4096):
+            hits = b.column(2)
+            size = pc.list_value_length(hits).to_numpy(zero_copy_only=False)
+            k, place, first_place = (hits.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            group = np.repeat(np.arange(len(size)), size)
+            ok = enough(group, k, place, first_place, need=need) if need > 1 else np.arange(len(size))
+            kept = np.isin(group, ok)
+            ends = pa.array(np.concatenate([np.zeros(1, np.int64), np.cumsum(size[ok])]), pa.int32())
+            x, y = (pa.ListArray.from_arrays(ends, pa.array(v[kept] >> 32, pa.int64())) for v in (place, first_place))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), x, y], schema=schema)
 
     # As many windows as the two documents have: the group is bounded by their texts.
     function = F.col("key").bitwiseAND(F.lit(3))
@@ -242,26 +260,30 @@ def _pairs(hits: DataFrame, need: int) -> DataFrame:
     return met.mapInArrow(run, "node long, first long, x array<long>, y array<long>")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, size: int = 1) -> DataFrame:
-    """Passages of the pairs; a row of nulls where there is none."""
+def _verify(docs: DataFrame, pairs: DataFrame, hit: int = 1) -> DataFrame:
+    """Passages of the pairs, whose hits are of ``hit`` shingles; a row of nulls where there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, there = None, None  # rows come by first document
-        for b in slices(batches, 64):
-            out: dict[str, list] = {n: [] for n in PASSAGES.names}
-            node, first, at, other, x, y = (b.column(i) for i in range(6))
-            for i in range(b.num_rows):
-                a, f = node[i].as_py(), first[i].as_py()
-                if f != last:
-                    last, there = f, S.of_words(S.words(y[i].as_py()))
-                hits = list(zip(at[i].as_py(), other[i].as_py(), strict=True))
-                found = passages_of(S.of_words(S.words(x[i].as_py())), there, hits, size)
-                for s, e, t, u in found or [(None,) * 4]:
-                    # A passage of k shingles has k + WIDTH - 1 words.
-                    ends = (s, e + S.WIDTH - 1, t, u + S.WIDTH - 1) if found else (None,) * 4
-                    for n, v in zip(PASSAGES.names, (a, f, *ends), strict=True):
-                        out[n].append(v)
-            yield to_arrow(PASSAGES, **out)
+        for b in slices(batches):
+            node, first, x, y = (b.column(i).to_pylist() for i in range(4))
+            begin = [i for i in range(len(first)) if not i or first[i] != first[i - 1]]  # rows come by first document
+            size = pc.binary_length(b.column(4)).to_numpy(zero_copy_only=False) + 0
+            size[begin] += pc.binary_length(b.column(5)).to_numpy(zero_copy_only=False)[begin]
+            for at, end in _portions(size.tolist()):
+                new = [i for i in range(at, end) if i == at or first[i] != first[i - 1]]
+                of = np.repeat(np.arange(len(new)), np.diff([*new, end])).tolist()
+                theirs = b.column(5).take(pa.array(new)).to_pylist()
+                s = _shingles([t or "" for t in b.column(4).slice(at, end - at).to_pylist() + theirs])
+                out: dict[str, list] = {n: [] for n in PASSAGES.names}
+                for i in range(at, end):
+                    hits = list(zip(x[i], y[i], strict=True))
+                    found = passages_of(s[i - at], s[end - at + of[i - at]], hits, size=hit)
+                    for a, e, t, u in found or [(None,) * 4]:
+                        # A passage of k shingles has k + WIDTH - 1 words.
+                        ends = (a, e + S.WIDTH - 1, t, u + S.WIDTH - 1) if found else (None,) * 4
+                        for n, v in zip(PASSAGES.names, (node[i], first[i], *ends), strict=True):
+                            out[n].append(v)
+                yield to_arrow(PASSAGES, **out)
 
     asked = pairs.select(F.col("node").alias("doc_id")).union(pairs.select("first")).distinct()
     # Texts, which are shuffled compressed, and once for both sides; their hashes would be larger.
@@ -286,21 +308,26 @@ def grams(docs: DataFrame, at: DataFrame, spans: DataFrame) -> DataFrame:
     open: whether no passage of ``spans`` holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 64):
-            for i in range(b.num_rows):
-                s = S.of_words(S.words(b.column(1)[i].as_py()))
-                power, back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(s), x, np.uint64)])) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * power[:-1])])
-                starts = []
-                for first, node, last in map(unpack, b.column(2)[i].as_py()):
-                    starts.append(np.arange(max(first, node - LEAST + 1), min(node, last - LEAST + 1) + 1))
-                start = np.unique(np.concatenate(starts))
-                start = start[start + LEAST <= len(s)]
-                gram = S.mix((total[start + LEAST] - total[start]) * back[start])
-                open_ = np.ones(len(start), bool)
-                for x in b.column(3)[i].as_py() or ():
-                    open_ &= (start < x["start"]) | (start + WORDS > x["end"])
-                yield to_arrow(GRAMS, gram=gram.view(np.int64), node=np.full(len(start), b.column(0)[i].as_py()), start=start, open=open_)
+        for b in slices(batches):
+            nodes, places, spans = (b.column(i).to_pylist() for i in (0, 2, 3))
+            for begin, end in _portions(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()):
+                shingles = _shingles([t or "" for t in b.column(1).slice(begin, end - begin).to_pylist()])
+                longest = max(map(len, shingles))
+                power, back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(longest, x, np.uint64)])) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+                out: list[tuple[np.ndarray, ...]] = []
+                for i, s in enumerate(shingles, begin):
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(s * power[: len(s)])])
+                    first, node, last = unpack(np.array(places[i], np.int64))
+                    low = np.maximum(first, node - LEAST + 1)
+                    size = np.maximum(np.minimum(node, last - LEAST + 1) + 1 - low, 0)
+                    start = np.unique(np.repeat(low - np.cumsum(size) + size, size) + np.arange(int(size.sum())))
+                    start = start[start + LEAST <= len(s)]
+                    gram = S.mix((total[start + LEAST] - total[start]) * back[start])
+                    open_ = np.ones(len(start), bool)
+                    for x in spans[i] or ():
+                        open_ &= (start < x["start"]) | (start + WORDS > x["end"])
+                    out.append((gram.view(np.int64), np.full(len(start), nodes[i]), start, open_))
+                yield to_arrow(GRAMS, **{n: np.concatenate([o[j] for o in out]) for j, n in enumerate(GRAMS.names)})
 
     places = at.groupBy("node").agg(F.collect_set("place").alias("places")).join(spans, "node", "left")
     asked = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(places, "node").select("node", "text", "places", "spans")
@@ -369,10 +396,10 @@ def passages(docs: DataFrame) -> DataFrame:
 
 def _passages(docs: DataFrame) -> DataFrame:
     """The same for documents with one text per doc_id."""
-    # Most min-hashes occur once: those that meet are found without their surroundings.
-    met = windows(docs, around=False)
-    first = _star(met, "key")
-    known = cut(windows(docs, around=True).join(first, "key"))
+    # Most min-hashes occur once: of those that meet, each window with the first document's.
+    alike = Window.partitionBy("key")
+    met = windows(docs).select("*", F.min(F.struct("node", "place")).over(alike).alias("f"), F.max("node").over(alike).alias("last")).where("last > f.node")
+    known = cut(met.select("key", "node", "place", "around", F.col("f.node").alias("first"), F.col("f.place").alias("first_place")))
     hits = known.where("node <> first")
     pairs = cut(_pairs(hits, ENOUGH))
     found = cut(_verify(docs, pairs).where("start is not null"))
