@@ -17,8 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,101 +29,136 @@ from .ontology import CONCEPTS
 
 
 BETWEEN = r"[^\p{L}\p{N}_]+"     # what parts words; a TOKEN is a word of two characters or more
-BLOCK_TOKENS = 1 << 20     # a block closes at the first document's end beyond this many words; affects speed only
-_BLOCK = "block long, {doc}, terms binary, tfs binary, code int, term string, df long"
+BLOCK_TOKENS = 1 << 20     # words of a block of whole documents, on average; affects speed only
+_PLAIN = 512               # shorter bytes are left to Spark's codecs, which see many rows at once
+_ROWS = 1024               # texts cut at once
 
 
-def _tfidf_blocks(schema: pa.Schema, block_tokens: int = BLOCK_TOKENS):
-    """Arrow batches ``doc, words`` (parted by blanks) in order of ``doc`` -> blocks of whole documents.
+def _pack(x: bytes) -> bytes:
+    return b"\0" + x if len(x) < _PLAIN else b"\1" + len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
 
-    A block is a row per document with its terms' codes and counts (32-bit integers), and a row per distinct term with
-    its code and its documents in the block. Codes follow the order of the terms' bytes: a space
-    sorts before every character of a token, so "a b" is ordered by a, then b.
+
+def _unpack(x: bytes) -> bytes:
+    return x[1:] if x[0] == 0 else pa.decompress(x[9:], int.from_bytes(x[1:9], "little"), codec="zstd", asbytes=True)
+
+
+def _pack_counts(n: np.ndarray) -> bytes:
+    return _pack(n.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())       # mostly small: lowest bytes first, then zeros
+
+
+def _unpack_counts(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unpack(x), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _tokens(schema: pa.Schema):
+    """Arrow batches ``doc, words`` (parted by blanks) -> per row its tokens in order, packed, and their number; rows
+    without any are left out."""
+    stop = pa.array(ENGLISH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(k, _ROWS) for x in batches for k in range(0, x.num_rows, _ROWS)):
+            tok = pc.split_pattern(b.column("words"), " ")
+            flat = tok.flatten()
+            kept = pc.and_not(pc.greater_equal(pc.utf8_length(flat), 2), pc.is_in(flat, stop))
+            ends = np.append(0, np.cumsum(kept.to_numpy(zero_copy_only=False)))[np.append(0, np.cumsum(pc.list_value_length(tok).to_numpy()))]
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(kept)), " ")
+            n = np.diff(ends)
+            some = pa.array(np.flatnonzero(n))
+            packed = pa.array([_pack(x) for x in text.take(some).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(some), packed, pa.array(n).take(some)], schema=schema)
+
+    return run
+
+
+def _terms(docs: pa.Table):
+    """The documents of a block -> ``doc, words, one, two, of, term, tf``.
+
+    ``words`` are its distinct words in order of their bytes; ``one, two`` its distinct terms as a word's number and
+    the next word's number plus 1 (0: none), in order of their text, as a space sorts before every character of a
+    token. ``of, term, tf`` are the terms of every document, by document and term.
     """
     import pandas as pd
 
-    stop = pa.array(ENGLISH)
+    tok = pc.split_pattern(pa.array([_unpack(x).decode() for x in docs.column("words").to_pylist()], pa.string()), " ")
+    doc = docs.column("doc").combine_chunks()
+    nth = doc.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)      # rows of a document need not be side by side
+    row = np.repeat(np.arange(len(tok)), pc.list_value_length(tok).to_numpy())
+    found = tok.flatten().dictionary_encode()
+    order = pc.sort_indices(found.dictionary).to_numpy()
+    words, v = found.dictionary.take(pa.array(order)), len(order)
+    rank = np.empty(v, np.int64)
+    rank[order] = np.arange(v)
+    codes = rank[found.indices.to_numpy()]
+    beside = row[:-1] == row[1:]
+    keys = np.concatenate([codes * (v + 1), codes[:-1][beside] * (v + 1) + codes[1:][beside] + 1])
+    which, terms = pd.factorize(keys)
+    order = np.argsort(terms)
+    place = np.empty(len(terms), np.int64)
+    place[order] = np.arange(len(terms))
+    pairs, tf = np.unique(np.concatenate([nth[row], nth[row[:-1][beside]]]) * len(terms) + place[which], return_counts=True)
+    ids = doc.take(pa.array(np.unique(nth, return_index=True)[1]))
+    return ids, words, terms[order] // (v + 1), terms[order] % (v + 1), pairs // len(terms), pairs % len(terms), tf
+
+
+def _text(words: pa.Array, one: np.ndarray, two: np.ndarray) -> pa.Array:
+    first, second = words.take(pa.array(one)), words.take(pa.array(np.maximum(two - 1, 0)))
+    return pc.if_else(pa.array(two == 0), first, pc.binary_join_element_wise(first, second, " "))
+
+
+def _dealt(words: pa.Array, one: np.ndarray, two: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The terms dealt to ``parts`` by a hash of their words: their order by part, then text, and where each part begins."""
+    import pandas as pd
 
-    def rows(n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)).cast(f.type) for f in schema], schema=schema)
-
-    def block(number: int, doc: pa.Array, nth: np.ndarray, tok: pa.ListArray) -> Iterator[pa.RecordBatch]:
-        words = tok.flatten().dictionary_encode()
-        at = np.repeat(np.arange(len(tok)), pc.list_value_length(tok).to_numpy(zero_copy_only=False))
-        order = pc.sort_indices(words.dictionary).to_numpy()
-        vocabulary, v = words.dictionary.take(pa.array(order)), len(order)
-        rank = np.empty(v, np.int64)
-        rank[order] = np.arange(v)
-        codes = rank[words.indices.to_numpy()]
-        token = pc.and_not(pc.greater_equal(pc.utf8_length(vocabulary), 2), pc.is_in(vocabulary, stop))
-        kept = token.to_numpy(zero_copy_only=False)[codes]
-        codes, at = codes[kept], at[kept]
-        beside = at[:-1] == at[1:]
-        keys = np.concatenate([codes * (v + 1), codes[:-1][beside] * (v + 1) + codes[1:][beside] + 1])
-        if not len(keys):
-            return
-        of, terms = pd.factorize(keys)
-        order = np.argsort(terms)
-        place = np.empty(len(terms), np.int64)
-        place[order] = np.arange(len(terms))
-        of, terms = place[of], terms[order]
-        pairs, tfs = np.unique(np.concatenate([nth[at], nth[at[:-1][beside]]]) * len(terms) + of, return_counts=True)
-        of, term = pairs // len(terms), pairs % len(terms)
-        first = np.flatnonzero(np.diff(of, prepend=-1))
-        ids = doc.take(pa.array(np.searchsorted(nth, of[first])))
-        lists = {k: pa.array([x.tobytes() for x in np.split(n.astype(np.int32), first[1:])], pa.binary()) for k, n in (("terms", term), ("tfs", tfs))}
-        yield rows(len(ids), block=pa.array(np.full(len(ids), number)), doc=ids, **lists)
-        second = terms % (v + 1)
-        one = vocabulary.take(pa.array(terms // (v + 1)))
-        two = vocabulary.take(pa.array(np.maximum(second - 1, 0)))
-        text = pc.if_else(pa.array(second == 0), one, pc.binary_join_element_wise(one, two, " "))
-        yield rows(len(terms), block=pa.array(np.full(len(terms), number)), code=pa.array(np.arange(len(terms))), term=text,
-                   df=pa.array(np.bincount(term, minlength=len(terms))))
+    h = pd.util.hash_array(np.array(words.to_pylist(), object))
+    key = h[one] * np.uint64(0x9E3779B97F4A7C15) + np.append(np.uint64(0), h)[two]
+    key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    part = ((key ^ (key >> np.uint64(32))) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
-
-        def close(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, number
-            t = pa.Table.from_batches(held).combine_chunks()
-            doc, tok = t.column("doc").chunk(0), t.column("tok").chunk(0)
-            same = doc.dictionary_encode(null_encoding="encode").indices.to_numpy()
-            nth = np.cumsum(np.diff(same, prepend=same[0]) != 0)
-            end = len(doc) if last else int(np.searchsorted(nth, nth[-1]))    # the last document may go on
-            if end:
-                yield from block(number, doc.slice(0, end), nth[:end], tok.slice(0, end))
-                number += 1
-                held = t.slice(end).to_batches()
-
-        n, limit = 0, block_tokens
-        for b in batches:
-            if b.num_rows:
-                tok = pc.split_pattern(b.column("words"), " ")
-                held.append(pa.RecordBatch.from_arrays([b.column("doc"), tok], ["doc", "tok"]))
-                n += len(tok.flatten())
-                if n >= limit:
-                    yield from close(False)
-                    n = sum(len(x.column("tok").flatten()) for x in held)
-                    limit = max(block_tokens, 2 * n)       # a document longer than a block
-        if held:
-            yield from close(True)
+
+def _shares(schema: pa.Schema, parts: int):
+    """The documents of a block -> a row per part: the block's terms in it, and in how many documents each is."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        _, words, one, two, _, term, _ = _terms(docs)
+        order, begin = _dealt(words, one, two, parts)
+        some = np.flatnonzero(np.diff(begin))
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), _text(words, one[order], two[order])), "\n")
+        df = np.split(np.bincount(term, minlength=len(one))[order], begin[1:-1])
+        found = {"part": pa.array(some), "block": pa.array([docs.column("block")[0].as_py()] * len(some)),
+                 "terms": [_pack(x) for x in text.take(pa.array(some)).cast(pa.binary()).to_pylist()], "df": [_pack_counts(df[k]) for k in some]}
+        return pa.table([found[f.name] if isinstance(found[f.name], pa.Array) else pa.array(found[f.name], f.type) for f in schema], schema=schema)
+
+    return run
+
+
+def _sums(schema: pa.Schema):
+    """The shares of all blocks in a part -> for each share the number of documents over all blocks, in order of its terms."""
+
+    def run(shares: pa.Table) -> pa.Table:
+        texts = [_unpack(x) for x in shares.column("terms").to_pylist()]
+        ends = np.cumsum([x.count(b"\n") + 1 for x in texts])
+        terms = pc.split_pattern(pa.array([b"\n".join(texts)], pa.large_binary()), "\n").flatten()
+        of = terms.dictionary_encode().indices.to_numpy()
+        df = np.concatenate([_unpack_counts(x) for x in shares.column("df").to_pylist()])
+        total = np.split(np.bincount(of, df)[of].astype(np.int64), ends[:-1])
+        return pa.table([shares.column("block"), shares.column("part"), pa.array([_pack_counts(x) for x in total], pa.binary())], schema=schema)
 
     return run
 
 
-def _tops(schema: pa.Schema):
-    """The documents of a block and its terms with their idf -> per document the number of terms and the
-    largest weights: per weight within 2e-9 of the largest, the smallest of its terms."""
+def _tops(schema: pa.Schema, parts: int, n: int):
+    """The documents of a block and the counts of its shares, among ``n`` documents -> per document the number of
+    terms and the largest weights: per weight within 2e-9 of the largest, the smallest of its terms."""
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return schema.empty_table()
-        words = words.sort_by("code")
-        size = pc.binary_length(docs.column("terms")).to_numpy() // 4
-        term, tf = (np.frombuffer(b"".join(docs.column(c).to_pylist()), np.int32) for c in ("terms", "tfs"))
-        first, of = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
-        w = tf * words.column("idf").to_numpy()[term]
+    def run(docs: pa.Table, sums: pa.Table) -> pa.Table:
+        ids, words, one, two, of, term, tf = _terms(docs)
+        df = np.empty(len(one), np.int64)
+        df[_dealt(words, one, two, parts)[0]] = np.concatenate([_unpack_counts(x) for x in sums.sort_by("part").column("df").to_pylist()])
+        size = np.bincount(of)
+        first = np.cumsum(size) - size
+        w = tf * (np.log((n + 1) / (df + 1)) + 1)[term]
         x = w / np.sqrt(np.add.reduceat(w * w, first))[of]
         near = np.flatnonzero(x >= np.maximum.reduceat(x, first)[of] - 2e-9)
         near = near[np.lexsort((term[near], x[near], of[near]))]
@@ -132,8 +166,8 @@ def _tops(schema: pa.Schema):
         fresh[1:] |= np.diff(x[near]) != 0
         near = near[fresh]
         offsets = pa.array(np.append(np.searchsorted(of[near], np.arange(len(size))), len(near)), pa.int32())
-        tops = pa.StructArray.from_arrays([pa.array(x[near]), words.column("term").combine_chunks().take(pa.array(term[near]))], ["w", "term"])
-        found = {"doc": docs.column("doc").combine_chunks(), "n_terms": pa.array(size), "tops": pa.ListArray.from_arrays(offsets, tops)}
+        tops = pa.StructArray.from_arrays([pa.array(x[near]), _text(words, one[term[near]], two[term[near]])], ["w", "term"])
+        found = {"doc": ids, "n_terms": pa.array(size), "tops": pa.ListArray.from_arrays(offsets, tops)}
         return pa.table([found[f.name].cast(f.type) for f in schema], schema=schema)
 
     return run
@@ -143,26 +177,34 @@ def document_tfidf_summary(docs: DataFrame, doc_col: str = "doc_id", text_col: s
                            block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Per document: number of distinct terms and the heaviest term (ties: smaller term).
 
-    The vectors of :func:`tfidf_vectors`, a block of documents at a time: the rows of a document meet
-    in one partition, a block counts its terms once and only its distinct terms are shuffled - by term
-    for their idf over all documents, then back to their block. Blocks are written and read twice.
+    The vectors of :func:`tfidf_vectors`, a block of documents at a time. Texts are read into tokens once, written
+    packed, and dealt to blocks by a hash of their document, so that all its rows meet in one. Of a block's distinct
+    terms a packed share goes to each part of all terms and comes back as numbers of documents alone; the block
+    then counts its terms again. A part holds the terms of about two blocks, whatever their number.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    spark = docs.sparkSession
     kind = T.StructField("doc", docs.schema[doc_col].dataType)
     form = lambda ddl: T.StructType([f if f.name != "doc" else kind for f in T._parse_datatype_string(ddl.format(doc="doc int")).fields])
-    n = F.lit(docs.agg(F.countDistinct(doc_col)).first()[0])
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(doc_col).alias("doc"), F.col(text_col).alias("text"))
-    rows = rows.repartition("doc").sortWithinPartitions("doc").select("doc", F.regexp_replace(F.lower("text"), BETWEEN, " ").alias("words"))
-    schema = form(_BLOCK)
-    at = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/tfidf-{uuid.uuid4().hex}"
-    rows.mapInArrow(_tfidf_blocks(to_arrow_schema(schema), block_tokens), schema).write.parquet(at)
-    blocks = docs.sparkSession.read.schema(schema).parquet(at)
-    df_ = F.sum("df").over(Window.partitionBy("term"))      # a term has at most a row per block
-    words = blocks.where(F.col("term").isNotNull()).select("block", "code", "term", (F.log((n + 1) / (df_ + 1)) + 1).alias("idf"))
-    lists = blocks.where(F.col("terms").isNotNull()).select("block", "doc", "terms", "tfs")
+    n = docs.agg(F.countDistinct(doc_col)).first()[0]
+    rows = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(doc_col).alias("doc"), F.regexp_replace(F.lower(F.col(text_col)), BETWEEN, " ").alias("words"))
+    schema = form("{doc}, words binary, n long")
+    at = f"{checkpoint_dir(spark).rstrip('/')}/tfidf-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    rows.mapInArrow(_tokens(to_arrow_schema(schema)), schema).write.parquet(at)
+    tokens = spark.read.schema(schema).parquet(at)
+    number = max(1, -(-(tokens.agg(F.sum("n")).first()[0] or 0) // block_tokens))
+    parts = max(1, -(-number // 2))
+    blocks = tokens.select(F.pmod(F.xxhash64("doc"), F.lit(number)).alias("block"), "doc", "words").groupBy("block")
+    share = form("part long, block long, terms binary, df binary")
+    back = form("block long, part long, df binary")
     out = form("{doc}, n_terms long, tops array<struct<w: double, term: string>>")
-    best = lists.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_tops(to_arrow_schema(out)), out)
+    shares = blocks.applyInArrow(_shares(to_arrow_schema(share), parts), share)
+    sums = shares.groupBy("part").applyInArrow(_sums(to_arrow_schema(back)), back)
+    best = blocks.cogroup(sums.groupBy("block")).applyInArrow(_tops(to_arrow_schema(out), parts, n), out)
     top = F.array_max(F.transform("tops", lambda s: rnd(s["w"], 9)))
     return best.withColumn("top", top).select(
         F.col("doc").alias(doc_col), "n_terms",
